@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm import decontaminate, mixing, packing, simhash, toxicity
+from plotweave.llm import audio, decontaminate, mixing, packing, preferences, simhash, toxicity, urls
 from plotweave.llm.common import table
 
 END_ID = 2
@@ -39,10 +39,75 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op7_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.search_excerpts(table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_packing, op4_toxicity, op5_mixing, op8_simhash)}
-ORACLES: dict[str, str] = {}
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen, rejected = preferences.swapped_replies(table(spark, sf_dir, "conversations"))
+    out = preferences.format_pairs(chosen, rejected)
+    return out.select(
+        "pair_id",
+        F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"),
+        "prompt",
+        "chosen_completion",
+        preferences.spans_as_text("chosen_loss_spans").alias("chosen_loss_spans"),
+        "rejected_completion",
+        preferences.spans_as_text("rejected_loss_spans").alias("rejected_loss_spans"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_packing, op4_toxicity, op5_mixing, op7_audio_fingerprints, op8_simhash, op9_url_filters, op10_preferences)}
+ORACLE_OP1 = r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(13, len(w)) AS n FROM item WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
+lens AS (SELECT DISTINCT n FROM win),
+cut AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc CROSS JOIN lens WHERE len(w) >= n)),
+hit AS (SELECT doc_id, item_id, c.n, i FROM cut c JOIN win ON win.n = c.n AND win.s = c.s),
+word AS (SELECT doc_id, count(DISTINCT word_no) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS word_no FROM hit) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+ORACLE_OP10 = r"""
+WITH last AS (SELECT conv_id, max(turn) AS last_turn, arg_max(text, turn) AS reply FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+pairs AS (SELECT a.conv_id AS pair_id, a.last_turn, b.reply FROM last a JOIN last b ON b.conv_id = a.conv_id + 1),
+own AS (SELECT pair_id, turn, role, text AS c, CASE WHEN turn = last_turn AND role = 'assistant' THEN reply ELSE text END AS r FROM conversations JOIN pairs ON conv_id = pair_id WHERE turn <= last_turn),
+told AS (SELECT *, min(CASE WHEN c IS NOT DISTINCT FROM r THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY turn) = 1 AS common,
+  '<|im_start|>' || coalesce(role, 'unknown') || chr(10) AS head FROM own),
+said AS (SELECT *, head || coalesce(c, '') || '<|im_end|>' || chr(10) AS ct, head || coalesce(r, '') || '<|im_end|>' || chr(10) AS rt FROM told),
+placed AS (SELECT *, coalesce(sum(length(ct)) FILTER (NOT common) OVER w, 0) AS cb, coalesce(sum(length(rt)) FILTER (NOT common) OVER w, 0) AS rb FROM said
+  WINDOW w AS (PARTITION BY pair_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT pair_id, count(*) FILTER (common) AS n_prompt_turns,
+  coalesce(string_agg(ct, '' ORDER BY turn) FILTER (common), '') AS prompt,
+  coalesce(string_agg(ct, '' ORDER BY turn) FILTER (NOT common), '') AS chosen_completion,
+  coalesce(string_agg((cb + length(head))::BIGINT || ':' || (length(ct) - length(head) - 1), ',' ORDER BY turn) FILTER (NOT common AND role = 'assistant'), '') AS chosen_loss_spans,
+  coalesce(string_agg(rt, '' ORDER BY turn) FILTER (NOT common), '') AS rejected_completion,
+  coalesce(string_agg((rb + length(head))::BIGINT || ':' || (length(rt) - length(head) - 1), ',' ORDER BY turn) FILTER (NOT common AND role = 'assistant'), '') AS rejected_loss_spans
+FROM placed GROUP BY pair_id
+"""
+
+#: The other operators hash, learn or walk in ways SQL has no form for; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op1_decontaminate": ORACLE_OP1, "op10_preferences": ORACLE_OP10}
