@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm import audio, decontaminate, mixing, packing, preferences, simhash, toxicity, urls
+from plotweave.llm import audio, decontaminate, extract, mixing, packing, preferences, repeats, simhash, toxicity, urls
 from plotweave.llm.common import table
 
 END_ID = 2
@@ -27,6 +27,10 @@ def op2_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.read_documents(spark, at)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit_on_labels(docs, table(spark, sf_dir, "labels"))
@@ -39,6 +43,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op6_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.search_excerpts(table(spark, sf_dir, "embeddings"))
 
@@ -75,7 +84,7 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_packing, op4_toxicity, op5_mixing, op7_audio_fingerprints, op8_simhash, op9_url_filters, op10_preferences)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_packing, op3_html_extraction, op4_toxicity, op5_mixing, op6_repeated_windows, op7_audio_fingerprints, op8_simhash, op9_url_filters, op10_preferences)}
 ORACLE_OP1 = r"""
 WITH doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 item AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
