@@ -7,15 +7,21 @@ from dataclasses import dataclass, field
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
+
+
+def _envelope(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    items = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    whole = StructType().add("metadata", MapType(StringType(), StringType())).add("items", ArrayType(items))
+    return spark.read.schema(whole).option("multiLine", True).json(path)
 
 
 def read_items(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """The items of an envelope by their schema; a file without metadata or items raises when it is read."""
-    items = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    whole = spark.read.schema(StructType().add("metadata", "map<string,string>").add("items", f"array<{items.simpleString()}>")).option("multiLine", True).json(path)
-    ok = F.when(F.col("metadata").isNull() | F.col("items").isNull(), F.raise_error(F.lit("not an envelope of metadata and items"))).otherwise(F.lit(True))
-    return whole.where(ok.cast("boolean")).select(F.inline("items"))
+    whole = _envelope(spark, path, schema)
+    # The fault is part of what is unfolded, so no filter on the items can come before it.
+    items = F.when(F.col("metadata").isNull() | F.col("items").isNull(), F.raise_error(F.lit("not an envelope of metadata and items"))).otherwise(F.col("items"))
+    return whole.select(F.inline(items))
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +45,7 @@ def read_available(spark: SparkSession, base: str, schemas: dict[str, str]) -> A
     for name, schema in schemas.items():
         path = f"{base}/{name}.json"
         try:
-            whole = spark.read.schema(StructType().add("metadata", "map<string,string>").add("items", f"array<{StructType.fromDDL(schema).simpleString()}>")).option("multiLine", True).json(path)
+            whole = _envelope(spark, path, schema)
             row = whole.select((F.col("metadata").isNull() | F.col("items").isNull()).alias("bad")).first()
         except AnalysisException:
             row = None
