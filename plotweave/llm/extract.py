@@ -227,21 +227,20 @@ def shown(tree: list) -> set[int]:
     return main or {t[3] for t, _ in nodes}
 
 
-def _parsed(page_id: str, url: str, html: str, host: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                trees, keys, blocks = [], [], []
-                for text in part.column(html).to_pylist():
-                    root, found = parse(text or "")
-                    trees.append(json.dumps(as_lists(root), separators=(",", ":"), ensure_ascii=False))
-                    keys.append(int.from_bytes(hashlib.blake2b(trees[-1].encode(), digest_size=8).digest(), "little", signed=True))
-                    blocks.append([{"node": n, "line": line} for n, line in found])
-                columns = [part.column(page_id), part.column(url), part.column(host), pa.array(keys, pa.int64()), pa.array(trees, pa.string()), pa.array(blocks, pa.list_(pa.struct([("node", pa.int32()), ("line", pa.string())])))]
-                yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "tree_key", "tree", "blocks"])
-
-    return run
+def _key(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _as_text(tree: list) -> str:
+    return json.dumps(tree, separators=(",", ":"), ensure_ascii=False)
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            trees = [_as_text(as_lists(parse(text or "")[0])) for text in part.column("html").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"host": part.column("host"), "tree_key": pa.array([_key(t) for t in trees], pa.int64()), "tree": trees})
 
 
 def _wrapped(key, table):
@@ -250,46 +249,74 @@ def _wrapped(key, table):
     wrapper = json.loads(order[0][1])
     for _, tree in order[1:]:
         wrapper = merge(wrapper, json.loads(tree))
-    return pa.table({"host": [key[0].as_py()], "pages": pa.array([sum(n for n, _ in order)], pa.int64()), "tree": [json.dumps(wrapper, separators=(",", ":"), ensure_ascii=False)]})
+    return pa.table({"host": [key[0].as_py()], "pages": pa.array([sum(n for n, _ in order)], pa.int64()), "tree": [_as_text(wrapper)]})
 
 
-def wrappers(parsed: DataFrame, groups: int = 32) -> DataFrame:
-    """host, pages, wrapper: the host's trees merged by groups, and the groups' wrappers merged."""
-    trees = parsed.groupBy("host", "tree_key").agg(F.count("*").alias("pages"), F.first("tree").alias("tree"))
+def wrappers(pages: DataFrame, groups: int = 32) -> DataFrame:
+    """host, pages, wrapper of pages (host, html): the host's trees merged by groups, and the groups' wrappers merged."""
+    found = pages.select("host", "html").mapInArrow(_trees, "host string, tree_key long, tree string")
+    trees = found.groupBy("host", "tree_key").agg(F.count("*").alias("pages"), F.first("tree").alias("tree"))
     first = trees.withColumn("part", F.pmod("tree_key", F.lit(groups))).groupBy("host", "part").applyInArrow(_wrapped, "host string, pages long, tree string")
     return first.groupBy("host").applyInArrow(_wrapped, "host string, pages long, tree string").withColumnRenamed("tree", "wrapper")
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with their slots' hashes; a tree and wrapper that were met before are not aligned again."""
-    known: dict[tuple, tuple[dict[int, int], set[int]]] = {}
+class Reader:
+    """Reads pages through their hosts' wrappers; a tree and wrapper that were met before are not aligned again."""
+
+    def __init__(self):
+        self.known: dict[tuple, tuple[dict[int, str], set[int]]] = {}
+
+    def blocks(self, host: str, wrapper: str, html: str | None) -> list[tuple[int, str]]:
+        """Of each block that may be content: the hash of its slot and text, and the text."""
+        root, found = parse(html or "")
+        own = as_lists(root)
+        key = (host, _as_text(own))
+        if key not in self.known:
+            if len(self.known) > 2000:
+                self.known.clear()
+            self.known[key] = slots_of(json.loads(wrapper), own), shown(own)
+        slots, may = self.known[key]
+        return [(_key(f"{slots[n]}\n{line}"), line) for n, line in found if n in may]
+
+
+def _texts_in_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    reader = Reader()
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            found = [{k for k, _ in reader.blocks(*row)} for row in zip(*(part.column(c).to_pylist() for c in ("host", "wrapper", "html")), strict=True)]
+            counts = [len(x) for x in found]
+            rows = pa.array(np.repeat(np.arange(part.num_rows), counts))
+            yield pa.RecordBatch.from_pydict({"host": part.column("host").take(rows), "pages": part.column("pages").take(rows), "text_in_slot": pa.array([k for x in found for k in sorted(x)], pa.int64())})
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    reader = Reader()
     for batch in batches:
-        out = []
-        for host, key, tree, wrapper, blocks in zip(*(batch.column(c).to_pylist() for c in ("host", "tree_key", "tree", "wrapper", "blocks")), strict=True):
-            if (host, key) not in known:
-                if len(known) > 2000:
-                    known.clear()
-                own = json.loads(tree)
-                slots = {n: int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "little", signed=True) for n, s in slots_of(json.loads(wrapper), own).items()}
-                known[host, key] = slots, shown(own)
-            slots, may = known[host, key]
-            out.append([{"slot": slots[b["node"]], "line": b["line"]} for b in blocks if b["node"] in may])
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), batch.column("pages"), pa.array(out, pa.list_(pa.struct([("slot", pa.int64()), ("line", pa.string())])))], names=["page_id", "url", "host", "pages", "blocks"])
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            texts, sizes, dropped = [], [], []
+            for host, wrapper, html, template in zip(*(part.column(c).to_pylist() for c in ("host", "wrapper", "html", "template")), strict=True):
+                found, known = reader.blocks(host, wrapper, html), set(template or ())
+                content = [line for k, line in found if k not in known]
+                texts.append("\n".join(content))
+                sizes.append(len(content))
+                dropped.append(len(found) - len(content))
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(sizes, pa.int32()), pa.array(dropped, pa.int32())], names=["page_id", "url", "text", "n_chars", "blocks", "template_blocks"])
 
 
 def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES) -> DataFrame:
-    """page_id, url, text, n_chars, blocks, template_blocks (how many blocks of the content part were template)."""
+    """page_id, url, text, n_chars, blocks, template_blocks (how many blocks of the content part were template).
+
+    Pages are read three times rather than moved: wrappers and template texts are small tables by
+    host, which Spark broadcasts where their files are below its threshold and joins by host beyond.
+    """
     kind = pages.schema[page_id].dataType.simpleString()
     named = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-    parsed = settle(named.mapInArrow(_parsed("page_id", "url", "html", "host"), f"page_id {kind}, url string, host string, tree_key long, tree string, blocks array<struct<node:int,line:string>>"), "parsed-pages")
-    read = parsed.join(wrappers(parsed), "host").select("page_id", "url", "host", "pages", "tree_key", "tree", "wrapper", "blocks")
-    read = settle(read.mapInArrow(_read, f"page_id {kind}, url string, host string, pages long, blocks array<struct<slot:long,line:string>>"), "read-pages")
-    of = lambda b: F.xxhash64(b["slot"], b["line"])
-    seen = read.where((F.col("pages") >= least) & (F.col("host") != "")).select("host", "pages", F.explode(F.array_distinct(F.transform("blocks", of))).alias("text_in_slot"))
+    wrapped = settle(wrappers(named), "wrappers")
+    with_wrapper = named.join(wrapped, "host")
+    seen = with_wrapper.where((F.col("pages") >= least) & (F.col("host") != "")).select("host", "pages", "wrapper", "html").mapInArrow(_texts_in_slots, "host string, pages long, text_in_slot long")
     common = seen.groupBy("host", "text_in_slot").agg(F.count("*").alias("n"), F.first("pages").alias("pages")).where((F.col("n") >= least) & (F.col("n") >= share * F.col("pages")))
     # A slot has at most 1/share such texts, so a host's list is as short as its wrapper.
-    template = common.groupBy(F.col("host").alias("_host")).agg(F.collect_set("text_in_slot").alias("template"))
-    told = read.join(template, F.col("host") == F.col("_host"), "left").withColumn("template", F.coalesce("template", F.array().cast("array<bigint>")))
-    content = F.filter("blocks", lambda b: ~F.array_contains(F.col("template"), of(b)))
-    text = F.array_join(F.transform(content, lambda b: b["line"]), "\n")
-    return told.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.size(content).alias("blocks"), (F.size("blocks") - F.size(content)).alias("template_blocks"))
+    template = settle(common.groupBy("host").agg(F.collect_set("text_in_slot").alias("template")), "template")
+    return with_wrapper.join(template, "host", "left").select("page_id", "url", "host", "wrapper", "html", "template").mapInArrow(_contents, f"page_id {kind}, url string, text string, n_chars long, blocks int, template_blocks int")
