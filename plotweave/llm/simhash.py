@@ -164,13 +164,150 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return prints.join(named, "fingerprint").select(doc_id, "fingerprint", "component_id")
 
 
-def first_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **named) -> DataFrame:
-    """The documents without near-duplicates of a document with a smaller id, with the columns they came with.
+# Near copies by similarity: more bits apart than one fingerprint's halves can answer for, so two
+# fingerprints are cut into three segments each, and what meets is verified on shingles.
 
-    A null document id is no one's duplicate: such rows stay.
+SEEDS = (42, 1042)
+SEGMENTS = ((0, 21), (21, 21), (42, 22))
+SKETCH = 256
+
+
+def sketch(text: bytes, shingle: int, seed: int = 7) -> np.ndarray:
+    """The least hashes of a text's different shingles, at most SKETCH of them, ascending."""
+    words = text.translate(LOWER).split()
+    found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), seed) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+    return np.sort(np.fromiter(found, np.uint64, len(found)))[:SKETCH]
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of shingle sets from their sketches: exact where both are whole, else within about 0.03."""
+    if not len(a) and not len(b):
+        return 1.0
+    union = np.union1d(a, b)
+    if len(a) == SKETCH or len(b) == SKETCH:
+        union = union[:SKETCH]
+    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)) / max(1, len(union))
+
+
+def _ball(part: Column, flips: Column, mark: Column) -> Column:
+    return F.transform(flips, lambda f: part.bitwiseXOR(f).bitwiseOR(mark))
+
+
+def candidates(nodes: DataFrame, *, most_bits: int = 13) -> DataFrame:
+    """a < b: document ids of nodes (doc, one, two) whose fingerprints differ little, as shortest trees of each meeting place.
+
+    Both lie in the radius-1 ball of one value of a segment wherever they differ in at most two of
+    its bits. Ids within a value's tree are at most one less than its nodes, however alike they are.
+    """
+    probes = None
+    for side, name in enumerate(("one", "two")):
+        for k, (low, width) in enumerate(SEGMENTS):
+            part = F.shiftrightunsigned(F.col(name), low).bitwiseAND(F.lit((1 << width) - 1))
+            mark = F.lit((3 * side + k) << 24)
+            flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(width)))
+            rows = nodes.select(F.explode(_ball(part, flips, mark)).alias("value"), F.col(name).alias("fingerprint"), "doc")
+            probes = rows if probes is None else probes.union(rows)
+    met = probes.repartition("value").sortWithinPartitions("value")
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        for batch in batches:
+            now = (batch.column("value").to_numpy(), batch.column("fingerprint").to_numpy().view(np.uint64), batch.column("doc").to_numpy())
+            v, f, d = (np.concatenate(x) for x in zip(rest, now, strict=True))
+            cut = int(np.searchsorted(v, v[-1])) if len(v) else 0
+            yield from _trees(v[:cut], f[:cut], d[:cut], most_bits)
+            rest = [v[cut:], f[cut:], d[cut:]]
+        yield from _trees(*rest, most_bits)
+
+    return met.mapInArrow(trees, "a long, b long").distinct()
+
+
+def _trees(v: np.ndarray, f: np.ndarray, d: np.ndarray, most_bits: int) -> Iterator[pa.RecordBatch]:
+    if not len(v):
+        return
+    starts = np.flatnonzero(np.diff(v, prepend=v[:1] - 1))
+    sizes = np.diff(np.append(starts, len(v)))
+    pairs = [np.zeros((2, 0), np.int64)]
+    small = np.repeat(sizes <= 4, sizes)
+    for lag in (1, 2, 3):
+        i = np.flatnonzero(small[:-lag] & (v[:-lag] == v[lag:])) if len(v) > lag else np.zeros(0, np.int64)
+        i = i[np.bitwise_count(f[i] ^ f[i + lag]) <= most_bits]
+        pairs.append(np.stack((d[i], d[i + lag])))
+    for start, size in zip(starts[sizes > 4].tolist(), sizes[sizes > 4].tolist(), strict=True):
+        pairs.append(_shortest_tree(f[start : start + size], d[start : start + size], most_bits))
+    a, b = np.concatenate(pairs, axis=1)
+    if len(a):
+        yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _shortest_tree(f: np.ndarray, d: np.ndarray, most_bits: int, block: int = 1024) -> np.ndarray:
+    """Links of the shortest trees over all distances of at most most_bits."""
+    near = np.zeros(len(f), bool)
+    for i in range(0, len(f), block):
+        close = np.bitwise_count(f[i : i + block, None] ^ f) <= most_bits
+        near[i : i + block] = close.sum(axis=1) > 1
+    f, d = f[near], d[near]
+    best, link = np.full(len(f), 255, np.uint8), np.full(len(f), -1)
+    inside = np.zeros(len(f), bool)
+    out = []
+    for _ in range(len(f)):
+        here = int(np.argmin(np.where(inside, 255, best))) if (~inside & (best <= most_bits)).any() else int(np.argmin(inside))
+        if link[here] >= 0:
+            out.append((d[link[here]], d[here]))
+        inside[here] = True
+        distance = np.bitwise_count(f ^ f[here])
+        closer = ~inside & (distance <= most_bits) & (distance < best)
+        best[closer], link[closer] = distance[closer], here
+    return np.array(out, np.int64).reshape(-1, 2).T
+
+
+def verified(edges: DataFrame, docs: DataFrame, *, doc_id: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """The edges (a, b) whose documents' shingles are that similar; only documents with an edge are sketched."""
+    ends = edges.select(F.col("a").alias("_end")).union(edges.select("b")).distinct()
+    asked = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).join(ends, F.col("doc") == F.col("_end"), "left_semi")
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([sketch(t.as_py(), shingle).tobytes() for t in as_bytes(batch.column("text"))], pa.binary())], names=["doc", "sketch"])
+
+    told = settle(asked.mapInArrow(sketches, "doc long, sketch binary").dropDuplicates(["doc"]), "sketches")
+    both = edges.join(told.select(F.col("doc").alias("a"), F.col("sketch").alias("one")), "a").join(told.select(F.col("doc").alias("b"), F.col("sketch").alias("two")), "b")
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("one"), batch.column("two"), strict=True)
+            keep = pa.array([similarity_of(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= similarity for x, y in pairs], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(keep)
+
+    return both.select("a", "b", "one", "two").mapInArrow(judged, "a long, b long")
+
+
+def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id: the least id that chains of near copies reach, of documents with equal fingerprints or verified similarity."""
+    both = settle(_two_fingerprints(docs, doc_id, text, shingle), "prints")
+    nodes = settle(both.groupBy("one", "two").agg(F.min(doc_id).alias("doc")), "nodes")
+    roots = components(verified(settle(candidates(nodes), "candidates"), docs, doc_id=doc_id, text=text, shingle=shingle, similarity=similarity))
+    named = nodes.join(roots, nodes["doc"] == roots["node"], "left").select("one", "two", F.coalesce("root", "doc").alias("component_id"))
+    return both.join(named, ["one", "two"]).select(doc_id, "component_id")
+
+
+def _two_fingerprints(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text, 1 << 20):
+            one, two = (pa.array(fingerprints(batch.column(text), shingle, s).view(np.int64)) for s in SEEDS)
+            yield pa.RecordBatch.from_arrays([batch.column(doc_id), one, two], names=[doc_id, "one", "two"])
+
+    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, one long, two long")
+
+
+def first_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents without near copies of a document with a smaller id, with the columns they came with.
+
+    A null document id is no one's copy: such rows stay.
     """
     other = fresh(docs.columns, "other_id")
-    losers = near_duplicates(docs.where(F.col(doc_id).isNotNull()), doc_id=doc_id, text=text, **named).where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias(other)).distinct()
+    found = near_copies(docs.where(F.col(doc_id).isNotNull()), doc_id=doc_id, text=text, shingle=shingle, similarity=similarity)
+    losers = found.where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias(other)).distinct()
     return docs.join(losers, F.col(doc_id) == F.col(other), "left_anti")
 
 
