@@ -2,15 +2,17 @@
 
 Every suffix of `depth` bytes (a window) is assigned by its most significant digit: its anchor, the
 16-byte string in it with the least hash. Equal windows have equal anchors at equal places, so each
-pass works on one anchor's windows alone, and an anchor that only one document has is dropped
-before any text moves. The texts around the anchors that are left are split on by passes of eight
-bytes, from the first to the last, groups of one document going at each pass; the groups that are
-left at the threshold depth are exactly the repeated windows, and none is sorted any deeper.
-
-What is shuffled: per anchor (one in 18 bytes) about ten bytes; the documents once, by id, which
-both later joins use; and texts of anchors that repeat. Anchors that very many documents share are
-not gathered: their windows go row by row through a sum of first documents and a join, which Spark
-splits where it is uneven.
+pass works on one anchor's windows alone. Windows in a row with one anchor are a unit; units with
+equal text are one from the first pass on, and an anchor that only one document has is dropped
+before any text moves. A unit that an earlier document has goes whole. Where an anchor has several
+units, their first documents' texts are split on by passes of eight bytes, from the first to the
+last, groups of one document going at each pass; the groups that are left at the threshold depth
+are exactly the repeated windows, and none is sorted any deeper.
+
+What is shuffled: per anchor (one in 18 bytes) about 20 bytes; the documents once, by id, which both
+later joins use; and texts of units that differ around one anchor. Anchors that a large share of
+very many documents has are not gathered: they go row by row through sums of first documents and
+joins, which Spark splits where they are uneven.
 
 Defined cases: null is an empty text; texts shorter than the depth lose nothing; a null id is not
 before or after any other, so its row loses nothing and removes nothing; rows that share an id do
@@ -25,14 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotweave.llm.common import as_bytes, flat, settle, slices
 
 ANCHOR = 16
-#: An anchor that more documents' windows share is hot.
-HOT = 50_000
+#: With more documents than this, anchors that HOT_SHARE of a sample of documents has take the way by rows.
+#: The sample routes rows only; either way gives the same result.
+HOT, HOT_SHARE, HOT_SAMPLE = 400_000, 0.01, 64
 
 
 def _mixed(x: np.ndarray, by: int) -> np.ndarray:
@@ -82,82 +86,122 @@ def _unplaned(raw: bytes, size: int, kind) -> np.ndarray:
     return wide.view(kind).ravel()
 
 
-def _anchors(depth: int, buckets: int):
+def _parts(batch: pa.RecordBatch, depth: int):
+    """Documents, their marks, and the units of a batch: text, start, windows, anchor, and hash of the unit's text."""
+    column = as_bytes(batch.column("text"))
+    data, at = flat(column)
+    text, start, n, key = windows(data, at, depth)
+    marks = np.array([zlib.crc32(v.as_py()) & 0xFFFF for v in column], np.int64)
+    return batch.column("doc").to_numpy(), marks, data, at, text, start, n, key
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, n: np.ndarray, depth: int) -> np.ndarray:
+    whole, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+    return np.array([digest(whole[a:b]) for a, b in zip(start.tolist(), (start + n + depth - 1).tolist(), strict=True)], np.uint64)
+
+
+def _rows(bucket: np.ndarray, buckets: int, doc: np.ndarray, marks: np.ndarray, text: np.ndarray, columns) -> pa.RecordBatch | None:
+    """Units dealt to buckets: per bucket one row of packed columns, documents and marks once for each run of a text."""
+    order = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    rows = []
+    for b in np.flatnonzero(np.diff(cut)).tolist():
+        mine = order[cut[b] : cut[b + 1]]
+        first = np.flatnonzero(np.diff(text[mine], prepend=-1))
+        owner = text[mine[first]]
+        counts = np.diff(np.append(first, len(mine))).astype(np.int32)
+        rows.append({"bucket": b, "docs": doc[owner].tobytes(), "marks": marks[owner].astype(np.uint16).tobytes(), "counts": counts.tobytes()} | columns(mine))
+    return pa.RecordBatch.from_pylist(rows, schema=ROWS) if rows else None
+
+
+ROWS = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("docs", "marks", "counts", "keys", "units", "places", "sizes", "texts"))])
+ROWS_DDL = "bucket int, docs binary, marks binary, counts binary, keys binary, units binary, places binary, sizes binary, texts binary"
+
+
+def _unpacked(table) -> tuple[np.ndarray, ...]:
+    """docs, marks, keys, places, sizes of a bucket's rows."""
+    counts = [np.frombuffer(c.as_py(), np.int32) for c in table.column("counts")]
+    each = lambda c, kind: np.concatenate([np.repeat(np.frombuffer(x.as_py(), kind), k) for x, k in zip(table.column(c), counts, strict=True)])
+    planes = lambda c, size, kind: np.concatenate([_unplaned(x.as_py(), size, kind) for x in table.column(c)])
+    return each("docs", np.int64), each("marks", np.uint16), planes("keys", 6, np.uint64), planes("places", 5, np.int64), planes("sizes", 2, np.int64)
+
+
+def _anchors(depth: int, buckets: int, hot: np.ndarray):
+    """Packed units of all documents but those with hot anchors."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
-            data, at = flat(as_bytes(batch.column("text")))
-            text, start, _, key = windows(data, at, depth)
-            doc = batch.column("doc").to_numpy()
-            bucket = (key >> np.uint64(48)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = []
-            for b in range(buckets):
-                mine = order[cut[b] : cut[b + 1]]
-                if len(mine):
-                    first = np.flatnonzero(np.diff(text[mine], prepend=-1))
-                    rows.append({"bucket": b, "n": len(mine), "keys": _planes(key[mine], 6), "places": _planes((start - at[text])[mine].astype(np.int64), 5), "docs": doc[text[mine[first]]].tobytes(), "counts": np.diff(np.append(first, len(mine))).astype(np.int32).tobytes()})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=ANCHOR_ROWS)
+        for batch in slices(batches, "text", 2 << 20):
+            doc, marks, data, at, text, start, n, key = _parts(batch, depth)
+            if len(hot):
+                use = ~np.isin(key & KEY_BITS, hot)
+                text, start, n, key = text[use], start[use], n[use], key[use]
+            unit, place = _hashes(data, start, n, depth), (start - at[text]).astype(np.int64)
+            out = _rows((key >> np.uint64(48)).astype(np.int64) % buckets, buckets, doc, marks, text, lambda m: {"keys": _planes(key[m], 6), "units": unit[m].tobytes(), "places": _planes(place[m], 5), "sizes": _planes(n[m].astype(np.int64), 2), "texts": None})
+            if out is not None:
+                yield out
 
     return run
 
 
-ANCHOR_ROWS = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("places", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
-UNIT_ROWS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("places", pa.binary()), ("docs", pa.binary()), ("marks", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary())])
+#: Anchors travel as the low 48 bits of their hashes; the rest of the bits chose the bucket.
+KEY_BITS = np.uint64((1 << 48) - 1)
 
 
-def _shared(hot: int):
-    """The places of anchors that two documents have, of one bucket of anchors."""
+def _sorted_out(depth: int):
+    """Of one bucket: ranges that go whole (key is null), and first occurrences of units whose anchor has others."""
 
-    def run(key, table):
-        keys = np.concatenate([_unplaned(x.as_py(), 6, np.uint64) for x in table.column("keys")])
-        places = np.concatenate([_unplaned(x.as_py(), 5, np.int64) for x in table.column("places")])
-        docs = np.concatenate([np.repeat(np.frombuffer(d.as_py(), np.int64), np.frombuffer(c.as_py(), np.int32)) for d, c in zip(table.column("docs"), table.column("counts"), strict=True)])
-        order = np.argsort(keys, kind="stable")
-        keys, places, docs = keys[order], places[order], docs[order]
-        first = np.flatnonzero(np.diff(keys, prepend=keys[0] + np.uint64(1)))
-        size = np.diff(np.append(first, len(keys)))
-        two = np.minimum.reduceat(docs, first) < np.maximum.reduceat(docs, first)
-        keep, many = np.repeat(two, size), np.repeat(size > hot, size)
-        return pa.table({"doc": docs[keep], "place": places[keep], "hot": many[keep]})
+    def run(group, table):
+        docs, marks, keys, places, sizes = _unpacked(table)
+        units = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("units")])
+        order = np.lexsort((docs, units, keys))
+        docs, marks, keys, places, sizes, units = (x[order] for x in (docs, marks, keys, places, sizes, units))
+        new_key = np.concatenate(([True], keys[1:] != keys[:-1]))
+        new_unit = new_key | np.concatenate(([True], units[1:] != units[:-1]))
+        at_unit, of_unit = np.flatnonzero(new_unit), np.cumsum(new_unit) - 1
+        first = docs[at_unit][of_unit]
+        at_key, of_key = np.flatnonzero(new_key), np.cumsum(new_key) - 1
+        several = (np.add.reduceat(new_unit.astype(np.int64), at_key) > 1) & (np.minimum.reduceat(docs, at_key) < np.maximum.reduceat(docs, at_key))
+        whole, look = docs > first, (docs == first) & several[of_key]
+        none = np.zeros(int(whole.sum()), bool)
+        key = np.concatenate((np.zeros(len(none), np.int64), keys[look].view(np.int64)))
+        mask = np.concatenate((~none, np.zeros(int(look.sum()), bool)))
+        value = _packed(marks, places, sizes + depth - 1)
+        return pa.table({"doc": np.concatenate((docs[whole], docs[look])), "value": np.concatenate((value[whole], value[look])), "key": pa.array(key, mask=mask)})
 
     return run
 
 
-def _units(depth: int, buckets: int):
-    """The texts of runs of windows at the asked places, in buckets of their anchors."""
+def _asked(batches: Iterator[pa.RecordBatch], depth: int):
+    """Documents with the units that are asked for: row of the batch, mark, start, windows, anchor."""
+    for batch in slices(batches, "text", 2 << 20):
+        column = as_bytes(batch.column("text"))
+        data, at = flat(column)
+        marks = np.array([zlib.crc32(v.as_py()) & 0xFFFF for v in column], np.int64)
+        asked = batch.column("asked")
+        row = np.repeat(np.arange(batch.num_rows), np.diff(np.append(0, np.cumsum([len(x) for x in asked]))))
+        flat_asked = asked.flatten()
+        value, key = (np.asarray(flat_asked.field(k)) for k in (0, 1))
+        own = (value >> 48 & 0xFFFF) == marks[row]
+        row, value, key = row[own], value[own], key[own]
+        yield batch, data, at, marks, row, at[row] + (value >> 12 & PLACE_BITS), (value & 0xFFF) - depth + 1, key.astype(np.int64).view(np.uint64)
+
+
+def _texts(depth: int, buckets: int):
+    """The texts of the asked units, in buckets of their anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, text, start, n, key, at, data in _asked(batches, depth):
-            doc = batch.column("doc").to_numpy()
-            marks = np.array([zlib.crc32(v.as_py()) & 0xFFFF for v in as_bytes(batch.column("text"))], np.int64)
-            bucket = (key >> np.uint64(48)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows, whole = [], data.tobytes()
-            for b in range(buckets):
-                mine = order[cut[b] : cut[b + 1]]
-                if len(mine):
-                    first = np.flatnonzero(np.diff(text[mine], prepend=-1))
-                    owner = text[mine[first]]
-                    pieces = [whole[s : s + m + depth - 1] for s, m in zip(start[mine].tolist(), n[mine].tolist(), strict=True)]
-                    rows.append({"bucket": b, "keys": _planes(key[mine], 6), "places": _planes((start - at[text])[mine].astype(np.int64), 5), "docs": doc[owner].tobytes(), "marks": marks[owner].astype(np.uint16).tobytes(), "counts": np.diff(np.append(first, len(mine))).astype(np.int32).tobytes(), "sizes": n[mine].astype(np.uint16).tobytes(), "texts": b"".join(pieces)})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=UNIT_ROWS)
+        for batch, data, at, marks, row, start, n, key in _asked(batches, depth):
+            whole, place = data.tobytes(), (start - at[row]).astype(np.int64)
+            spread = _mixed(key, 0x9E3779B97F4A7C15) >> np.uint64(32)
+            texts = lambda m: b"".join([whole[a:b] for a, b in zip(start[m].tolist(), (start + n + depth - 1)[m].tolist(), strict=True)])
+            out = _rows(spread.astype(np.int64) % buckets, buckets, batch.column("doc").to_numpy(), marks, row, lambda m: {"keys": _planes(key[m], 6), "units": None, "places": _planes(place[m], 5), "sizes": _planes(n[m].astype(np.int64), 2), "texts": texts(m)})  # noqa: B023
+            if out is not None:
+                yield out
 
     return run
 
 
-def _asked(batches: Iterator[pa.RecordBatch], depth: int):
-    for batch in slices(batches, "text", 4 << 20):
-        data, at = flat(as_bytes(batch.column("text")))
-        text, start, n, key = windows(data, at, depth)
-        places = batch.column("places")
-        ends = np.cumsum([len(p) for p in places])
-        wanted = at[np.repeat(np.arange(batch.num_rows), np.diff(ends, prepend=0))] + places.flatten().to_numpy()
-        use = np.isin(start, wanted)
-        yield batch, text[use], start[use], n[use], key[use], at, data
+PLACE_BITS = (1 << 36) - 1
 
 
 def _packed(mark: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -193,77 +237,67 @@ def radix_groups(texts: np.ndarray, places: np.ndarray, group: np.ndarray, doc:
     return least
 
 
-def _removed(depth: int):
-    """Ranges to remove, of one bucket of anchors' texts."""
-
-    def run(key, table):
-        keys = np.concatenate([_unplaned(x.as_py(), 6, np.uint64) for x in table.column("keys")])
-        places = np.concatenate([_unplaned(x.as_py(), 5, np.int64) for x in table.column("places")])
-        counts = [np.frombuffer(x.as_py(), np.int32) for x in table.column("counts")]
-        docs = np.concatenate([np.repeat(np.frombuffer(x.as_py(), np.int64), c) for x, c in zip(table.column("docs"), counts, strict=True)])
-        marks = np.concatenate([np.repeat(np.frombuffer(x.as_py(), np.uint16), c) for x, c in zip(table.column("marks"), counts, strict=True)])
-        sizes = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in table.column("sizes")]).astype(np.int64)
-        # Runs with equal texts are one unit from here on.
-        number: dict[bytes, int] = {}
-        unit = np.empty(len(keys), np.int64)
-        i = 0
-        for whole, part in zip(table.column("texts"), table.column("sizes"), strict=True):
-            whole, at = whole.as_py(), 0
-            for m in np.frombuffer(part.as_py(), np.uint16).tolist():
-                unit[i] = number.setdefault(whole[at : at + m + depth - 1], len(number))
-                i, at = i + 1, at + m + depth - 1
-        units = len(number)
-        unit_doc = np.full(units, np.iinfo(np.int64).max)
-        np.minimum.at(unit_doc, unit, docs)
-        unit_key = np.zeros(units, np.uint64)
-        unit_key[unit] = keys
-        unit_size = np.zeros(units, np.int64)
-        unit_size[unit] = sizes
-        texts = np.frombuffer(b"".join(number), np.uint8)
-        text_at = np.concatenate(([0], np.cumsum(unit_size + depth - 1)[:-1]))
-        # Only anchors with several units have windows that could be shared beyond their units.
-        anchor, which, several = np.unique(unit_key, return_inverse=True, return_counts=True)
-        mixed = np.flatnonzero(several[which] > 1)
-        per = unit_size[mixed]
-        inner = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-        owner = np.repeat(mixed, per)
-        least = radix_groups(texts, text_at[owner] + inner, which[owner].copy(), unit_doc[owner], depth)
-        first_window = np.full(units, -1)
-        first_window[mixed] = np.cumsum(per) - per
-        uneven = np.zeros(units, bool)
-        if len(owner):
-            uneven[mixed] = np.maximum.reduceat(least != unit_doc[owner], first_window[mixed])
-        out_doc, out_value = [], []
-        plain = ~uneven[unit] & (docs > unit_doc[unit])
-        out_doc.append(docs[plain])
-        out_value.append(_packed(marks[plain], places[plain], sizes[plain] + depth - 1))
-        rows = np.flatnonzero(uneven[unit])
-        if len(rows):
-            per = sizes[rows]
-            row = np.repeat(rows, per)
-            inner = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-            gone = least[first_window[unit[row]] + inner] < docs[row]
-            edge = np.concatenate(([True], row[1:] != row[:-1]))
-            starts = np.flatnonzero(gone & (edge | ~np.concatenate(([False], gone[:-1]))))
-            ends = np.flatnonzero(gone & np.concatenate((edge[1:] | ~gone[1:], [True])))
-            out_doc.append(docs[row[starts]])
-            out_value.append(_packed(marks[row[starts]], places[row[starts]] + inner[starts], ends - starts + depth))
-        return pa.table({"doc": np.concatenate(out_doc), "value": np.concatenate(out_value)})
+def _ranges(depth: int):
+    """Ranges of one bucket's units that earlier documents have in part."""
+
+    def run(group, table):
+        docs, marks, keys, places, sizes = _unpacked(table)
+        texts = np.frombuffer(b"".join(x.as_py() for x in table.column("texts")), np.uint8)
+        length = sizes + depth - 1
+        row = np.repeat(np.arange(len(docs)), sizes)
+        inner = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = (np.cumsum(length) - length)[row] + inner
+        _, which = np.unique(keys, return_inverse=True)
+        gone = radix_groups(texts, at, which[row].copy(), docs[row], depth) < docs[row]
+        edge = np.concatenate(([True], row[1:] != row[:-1]))
+        starts = np.flatnonzero(gone & (edge | ~np.concatenate(([False], gone[:-1]))))
+        ends = np.flatnonzero(gone & np.concatenate((edge[1:] | ~gone[1:], [True])))
+        return pa.table({"doc": docs[row[starts]], "value": _packed(marks[row[starts]], places[row[starts]] + inner[starts], ends - starts + depth)})
+
+    return run
+
+
+def _hot_keys(known: DataFrame, depth: int, hot: int) -> np.ndarray:
+    """Anchors that a large share of documents has: at most as many as documents have anchors, over that share."""
+    if known.count() <= hot:
+        return np.zeros(0, np.uint64)
+    sample = known.where(F.pmod(F.xxhash64("doc", F.lit("sample")), F.lit(HOT_SAMPLE if hot >= HOT else 1)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            _, _, _, _, text, _, _, key = _parts(batch, depth)
+            both = np.unique(np.stack(((key & KEY_BITS).view(np.int64), text)), axis=1)
+            found, n = np.unique(both[0], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"key": found, "n": n})
+
+    counts = sample.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    least = max(2, HOT_SHARE * sample.count())
+    return np.array(sorted(r["key"] for r in counts.where(F.col("n") >= least).collect()), np.int64).view(np.uint64)
+
+
+def _hot_units(depth: int, hot: np.ndarray):
+    """Each unit with a hot anchor as a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            doc, marks, data, at, text, start, n, key = _parts(batch, depth)
+            use = np.isin(key & KEY_BITS, hot)
+            text, start, n, key = text[use], start[use], n[use], key[use] & KEY_BITS
+            value = _packed(marks[text], start - at[text], n + depth - 1)
+            yield pa.RecordBatch.from_pydict({"doc": doc[text], "key": key.view(np.int64), "unit": _hashes(data, start, n, depth).view(np.int64), "value": value})
 
     return run
 
 
 def _hot_windows(depth: int):
-    """Each window at the asked places by itself, under the hash of its text."""
+    """Each window of the asked units under the hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, text, start, n, _, at, data in _asked(batches, depth):
-            doc, whole = batch.column("doc").to_numpy(), data.tobytes()
-            marks = np.array([zlib.crc32(v.as_py()) & 0xFFFF for v in as_bytes(batch.column("text"))], np.int64)
+        for batch, data, at, marks, row, start, n, _ in _asked(batches, depth):
+            whole, owner = data.tobytes(), np.repeat(row, n)
             begin = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            owner = np.repeat(text, n)
             hashed = [hashlib.blake2b(whole[s : s + depth], digest_size=16).digest() for s in begin.tolist()]
-            yield pa.RecordBatch.from_pydict({"window": pa.array(hashed, pa.binary()), "doc": doc[owner], "value": _packed(marks[owner], begin - at[owner], np.full(len(begin), depth))})
+            yield pa.RecordBatch.from_pydict({"window": pa.array(hashed, pa.binary()), "doc": batch.column("doc").to_numpy()[owner], "value": _packed(marks[owner], begin - at[owner], np.full(len(begin), depth))})
 
     return run
 
@@ -273,7 +307,7 @@ def covered(values: list[int] | None, mark: int, size: int) -> np.ndarray:
     edges = np.zeros(size + 1, np.int64)
     v = np.array(values or [], np.int64)
     v = v[(v >> 48 & 0xFFFF) == mark]
-    start = v >> 12 & ((1 << 36) - 1)
+    start = v >> 12 & PLACE_BITS
     np.add.at(edges, start, 1)
     np.add.at(edges, np.minimum(start + (v & 0xFFF), size), -1)
     return np.cumsum(edges[:-1]) > 0
@@ -286,19 +320,25 @@ def repeated_ranges(docs: DataFrame, *, depth: int = 50, hot: int = HOT) -> tupl
     spark = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = docs.where(F.col("doc").isNotNull())
-    rows = known.mapInArrow(_anchors(depth, buckets), "bucket int, n int, keys binary, places binary, docs binary, counts binary")
-    shared = settle(rows.groupBy("bucket").applyInArrow(_shared(hot), "doc long, place long, hot boolean"), "anchors")
-
-    def asked(which: str) -> DataFrame:
-        places = shared.where(which).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("place").alias("places"))
-        return known.join(places, F.col("doc") == F.col("_doc")).select("doc", "text", "places")
-
-    units = asked("not hot").mapInArrow(_units(depth, buckets), "bucket int, keys binary, places binary, docs binary, marks binary, counts binary, sizes binary, texts binary")
-    ranges = units.groupBy("bucket").applyInArrow(_removed(depth), "doc long, value long")
-    if not shared.where("hot").isEmpty():
-        each = settle(asked("hot").mapInArrow(_hot_windows(depth), "window binary, doc long, value long"), "hot-windows")
-        first = each.groupBy(F.col("window").alias("_window")).agg(F.min("doc").alias("_first"), F.max("doc").alias("_last")).where("_first < _last")
-        ranges = ranges.unionByName(each.join(first, F.col("window") == F.col("_window")).where("doc > _first").select("doc", "value"))
+    hot_keys = _hot_keys(known, depth, hot)
+    rows = known.mapInArrow(_anchors(depth, buckets, hot_keys), ROWS_DDL)
+    found = settle(rows.groupBy("bucket").applyInArrow(_sorted_out(depth), "doc long, value long, key long"), "anchors")
+
+    def with_asked(units: DataFrame) -> DataFrame:
+        asked = units.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("value", "key")).alias("asked"))
+        return known.join(asked, F.col("doc") == F.col("_doc")).select("doc", "text", "asked")
+
+    parts = with_asked(found.where("key is not null")).mapInArrow(_texts(depth, buckets), ROWS_DDL)
+    ranges = found.where("key is null").select("doc", "value").unionByName(parts.groupBy("bucket").applyInArrow(_ranges(depth), "doc long, value long"))
+    if len(hot_keys):
+        units = settle(known.mapInArrow(_hot_units(depth, hot_keys), "doc long, key long, unit long, value long"), "hot-units")
+        first = units.groupBy(F.col("key").alias("_key"), F.col("unit").alias("_unit")).agg(F.min("doc").alias("_first"))
+        several = first.groupBy(F.col("_key").alias("_several")).agg(F.count("*").alias("_n")).where("_n > 1").select("_several")
+        met = units.join(first, (F.col("key") == F.col("_key")) & (F.col("unit") == F.col("_unit")))
+        looked = met.where("doc = _first").join(F.broadcast(several), F.col("key") == F.col("_several"), "left_semi")
+        each = settle(with_asked(looked).mapInArrow(_hot_windows(depth), "window binary, doc long, value long"), "hot-windows")
+        least = each.groupBy(F.col("window").alias("_window")).agg(F.min("doc").alias("_least"), F.max("doc").alias("_most")).where("_least < _most")
+        ranges = ranges.unionByName(met.where("doc > _first").select("doc", "value")).unionByName(each.join(least, F.col("window") == F.col("_window")).where("doc > _least").select("doc", "value"))
     return known, ranges
 
 
