@@ -210,16 +210,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", wind
     kept = hit.where((n_hit == 0) | (n_hit * one_in < F.col(n_words)))
     if longest is None:
         return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
-    at = docs.columns.index(text)
+    names, at = docs.columns, docs.columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = list(batch.columns)[: len(docs.columns)]
+            columns = list(batch.columns)[: len(names)]
             long = [[s for s in had if s["stop"] - s["start"] > longest] for had in batch.column(spans).to_pylist()]
             if any(long):
                 old = columns[at].to_pylist()
                 columns[at] = pa.array([_without(t.encode(), s).decode() if s else t for t, s in zip(old, long, strict=True)], columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return kept.mapInArrow(cut, docs.schema)
 
