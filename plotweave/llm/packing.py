@@ -13,8 +13,10 @@ each other by their texts; a null document id comes first and is read back as nu
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +31,8 @@ from plotweave.llm.common import shared_dir
 BLOCK_IDS = 1 << 18
 #: How a file writes a null document id.
 NO_KEY = -(1 << 63)
-#: Pieces of text whose ids a worker remembers; it forgets all of them when there are more.
-REMEMBERED = 400_000
+#: How many pieces of text, and pre-tokens, a worker remembers the ids of; beyond, it starts anew.
+REMEMBERED_PIECES, REMEMBERED_TOKENS = 500_000, 900_000
 BLOCK_SCHEMA = "shard int, block int, before long, n_docs int, n_ids long, bits int, keys binary, ends binary, payload binary"
 
 
@@ -67,44 +69,83 @@ def _tokenizer(path: str):
     return loaded
 
 
+#: The pre-tokens of the byte-level BPE (fixed value of the tokenizer's file).
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class PieceEncoder:
-    """Encodes texts with a byte-level BPE whose pre-tokens never reach over the start of a space between two other characters.
+    """Encodes texts with a byte-level BPE of the pre-tokens above, remembering what it has encoded.
 
-    Such a text is cut before each such space, and pieces that were seen before are not encoded again.
-    Texts with two white-space characters in a row are encoded as a whole.
+    No pre-token reaches over the start of a space between two other characters, so a text is cut
+    before each such space. Pieces that are new are cut into pre-tokens, and only new pre-tokens
+    are encoded. Texts with two white-space characters in a row are encoded as a whole.
     """
 
     def __init__(self, path: str):
-        import re
+        import regex
 
         self.tokenizer = _tokenizer(path)
-        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
         self.double = re.compile(r"\s\s").search
-        vocab = self.tokenizer.get_vocab_size()
-        self.kind = "<u2" if vocab <= 1 << 16 else "<u4"
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.cut = regex.compile(PRE_TOKEN).findall
+        self.kind, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
+
+    def _pre_tokens(self, piece: str) -> list[str]:
+        """What the pattern finds; words, alone or before one mark, need no search for it."""
+        word = piece[1:]
+        if word.isalpha() and piece[0] == " ":
+            return [piece]
+        if word[:-1].isalpha() and piece[0] == " " and word[-1] in ".,;:!?":
+            return [piece[:-1], word[-1]]
+        return self.cut(piece)
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        cut = [self._pre_tokens(p) for p in pieces]
+        model, code, tokens = self.tokenizer.model.tokenize, self.code, self.tokens
+        for t in {t for c in cut for t in c if t not in tokens}:
+            # A pre-token goes to the model as the tokenizer's byte-level step would hand it over.
+            tokens[t] = array(code, [x.id for x in model(t.encode().decode("latin-1").translate(BYTE_SIGNS))]).tobytes()
+        get = tokens.__getitem__
+        return [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of the smallest kind that holds the vocabulary."""
-        pieces: list[list[str] | None] = []
-        whole = []
-        for t in texts:
-            if self.double(t):
-                whole.append(t)
-                pieces.append(None)
+        for known, most in ((self.pieces, REMEMBERED_PIECES), (self.tokens, REMEMBERED_TOKENS)):
+            if len(known) > most:
+                known.clear()
+        # A text's first piece has no space in front; a line feed, which no other piece starts with, tells it apart.
+        parts = [None if self.double(t) else f"\n{t}".split(" ") for t in texts]
+        found = [None if p is None else list(map(self.pieces.get, p)) for p in parts]
+        open_at = [[i for i, y in enumerate(f) if y is None] if f else () for f in found]
+        new = list({p[i] for p, at in zip(parts, open_at, strict=True) for i in at})
+        self.pieces.update(zip(new, self._learn([x[1:] if x[:1] == "\n" else f" {x}" for x in new]), strict=True))
+        whole = iter(self.tokenizer.encode_batch([t for t, p in zip(texts, parts, strict=True) if p is None], add_special_tokens=False))
+        out = []
+        for p, f, at in zip(parts, found, open_at, strict=True):
+            if p is None:
+                out.append(array(self.code, next(whole).ids).tobytes())
             else:
-                pieces.append(t.split(" "))
-        ids_whole = iter(self._ids(whole) if whole else [])
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        heads = {f"\n{p[0]}" for p in pieces if p and p[0]}
-        new = list({x for p in pieces if p for x in p[1:] if x not in known} | {h for h in heads if h not in known})
-        known.update(zip(new, self._ids([x[1:] if x in heads else f" {x}" for x in new]), strict=True))
-        get = known.__getitem__
-        return [next(ids_whole) if p is None else (get(f"\n{p[0]}") if p[0] else b"") + b"".join(map(get, p[1:])) for p in pieces]
+                for i in at:
+                    f[i] = self.pieces[p[i]]
+                out.append(b"".join(f))
+        return out
+
+
+def _byte_signs() -> dict[int, str]:
+    """The character that stands for each byte: itself where it is printable, else the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+BYTE_SIGNS = _byte_signs()
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> PieceEncoder:
+    """The encoder of a Python worker, which serves many tasks: what it has encoded helps the next."""
+    return PieceEncoder(path)
 
 
 def encode_blocks(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int | None = None, block_ids: int = BLOCK_IDS, vocab_size: int | None = None) -> DataFrame:
@@ -115,7 +156,7 @@ def encode_blocks(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: s
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, coder = TaskContext.get().partitionId(), PieceEncoder(path)
+        shard, coder = TaskContext.get().partitionId(), _encoder(path)
         end = b"" if end_id is None else np.array([end_id], coder.kind).tobytes()
         width, block, before = np.dtype(coder.kind).itemsize, 0, 0
         keys, parts, n = [], [], 0
