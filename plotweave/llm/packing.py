@@ -185,6 +185,8 @@ def encode_blocks(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: s
 
 
 BLOCKS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("bits", pa.int32()), ("keys", pa.binary()), ("ends", pa.binary()), ("payload", pa.binary())])
+#: A block that holds a document, and which of its ids are the document's.
+HELD = pa.schema([("bits", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("payload", pa.binary())])
 
 
 def write_tokens(docs: DataFrame, path: str, to: str | None = None, **named) -> str:
@@ -237,6 +239,6 @@ def _holding(key: int):
             for r in range(batch.num_rows):
                 keys, ends = (np.frombuffer(batch.column(c)[r].as_py(), "<i8") for c in ("keys", "ends"))
                 for i in np.flatnonzero(keys == key)[:1].tolist():
-                    yield pa.RecordBatch.from_pylist([{"bits": batch.column("bits")[r].as_py(), "start": int(ends[i - 1]) if i else 0, "stop": int(ends[i]), "payload": batch.column("payload")[r].as_py()}])
+                    yield pa.RecordBatch.from_pylist([{"bits": batch.column("bits")[r].as_py(), "start": int(ends[i - 1]) if i else 0, "stop": int(ends[i]), "payload": batch.column("payload")[r].as_py()}], schema=HELD)
 
     return run
