@@ -4,9 +4,11 @@ Every source gets a target of words by weight, at most `most` times its size, th
 (water-filling). A document is then wanted target/size times: a whole number of copies and a
 fraction. Fractions are rounded together: two documents with fractions p and q and sizes s and t
 move words from one to the other, by chance, until one fraction is 0 or 1, while s*p + t*q stays;
-chances are such that no document's expectation changes. Tasks pair the documents of a hashed
+chances are such that no document's expectation changes, but for a source's very last fraction, which
+goes to the nearer side, copies of smaller documents making up for what that misses. Tasks pair the documents of a hashed
 bucket; each bucket leaves one residual fraction, and buckets combine by a reduction tree of fixed
-fan-in, so that at last a source misses its target by less than one document.
+fan-in, so that at last a source misses its target by less than one document, a small one
+wherever the smaller documents have room for what a large one's rounding moves.
 
 All chances come from hashes of the seed and the document, so reruns agree however Spark cuts the
 input. Defined cases: a null or blank text has size 0 and is taken with 0 words; a null source is
@@ -82,6 +84,53 @@ def pivot(size: np.ndarray, fraction: np.ndarray, chance: np.ndarray) -> tuple[n
     return out, open_at
 
 
+def settle_against(size: np.ndarray, out: np.ndarray, i: int, rest: np.ndarray, chance: float) -> bool:
+    """Makes i integral at once, its words coming from or going to all of `rest` in shares; False where they can't take them.
+
+    With chance p the fraction p becomes 1 and the others give (1-p)*size, else it becomes 0 and they
+    get p*size, in the same shares: nobody's expectation changes.
+    """
+    p, s, q, t = out[i], size[i], out[rest], size[rest]
+    room = np.minimum(q * t / ((1 - p) * s), (1 - q) * t / (p * s))
+    if room.sum() < 1:
+        return False
+    share = room / room.sum() * s / t
+    up = chance < p
+    moved = q - (1 - p) * share if up else q + p * share
+    out[rest] = np.where((moved < 1e-9) | (moved > 1 - 1e-9), np.round(moved), moved)
+    out[i] = float(up)
+    return True
+
+
+def pivot_by_halves(size: np.ndarray, fraction: np.ndarray, chance: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, int | None]:
+    """`pivot` for rows by descending size: the larger half first, then half of what follows, and so on.
+
+    The fraction that a half leaves is settled against all smaller rows, so the last one is a small row's.
+    """
+    out, open_at, at = fraction.copy(), None, 0
+    live = np.flatnonzero((fraction > 0) & (fraction < 1))
+    while at < len(live):
+        stop = at + max(1, (len(live) - at) // 2)
+        part = np.array([*([] if open_at is None else [open_at]), *live[at:stop].tolist()])
+        out[part], left = pivot(size[part], out[part], chance[part])
+        open_at, rest = None if left is None else int(part[left]), live[stop:]
+        rest = rest[(out[rest] > 0) & (out[rest] < 1)]
+        if open_at is not None and len(rest) and settle_against(size, out, open_at, rest, other[open_at]):
+            open_at = None
+        at = stop
+    return out, open_at
+
+
+def close_up(size: np.ndarray, fraction: np.ndarray, out: np.ndarray, left: int) -> None:
+    """Rounds the last fraction to the nearer side; other rows that fit into what it misses flip, the larger first."""
+    out[left] = float(out[left] >= 0.5)
+    missing = float(((fraction - out) * size).sum())
+    for k in np.flatnonzero((fraction > 0) & (fraction < 1)).tolist():
+        gain = size[k] * (1 - 2 * out[k])  # what flipping row k brings
+        if k != left and abs(missing - gain) < abs(missing):
+            out[k], missing = 1 - out[k], missing - gain
+
+
 def _round_group(level: int, seed: int, last: bool):
     def run(key, table):
         # Large documents first: the fraction that is left in the end then belongs to a small one.
@@ -89,9 +138,9 @@ def _round_group(level: int, seed: int, last: bool):
         table = table.take(pa.array(order))
         size, fraction = table.column("size").to_numpy().astype(float), table.column("fraction").to_numpy()
         keys = table.column("key").to_numpy()
-        out, left = pivot(size, fraction, _chance(keys, seed + 1000 * level))
+        out, left = pivot_by_halves(size, fraction, _chance(keys, seed + 1000 * level), _chance(keys, seed + 1000 * level + 500))
         if last and left is not None:
-            out[left] = float(_chance(keys[left : left + 1], seed - 1)[0] < out[left])
+            close_up(size, fraction, out, left)
         return table.set_column(table.schema.get_field_index("fraction"), "fraction", pa.array(out))
 
     return run

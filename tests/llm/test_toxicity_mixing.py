@@ -63,6 +63,29 @@ def test_pivot_keeps_words_and_expectation():
     assert np.abs(mean - [0.2, 0.5, 0.9]).max() < 0.03
 
 
+def test_pivot_by_halves_leaves_a_small_row():
+    rng = np.random.default_rng(6)
+    size = np.sort(np.concatenate(([900.0, 700.0, 650.0], rng.integers(1, 60, 400))))[::-1].astype(float)
+    fraction = np.full(len(size), 0.4)
+    runs = [M.pivot_by_halves(size, fraction, rng.random(len(size)), rng.random(len(size))) for _ in range(1500)]
+    for out, left in runs[:50]:
+        assert abs((out * size).sum() - (fraction * size).sum()) < 1e-6
+        assert left is None or size[left] <= 5
+    assert np.abs(np.mean([out[:5] for out, _ in runs], axis=0) - 0.4).max() < 0.06
+    assert M.pivot_by_halves(np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0))[1] is None
+
+
+def test_a_document_that_outweighs_its_source_is_made_up_for():
+    size = np.array([1300.0] + [20.0] * 600 + [3.0] * 5)
+    fraction = np.full(len(size), 0.078)
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        out, left = M.pivot_by_halves(size, fraction, rng.random(len(size)), rng.random(len(size)))
+        if left is not None:
+            M.close_up(size, fraction, out, left)
+        assert set(out) <= {0.0, 1.0} and abs(((out - fraction) * size).sum()) <= 10
+
+
 def test_mix_meets_targets_and_agrees_with_itself(spark):
     rng = random.Random(1)
     rows = [(d, " ".join("w" for _ in range(rng.randint(0, 30))), rng.choice(["a", "b", "c", None])) for d in range(900)] + [(2000, None, "a"), (2001, "", None), (7, "x y", "b"), (7, "x y", "b")]
