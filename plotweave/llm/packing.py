@@ -148,15 +148,19 @@ def _encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def encode_blocks(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int | None = None, block_ids: int = BLOCK_IDS, vocab_size: int | None = None) -> DataFrame:
-    """The blocks of the documents in ascending order of their ids; shard numbers follow that order."""
+def encode_blocks(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int | None = None, block_ids: int = BLOCK_IDS, vocab_size: int | None = None, keep_encoder: bool = True) -> DataFrame:
+    """The blocks of the documents in ascending order of their ids; shard numbers follow that order.
+
+    keep_encoder: what a worker has encoded helps its next task too, at the price of memory that it
+    holds from then on; without it each task starts anew, which suits jobs that go on to other work.
+    """
     tokens = vocab_size or _tokenizer(path).get_vocab_size()
     bits = bits_for(max(tokens, (end_id or 0) + 1))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, coder = TaskContext.get().partitionId(), _encoder(path)
+        shard, coder = TaskContext.get().partitionId(), (_encoder if keep_encoder else PieceEncoder)(path)
         end = b"" if end_id is None else np.array([end_id], coder.kind).tobytes()
         width, block, before = np.dtype(coder.kind).itemsize, 0, 0
         keys, parts, n = [], [], 0

@@ -89,7 +89,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many positive and negative rows of this task have each slot, in chunks of slots."""
     seen = np.zeros((2, 1 << SLOT_BITS), np.int32)
     any_row = False
-    for batch in slices(batches, "text", 1 << 20):
+    for batch in slices(batches, "text", 1 << 18):
         row, slot = present(batch.column("text"), None)
         label = np.asarray(batch.column("label").to_pylist(), np.int64)
         for k in (0, 1):
@@ -129,7 +129,7 @@ def fit(labelled: DataFrame, *, row_id: str, text: str, label: str, max_rows: in
         shared = sample.sparkSession.sparkContext.broadcast(slots)
 
         def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text", 1 << 20):
+            for batch in slices(batches, "text", 1 << 18):
                 row, slot = present(batch.column("text"), shared.value)
                 cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
                 yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "at": [slot[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]})
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", into: str = "sco
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, 2 << 20):
+        for batch in slices(batches, text, 1 << 20):
             yield extended(batch, **{name: pa.array(shared.value.scores(batch.column(text)))})
 
     return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(name)).schema)
