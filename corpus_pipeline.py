@@ -45,7 +45,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("simhash near-dedup", drop_near_duplicates),
+    ("near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
     ("mixing sources", mix_sources),
     ("token packing", encode_tokens),

@@ -164,19 +164,46 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return prints.join(named, "fingerprint").select(doc_id, "fingerprint", "component_id")
 
 
-# Near copies by similarity: more bits apart than one fingerprint's halves can answer for, so two
-# fingerprints are cut into three segments each, and what meets is verified on shingles.
+# Near copies by similarity: they differ in more bits than a fingerprint's segments answer for, so
+# documents meet where a band of least hashes (MinHash) of their different shingles is the same, and
+# what meets is verified on shingles. Two documents of similarity 0.8 share none of the bands in one
+# of 20,000 cases. Where many meet, trees are verified first; then every pair that no verified link
+# connects yet, so what is left out is known to be redundant.
 
 SEEDS = (42, 1042)
-SEGMENTS = ((0, 21), (21, 21), (42, 22))
+BANDS, ROWS = 25, 5
+_DRAWN = np.random.default_rng(2042).integers(0, 1 << 63, (2, BANDS * ROWS)).astype(np.uint64)
+FACTORS, SHIFTS = 2 * _DRAWN[0] + 1, _DRAWN[1]
+#: Up to how many nodes a meeting place hands on all its pairs at once.
+ALL_PAIRS = 8
 SKETCH = 256
 
 
-def sketch(text: bytes, shingle: int, seed: int = 7) -> np.ndarray:
-    """The least hashes of a text's different shingles, at most SKETCH of them, ascending."""
+def shingle_set(text: bytes, shingle: int, seed: int) -> np.ndarray:
+    """The hashes of a text's different shingles, ascending."""
     words = text.translate(LOWER).split()
     found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), seed) for i in range(max(1, len(words) - shingle + 1))} if words else set()
-    return np.sort(np.fromiter(found, np.uint64, len(found)))[:SKETCH]
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def meeting_places(sets: list[np.ndarray]) -> pa.Array:
+    """One value for each band of each set of hashes, none for an empty set."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    full = np.flatnonzero(sizes)
+    least = np.empty((len(full), BANDS * ROWS), np.uint64)
+    if len(full):
+        hashes, starts = np.concatenate([sets[k] for k in full]), np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
+        for k in range(BANDS * ROWS):
+            least[:, k] = np.minimum.reduceat(hashes * FACTORS[k] + SHIFTS[k], starts)
+    digest = xxhash.xxh64_intdigest
+    values = [digest(row[k * ROWS : (k + 1) * ROWS].tobytes(), k) for row in least for k in range(BANDS)]
+    ends = np.concatenate(([0], np.cumsum(np.where(sizes > 0, BANDS, 0))))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(values, np.uint64).view(np.int64)))
+
+
+def sketch(text: bytes, shingle: int, seed: int = 7) -> np.ndarray:
+    """The least hashes of a text's different shingles, at most SKETCH of them, ascending."""
+    return shingle_set(text, shingle, seed)[:SKETCH]
 
 
 def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
@@ -189,55 +216,70 @@ def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
     return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)) / max(1, len(union))
 
 
-def _ball(part: Column, flips: Column, mark: Column) -> Column:
-    return F.transform(flips, lambda f: part.bitwiseXOR(f).bitwiseOR(mark))
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """The other columns of every run of two rows or more with one value, of batches sorted by value."""
 
+    def cut(columns: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+        v = columns[0]
+        starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(v)))
+        for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            yield [x[start : start + size] for x in columns[1:]]
 
-def candidates(nodes: DataFrame, *, most_bits: int = 13) -> DataFrame:
-    """a < b: document ids of nodes (doc, one, two) whose fingerprints differ little, as shortest trees of each meeting place.
+    rest = [np.zeros(0, np.int64) for _ in ("value", *names)]
+    for batch in batches:
+        rest = [np.concatenate((x, batch.column(n).to_numpy())) for x, n in zip(rest, ("value", *names), strict=True)]
+        done = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
+        yield from cut([x[:done] for x in rest])
+        rest = [x[done:] for x in rest]
+    yield from cut(rest)
 
-    Both lie in the radius-1 ball of one value of a segment wherever they differ in at most two of
-    its bits. Ids within a value's tree are at most one less than its nodes, however alike they are.
-    """
-    probes = None
-    for side, name in enumerate(("one", "two")):
-        for k, (low, width) in enumerate(SEGMENTS):
-            part = F.shiftrightunsigned(F.col(name), low).bitwiseAND(F.lit((1 << width) - 1))
-            mark = F.lit((3 * side + k) << 24)
-            flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(width)))
-            rows = nodes.select(F.explode(_ball(part, flips, mark)).alias("value"), F.col(name).alias("fingerprint"), "doc")
-            probes = rows if probes is None else probes.union(rows)
-    met = probes.repartition("value").sortWithinPartitions("value")
-
-    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
-        for batch in batches:
-            now = (batch.column("value").to_numpy(), batch.column("fingerprint").to_numpy().view(np.uint64), batch.column("doc").to_numpy())
-            v, f, d = (np.concatenate(x) for x in zip(rest, now, strict=True))
-            cut = int(np.searchsorted(v, v[-1])) if len(v) else 0
-            yield from _trees(v[:cut], f[:cut], d[:cut], most_bits)
-            rest = [v[cut:], f[cut:], d[cut:]]
-        yield from _trees(*rest, most_bits)
 
-    return met.mapInArrow(trees, "a long, b long").distinct()
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _trees(v: np.ndarray, f: np.ndarray, d: np.ndarray, most_bits: int) -> Iterator[pa.RecordBatch]:
-    if not len(v):
-        return
-    starts = np.flatnonzero(np.diff(v, prepend=v[:1] - 1))
-    sizes = np.diff(np.append(starts, len(v)))
-    pairs = [np.zeros((2, 0), np.int64)]
-    small = np.repeat(sizes <= 4, sizes)
-    for lag in (1, 2, 3):
-        i = np.flatnonzero(small[:-lag] & (v[:-lag] == v[lag:])) if len(v) > lag else np.zeros(0, np.int64)
-        i = i[np.bitwise_count(f[i] ^ f[i + lag]) <= most_bits]
-        pairs.append(np.stack((d[i], d[i + lag])))
-    for start, size in zip(starts[sizes > 4].tolist(), sizes[sizes > 4].tolist(), strict=True):
-        pairs.append(_shortest_tree(f[start : start + size], d[start : start + size], most_bits))
-    a, b = np.concatenate(pairs, axis=1)
-    if len(a):
-        yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+def candidates(nodes: DataFrame) -> DataFrame:
+    """a < b: nodes (doc, places) that meet, all pairs of them or a star and a path where more than ALL_PAIRS do.
+
+    The nodes of such crowded places come as rows of a = b as well: their other pairs are open.
+    """
+    met = nodes.select(F.explode("places").alias("value"), "doc").repartition("value").sortWithinPartitions("value", "doc")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
+        for (d,) in _runs(batches, ["doc"]):
+            if len(d) <= ALL_PAIRS:
+                waiting.append(np.stack(np.triu_indices(len(d), 1)) if len(d) > 2 else np.array([[0], [1]]))
+                waiting[-1] = d[waiting[-1]]
+            else:
+                waiting.append(np.stack((np.concatenate((np.full(len(d) - 1, d[0]), d[:-1], d)), np.concatenate((d[1:], d[1:], d)))))
+            n += waiting[-1].shape[1]
+            if n > 1 << 16:
+                yield _pairs(*np.concatenate(waiting, axis=1))
+                waiting, n = [], 0
+        if waiting:
+            yield _pairs(*np.concatenate(waiting, axis=1))
+
+    return met.mapInArrow(pairs, "a long, b long").distinct()
+
+
+def open_pairs(nodes: DataFrame, crowded: DataFrame, roots: DataFrame) -> DataFrame:
+    """a < b: all pairs of crowded nodes (doc) that meet and that links (node, root) do not connect."""
+    again = nodes.join(crowded, "doc", "left_semi").join(roots, F.col("doc") == F.col("node"), "left")
+    met = again.select(F.explode("places").alias("value"), "doc", F.coalesce("root", "doc").alias("group"))
+    met = met.repartition("value").sortWithinPartitions("value", "doc")
+
+    def pairs(batches: Iterator[pa.RecordBatch], block: int = 256) -> Iterator[pa.RecordBatch]:
+        for d, group in _runs(batches, ["doc", "group"]):
+            if (group == group[0]).all():
+                continue
+            for start in range(0, len(d), block):
+                i, j = np.nonzero(np.triu(group[start : start + block, None] != group[start:], 1))
+                if len(i):
+                    yield _pairs(d[start + i], d[start + j])
+
+    return met.mapInArrow(pairs, "a long, b long").distinct()
 
 
 def _shortest_tree(f: np.ndarray, d: np.ndarray, most_bits: int, block: int = 1024) -> np.ndarray:
@@ -283,21 +325,31 @@ def verified(edges: DataFrame, docs: DataFrame, *, doc_id: str, text: str, shing
 
 
 def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id: the least id that chains of near copies reach, of documents with equal fingerprints or verified similarity."""
-    both = settle(_two_fingerprints(docs, doc_id, text, shingle), "prints")
-    nodes = settle(both.groupBy("one", "two").agg(F.min(doc_id).alias("doc")), "nodes")
-    roots = components(verified(settle(candidates(nodes), "candidates"), docs, doc_id=doc_id, text=text, shingle=shingle, similarity=similarity))
-    named = nodes.join(roots, nodes["doc"] == roots["node"], "left").select("one", "two", F.coalesce("root", "doc").alias("component_id"))
-    return both.join(named, ["one", "two"]).select(doc_id, "component_id")
-
+    """doc_id, component_id: the least id that chains of near copies reach, of documents with equal contents or verified similarity."""
+    known = {"doc_id": doc_id, "text": text, "shingle": shingle, "similarity": similarity}
+    all_docs = settle(_contents(docs, doc_id, text, shingle), "contents")
+    nodes = settle(all_docs.groupBy("content").agg(F.min(doc_id).alias("doc"), F.first("places").alias("places")), "nodes")
+    found = settle(candidates(nodes), "candidates")
+    edges = settle(verified(found.where("a < b"), docs, **known), "verified")
+    crowded = found.where("a = b").select(F.col("a").alias("doc"))
+    if not crowded.isEmpty():
+        rest = open_pairs(nodes, crowded, components(edges)).join(found, ["a", "b"], "left_anti")
+        edges = edges.union(verified(settle(rest, "open"), docs, **known))
+    named = nodes.join(components(edges), F.col("doc") == F.col("node"), "left").select("content", F.coalesce("root", "doc").alias("component_id"))
+    return all_docs.select(doc_id, "content").join(named, "content").select(doc_id, "component_id")
+
+
+def _contents(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """doc_id, content (of equal texts the same), places."""
 
-def _two_fingerprints(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, 1 << 20):
-            one, two = (pa.array(fingerprints(batch.column(text), shingle, s).view(np.int64)) for s in SEEDS)
-            yield pa.RecordBatch.from_arrays([batch.column(doc_id), one, two], names=[doc_id, "one", "two"])
+            one, two = (fingerprints(batch.column(text), shingle, s) for s in SEEDS)
+            content = [a.tobytes() + b.tobytes() for a, b in zip(one, two, strict=True)]
+            places = meeting_places([shingle_set(t.as_py(), shingle, SEEDS[0]) for t in as_bytes(batch.column(text))])
+            yield pa.RecordBatch.from_arrays([batch.column(doc_id), pa.array(content, pa.binary()), places], names=[doc_id, "content", "places"])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, one long, two long")
+    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, content binary, places array<long>")
 
 
 def first_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

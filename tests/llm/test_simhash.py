@@ -85,3 +85,26 @@ def test_trees_do_not_grow_with_pairs():
     f = np.array([1 << k for k in range(40)], np.uint64)
     assert S._shortest_tree(f, np.arange(40), 13).shape == (2, 39)
     assert len(S.forest(f, 4)[0]) == 39
+
+
+def linked_by_brute_force(rows, similarity=0.8, shingle=5):
+    sets = {}
+    for d, t in rows:
+        w = t.lower().split()
+        sets[d] = {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))}
+    return roots(sets, [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])])
+
+
+def test_every_pair_that_meets_is_verified(documents):
+    """Families of texts around the limit: a pair counts however many less similar texts lie between."""
+    rng = random.Random(12)
+    rows = []
+    for _ in range(12):
+        base = [f"u{rng.randrange(10**6)}" for _ in range(160)]
+        for _ in range(30):
+            w = base[:]
+            for k in rng.sample(range(160), rng.randint(0, 6)):
+                w[k] = f"u{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    got = {r["doc_id"]: r["component_id"] for r in S.near_copies(documents(rows)).collect()}
+    assert got == linked_by_brute_force(rows)
