@@ -108,3 +108,13 @@ def test_every_pair_that_meets_is_verified(documents):
             rows.append((len(rows), " ".join(w)))
     got = {r["doc_id"]: r["component_id"] for r in S.near_copies(documents(rows)).collect()}
     assert got == linked_by_brute_force(rows)
+
+
+def test_texts_of_one_repeated_line_are_no_copies(documents):
+    rng = random.Random(5)
+    line = "this same line stands here again always "
+    rows = [(d, line * 60 + " ".join(f"own{rng.randrange(10**6)}" for _ in range(45))) for d in range(20)]
+    rows += [(20 + d, "word " * 120 + " ".join(f"own{rng.randrange(10**6)}" for _ in range(100))) for d in range(10)]
+    rows += [(40, rows[3][1]), (41, rows[25][1].upper())]
+    got = {r["doc_id"]: r["component_id"] for r in S.near_copies(documents(rows)).collect()}
+    assert got == {d: d for d in range(30)} | {40: 3, 41: 25}
