@@ -201,19 +201,17 @@ def meeting_places(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(values, np.uint64).view(np.int64)))
 
 
-def sketch(text: bytes, shingle: int, seed: int = 7) -> np.ndarray:
-    """The least hashes of a text's different shingles, at most SKETCH of them, ascending."""
-    return shingle_set(text, shingle, seed)[:SKETCH]
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two ascending sets of hashes."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
 
 
-def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of shingle sets from their sketches: exact where both are whole, else within about 0.03."""
-    if not len(a) and not len(b):
-        return 1.0
-    union = np.union1d(a, b)
-    if len(a) == SKETCH or len(b) == SKETCH:
-        union = union[:SKETCH]
-    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)) / max(1, len(union))
+def may_be_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """False where the SKETCH least hashes of two sets rule the similarity out; their estimate has a deviation of 0.025 at 0.8."""
+    least = np.union1d(a, b)[:SKETCH]
+    shared = np.intersect1d(np.intersect1d(a, b, assume_unique=True), least, assume_unique=True)
+    return len(shared) >= (similarity - 0.15) * len(least)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
@@ -304,16 +302,28 @@ def _shortest_tree(f: np.ndarray, d: np.ndarray, most_bits: int, block: int = 10
 
 
 def verified(edges: DataFrame, docs: DataFrame, *, doc_id: str, text: str, shingle: int, similarity: float) -> DataFrame:
-    """The edges (a, b) whose documents' shingles are that similar; only documents with an edge are sketched."""
-    ends = edges.select(F.col("a").alias("_end")).union(edges.select("b")).distinct()
-    asked = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).join(ends, F.col("doc") == F.col("_end"), "left_semi")
+    """The edges (a, b) whose documents' sets of shingles are that similar.
 
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([sketch(t.as_py(), shingle).tobytes() for t in as_bytes(batch.column("text"))], pa.binary())], names=["doc", "sketch"])
+    Sketches and the sets' sizes rule out most; sets that the sketches do not hold whole are compared themselves.
+    """
+    bare = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    both = _with_sets(edges, bare, shingle, SKETCH)
 
-    told = settle(asked.mapInArrow(sketches, "doc long, sketch binary").dropDuplicates(["doc"]), "sketches")
-    both = edges.join(told.select(F.col("doc").alias("a"), F.col("sketch").alias("one")), "a").join(told.select(F.col("doc").alias("b"), F.col("sketch").alias("two")), "b")
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("one", "two", "n", "m")), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                if min(n, m) < similarity * max(n, m):
+                    kept.append(None)
+                elif max(n, m) <= SKETCH:
+                    kept.append(True if similarity_of(x, y) >= similarity else None)
+                else:
+                    kept.append(False if may_be_similar(x, y, similarity) else None)
+            sure = pa.array(kept, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), sure], names=["a", "b", "sure"]).filter(sure.is_valid())
+
+    first = settle(both.mapInArrow(told, "a long, b long, sure boolean"), "told")
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,7 +331,24 @@ def verified(edges: DataFrame, docs: DataFrame, *, doc_id: str, text: str, shing
             keep = pa.array([similarity_of(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= similarity for x, y in pairs], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(keep)
 
-    return both.select("a", "b", "one", "two").mapInArrow(judged, "a long, b long")
+    whole = _with_sets(first.where("not sure").select("a", "b"), bare, shingle, None)
+    return first.where("sure").select("a", "b").union(whole.mapInArrow(judged, "a long, b long"))
+
+
+def _with_sets(edges: DataFrame, docs: DataFrame, shingle: int, most: int | None) -> DataFrame:
+    """a, b, the least hashes of both (one, two; all without most), the sizes of their sets (n, m); only documents with an edge are read."""
+    ends = edges.select(F.col("a").alias("_end")).union(edges.select("b")).distinct()
+    asked = docs.join(ends, F.col("doc") == F.col("_end"), "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            found = [shingle_set(t.as_py(), shingle, SEED) for t in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([x[:most].tobytes() for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64())], names=["doc", "hashes", "size"])
+
+    told = settle(asked.mapInArrow(sets, "doc long, hashes binary, size long").dropDuplicates(["doc"]), "sets")
+    one = told.select(F.col("doc").alias("a"), F.col("hashes").alias("one"), F.col("size").alias("n"))
+    two = told.select(F.col("doc").alias("b"), F.col("hashes").alias("two"), F.col("size").alias("m"))
+    return edges.join(one, "a").join(two, "b").select("a", "b", "one", "two", "n", "m")
 
 
 def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
