@@ -64,9 +64,7 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    loaded = Tokenizer.from_file(path)
-    loaded.encode_special_tokens = True
-    return loaded
+    return Tokenizer.from_file(path)
 
 
 #: The pre-tokens of the byte-level BPE (fixed value of the tokenizer's file).
@@ -78,7 +76,8 @@ class PieceEncoder:
 
     No pre-token reaches over the start of a space between two other characters, so a text is cut
     before each such space. Pieces that are new are cut into pre-tokens, and only new pre-tokens
-    are encoded. Texts with two white-space characters in a row are encoded as a whole.
+    are encoded. Texts with two white-space characters in a row are encoded as a whole, and so are
+    texts that hold the content of an added token, which the tokenizer finds before it cuts.
     """
 
     def __init__(self, path: str):
@@ -88,6 +87,7 @@ class PieceEncoder:
         self.pieces: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}
         self.double = re.compile(r"\s\s").search
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut = regex.compile(PRE_TOKEN).findall
         self.kind, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
 
@@ -115,7 +115,7 @@ class PieceEncoder:
             if len(known) > most:
                 known.clear()
         # A text's first piece has no space in front; a line feed, which no other piece starts with, tells it apart.
-        parts = [None if self.double(t) else f"\n{t}".split(" ") for t in texts]
+        parts = [None if any(x in t for x in self.added) or self.double(t) else f"\n{t}".split(" ") for t in texts]
         found = [None if p is None else list(map(self.pieces.get, p)) for p in parts]
         open_at = [[i for i, y in enumerate(f) if y is None] if f else () for f in found]
         new = list({p[i] for p, at in zip(parts, open_at, strict=True) for i in at})

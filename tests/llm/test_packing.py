@@ -38,3 +38,14 @@ def test_files_against_the_tokenizer(spark, documents):
 
 def test_empty_table(spark, documents):
     assert P.read_documents(spark, P.write_tokens(documents([]), tokenizer_path())).count() == 0
+
+
+def test_added_tokens_are_the_librarys(spark, documents):
+    from tokenizers import Tokenizer
+
+    texts = ["end <|endoftext|> next", "<|endoftext|>", "a<|endoftext|>b c", "two  spaces <|endoftext|>", "plain words"]
+    fresh = Tokenizer.from_file(tokenizer_path())
+    assert fresh.encode(texts[0], add_special_tokens=False).ids == [437, 220, 50256, 1306]
+    at = P.write_tokens(documents(list(enumerate(texts))), tokenizer_path())
+    got = {r["doc_id"]: r["ids"] for r in P.read_documents(spark, at, with_ids=True).collect()}
+    assert got == {k: fresh.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts)}
