@@ -4,11 +4,13 @@ The automaton of all items is built once per bounded shard of items and shipped
 every document streams its words through it, the automaton keeps the longest suffix that occurs in
 an item, and wherever that reaches the window length the words of the window are hit. Documents
 are never shuffled. Items beyond one shard's bound are handled by further passes over the same
-rows, so what a task holds does not grow with the benchmark.
+rows, which are written between the passes: one shard's automaton is all that the driver or a task
+holds at a time, however large the benchmark.
 
 Defined cases: a null or empty text has no words and no hit; an item without words has no window;
-an item shorter than the window is a window of its own; equal items and repeated document rows are
-each reported; columns of the documents are passed on untouched, whatever their names.
+an item shorter than the window is a window of its own; a null item id counts as the item ''; equal
+items and repeated document rows are each reported; columns of the documents are passed on
+untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import as_bytes, fresh
+from plotweave.llm.common import as_bytes, fresh, settle
 
 #: Lower-case digits and letters and all bytes beyond ASCII stay; everything else parts words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 250_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -57,9 +59,9 @@ class ItemAutomaton:
         for item, ids in coded:
             v = length = 0
             for c in ids:
-                v, length = self._walk(v, length, c)
+                v, length = self._next(v, length, c)
                 if length >= window:
-                    self.items_at.setdefault(self._holding(v, window), set()).add(item)
+                    self.items_at.setdefault(v, set()).add(item)
             if len(ids) < window:
                 self.short_at.setdefault(self._holding(v, len(ids)), []).append((len(ids), item))
 
@@ -105,6 +107,11 @@ class ItemAutomaton:
             v = self.link[v]
         return v
 
+    def _next(self, v: int, length: int, c: int) -> tuple[int, int]:
+        """A step that forgets what lies beyond the window, so that no later step climbs over it again."""
+        v, length = self._walk(v, length, c)
+        return (self._holding(v, self.window), self.window) if length >= self.window else (v, length)
+
     def stream(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Hit spans of words, merged and in order, and the items whose windows occur."""
         spans: list[tuple[int, int]] = []
@@ -122,10 +129,10 @@ class ItemAutomaton:
         v = length = 0
         window, links, short = self.window, self.link, self.short_at
         for i, c in enumerate(ids, start + 1):
-            v, length = self._walk(v, length, c)
+            v, length = self._next(v, length, c)
             if length >= window:
                 spans.append((i - window, i))
-                found |= self.items_at.get(self._holding(v, window), set())
+                found |= self.items_at.get(v, set())
             if short:
                 u = v
                 while u > 0:
@@ -152,12 +159,14 @@ def matches(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: s
 
     The spans column is array<struct<start,stop>> over word numbers; items are strings in order.
     """
-    keys = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("binary").alias("words")).where("words is not null")
+    keys = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("binary").alias("words")).where("words is not null")
     total = keys.select(F.sum(F.octet_length("words")).alias("n")).first()["n"] or 0
     shards = max(1, -(-total // (6 * shard_words)))
     n_words, spans, found = (fresh(docs.columns, x) for x in ("n_words", "hit_spans", "hit_items"))
     out = docs.withColumns({n_words: F.lit(0).cast("long"), spans: F.lit(None).cast("array<struct<start:bigint,stop:bigint>>"), found: F.lit(None).cast("array<string>")})
     for k in range(shards):
+        if k:
+            out = settle(out, "decontaminated")
         part = keys if shards == 1 else keys.where(F.pmod(F.xxhash64("words"), F.lit(shards)) == k)
         automaton = ItemAutomaton([(r["item"], words_of(bytes(r["words"]))) for r in part.collect()], window)
         out = out.mapInArrow(_streamer(docs.sparkSession.sparkContext.broadcast(automaton), text, n_words, spans, found), out.schema)

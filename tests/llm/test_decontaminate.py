@@ -17,7 +17,7 @@ def plain(docs, items, window):
         w = words(t)
         n = min(window, len(w))
         for k in range(len(w) - n + 1 if w else 0):
-            windows.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+            windows.setdefault(tuple(w[k : k + n]), set()).add("" if i is None else str(i))
     out = []
     for d, t in docs:
         w, hit, found = words(t), set(), set()
@@ -35,7 +35,7 @@ def plain(docs, items, window):
 def test_report_against_brute_force(spark, documents, shard_words):
     rng = random.Random(3)
     text = lambda n: " ".join(rng.choice("ab cd Éf g7 x-y".split()) for _ in range(n))
-    items = [(k, text(rng.randint(1, 9))) for k in range(12)] + [(20, None), (21, ""), (22, "..."), (3, "ab cd ab cd ab")]
+    items = [(k, text(rng.randint(1, 9))) for k in range(12)] + [(20, None), (21, ""), (22, "..."), (3, "ab cd ab cd ab"), (None, "ab g7 x"), (30, "ab " * 40)]
     docs = [(k, text(rng.randint(0, 40))) for k in range(40)] + [(40, None), (41, ""), (42, "!?"), (0, "ab"), (7, "ab cd Éf")]
     got = D.report(documents(docs), spark.createDataFrame(items, "item_id long, text string"), window=5, shard_words=shard_words)
     rows = sorted(tuple(r)[:6] for r in got.collect())
