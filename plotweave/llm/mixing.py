@@ -188,13 +188,21 @@ def _copies(sized: DataFrame, *, weights, most, total_share, seed, bucket_rows,
 
 
 def repeat_rows(docs: DataFrame, copies: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with the columns they came with, each as often as `copies` says."""
-    mark, number, times = (fresh(docs.columns, x) for x in ("row_key", "tie", "copies"))
-    told = copies.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("tie").alias("_tie"), F.col("copies").alias(times)).where("`%s` > 0" % times)
-    marked = docs.withColumn(mark, F.xxhash64(F.col(doc_id), F.col(text)))
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col(mark) == F.col("_key"))
+    """The documents with the columns they came with, each as often as `copies` says.
+
+    Every document has its own number of copies, so documents and numbers meet by id: the one time
+    that texts move here, alike for small and large inputs.
+    """
+    key, mark, number, times, repeat = (fresh(docs.columns, x) for x in ("mix_id", "mix_key", "mix_tie", "mix_copies", "mix_repeat"))
+    told = copies.select(F.col("doc_id").alias(key), F.col("row_key").alias(mark), F.col("tie").alias(number), F.col("copies").alias(times)).where(F.col(times) > 0)
+    own = F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(key)) & (own == F.col(mark))
     if not copies.where("tie > 1").isEmpty():  # only rows that repeat an id and its text have to be numbered
-        marked = marked.withColumn(number, F.row_number().over(W.partitionBy(doc_id, mark).orderBy(mark)))
-        same = same & (F.col(number) == F.col("_tie"))
-    repeated = marked.join(told, same).withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), times)))
-    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
+        place = fresh([*docs.columns, number], "mix_place")
+        docs = docs.withColumn(place, F.row_number().over(W.partitionBy(F.col(f"`{doc_id}`"), own).orderBy(own)))
+        same = same & (F.col(place) == F.col(number))
+        kept = docs.columns[:-1]
+    else:
+        kept = docs.columns
+    repeated = docs.join(told.hint("merge"), same).withColumn(repeat, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    return repeated.select(*(F.col(f"`{c}`") for c in kept))

@@ -103,3 +103,6 @@ def test_mix_meets_targets_and_agrees_with_itself(spark):
     out = M.repeat_rows(docs, copies)
     assert out.columns == docs.columns and out.count() == sum(r["copies"] for r in got)
     assert M.mix(docs.limit(0)).count() == 0
+    clashing = docs.withColumns({c: F.lit(1) for c in ("_id", "_key", "_tie", "copies", "row_key", "mix_id", "mix_copies")})
+    odd = M.repeat_rows(clashing, copies)
+    assert odd.columns == clashing.columns and odd.count() == out.count()
