@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this machine where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where it may be unset, a folder of this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = os.path.join(tempfile.gettempdir(), "checkpoints", "plotweave")
         os.makedirs(path, exist_ok=True)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -35,6 +37,42 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the sieve below: at most 512 bitmaps of 4 KB, whatever the number of ids.
+SIEVE_BITS = 1 << 24
+
+
+def sifted(docs: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs whose key may be one of the ids (one column), and those whose key is none of them.
+
+    The sieve is a bitmap of hashed ids, of fixed size and so safe to broadcast; with very many ids
+    it lets more rows through, never fewer. Rows that it holds back need not be moved to meet the ids.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(SIEVE_BITS))
+    number, bitmap = (fresh(docs.columns, x) for x in ("sieve_number", "sieve_bits"))
+    known = place(F.col(ids.columns[0]))
+    sieve = settle(ids.groupBy(F.bitmap_bucket_number(known).alias(number)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(known)).alias(bitmap)), "sieve")
+    asked = place(F.col(f"`{key}`"))
+    bit = F.bitmap_bit_position(asked)
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    met = docs.join(F.broadcast(sieve), F.bitmap_bucket_number(asked) == F.col(number), "left")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return met.where(hit).select(*own), met.where(~hit).select(*own)
+
+
+def among(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose key is one of the ids (one column)."""
+    other = fresh(docs.columns, "asked_id")
+    return sifted(docs, key, ids)[0].join(ids.toDF(other).hint("merge"), F.col(f"`{key}`") == F.col(other), "left_semi")
+
+
+def without(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose key is none of the ids (one column); a null key is none."""
+    other = fresh(docs.columns, "asked_id")
+    maybe, surely = sifted(docs, key, ids)
+    return surely.unionByName(maybe.join(ids.toDF(other).hint("merge"), F.col(f"`{key}`") == F.col(other), "left_anti"))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

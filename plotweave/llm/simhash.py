@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import as_bytes, fresh, settle, slices
+from plotweave.llm.common import among, as_bytes, settle, slices, without
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The bits of a byte, each in a lane of eight bits.
@@ -32,20 +32,20 @@ LANES = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in rang
 MOST_BITS = 5
 
 
-def fingerprints(column: pa.Array, shingle: int, seed: int) -> np.ndarray:
-    hashed, sizes, digest = [], [], xxhash.xxh64_intdigest
-    for value in as_bytes(column):
-        words = value.as_py().translate(LOWER).split()
-        line = b" ".join(words)
-        if len(words) <= shingle:
-            found = [digest(line, seed)] if words else []
-        else:
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-            starts = np.concatenate(([0], ends[:-1] + 1))
-            found = [digest(line[a:b], seed) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-        hashed.append(np.array(found, np.uint64))
-        sizes.append(len(found))
-    n = np.array(sizes, np.int64)
+def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
+    """The hashes of a text's shingles in order, repeats included; a text of fewer words is one shingle."""
+    words, digest = text.translate(LOWER).split(), xxhash.xxh64_intdigest
+    line = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([digest(line, seed)] if words else [], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.array([digest(line[a:b], seed) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashed: list[np.ndarray]) -> np.ndarray:
+    """For each array of hashes the bits that more than half of them have; 0 for an empty one."""
+    n = np.array([len(x) for x in hashed], np.int64)
     out = np.zeros(len(n), np.uint64)
     full = np.flatnonzero(n)
     if not len(full):
@@ -61,6 +61,10 @@ def fingerprints(column: pa.Array, shingle: int, seed: int) -> np.ndarray:
     return out
 
 
+def fingerprints(column: pa.Array, shingle: int, seed: int) -> np.ndarray:
+    return majority([shingle_hashes(value.as_py(), shingle, seed) for value in as_bytes(column)])
+
+
 def fingerprint(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint (64 bits as a long)."""
 
@@ -132,16 +136,15 @@ def forest(f: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: every node of the links with the least node that it is connected to."""
-    edges = settle(edges.select("a", "b"), "links")
-    state = None
-    for _ in range(most_rounds):
+    edges, state = settle(edges.select("a", "b"), "links"), None
+    while True:  # every round but the last moves a link to a lesser node
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # Large star: a node's larger neighbours link to its least neighbour or itself.
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = settle(large, "large")
+        # Large star: a node's larger neighbours link to its least neighbour or itself. The least are a
+        # table, so that Spark can split the rows of a node with very many links.
+        least = settle(both.groupBy(F.col("a").alias("_a")).agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+        large = settle(both.where("b > a").join(least, F.col("a") == F.col("_a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
         # Small star: a node and its smaller neighbours link to the least of them.
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(lower.select("a", F.col("m").alias("b"))).distinct()
@@ -150,70 +153,90 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42, most_bits: int = 4) -> DataFrame:
     """doc_id, fingerprint, component_id: the least document id that is reachable by links."""
     prints = settle(fingerprint(docs, doc_id=doc_id, text=text, shingle=shingle, seed=seed), "prints")
-    firsts = prints.groupBy("fingerprint").agg(F.min(doc_id).alias("first"))
-    roots = components(links(prints, most_bits=most_bits))
-    linked = firsts.join(roots, firsts["fingerprint"] == roots["node"], "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "first")
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.join(least, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select(doc_id, "fingerprint", "component_id")
+    firsts = settle(prints.groupBy("fingerprint").agg(F.min(doc_id).alias("first")), "firsts")
+    # Fingerprints are named by their least documents from here on, so a root is a component's least document.
+    roots = components(between_firsts(links(prints, most_bits=most_bits), firsts).where("a is not null and b is not null"))
+    named = firsts.join(roots, F.col("first") == F.col("node"), "left").select(F.col("fingerprint").alias("_print"), F.coalesce("root", "first").alias("component_id"))
+    return prints.join(named, F.col("fingerprint") == F.col("_print")).select(doc_id, "fingerprint", "component_id")
+
 
+def between_firsts(found: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Links of fingerprints (a, b) as links of the documents (fingerprint, first) that name them."""
+    ends = [firsts.select(F.col("fingerprint").alias(f"_{side}"), F.col("first").alias(f"first_{side}")) for side in "ab"]
+    return found.join(ends[0], F.col("a") == F.col("_a")).join(ends[1], F.col("b") == F.col("_b")).select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
 
-# Near copies by similarity: they differ in more bits than a fingerprint's segments answer for, so
-# documents meet where a band of least hashes (MinHash) of their different shingles is the same, and
-# what meets is verified on shingles. Two documents of similarity 0.8 share none of the bands in one
-# of 20,000 cases. Where many meet, trees are verified first; then every pair that no verified link
-# connects yet, so what is left out is known to be redundant.
+
+# Near copies by similarity. Documents with equal sets of shingles are one node. Nodes whose SimHash
+# fingerprints are linked by multi-index hashing are candidates; but at a similarity of 0.8 fingerprints
+# differ in ten bits on average, more than segments can answer for. So nodes also meet where a band of
+# least hashes (MinHash) of their shingles is the same; two of similarity 0.8 share none of the bands in
+# one of 20,000 cases. Sizes and sketches of two bits for each least hash rule most of what meets out;
+# what is left is verified on whole sets of shingles. Where several meet, a spanning tree is verified
+# first; then every pair that no verified link connects yet, so what is left out is known to be redundant.
 
 SEED = 42
 BANDS, ROWS = 25, 5
 _DRAWN = np.random.default_rng(2042).integers(0, 1 << 63, (2, BANDS * ROWS)).astype(np.uint64)
 FACTORS, SHIFTS = 2 * _DRAWN[0] + 1, _DRAWN[1]
-#: Up to how many nodes a meeting place hands on all its pairs at once.
-ALL_PAIRS = 8
-SKETCH = 256
+SKETCH = ["k0", "k1", "k2", "k3"]
+PAIRS_OF_BITS = np.uint64(0x5555555555555555)
+#: What an estimate from sketches may be short of the similarity; its deviation at 0.8 is 0.043.
+SLACK = 0.2
+#: Trees are grown over at most so many nodes at a time, the first of which all blocks of a place share.
+BLOCK = 1024
 
 
 def shingle_set(text: bytes, shingle: int, seed: int) -> np.ndarray:
     """The hashes of a text's different shingles, ascending."""
-    words = text.translate(LOWER).split()
-    found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), seed) for i in range(max(1, len(words) - shingle + 1))} if words else set()
-    return np.sort(np.fromiter(found, np.uint64, len(found)))
+    return np.unique(shingle_hashes(text, shingle, seed))
 
 
-def meeting_places(sets: list[np.ndarray]) -> pa.Array:
-    """One value for each band of each set of hashes, none for an empty set."""
+def least_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    """The least of each of BANDS * ROWS hash functions over each set; zeros for an empty one."""
     sizes = np.array([len(x) for x in sets], np.int64)
     full = np.flatnonzero(sizes)
-    least = np.empty((len(full), BANDS * ROWS), np.uint64)
+    least = np.zeros((len(sets), BANDS * ROWS), np.uint64)
     if len(full):
         hashes, starts = np.concatenate([sets[k] for k in full]), np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
         for k in range(BANDS * ROWS):
-            least[:, k] = np.minimum.reduceat(hashes * FACTORS[k] + SHIFTS[k], starts)
+            least[full, k] = np.minimum.reduceat(hashes * FACTORS[k] + SHIFTS[k], starts)
+    return least
+
+
+def meeting_places(least: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """One value for each band of least hashes, none for an empty set."""
     digest = xxhash.xxh64_intdigest
-    values = [digest(row[k * ROWS : (k + 1) * ROWS].tobytes(), k) for row in least for k in range(BANDS)]
+    values = [digest(row[k * ROWS : (k + 1) * ROWS].tobytes(), k) for row in least[sizes > 0] for k in range(BANDS)]
     ends = np.concatenate(([0], np.cumsum(np.where(sizes > 0, BANDS, 0))))
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(values, np.uint64).view(np.int64)))
 
 
+def sketches(least: np.ndarray) -> np.ndarray:
+    """Two bits of each least hash in four integers."""
+    bits = np.zeros((len(least), 256), np.uint8)
+    for k in (0, 1):
+        bits[:, k : 2 * least.shape[1] : 2] = (least >> np.uint64(20 + k)) & np.uint64(1)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sizes (n, m) and sketches (a, b; four integers in the last axis) allow the similarity, and how many hashes differ."""
+    x = a ^ b
+    differing = np.bitwise_count((x | (x >> np.uint64(1))) & PAIRS_OF_BITS).sum(axis=-1)
+    return (np.minimum(n, m) >= similarity * np.maximum(n, m)) & (differing <= BANDS * ROWS * 0.75 * (1 - similarity + SLACK)), differing
+
+
 def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two ascending sets of hashes."""
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
 
 
-def may_be_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """False where the SKETCH least hashes of two sets rule the similarity out; their estimate has a deviation of 0.025 at 0.8."""
-    least = np.union1d(a, b)[:SKETCH]
-    shared = np.intersect1d(np.intersect1d(a, b, assume_unique=True), least, assume_unique=True)
-    return len(shared) >= (similarity - 0.15) * len(least)
-
-
 def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
     """The other columns of every run of two rows or more with one value, of batches sorted by value."""
 
@@ -233,149 +256,168 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[
     yield from cut(rest)
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """a < b: nodes (doc, places) that meet, all pairs of them or a star and a path where more than ALL_PAIRS do.
+def _in_batches(pairs: Iterator[np.ndarray], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Arrays of pairs (two rows) as batches of a <= b."""
+    waiting, n = [np.zeros((2, 0), np.int64)], 0
+    for x in pairs:
+        waiting.append(x)
+        n += x.shape[1]
+        if n > most:
+            a, b = np.concatenate(waiting, axis=1)
+            yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            waiting, n = [np.zeros((2, 0), np.int64)], 0
+    a, b = np.concatenate(waiting, axis=1)
+    if len(a):
+        yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    The nodes of such crowded places come as rows of a = b as well: their other pairs are open.
-    """
-    met = nodes.select(F.explode("places").alias("value"), "doc").repartition("value").sortWithinPartitions("value", "doc")
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, n = [], 0
-        for (d,) in _runs(batches, ["doc"]):
-            if len(d) <= ALL_PAIRS:
-                waiting.append(np.stack(np.triu_indices(len(d), 1)) if len(d) > 2 else np.array([[0], [1]]))
-                waiting[-1] = d[waiting[-1]]
-            else:
-                waiting.append(np.stack((np.concatenate((np.full(len(d) - 1, d[0]), d[:-1], d)), np.concatenate((d[1:], d[1:], d)))))
-            n += waiting[-1].shape[1]
-            if n > 1 << 16:
-                yield _pairs(*np.concatenate(waiting, axis=1))
-                waiting, n = [], 0
-        if waiting:
-            yield _pairs(*np.concatenate(waiting, axis=1))
-
-    return met.mapInArrow(pairs, "a long, b long").distinct()
-
-
-def open_pairs(nodes: DataFrame, crowded: DataFrame, roots: DataFrame) -> DataFrame:
-    """a < b: all pairs of crowded nodes (doc) that meet and that links (node, root) do not connect."""
-    again = nodes.join(crowded, "doc", "left_semi").join(roots, F.col("doc") == F.col("node"), "left")
-    met = again.select(F.explode("places").alias("value"), "doc", F.coalesce("root", "doc").alias("group"))
-    met = met.repartition("value").sortWithinPartitions("value", "doc")
-
-    def pairs(batches: Iterator[pa.RecordBatch], block: int = 256) -> Iterator[pa.RecordBatch]:
-        for d, group in _runs(batches, ["doc", "group"]):
-            if (group == group[0]).all():
-                continue
-            for start in range(0, len(d), block):
-                i, j = np.nonzero(np.triu(group[start : start + block, None] != group[start:], 1))
-                if len(i):
-                    yield _pairs(d[start + i], d[start + j])
-
-    return met.mapInArrow(pairs, "a long, b long").distinct()
-
-
-def _shortest_tree(f: np.ndarray, d: np.ndarray, most_bits: int, block: int = 1024) -> np.ndarray:
-    """Links of the shortest trees over all distances of at most most_bits."""
-    near = np.zeros(len(f), bool)
-    for i in range(0, len(f), block):
-        close = np.bitwise_count(f[i : i + block, None] ^ f) <= most_bits
-        near[i : i + block] = close.sum(axis=1) > 1
-    f, d = f[near], d[near]
-    best, link = np.full(len(f), 255, np.uint8), np.full(len(f), -1)
-    inside = np.zeros(len(f), bool)
+def tree(near: np.ndarray, differing: np.ndarray) -> np.ndarray:
+    """Pairs of places: the shortest trees over the pairs that are near, by the matrix of how far they differ."""
+    away = np.where(near, differing, 255)
+    best, link = np.full(len(near), 255), np.full(len(near), -1)
+    inside = np.zeros(len(near), bool)
     out = []
-    for _ in range(len(f)):
-        here = int(np.argmin(np.where(inside, 255, best))) if (~inside & (best <= most_bits)).any() else int(np.argmin(inside))
+    for _ in range(len(near)):
+        here = int(np.argmin(np.where(inside, 256, best)))
         if link[here] >= 0:
-            out.append((d[link[here]], d[here]))
+            out.append((link[here], here))
         inside[here] = True
-        distance = np.bitwise_count(f ^ f[here])
-        closer = ~inside & (distance <= most_bits) & (distance < best)
-        best[closer], link[closer] = distance[closer], here
+        closer = ~inside & (away[here] < best)
+        best[closer], link[closer] = away[here][closer], here
     return np.array(out, np.int64).reshape(-1, 2).T
 
 
-def verified(edges: DataFrame, docs: DataFrame, *, doc_id: str, text: str, shingle: int, similarity: float) -> DataFrame:
-    """The edges (a, b) whose documents' sets of shingles are that similar.
+def met(nodes: DataFrame, *columns: str) -> DataFrame:
+    """value and the nodes' columns, nodes that meet at a value in a row."""
+    return nodes.select(F.explode("places").alias("value"), *columns).repartition("value").sortWithinPartitions("value", "doc")
+
+
+def that_meet(nodes: DataFrame) -> DataFrame:
+    """The nodes that meet another one anywhere; only their numbers are shuffled for all nodes."""
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (d,) in _runs(batches, ["doc"]):
+            yield pa.RecordBatch.from_pydict({"_doc": d})
+
+    return nodes.join(met(nodes, "doc").mapInArrow(some, "_doc long").distinct(), F.col("doc") == F.col("_doc"), "left_semi")
+
+
+def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+    """a < b: nodes (doc, places, sketch, size) that meet and may be similar, the shortest trees of them.
 
-    Sketches and the sets' sizes rule out most; sets that the sketches do not hold whole are compared themselves.
+    The nodes of places with three or more come as rows of a = b as well: their other pairs are open.
     """
-    bare = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    both = _with_sets(edges, bare, shingle, SKETCH)
 
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("one", "two", "n", "m")), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if min(n, m) < similarity * max(n, m):
-                    kept.append(None)
-                elif max(n, m) <= SKETCH:
-                    kept.append(True if similarity_of(x, y) >= similarity else None)
-                else:
-                    kept.append(False if may_be_similar(x, y, similarity) else None)
-            sure = pa.array(kept, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), sure], names=["a", "b", "sure"]).filter(sure.is_valid())
-
-    first = settle(both.mapInArrow(told, "a long, b long, sure boolean"), "told")
+    def pairs(d: np.ndarray, size: np.ndarray, *sketch: np.ndarray) -> Iterator[np.ndarray]:
+        k = np.stack(sketch, axis=1).view(np.uint64)
+        if len(d) == 2:
+            near, _ = may_be_similar(k[0], k[1], size[0], size[1], similarity)
+            yield d.reshape(2, 1)[:, : int(near)]
+            return
+        yield np.stack((d, d))
+        for start in range(1, len(d), BLOCK - 1):
+            part = np.concatenate(([0], np.arange(start, min(len(d), start + BLOCK - 1))))
+            near, differing = may_be_similar(k[part, None], k[part], size[part, None], size[part], similarity)
+            yield d[part[tree(near, differing)]]
 
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column("one"), batch.column("two"), strict=True)
-            keep = pa.array([similarity_of(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= similarity for x, y in pairs], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(keep)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _in_batches(x for columns in _runs(batches, ["doc", "size", *SKETCH]) for x in pairs(*columns))
+
+    return met(nodes, "doc", "size", *SKETCH).mapInArrow(run, "a long, b long").distinct()
+
+
+def open_pairs(nodes: DataFrame, crowded: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """a < b: all pairs of crowded nodes that meet, may be similar, and that links (node, root) do not connect."""
+    again = nodes.join(crowded.select(F.col("doc").alias("_doc")), F.col("doc") == F.col("_doc"), "left_semi").join(roots, F.col("doc") == F.col("node"), "left")
+
+    def pairs(d: np.ndarray, group: np.ndarray, size: np.ndarray, *sketch: np.ndarray, block: int = 256) -> Iterator[np.ndarray]:
+        if (group == group[0]).all():
+            return
+        k = np.stack(sketch, axis=1).view(np.uint64)
+        for start in range(0, len(d), block):
+            here = slice(start, start + block)
+            for other in range(start, len(d), 4096):
+                there = slice(other, other + 4096)
+                near, _ = may_be_similar(k[here, None], k[there], size[here, None], size[there], similarity)
+                i, j = np.nonzero(near & (group[here, None] != group[there]) & (d[here, None] < d[there]))
+                yield np.stack((d[here][i], d[there][j]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _in_batches(x for columns in _runs(batches, ["doc", "group", "size", *SKETCH]) for x in pairs(*columns))
 
-    whole = _with_sets(first.where("not sure").select("a", "b"), bare, shingle, None)
-    return first.where("sure").select("a", "b").union(whole.mapInArrow(judged, "a long, b long"))
+    return met(again.withColumn("group", F.coalesce("root", "doc")), "doc", "group", "size", *SKETCH).mapInArrow(run, "a long, b long").distinct()
 
 
-def _with_sets(edges: DataFrame, docs: DataFrame, shingle: int, most: int | None) -> DataFrame:
-    """a, b, the least hashes of both (one, two; all without most), the sizes of their sets (n, m); only documents with an edge are read."""
-    ends = edges.select(F.col("a").alias("_end")).union(edges.select("b")).distinct()
-    asked = docs.join(ends, F.col("doc") == F.col("_end"), "left_semi")
+def shingle_sets(docs: DataFrame, ids: DataFrame, *, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """doc, hashes: the sets of shingles of the documents whose ids are asked for, five bytes for each shingle."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            found = [shingle_set(t.as_py(), shingle, SEED) for t in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([x[:most].tobytes() for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64())], names=["doc", "hashes", "size"])
+        for batch in slices(batches, text, 1 << 20):
+            found = [_written(shingle_set(t.as_py(), shingle, SEED)) for t in as_bytes(batch.column(text))]
+            yield pa.RecordBatch.from_arrays([batch.column(doc_id), pa.array(found, pa.binary())], names=["doc", "hashes"])
+
+    return among(docs.select(doc_id, text), doc_id, ids).mapInArrow(sets, "doc long, hashes binary").dropDuplicates(["doc"])
+
+
+def _written(hashes: np.ndarray) -> bytes:
+    return np.ascontiguousarray((hashes >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _read(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return wide.view(np.uint64).ravel()
+
+
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) whose documents' sets of shingles (doc, hashes) are that similar."""
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("one"), batch.column("two"), strict=True)
+            keep = pa.array([similarity_of(_read(x.as_py()), _read(y.as_py())) >= similarity for x, y in pairs], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(keep)
 
-    told = settle(asked.mapInArrow(sets, "doc long, hashes binary, size long").dropDuplicates(["doc"]), "sets")
-    one = told.select(F.col("doc").alias("a"), F.col("hashes").alias("one"), F.col("size").alias("n"))
-    two = told.select(F.col("doc").alias("b"), F.col("hashes").alias("two"), F.col("size").alias("m"))
-    return edges.join(one, "a").join(two, "b").select("a", "b", "one", "two", "n", "m")
+    one, two = (sets.select(F.col("doc").alias(f"_{side}"), F.col("hashes").alias(name)) for side, name in (("a", "one"), ("b", "two")))
+    both = edges.select("a", "b").join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b")).select("a", "b", "one", "two")
+    return both.mapInArrow(judged, "a long, b long")
 
 
 def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id: the least id that chains of near copies reach, of documents with equal contents or verified similarity."""
-    known = {"doc_id": doc_id, "text": text, "shingle": shingle, "similarity": similarity}
     all_docs = settle(_contents(docs, doc_id, text, shingle), "contents")
-    nodes = settle(all_docs.groupBy("content").agg(F.min(doc_id).alias("doc"), F.first("places").alias("places")), "nodes")
-    found = settle(candidates(nodes), "candidates")
-    edges = settle(verified(found.where("a < b"), docs, **known), "verified")
+    columns = ("fingerprint", "places", "size", *SKETCH)
+    nodes = settle(all_docs.groupBy("content").agg(F.min(doc_id).alias("doc"), *(F.first(c).alias(c) for c in columns)), "nodes")
+    # By fingerprints: linked ones by their least nodes, and nodes of equal fingerprints.
+    firsts = settle(nodes.groupBy("fingerprint").agg(F.min("doc").alias("first")), "firsts")
+    same = nodes.join(firsts.withColumnRenamed("fingerprint", "_print"), F.col("fingerprint") == F.col("_print")).where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
+    by_prints = between_firsts(links(nodes), firsts).unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    meeting = settle(that_meet(nodes).select("doc", *columns), "meeting")
+    found = settle(candidates(meeting, similarity).unionByName(by_prints).distinct(), "candidates")
+    sets = settle(shingle_sets(docs, found.select("a").union(found.select("b")).distinct(), doc_id=doc_id, text=text, shingle=shingle), "sets")
+    edges = settle(verified(found.where("a < b"), sets, similarity), "verified")
+    roots = components(edges)
     crowded = found.where("a = b").select(F.col("a").alias("doc"))
     if not crowded.isEmpty():
-        rest = open_pairs(nodes, crowded, components(edges)).join(found, ["a", "b"], "left_anti")
-        edges = edges.union(verified(settle(rest, "open"), docs, **known))
-    named = nodes.join(components(edges), F.col("doc") == F.col("node"), "left").select("content", F.coalesce("root", "doc").alias("component_id"))
-    return all_docs.select(doc_id, "content").join(named, "content").select(doc_id, "component_id")
+        rest = open_pairs(meeting, crowded, roots, similarity).join(found, ["a", "b"], "left_anti")
+        more = settle(verified(rest, sets, similarity), "more")
+        roots = roots if more.isEmpty() else components(edges.unionByName(more))
+    named = nodes.join(roots, F.col("doc") == F.col("node"), "left").select(F.col("content").alias("_content"), F.coalesce("root", "doc").alias("component_id"))
+    return all_docs.select(doc_id, "content").join(named, F.col("content") == F.col("_content")).select(doc_id, "component_id")
 
 
 def _contents(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """doc_id, content (the hash of the set of shingles), places."""
+    """doc_id, content (the hash of the set of shingles), fingerprint, places, size, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, 1 << 20):
             sets = [shingle_set(t.as_py(), shingle, SEED) for t in as_bytes(batch.column(text))]
+            sizes, least = np.array([len(x) for x in sets], np.int64), least_hashes(sets)
             content = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(doc_id), content, meeting_places(sets)], names=[doc_id, "content", "places"])
+            sketch = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in sketches(least).T]
+            yield pa.RecordBatch.from_arrays([batch.column(doc_id), content, pa.array(majority(sets).view(np.int64)), meeting_places(least, sizes), pa.array(sizes), *sketch], names=[doc_id, "content", "fingerprint", "places", "size", *SKETCH])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, content binary, places array<long>")
+    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, content binary, fingerprint long, places array<long>, size long, {', '.join(f'{k} long' for k in SKETCH)}")
 
 
 def first_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -383,10 +425,9 @@ def first_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
     A null document id is no one's copy: such rows stay.
     """
-    other = fresh(docs.columns, "other_id")
     found = near_copies(docs.where(F.col(doc_id).isNotNull()), doc_id=doc_id, text=text, shingle=shingle, similarity=similarity)
-    losers = found.where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias(other)).distinct()
-    return docs.join(losers, F.col(doc_id) == F.col(other), "left_anti")
+    losers = settle(found.where(F.col(doc_id) != F.col("component_id")).select(doc_id).distinct(), "losers")
+    return without(docs, doc_id, losers)
 
 
 def as_hex(c: Column) -> Column:

@@ -83,8 +83,34 @@ def test_near_copies_by_similarity(documents):
 
 def test_trees_do_not_grow_with_pairs():
     f = np.array([1 << k for k in range(40)], np.uint64)
-    assert S._shortest_tree(f, np.arange(40), 13).shape == (2, 39)
     assert len(S.forest(f, 4)[0]) == 39
+    away = np.abs(np.arange(40)[:, None] - np.arange(40))
+    assert S.tree(away <= 3, away).shape == (2, 39)
+    assert {tuple(sorted(p)) for p in S.tree(away <= 3, away).T.tolist()} == {(k, k + 1) for k in range(39)}
+    assert S.tree(away == 0, away).shape == (2, 0)
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(3)
+    shared = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate((shared, rng.integers(0, 1 << 63, 45).astype(np.uint64)))) for _ in range(80)]
+    k = S.sketches(S.least_hashes(sets))
+    near, differing = S.may_be_similar(k[:, None], k, np.full((80, 1), 445), np.full(80, 445), 0.8)
+    assert near.all(), "all pairs have a similarity of 0.816"
+    assert 12 < differing[np.triu_indices(80, 1)].mean() < 23
+    far = S.sketches(S.least_hashes([rng.integers(0, 1 << 63, 445).astype(np.uint64) for _ in range(80)]))
+    assert not S.may_be_similar(k, far, np.full(80, 445), np.full(80, 445), 0.8)[0].any()
+
+
+def test_rows_are_sifted_by_their_ids(spark):
+    from plotweave.llm import common
+
+    docs = spark.createDataFrame([(k if k else None, f"t{k}", k) for k in range(2000)], "doc_id long, text string, sieve_bits long")
+    ids = spark.createDataFrame([(k,) for k in range(0, 4000, 7)], "x long")
+    assert sorted(r["sieve_bits"] for r in common.among(docs, "doc_id", ids).collect()) == list(range(7, 2000, 7))
+    left = common.without(docs, "doc_id", ids)
+    assert left.columns == docs.columns and sorted(r["sieve_bits"] for r in left.collect()) == [k for k in range(2000) if k == 0 or k % 7]
+    assert common.without(docs, "doc_id", ids.limit(0)).count() == 2000 and common.among(docs, "doc_id", ids.limit(0)).count() == 0
 
 
 def linked_by_brute_force(rows, similarity=0.8, shingle=5):
