@@ -177,7 +177,8 @@ def between_firsts(found: DataFrame, firsts: DataFrame) -> DataFrame:
 # least hashes (MinHash) of their shingles is the same; two of similarity 0.8 share none of the bands in
 # one of 20,000 cases. Sizes and sketches of two bits for each least hash rule most of what meets out;
 # what is left is verified on whole sets of shingles. Where several meet, a spanning tree is verified
-# first; then every pair that no verified link connects yet, so what is left out is known to be redundant.
+# first; then what no verified link connects yet is compared at the places where it meets, and only
+# links that connect something are handed on: what is left out is known to be redundant.
 
 SEED = 42
 BANDS, ROWS = 25, 5
@@ -326,26 +327,84 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
     return met(nodes, "doc", "size", *SKETCH).mapInArrow(run, "a long, b long").distinct()
 
 
-def open_pairs(nodes: DataFrame, crowded: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """a < b: all pairs of crowded nodes that meet, may be similar, and that links (node, root) do not connect."""
+def open_meetings(nodes: DataFrame, crowded: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """value, doc, group: crowded nodes that, at a value, meet one that may be similar and that links (node, root) do not connect to them."""
     again = nodes.join(crowded.select(F.col("doc").alias("_doc")), F.col("doc") == F.col("_doc"), "left_semi").join(roots, F.col("doc") == F.col("node"), "left")
 
-    def pairs(d: np.ndarray, group: np.ndarray, size: np.ndarray, *sketch: np.ndarray, block: int = 256) -> Iterator[np.ndarray]:
-        if (group == group[0]).all():
-            return
-        k = np.stack(sketch, axis=1).view(np.uint64)
+    def open_ones(d: np.ndarray, group: np.ndarray, size: np.ndarray, *sketch: np.ndarray, block: int = 256) -> np.ndarray:
+        k, out = np.stack(sketch, axis=1).view(np.uint64), np.zeros(len(d), bool)
         for start in range(0, len(d), block):
             here = slice(start, start + block)
             for other in range(start, len(d), 4096):
                 there = slice(other, other + 4096)
-                near, _ = may_be_similar(k[here, None], k[there], size[here, None], size[there], similarity)
-                i, j = np.nonzero(near & (group[here, None] != group[there]) & (d[here, None] < d[there]))
-                yield np.stack((d[here][i], d[there][j]))
+                near = may_be_similar(k[here, None], k[there], size[here, None], size[there], similarity)[0] & (group[here, None] != group[there])
+                out[here] |= near.any(axis=1)
+                out[there] |= near.any(axis=0)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _in_batches(x for columns in _runs(batches, ["doc", "group", "size", *SKETCH]) for x in pairs(*columns))
+        for value, d, group, size, *sketch in _runs(batches, ["place", "doc", "group", "size", *SKETCH]):
+            if (group != group[0]).any() and (open_here := open_ones(d, group, size, *sketch)).any():
+                yield pa.RecordBatch.from_pydict({"value": value[open_here], "doc": d[open_here], "group": group[open_here]})
+
+    met_again = met(again.withColumn("group", F.coalesce("root", "doc")), "doc", "group", "size", *SKETCH)
+    return met_again.select("value", F.col("value").alias("place"), "doc", "group", "size", *SKETCH).mapInArrow(run, "value long, doc long, group long")
+
+
+def linked(meetings: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, at_once: int = 20_000) -> DataFrame:
+    """Links a, b that connect the groups of what meets (value, doc, group), verified on sets of shingles (doc, hashes).
+
+    Nodes that meet at a value are compared in one task with their sets, and only a link that
+    connects two groups anew is handed on. Where more than twice `at_once` meet, each of several
+    parts of them meets each other part in a task of its own.
+    """
+    parts = meetings.groupBy(F.col("value").alias("_value")).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / at_once)).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
+    places = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.xxhash64("value", F.least(own, other), F.greatest(own, other)))
+    dealt = meetings.join(parts, F.col("value") == F.col("_value")).select(F.explode(F.array_distinct(places)).alias("place"), "doc", "group")
+    told = nodes.select(F.col("doc").alias("_doc"), "size", *SKETCH).join(sets.select(F.col("doc").alias("_of"), "hashes"), F.col("_doc") == F.col("_of"))
+    rows = dealt.join(told, F.col("doc") == F.col("_doc")).select("place", "doc", "group", "size", *SKETCH, "hashes").repartition("place").sortWithinPartitions("place", "doc")
 
-    return met(again.withColumn("group", F.coalesce("root", "doc")), "doc", "group", "size", *SKETCH).mapInArrow(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _in_batches(connecting(t, similarity) for t in _tables(batches, "place"))
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _tables(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each key, of batches sorted by key."""
+    rest = None
+    for batch in batches:
+        table = pa.concat_tables([*([] if rest is None else [rest]), pa.Table.from_batches([batch])])
+        k = table.column(key).to_numpy()
+        starts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist()]
+        for a, b in zip(starts, starts[1:], strict=False):
+            yield table.slice(a, b - a)
+        rest = table.slice(starts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def connecting(table: pa.Table, similarity: float) -> np.ndarray:
+    """Pairs of docs of one place, similar by their sets of shingles, that connect its groups as far as such pairs do."""
+    d, size = (table.column(c).to_numpy() for c in ("doc", "size"))
+    k = np.stack([table.column(c).to_numpy() for c in SKETCH], axis=1).view(np.uint64)
+    group = np.unique(table.column("group").to_numpy(), return_inverse=True)[1]
+    sets = [_read(x.as_py()) for x in table.column("hashes")]
+    out = []
+    for i in range(len(d) - 1):
+        near, _ = may_be_similar(k[i], k[i + 1 :], size[i], size[i + 1 :], similarity)
+        others = i + 1 + np.flatnonzero(near & (group[i + 1 :] != group[i]))
+        if not len(others):
+            continue
+        whole = np.concatenate([sets[j] for j in others])
+        held = sets[i][np.minimum(np.searchsorted(sets[i], whole), size[i] - 1)] == whole
+        shared = np.add.reduceat(held.astype(np.int64), np.concatenate(([0], np.cumsum(size[others])[:-1])))
+        for j in others[shared / (size[i] + size[others] - shared) >= similarity].tolist():
+            if group[j] != group[i]:
+                out.append((d[i], d[j]))
+                group[group == group[j]] = group[i]
+    return np.array(out, np.int64).reshape(-1, 2).T
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, *, doc_id: str, text: str, shingle: int) -> DataFrame:
@@ -399,8 +458,8 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     roots = components(edges)
     crowded = found.where("a = b").select(F.col("a").alias("doc"))
     if not crowded.isEmpty():
-        rest = open_pairs(meeting, crowded, roots, similarity).join(found, ["a", "b"], "left_anti")
-        more = settle(verified(rest, sets, similarity), "more")
+        meetings = settle(open_meetings(meeting, crowded, roots, similarity), "meetings")
+        more = settle(linked(meetings, meeting, sets, similarity), "more")
         roots = roots if more.isEmpty() else components(edges.unionByName(more))
     named = nodes.join(roots, F.col("doc") == F.col("node"), "left").select(F.col("content").alias("_content"), F.coalesce("root", "doc").alias("component_id"))
     return all_docs.select(doc_id, "content").join(named, F.col("content") == F.col("_content")).select(doc_id, "component_id")

@@ -136,6 +136,27 @@ def test_every_pair_that_meets_is_verified(documents):
     assert got == linked_by_brute_force(rows)
 
 
+def test_places_in_parts_connect_the_same(spark):
+    """Where many meet, parts of them are compared with each other: the classes are those of one comparison."""
+    rng = random.Random(21)
+    rows, base = [], [f"q{rng.randrange(10**6)}" for _ in range(120)]
+    for d in range(60):
+        w = base[:]
+        for k in rng.sample(range(120), rng.randint(0, 5)):
+            w[k] = f"q{rng.randrange(10**6)}"
+        rows.append((d, " ".join(w)))
+    sets = {d: S.shingle_set(t.encode(), 5, S.SEED) for d, t in rows}
+    sizes, least = [len(sets[d]) for d, _ in rows], S.least_hashes([sets[d] for d, _ in rows])
+    nodes = spark.createDataFrame([(d, n, *(int(x) for x in k.view(np.int64))) for (d, _), n, k in zip(rows, sizes, S.sketches(least), strict=True)], "doc long, size long, k0 long, k1 long, k2 long, k3 long")
+    hashes = spark.createDataFrame([(d, S._written(x)) for d, x in sets.items()], "doc long, hashes binary")
+    meetings = spark.createDataFrame([(7, d, d) for d, _ in rows] + [(8, d, d) for d in range(3)], "value long, doc long, group long")
+    for at_once in (1000, 9):
+        found = S.linked(meetings, nodes, hashes, 0.8, at_once)
+        got = {r["node"]: r["root"] for r in S.components(found).collect()}
+        assert {d: got.get(d, d) for d in sets} == linked_by_brute_force(rows)
+    assert len(found.collect()) < 60 * 8, "links are handed on, not pairs"
+
+
 def test_texts_of_one_repeated_line_are_no_copies(documents):
     rng = random.Random(5)
     line = "this same line stands here again always "
