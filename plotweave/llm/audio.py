@@ -7,12 +7,12 @@ image of that chroma plane compare sums of areas, and two Gray-coded bits of eac
 meeting votes for an offset, and the offsets with most votes are verified by the share of bits that
 differ over the whole overlap.
 
-Codes of near-silence or one held tone repeat at many places; they are counted once per
-(recording, code) run by their first frame, so a very common code costs a row per recording, not
-the square of its frames.
+Codes of near-silence or one held tone repeat frame after frame; such a run of frames counts once, by
+its first frame, so a held tone costs a row per recording, not the square of its frames. A code that
+comes again later is a run of its own, and every offset that gathers enough votes is verified.
 
 Defined cases: null, empty or too short samples have no codes and align with nothing; an odd last
-byte is ignored; equal recordings all align, at offset 0 first; repeated rows are recordings each.
+byte is ignored; equal recordings all align, at offset 0 first; repeated rows are recordings each, under one id; a null id aligns with nothing.
 """
 
 from __future__ import annotations
@@ -132,23 +132,24 @@ def fingerprint(media: DataFrame, *, media_id: str, samples: str, rate: int = RA
     return media.mapInArrow(lambda batches: one(prepare(batches)), f"`{media_id}` {kind}, codes array<int>")
 
 
-def align(queries: DataFrame, prints: DataFrame, *, media_id: str, least_votes: int = 4, offsets_tried: int = 2, most_error: float = 0.2, least_overlap: int = 8) -> DataFrame:
+def align(queries: DataFrame, prints: DataFrame, *, media_id: str, least_votes: int = 4, most_error: float = 0.2, least_overlap: int = 8) -> DataFrame:
     """query_id, media_id, offset, votes, overlap, bit_error of every recording that a query aligns with.
 
-    offset is the recording's frame at which the query's first frame lies. Of a pair's offsets the
-    `offsets_tried` with most votes are verified; the one with the least error is kept.
+    offset is the recording's frame at which the query's first frame lies. All of a pair's offsets
+    with `least_votes` or more are verified; the one with the least error is kept.
     """
-    runs = lambda df, name: (
-        df.select(F.col(media_id).alias(name), F.posexplode("codes").alias("at", "code")).groupBy(name, "code").agg(F.min("at").alias("at"))
-    )
+
+    def runs(df: DataFrame, name: str) -> DataFrame:
+        first = F.filter(F.transform("codes", lambda c, i: F.struct(i.alias("at"), c.alias("code"), F.get("codes", i - 1).alias("before"))), lambda x: x["before"].isNull() | (x["before"] != x["code"]))
+        return df.where(F.col(media_id).isNotNull()).select(F.col(media_id).alias(name), F.inline(first)).drop("before")
+
     met = runs(queries, "query_id").join(runs(prints, "media_id").withColumnRenamed("at", "there"), "code")
     votes = met.groupBy("query_id", "media_id", (F.col("there") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= least_votes)
-    best = votes.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "media_id").orderBy(F.desc("votes"), "offset"))).where(F.col("rank") <= offsets_tried)
-    with_codes = best.join(queries.select(F.col(media_id).alias("query_id"), F.col("codes").alias("q")), "query_id").join(prints.select(F.col(media_id).alias("media_id"), F.col("codes").alias("m")), "media_id")
+    with_codes = votes.join(queries.select(F.col(media_id).alias("query_id"), F.col("codes").alias("q")), "query_id").join(prints.select(F.col(media_id).alias("media_id"), F.col("codes").alias("m")), "media_id")
     low, high = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("q"), F.size("m") - F.col("offset"))
     lapped = with_codes.withColumn("overlap", high - low).where(F.col("overlap") >= least_overlap)
     q, m = F.slice("q", low + 1, F.col("overlap")), F.slice("m", low + F.col("offset") + 1, F.col("overlap"))
-    wrong = F.aggregate(F.zip_with(q, m, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+    wrong = F.aggregate(F.zip_with(q, m, lambda a, b: F.bit_count(a.bitwiseXOR(b).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(0), lambda n, x: n + x)
     judged = lapped.withColumn("bit_error", wrong / (32.0 * F.col("overlap"))).where(F.col("bit_error") <= most_error)
     first = W.partitionBy("query_id", "media_id").orderBy("bit_error", F.desc("votes"), "offset")
     return judged.withColumn("rank", F.row_number().over(first)).where("rank = 1").select("query_id", "media_id", "offset", "votes", "overlap", "bit_error")
@@ -168,7 +169,7 @@ def excerpts(media: DataFrame, *, media_id: str, samples: str, start: int, lengt
     return media.select(media_id, samples).mapInArrow(_cut(media_id, samples, start, length, gain), f"`{media_id}` {media.schema[media_id].dataType.simpleString()}, `{samples}` binary")
 
 
-def _played(vec_id: str, vector: str, notes: int, seconds: float, rate: int):
+def _played(vec_id: str, vector: str, seconds: float, rate: int):
     n = int(seconds * rate)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +177,7 @@ def _played(vec_id: str, vector: str, notes: int, seconds: float, rate: int):
         for batch in _some(batches):
             tunes = []
             for v in batch.column(vector).to_pylist():
-                x = np.array([np.nan if y is None else y for y in (v or [])[:notes]], float)
+                x = np.array([np.nan if y is None else y for y in (v or [])], float)
                 ok = np.isfinite(x)
                 pitch = np.where(ok, np.floor(np.abs(np.where(ok, x, 0)) * 997) % 24, 0)
                 wave = np.sin(2 * np.pi * 220 * 2 ** (pitch[:, None] / 12) * time) * ok[:, None]
@@ -186,18 +187,21 @@ def _played(vec_id: str, vector: str, notes: int, seconds: float, rate: int):
     return run
 
 
-def played(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", notes: int = 24, seconds: float = 0.25, rate: int = RATE) -> DataFrame:
-    """vec_id, pcm: each vector as a tune, a note for each of its first `notes` numbers; stands in for a media column.
+def played(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", seconds: float = 0.1, rate: int = RATE) -> DataFrame:
+    """vec_id, pcm: each vector as a tune, a note for each of its numbers; stands in for a media column.
 
     A null or empty vector is silence without samples; a number that is null or not finite is a rest.
     """
-    return vectors.select(vec_id, vector).mapInArrow(_played(vec_id, vector, notes, seconds, rate), f"`{vec_id}` {vectors.schema[vec_id].dataType.simpleString()}, pcm binary")
+    return vectors.select(vec_id, vector).mapInArrow(_played(vec_id, vector, seconds, rate), f"`{vec_id}` {vectors.schema[vec_id].dataType.simpleString()}, pcm binary")
 
 
-def search_excerpts(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", every: int = 20, notes: int = 24, seconds: float = 0.25) -> DataFrame:
-    """Excerpts of every 20th recording (its id is divisible) against all recordings; samples never leave their task."""
+def search_excerpts(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", every: int = 20, seconds: float = 0.1) -> DataFrame:
+    """Excerpts of every 20th recording (its id is divisible) against all recordings; samples never leave their task.
+
+    The recordings are synthetic, each vector played as a tune.
+    """
     own = vectors.select(vec_id, vector)
-    play, cut = _played(vec_id, vector, notes, seconds, RATE), _cut(vec_id, "pcm", 14 * HOP, 4 * RATE, 0.6)
+    play, cut = _played(vec_id, vector, seconds, RATE), _cut(vec_id, "pcm", 14 * HOP, 4 * RATE, 0.6)
     prints = settle(fingerprint(own, media_id=vec_id, samples="pcm", prepare=play), "audio-prints")
     queries = settle(fingerprint(own.where(F.col(vec_id) % every == 0), media_id=vec_id, samples="pcm", prepare=lambda batches: cut(play(batches))), "audio-queries")
     return align(queries, prints, media_id=vec_id)

@@ -3,18 +3,20 @@
 Every page becomes a tree of labels (tag and class) in which siblings of one label are one
 repeated node. A host's different trees are few; simple tree matching aligns them, a few at a time
 and then the merged ones, into the host's wrapper, whose nodes are the slots of its pages. Pages
-are then read through the wrapper: how many pages have a text in a slot is counted by Spark over
-all pages of the host. A text that most of a host's pages have in one slot is template; varying
-text is content, unless its slot lies in a part that is marked as no content by its tag or class
-(menus, headers, footers, sidebars, notices, adverts, forms, reader comments), and where wrappers
-have an article or main part, only that part's slots are content.
+are then read through the wrapper, and Spark counts over all different pages of the host how many
+have a text in a slot, and how much text each slot has, a text counted once however many pages have
+it. A text that most pages of a host have in one slot is template. The content part is the deepest
+node of the wrapper below which most of the host's varying text lies; what is outside of it is no
+content, whatever its name. Within it, and on pages that have nothing there, words of tags and
+classes decide (menus, headers, footers, sidebars, notices, adverts, forms, reader comments).
 
 Hot hosts cost no more per row than others: trees are counted with map-side sums before they meet,
 texts likewise, and a page meets its host's wrapper, one row, by a join.
 
 Defined cases: null or empty html has empty text; a page whose url has no host is read by itself,
-under the host ''; markup that is not closed is closed where its parent ends; character references
-are decoded once; pages that are repeated, also under one id, are read each.
+under the host ''; markup that is not closed is closed where its parent ends; elements nested
+deeper than MOST_DEPTH belong to the one at that depth; character references are decoded once;
+pages that are repeated, also under one id, are read each, but show a host's template only once.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import hashlib
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +36,16 @@ from pyspark.sql import functions as F
 from plotweave.llm.common import settle
 from plotweave.llm.urls import host_of
 
-#: A text is template where at least this share of a host's pages, and so many pages, have it in one slot.
-TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 5
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+#: A text is template where at least this share of a host's different pages, and so many of them, have it in one slot.
+TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 2
+#: The content part holds at least this share of a host's varying text.
+CONTENT_SHARE = 0.7
+MOST_DEPTH = 100
+#: Comments and tags; nothing is tried twice, so text full of `<` costs no more than other text.
+MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
 CLASS = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math canvas object".split())
+RAW = frozenset("script style textarea title noscript template iframe".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: What the start of a block ends, within its parent.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -72,14 +79,15 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
     kinds = set(words)
     on = tag in ON_TAGS or bool(kinds & ON_WORDS) and tag in ("div", "section") and not kinds & OFF_WORDS
     off = hidden or tag in OFF_TAGS or tag not in ("body", "html", "article", "main") and bool(kinds & OFF_WORDS)
-    return f"{tag}{shown}", off, on
+    # Siblings of which one is marked as no content are different nodes, whatever marks it.
+    return f"{tag}{shown}{'!' * off}", off, on
 
 
 def parse(html: str) -> tuple[Node, list[tuple[int, str]]]:
     """The tree of labels, numbered in order of first sight, and the text of each block with its node's number."""
     root = Node("")
     path: list[tuple[str, Node]] = [("", root)]
-    nodes, blocks, run, at = 1, [], [], 0
+    nodes, blocks, run, at, open_tags = 1, [], [], 0, Counter()
     owner: Node | None = None
 
     def text(piece: str) -> None:
@@ -111,11 +119,12 @@ def parse(html: str) -> tuple[Node, list[tuple[int, str]]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            depth = next((k for k in range(len(path) - 1, 0, -1) if path[k][0] == tag), 0)
+            depth = next((k for k in range(len(path) - 1, 0, -1) if path[k][0] == tag), 0) if open_tags[tag] else 0
             # An end tag closes what is open inside its element, but not beyond a block it is inline to.
             if depth and (tag in BLOCK or not any(t in BLOCK for t, _ in path[depth + 1 :])):
                 if tag in BLOCK:
                     close()
+                open_tags.subtract(t for t, _ in path[depth:])
                 del path[depth:]
             continue
         if tag in BLOCK:
@@ -125,6 +134,7 @@ def parse(html: str) -> tuple[Node, list[tuple[int, str]]]:
             while k > 0 and (path[k][0] in ends or path[k][0] not in BLOCK):
                 k -= 1
             if k < len(path) - 1 and any(t in ends for t, _ in path[k + 1 :]):
+                open_tags.subtract(t for t, _ in path[k + 1 :])
                 del path[k + 1 :]
         elif tag == "br":
             text(" ")
@@ -136,11 +146,12 @@ def parse(html: str) -> tuple[Node, list[tuple[int, str]]]:
             continue
         label, off, on = _marks(tag, m[3])
         parent = path[-1][1]
-        node = parent.children.get(label)
+        node = parent.children.get(label) if len(path) <= MOST_DEPTH else parent
         if node is None:
             node = parent.children[label] = Node(label, off or parent.off, on)
             node.number, nodes = nodes, nodes + 1
         path.append((tag, node))
+        open_tags[tag] += 1
     close()
     return root, blocks
 
@@ -266,8 +277,8 @@ class Reader:
     def __init__(self):
         self.known: dict[tuple, tuple[dict[int, str], set[int]]] = {}
 
-    def blocks(self, host: str, wrapper: str, html: str | None) -> list[tuple[int, str]]:
-        """Of each block that may be content: the hash of its slot and text, and the text."""
+    def blocks(self, host: str, wrapper: str, html: str | None) -> list[tuple[str, bool, str]]:
+        """The slot of each block, whether words of tags and classes let it be content, and its text."""
         root, found = parse(html or "")
         own = as_lists(root)
         key = (host, _as_text(own))
@@ -276,18 +287,61 @@ class Reader:
                 self.known.clear()
             self.known[key] = slots_of(json.loads(wrapper), own), shown(own)
         slots, may = self.known[key]
-        return [(_key(f"{slots[n]}\n{line}"), line) for n, line in found if n in may]
+        return [(slots[n], n in may, line) for n, line in found]
+
+
+def _slot_key(slot: str, line: str) -> int:
+    return _key(f"{slot}\n{line}")
 
 
 def _texts_in_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's different texts in slots, with the hash of the whole page."""
     reader = Reader()
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
-            found = [{k for k, _ in reader.blocks(*row)} for row in zip(*(part.column(c).to_pylist() for c in ("host", "wrapper", "html")), strict=True)]
-            counts = [len(x) for x in found]
-            rows = pa.array(np.repeat(np.arange(part.num_rows), counts))
-            yield pa.RecordBatch.from_pydict({"host": part.column("host").take(rows), "pages": part.column("pages").take(rows), "text_in_slot": pa.array([k for x in found for k in sorted(x)], pa.int64())})
+            found = [sorted({(slot, _slot_key(slot, line), len(line)) for slot, _, line in reader.blocks(*row)}) for row in zip(*(part.column(c).to_pylist() for c in ("host", "wrapper", "html")), strict=True)]
+            rows = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in found]))
+            slots, keys, sizes = (pa.array([x[k] for page in found for x in page], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64())))
+            yield pa.RecordBatch.from_pydict({"host": part.column("host").take(rows), "body": part.column("body").take(rows), "slot": slots, "text_in_slot": keys, "chars": sizes})
+
+
+def _label(step: str) -> tuple[str, set[str]]:
+    """Tag and class words of a step of a slot's path."""
+    tag, _, classes = step.lstrip("?0123456789").rstrip("!").partition(".")
+    return tag, set(re.split(r"[\s_.-]+", classes))
+
+
+def content_slot(chars: dict[str, int], share: float = CONTENT_SHARE) -> str:
+    """The content part (a path of slots): the deepest element around slots below which that share of the characters lies.
+
+    A title may lie one level above the rest: the part is the nearest element around it that is
+    called an article or the like, else the one next above, if the page's body is not that.
+    """
+    total, below = sum(chars.values()), Counter()
+    for slot, n in chars.items():
+        steps = slot.split("/")
+        for k in range(1, max(2, len(steps))):
+            below["/".join(steps[:k])] += n
+    steps = max((s for s, n in below.items() if n >= share * total), key=lambda s: (s.count("/"), s), default="").split("/")
+    for k in range(len(steps), 0, -1):
+        tag, words = _label(steps[k - 1])
+        if tag in ON_TAGS or words & ON_WORDS and not words & OFF_WORDS:
+            return "/".join(steps[:k])
+    return "/".join(steps[:-1] if len(steps) > 1 and _label(steps[-2])[0] not in ("", "html", "body") else steps)
+
+
+def _content_slots(key, table):
+    chars = dict(zip(table.column("slot").to_pylist(), table.column("chars").to_pylist(), strict=True))
+    return pa.table({"_host": [key[0].as_py()], "content": [content_slot(chars)]})
+
+
+def chosen(blocks: list[tuple[str, bool, str]], content: str | None, template: set[int]) -> tuple[list[str], int]:
+    """The content of a page's blocks, and how many blocks of the content part were template."""
+    inside = [b for b in blocks if content and (b[0] == content or b[0].startswith(f"{content}/"))]
+    part = [(slot, line) for slot, may, line in (inside if any(may for _, may, _ in inside) else blocks) if may]
+    kept = [line for slot, line in part if _slot_key(slot, line) not in template]
+    return kept, len(part) - len(kept)
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,27 +350,32 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
             texts, sizes, dropped = [], [], []
-            for host, wrapper, html, template in zip(*(part.column(c).to_pylist() for c in ("host", "wrapper", "html", "template")), strict=True):
-                found, known = reader.blocks(host, wrapper, html), set(template or ())
-                content = [line for k, line in found if k not in known]
-                texts.append("\n".join(content))
-                sizes.append(len(content))
-                dropped.append(len(found) - len(content))
+            for host, wrapper, html, content, template in zip(*(part.column(c).to_pylist() for c in ("host", "wrapper", "html", "content", "template")), strict=True):
+                kept, n = chosen(reader.blocks(host, wrapper, html), content, set(template or ()))
+                texts.append("\n".join(kept))
+                sizes.append(len(kept))
+                dropped.append(n)
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(sizes, pa.int32()), pa.array(dropped, pa.int32())], names=["page_id", "url", "text", "n_chars", "blocks", "template_blocks"])
 
 
 def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES) -> DataFrame:
     """page_id, url, text, n_chars, blocks, template_blocks (how many blocks of the content part were template).
 
-    Pages are read three times rather than moved: wrappers and template texts are small tables by
-    host, which Spark broadcasts where their files are below its threshold and joins by host beyond.
+    Pages are read three times rather than moved: wrappers, content parts and template texts are
+    small tables by host, which Spark broadcasts where their files are below its threshold and
+    joins by host beyond.
     """
     kind = pages.schema[page_id].dataType.simpleString()
     named = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-    wrapped = settle(wrappers(named), "wrappers")
+    wrapped = settle(wrappers(named).drop("pages"), "wrappers")
     with_wrapper = named.join(wrapped, "host")
-    seen = with_wrapper.where((F.col("pages") >= least) & (F.col("host") != "")).select("host", "pages", "wrapper", "html").mapInArrow(_texts_in_slots, "host string, pages long, text_in_slot long")
-    common = seen.groupBy("host", "text_in_slot").agg(F.count("*").alias("n"), F.first("pages").alias("pages")).where((F.col("n") >= least) & (F.col("n") >= share * F.col("pages")))
+    rows = with_wrapper.select("host", "wrapper", "html", F.xxhash64("html").alias("body")).mapInArrow(_texts_in_slots, "host string, body long, slot string, text_in_slot long, chars long")
+    # Copies of a page are one body; a text that many pages have in a slot is one text.
+    texts = settle(rows.distinct().groupBy("host", "slot", "text_in_slot").agg(F.count("*").alias("n"), F.first("chars").alias("chars")), "slot-texts")
+    bodies = named.select("host", F.xxhash64("html").alias("body")).distinct().groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("bodies"))
+    common = texts.where((F.col("n") >= least) & (F.col("host") != "")).join(bodies, F.col("host") == F.col("_host")).where(F.col("n") >= share * F.col("bodies"))
     # A slot has at most 1/share such texts, so a host's list is as short as its wrapper.
-    template = settle(common.groupBy("host").agg(F.collect_set("text_in_slot").alias("template")), "template")
-    return with_wrapper.join(template, "host", "left").select("page_id", "url", "host", "wrapper", "html", "template").mapInArrow(_contents, f"page_id {kind}, url string, text string, n_chars long, blocks int, template_blocks int")
+    template = common.groupBy(F.col("host").alias("_of")).agg(F.collect_set("text_in_slot").alias("template"))
+    parts = texts.where("host <> ''").groupBy("host", "slot").agg(F.sum("chars").alias("chars")).groupBy("host").applyInArrow(_content_slots, "_host string, content string")
+    told = settle(parts.join(template, F.col("_host") == F.col("_of"), "left").select("_host", "content", "template"), "template")
+    return with_wrapper.join(told, F.col("host") == F.col("_host"), "left").select("page_id", "url", "host", "wrapper", "html", "content", "template").mapInArrow(_contents, f"page_id {kind}, url string, text string, n_chars long, blocks int, template_blocks int")

@@ -34,6 +34,10 @@ from pyspark.sql import functions as F
 from plotweave.llm.common import as_bytes, flat, settle, slices
 
 ANCHOR = 16
+#: A unit is of up to 2 * depth - 16 bytes, which 12 bits count.
+MOST_DEPTH = 2000
+#: Bytes of text for each bucket of anchors.
+BUCKET_BYTES = 8 << 20
 #: With more documents than this, anchors that HOT_SHARE of a sample of documents has take the way by rows.
 #: The sample routes rows only; either way gives the same result.
 HOT, HOT_SHARE, HOT_SAMPLE = 400_000, 0.01, 64
@@ -315,11 +319,11 @@ def covered(values: list[int] | None, mark: int, size: int) -> np.ndarray:
 
 def repeated_ranges(docs: DataFrame, *, depth: int = 50, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """The documents (doc, text) that have an id, and (doc, value) rows of what they lose."""
-    if not ANCHOR < depth <= 4000:
-        raise ValueError(f"depth is over {ANCHOR} and at most 4000")
-    spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not ANCHOR < depth <= MOST_DEPTH:
+        raise ValueError(f"depth is over {ANCHOR} and at most {MOST_DEPTH}")
     known = docs.where(F.col("doc").isNotNull())
+    # Buckets follow the bytes of text, so that each fits a task's memory whatever the number of partitions.
+    buckets = min(1 << 16, 1 + (known.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
     hot_keys = _hot_keys(known, depth, hot)
     rows = known.mapInArrow(_anchors(depth, buckets, hot_keys), ROWS_DDL)
     found = settle(rows.groupBy("bucket").applyInArrow(_sorted_out(depth), "doc long, value long, key long"), "anchors")

@@ -21,7 +21,9 @@ from plotweave.llm.common import ascii_lower, settle
 #: verdict, host, path
 Rule = tuple[str, str, str]
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-HREF = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']?\s*([^"'\s>]+)"""
+#: Parts of a page in which no link counts.
+NOT_PAGE = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template)\b.*?(?:</\1\s*>|\z)"
 
 
 def host_of(url: Column) -> Column:
@@ -45,14 +47,17 @@ def rule_columns(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
 
 def host_edges(pages: DataFrame, *, host: str = "host", html: str = "html") -> DataFrame:
     """source, target, links: how many links pages of one host have to another host."""
-    links = F.filter(F.regexp_extract_all(F.col(html), F.lit(HREF), 1), lambda x: x.contains("://") | x.startswith("//"))
+    links = F.filter(F.regexp_extract_all(F.regexp_replace(html, NOT_PAGE, ""), F.lit(HREF), 1), lambda x: x.contains("://") | x.startswith("//"))
     targets = pages.select(F.col(host).alias("source"), F.explode(links).alias("to"))
     named = targets.select("source", host_of(F.when(F.col("to").startswith("//"), F.concat(F.lit("x:"), "to")).otherwise(F.col("to"))).alias("target"))
     return named.where("source <> target and source <> '' and target <> ''").groupBy("source", "target").agg(F.count("*").alias("links"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 20, close: float = 1e-6) -> DataFrame:
-    """host, trust, distrust, a lone seed having 1: walks over the edges from seeds (host, trusted, blocked)."""
+def spread(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, close: float = 1e-4) -> DataFrame:
+    """host, trust, distrust, a lone seed having 1: walks over the edges from seeds (host, trusted, blocked).
+
+    What a round moves is damped by the next, so the walk ends: when no host moves by `close` or more.
+    """
     out_links = edges.groupBy("source").agg(F.sum("links").alias("all_out"))
     in_links = edges.groupBy("target").agg(F.sum("links").alias("all_in"))
     steps = edges.join(out_links, "source").join(in_links, "target").select("source", "target", (F.col("links") / F.col("all_out")).alias("forth"), (F.col("links") / F.col("all_in")).alias("back"))
@@ -62,7 +67,7 @@ def spread(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds:
     state = settle(start.select("*", F.col("trusted").alias("trust"), F.col("blocked").alias("distrust")), "host-ranks")
     if steps.isEmpty():
         return state.select("host", "trust", "distrust")
-    for _ in range(rounds):
+    while True:
         gained = steps.join(state.select(F.col("host").alias("source"), "trust"), "source").groupBy(F.col("target").alias("host")).agg(F.sum(F.col("trust") * F.col("forth")).alias("more_trust"))
         lost = steps.join(state.select(F.col("host").alias("target"), "distrust"), "target").groupBy(F.col("source").alias("host")).agg(F.sum(F.col("distrust") * F.col("back")).alias("more_distrust"))
         # The seed's own share stays 1 at the start of a walk; what links bring comes damped on top.
@@ -74,9 +79,8 @@ def spread(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds:
         )
         state = settle(new, "host-ranks")
         if (state.agg(F.max("moved")).first()[0] or 0.0) < close:
-            break
+            return state.select("host", "trust", "distrust")
         state = state.drop("moved")
-    return state.select("host", "trust", "distrust")
 
 
 def judge(pages: DataFrame, rules: list[Rule], *, page_id: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5, **named) -> DataFrame:

@@ -59,3 +59,35 @@ def test_excerpts_find_their_recordings(spark):
     assert {(2, 2), (2, 15), (5, 5)} <= set(got) and all(q == m or (q, m) == (2, 15) for q, m in got)
     assert all(r["offset"] == 14 and r["bit_error"] < 0.05 for r in got.values())
     assert A.align(prints.limit(0), prints, media_id="id").count() == 0
+
+
+def test_alignment_against_brute_force(spark):
+    """Recordings of few motifs in turn: every offset whose runs of equal codes vote often enough is looked at."""
+    rng = np.random.default_rng(8)
+    motifs = [rng.integers(0, 24, 5) for _ in range(4)]
+    media = [(k, A.codes(tune(np.concatenate([motifs[m] for m in rng.integers(0, 4, 8)]))).view(np.int32).tolist()) for k in range(10)]
+    media += [(10, None), (11, []), (None, media[0][1])]
+    asked = [(k, media[k][1][30:70]) for k in (0, 3, 7)] + [(None, media[1][1]), (12, [])]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, codes array<int>")
+    got = {(r["query_id"], r["media_id"]): (r["offset"], r["votes"], r["overlap"], round(r["bit_error"], 9)) for r in A.align(frame(asked), frame(media), media_id="id").collect()}
+
+    def runs(c):
+        return [(i, x) for i, x in enumerate(c or []) if not i or c[i - 1] != x]
+
+    want = {}
+    for q, a in asked:
+        for m, b in media:
+            votes = {}
+            for i, x in runs(a):
+                for j, y in runs(b):
+                    if x == y:
+                        votes[j - i] = votes.get(j - i, 0) + 1
+            for offset, n in votes.items():
+                low, high = max(0, -offset), min(len(a), len(b) - offset)
+                if q is None or m is None or n < 4 or high - low < 8:
+                    continue
+                wrong = sum(((a[k] ^ b[k + offset]) & 0xFFFFFFFF).bit_count() for k in range(low, high)) / 32 / (high - low)
+                if wrong <= 0.2:
+                    want[q, m] = min(want.get((q, m), (9,)), (round(wrong, 9), -n, offset, high - low))
+    assert got == {k: (o, -n, w, e) for k, (e, n, o, w) in want.items()}
+    assert all(got[q, q][0] == 30 and got[q, q][3] == 0 for q in (0, 3, 7))

@@ -55,3 +55,15 @@ def test_radix_groups_stop_at_the_depth():
     assert least.tolist() == [1, 1, 1]
     least = R.radix_groups(texts, np.array([0, 16, 32]), np.zeros(3, np.int64), np.array([1, 2, 3]), 16)
     assert least.tolist() == [1, 1, 3]
+
+
+def test_the_greatest_depth(documents):
+    import pytest
+
+    rng = random.Random(11)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(6000))
+    rows = [(1, shared), (2, "xx" + shared[100:2300] + "yy"), (3, shared[:1999]), (4, shared[4000:])]
+    got = R.without_repeats(documents(rows), depth=R.MOST_DEPTH).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["removed"]), bytes(r["kept"])) for r in got) == plain(rows, R.MOST_DEPTH)
+    with pytest.raises(ValueError):
+        R.without_repeats(documents(rows), depth=R.MOST_DEPTH + 1)
