@@ -110,6 +110,8 @@ def header_fields(c: Column) -> Column:
 PAGE_HEADINGS = ("INT.", "EXT.", "INT./EXT.", "EXT./INT.", "INT/EXT.", "EXT/INT.")
 HEADING_LIKE = ("BACK TO ", "INTERCUT", "MONTAGE", "SERIES OF SHOTS", "INSERT", "ANGLE", "CLOSE ON", "WIDER", "OMITTED")
 PAGE_TRANSITIONS = ("CUT TO:", "SMASH CUT TO:", "DISSOLVE TO:", "MATCH CUT TO:", "FADE IN:", "FADE OUT:")
+#: How an action beat that follows speech without a blank begins: names in capitals, then small letters.
+ACTION_BEAT = r"^[A-Z][A-Z'’.-]+(?: [A-Z][A-Z'’.-]+){1,4}\b.*[a-z]"
 CAPITALS = r"^[A-Z0-9 .,'’/()&:;?!-]+$"
 
 

@@ -71,22 +71,32 @@ def blank_runs_collapsed(df: DataFrame, blank: Column | None = None) -> DataFram
 
 
 def unwrapped(df: DataFrame) -> DataFrame:
-    """Lines of one paragraph joined; a hyphen before a lower-case letter joins without a blank.
+    """Lines of one paragraph joined; a hyphen within a word, before a lower-case letter, joins without a blank.
 
     A paragraph ends at a blank line, a heading, a transition, a cue and a parenthetical; a line
-    behind a cue or parenthetical starts one.
+    behind a cue or parenthetical starts one, and so does, within speech, the first line that goes
+    on like an action beat. A blank line stands before every heading, transition and cue.
     """
     line = F.col("line")
     kind = F.when(F.trim(line) == "", "blank").when(L.is_page_heading(line) | L.is_transition(line), "mark").when(L.is_short_parenthetical(line), "paren").when(L.is_page_cue(line), "cue").otherwise("text")
     kinds = df.withColumn("kind", kind)
-    starts = kinds.withColumn("start", F.when((F.col("kind") == "text") & (F.lag("kind", 1, "blank").over(by_doc()) == "text"), 0).otherwise(1))
-    blocks = starts.withColumn("block", F.sum("start").over(so_far())).groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("line")))).alias("lines"))
+    goes_on = (F.col("kind") == "text") & (F.lag("kind", 1, "blank").over(by_doc()) == "text")
+    # Speech lasts from a cue to the next blank, heading or cue.
+    parted = kinds.withColumn("goes_on", goes_on).withColumn("part", F.sum(F.when(F.col("kind").isin("blank", "mark", "cue"), 1).otherwise(0)).over(so_far()))
+    in_part = Window.partitionBy("doc_id", "part")
+    speech = F.max(F.when(F.col("kind") == "cue", True).otherwise(False)).over(in_part)
+    turns = F.min(F.when(F.col("goes_on") & F.trim(line).rlike(L.ACTION_BEAT), F.col("line_no"))).over(in_part)
+    starts = parted.withColumn("start", F.when(F.col("goes_on") & ~(speech & (F.col("line_no") == F.coalesce(turns, F.lit(-1)))), 0).otherwise(1))
+    blocks = starts.withColumn("block", F.sum("start").over(so_far())).groupBy("doc_id", "block").agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("line")))).alias("lines"))
     joined = F.aggregate(
         "lines",
         F.lit(""),
-        lambda acc, x: F.when(acc == "", x["line"]).when(acc.endswith("-") & x["line"].rlike("^[a-z]"), F.concat(acc, x["line"])).otherwise(F.concat_ws(" ", acc, x["line"])),
+        lambda acc, x: F.when(acc == "", x["line"]).when(acc.endswith("-") & ~acc.endswith(" -") & x["line"].rlike(r"^\p{Ll}"), F.concat(acc, x["line"])).otherwise(F.concat_ws(" ", acc, x["line"])),
     )
-    return renumbered(blocks.select("doc_id", F.col("block"), joined.alias("line")), "block")
+    before = F.lag("kind").over(Window.partitionBy("doc_id").orderBy("block"))
+    apart = F.col("kind").isin("mark", "cue") & before.isNotNull() & (before != "blank")
+    told = blocks.select("doc_id", "block", joined.alias("line"), apart.alias("apart"))
+    return renumbered(told.select("doc_id", "block", F.posexplode(F.when(F.col("apart"), F.array(F.lit(""), "line")).otherwise(F.array("line"))).alias("part", "line")), "block", "part")
 
 
 def headings_merged(df: DataFrame) -> DataFrame:

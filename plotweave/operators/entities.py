@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave.functions.text import alias_normal, display_name, entity_slug, numbered_id
+from plotweave.operators.numbering import by_prefix, with_numbers
 
 #: Order of entity types (fixed values).
 TYPE_ORDER = ("character", "group", "organization", "location", "object")
@@ -42,8 +43,8 @@ def resolved_cues(utterances: DataFrame, exact: DataFrame, normal: DataFrame, co
     """
     cues = utterances.select("utterance_id", "scene_id", F.col("speaker_cue_raw").alias("raw")).withColumn("norm", alias_normal("raw"))
     cues = cues.where(~is_ignored(F.col("raw"), F.col("norm"), config or {}))
-    met = cues.join(F.broadcast(exact.select(F.col("alias_raw").alias("_raw"), F.col("entity_id").alias("by_raw"))), F.col("raw") == F.col("_raw"), "left").join(
-        F.broadcast(normal.select(F.col("alias_normalized").alias("_norm"), F.col("entity_id").alias("by_norm"))), F.col("norm") == F.col("_norm"), "left"
+    met = cues.join(exact.select(F.col("alias_raw").alias("_raw"), F.col("entity_id").alias("by_raw")), F.col("raw") == F.col("_raw"), "left").join(
+        normal.select(F.col("alias_normalized").alias("_norm"), F.col("entity_id").alias("by_norm")), F.col("norm") == F.col("_norm"), "left"
     )
     several = F.col("norm").contains(" AND ") | F.col("norm").contains("/")
     own = F.concat(F.lit("char_"), entity_slug("norm"))
@@ -96,7 +97,8 @@ def backfilled(entities: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def alias_ids(aliases: DataFrame) -> DataFrame:
     """Numbers after the sort by normal form, raw form and entity."""
-    return aliases.withColumn("alias_record_id", numbered_id("ealias", F.row_number().over(Window.orderBy("alias_normalized", "alias_raw", "entity_id"))))
+    placed = with_numbers(aliases, by_prefix("alias_normalized"), "alias_normalized", "alias_raw", "entity_id")
+    return placed.withColumn("alias_record_id", numbered_id("ealias", "number")).drop("number")
 
 
 def in_order(entities: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def with_speakers(blocks: DataFrame, raw: DataFrame, normal: DataFrame) -> DataF
     """Blocks with speaker_entity_id: by the cue as it stands, else by its normal form."""
     r = raw.select(F.col("alias_raw").alias("_raw"), F.col("entity_id").alias("_by_raw"))
     n = normal.select(F.col("alias_normalized").alias("_norm"), F.col("entity_id").alias("_by_norm"))
-    joined = blocks.join(F.broadcast(r), F.col("speaker_cue_raw") == F.col("_raw"), "left").join(F.broadcast(n), alias_normal("speaker_cue_raw") == F.col("_norm"), "left")
+    joined = blocks.join(r, F.col("speaker_cue_raw") == F.col("_raw"), "left").join(n, alias_normal("speaker_cue_raw") == F.col("_norm"), "left")
     return joined.withColumn("speaker_entity_id", F.coalesce("_by_raw", "_by_norm")).drop("_raw", "_by_raw", "_norm", "_by_norm")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave.functions.text import numbered_id, scene_ref
+from plotweave.operators.numbering import by_number, by_prefix, with_numbers
 
 LATE = 10**9
 MIN_SCENES, MAX_EDGES, MAX_SCENE_IDS = 3, 120, 8
@@ -53,14 +54,14 @@ def co_presence_edges(roster: DataFrame, known: DataFrame, *, scene: str = "scen
 def speaker_roster(utterances: DataFrame, raw: DataFrame, entities: DataFrame) -> DataFrame:
     """scene_id, entity_id of characters that speak in a scene."""
     people = entities.where("entity_type = 'character'").select("entity_id")
-    return utterances.join(F.broadcast(raw), utterances["speaker_cue_raw"] == raw["alias_raw"]).select("scene_id", "entity_id").join(F.broadcast(people), "entity_id", "left_semi").distinct()
+    return utterances.join(raw, utterances["speaker_cue_raw"] == raw["alias_raw"]).select("scene_id", "entity_id").join(people, "entity_id", "left_semi").distinct()
 
 
 def numbered_edges(*parts: DataFrame) -> DataFrame:
     """All edges in order of subject, predicate, object and method, with ids."""
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    order = Window.orderBy("subject_id", "predicate", "object_id", "generation_method")
-    return whole.withColumn("edge_id", numbered_id("kg", F.row_number().over(order), 5))
+    placed = with_numbers(whole, by_prefix("subject_id", 8), "subject_id", "predicate", "object_id", "generation_method")
+    return placed.withColumn("edge_id", numbered_id("kg", "number", 5)).drop("number")
 
 
 def predicate_counts(edges: DataFrame) -> DataFrame:
@@ -97,7 +98,7 @@ def ranked_neighbors(found: DataFrame, most: int = 8, people: int = 6) -> DataFr
 
 def positions(events: DataFrame, scenes: DataFrame | None = None, *, scene: str = "scene_id", order: tuple[str, ...] = ("sequence_in_scene", "event_id"), event: str = "event_id") -> DataFrame:
     """scene, scene_at, event, place (within its scene), last (is it the scene's last), next_event, position over all."""
-    told = events if scenes is None else events.join(F.broadcast(scenes.select(scene, "scene_index")), scene, "left")
+    told = events if scenes is None else events.join(scenes.select(scene, "scene_index"), scene, "left")
     at = F.coalesce(F.col("scene_index"), F.lit(LATE)) if scenes is not None or "scene_index" in events.columns else F.col(scene)
     w = Window.partitionBy("scene").orderBy(*order)
     placed = told.select(F.col(scene).alias("scene"), at.alias("scene_at"), F.col(event).alias("event"), *(F.col(c) for c in order if c != event and c != scene), *([F.col("label")] if "label" in told.columns else []))
@@ -126,7 +127,6 @@ def temporal_edges(at: DataFrame, *, enters: str = "flashback_enter", returns: s
 
 
 def numbered_temporal(edges: DataFrame) -> DataFrame:
-    """Ids in order of position, relation and basis; a position has few edges, so its count is summed like events."""
-    w = Window.partitionBy("from_position").orderBy("relation", "basis")
-    placed = edges.withColumn("_place", F.row_number().over(w))
-    return placed.withColumn("temporal_edge_id", numbered_id("te", F.row_number().over(Window.orderBy("from_position", "_place")))).drop("_place")
+    """Ids in order of position, relation and basis."""
+    placed = with_numbers(edges, by_number("from_position"), "from_position", "relation", "basis")
+    return placed.withColumn("temporal_edge_id", numbered_id("te", "number")).drop("number")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -81,6 +81,54 @@ def gold_checks(gold: DataFrame, facts: DataFrame) -> DataFrame:
     return joined.select("check_id", ok.alias("passed"), "expected", "actual")
 
 
+#: What a gold check may ask (fixed values): how the locator is made, and whether the value is equal or contained.
+GOLD_KINDS = {
+    "manifest_summary_equals": ("summary:{path}", "equals"),
+    "scene_field_equals": ("scene:{scene_id}:{field}", "equals"),
+    "scene_field_contains": ("scene:{scene_id}:{field}", "contains"),
+    "utterance_count_by_cue": ("cue:{speaker_cue_raw}", "equals"),
+    "utterance_modifier_contains": ("utterance:{utterance_id}:delivery_modifiers", "contains"),
+    "script_block_field_equals": ("block:{block_id}:{field}", "equals"),
+    "script_block_marker_contains": ("block:{block_id}:markers", "contains"),
+}
+
+
+def gold_table(spark: SparkSession, checks: list[dict]) -> DataFrame:
+    """Gold checks of the known kinds as rows of `gold_checks`; an unknown kind raises."""
+    rows = []
+    for c in checks:
+        if c["kind"] not in GOLD_KINDS:
+            raise ValueError(f"check {c['check_id']} is of an unknown kind: {c['kind']}")
+        locator, operation = GOLD_KINDS[c["kind"]]
+        rows.append((c["check_id"], locator.format(**c), operation, str(c["expected"])))
+    return spark.createDataFrame(rows, "check_id string, locator string, operation string, expected string")
+
+
+def script_facts(scenes: DataFrame, blocks: DataFrame, summary: DataFrame) -> DataFrame:
+    """locator, actual of everything that gold checks can ask about scenes, utterances, blocks and counts."""
+    shown = lambda df, c: F.to_json(F.col(c)) if dict(df.dtypes)[c].startswith("array") else F.col(c).cast("string")
+
+    def fields(df: DataFrame, kind: str, key: str, names: tuple[str, ...]) -> DataFrame:
+        return df.where(F.col(key).isNotNull()).select(F.inline(F.array(*(F.struct(F.concat_ws(":", F.lit(kind), F.col(key), F.lit(n)).alias("locator"), shown(df, n).alias("actual")) for n in names))))
+
+    cues = blocks.where("block_type = 'utterance'").groupBy("speaker_cue_raw").agg(F.count("*").alias("n")).select(F.concat(F.lit("cue:"), "speaker_cue_raw").alias("locator"), F.col("n").cast("string").alias("actual"))
+    counts = summary.groupBy("measure", "name").agg(F.sum("n").alias("n")).select(F.concat(F.lit("summary:"), "measure", F.lit("."), "name").alias("locator"), F.col("n").cast("string").alias("actual"))
+    parts = (fields(scenes, "scene", "scene_id", ("header_raw", "header_prefix", "location_raw", "time_of_day", "year_explicit", "flags")), fields(blocks, "utterance", "utterance_id", ("delivery_modifiers",)), fields(blocks, "block", "block_id", ("block_type", "sequence_in_scene", "scene_id", "markers")), cues, counts)
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def phases(spark: SparkSession, tables: dict[str, DataFrame | None], needed: dict[str, dict[str, tuple[str, ...]]]) -> DataFrame:
+    """phase, artifact, rows, missing (columns), ok: of every phase's artifacts whether they are there, hold rows and have the columns they need."""
+    parts = []
+    for phase, artifacts in needed.items():
+        for name, columns in artifacts.items():
+            df = tables.get(name)
+            lacks = list(columns) if df is None else missing_columns(df, columns)
+            n = spark.range(1).select(F.lit(0).cast("long").alias("rows")) if df is None else df.agg(F.count("*").alias("rows"))
+            parts.append(n.select(F.lit(phase).alias("phase"), F.lit(name).alias("artifact"), "rows", F.lit(",".join(lacks)).alias("missing"), ((F.col("rows") > 0) & F.lit(not lacks)).alias("ok")))
+    return all_checks(*parts)
+
+
 def json_path(document: Column | str, dotted: str) -> Column:
     return F.get_json_object(document, "$." + dotted)
 
@@ -97,8 +145,10 @@ def taxonomy_issues(events: DataFrame, types: DataFrame, *, unmapped: str = "unm
 
 def type_coverage(events: DataFrame, types: DataFrame, most: int = 3) -> DataFrame:
     """event_type_l2, n, examples (event ids): every kind of the taxonomy, those without events too."""
-    ranked = events.withColumn("place", F.row_number().over(Window.partitionBy("event_type_l2").orderBy("event_id")))
-    seen = ranked.groupBy(F.col("event_type_l2").alias("_l2")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.col("event_id")))).alias("examples"))
+    # Counts are summed where the events are; of the events themselves only the first few of each kind are moved.
+    ranked = events.withColumn("place", F.row_number().over(Window.partitionBy("event_type_l2").orderBy("event_id"))).where(F.col("place") <= most)
+    first = ranked.groupBy(F.col("event_type_l2").alias("_l2")).agg(F.array_sort(F.collect_list("event_id")).alias("examples"))
+    seen = events.groupBy(F.col("event_type_l2").alias("_kind")).agg(F.count("*").alias("n")).join(first, F.col("_kind") == F.col("_l2"))
     return types.join(seen, F.col("event_type_l2") == F.col("_l2"), "left").select("event_type_l2", "event_type_l1", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
 
 

@@ -79,7 +79,7 @@ def scene_year() -> Column:
 def trace_events(events: DataFrame, scenes: DataFrame, *, q: str | None = None, scene_id: str | None = None, event_id: str | None = None, entity_id: str | None = None, event_type: str | None = None, year: int | None = None, pair: str | None = None, location_q: str | None = None, limit: int | None = None) -> DataFrame:
     """Events in order of scene and place; not enriched yet."""
     facts = scenes.select("scene_id", "scene_index", "header_raw", "location_raw", "year_explicit", "year_inferred")
-    joined = events.join(F.broadcast(facts), "scene_id", "left") if "scene_index" not in events.columns else events.drop("scene_index").join(F.broadcast(facts), "scene_id", "left")
+    joined = (events if "scene_index" not in events.columns else events.drop("scene_index")).join(facts, "scene_id", "left")
     found = None
     if q:
         found = ci_contains("summary", q) | ci_contains("event_id", q) | ci_contains("event_type_l2", q) | ci_contains("event_type_l1", q) | F.exists("snippets", lambda s: F.contains(F.lower(s), F.lit(q.lower())))
@@ -122,6 +122,37 @@ def enriched_changes(top: DataFrame, entities: DataFrame, scenes: DataFrame, eve
     return out.join(triggers, "state_change_id", "left").orderBy("place")
 
 
+def event_counts(events: DataFrame) -> DataFrame:
+    """facet, value, n: how many events each kind and scene has, the most frequent first."""
+    kinds = F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).alias("value")) for c in ("event_type_l1", "event_type_l2", "scene_id")))
+    return events.select(F.inline(kinds)).where("value is not null").groupBy("facet", "value").agg(F.count("*").alias("n")).orderBy("facet", F.desc("n"), "value")
+
+
+def focus_review(events: DataFrame, changes: DataFrame, scenes: DataFrame, entity_id: str) -> DataFrame:
+    """Per scene of an entity, in order: its events, its changes, and the changes its events have triggered."""
+    own = events.where(F.exists("participants", lambda p: p["entity_id"] == entity_id))
+    its = changes.where((F.col("subject_id") == entity_id) | (F.col("object_id") == entity_id))
+    steps = its.select("state_change_id", F.explode("trigger_event_ids").alias("event_id")).join(own.select("event_id", "scene_id"), "event_id")
+    counts = (own.groupBy("scene_id").agg(F.count("*").alias("events")), its.groupBy("scene_id").agg(F.count("*").alias("changes")), steps.groupBy("scene_id").agg(F.countDistinct("state_change_id").alias("triggered")))
+    whole = reduce(lambda a, b: a.join(b, "scene_id", "full"), counts).fillna(0, ["events", "changes", "triggered"])
+    return whole.join(scenes.select("scene_id", "scene_index"), "scene_id", "left").orderBy("scene_index", "scene_id")
+
+
+def with_blocks_of(slices: DataFrame, blocks: DataFrame, most: int = 12) -> DataFrame:
+    """Scenes of a timeline with their first blocks in order, (block_id, block_type, text) each."""
+    placed = blocks.withColumn("_place", F.row_number().over(Window.partitionBy("scene_id").orderBy("sequence_in_scene", "block_id"))).where(F.col("_place") <= most)
+    listed = placed.groupBy("scene_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "block_id", "block_type", "text"))), lambda b: F.struct(b["block_id"].alias("block_id"), b["block_type"].alias("block_type"), b["text"].alias("text"))).alias("blocks"))
+    return slices.join(listed, "scene_id", "left")
+
+
+def for_review(events: DataFrame, *, below: float = 0.7, labels: tuple[str, ...] = (), most: int = 50) -> DataFrame:
+    """The events that a review should look at: of low confidence or of certain kinds, the least sure first."""
+    asked = F.col("confidence") < below
+    if labels:
+        asked = asked | F.col("event_type_l2").isin(*labels)
+    return limited(events.where(asked), ["confidence", "event_id"], clamped(most, 50))
+
+
 def timeline_slice(events: DataFrame, changes: DataFrame, scenes: DataFrame, *, year: int | None = None, entity_id: str | None = None, event_type: str | None = None, pair: str | None = None, q: str | None = None, limit_scenes: int | None = None) -> DataFrame:
     """Scenes in order with how many events and changes match; with any filter, only scenes that have a match.
 

@@ -8,21 +8,23 @@ from pyspark.sql import functions as F
 from plotweave.functions.text import literal, straight
 
 
-def phrase_matches(texts: DataFrame, phrases: DataFrame, *, text: str, phrase: str) -> DataFrame:
+def phrase_matches(texts: DataFrame, phrases: DataFrame, *, key: str, text: str, phrase: str) -> DataFrame:
     """texts x phrases where the phrase stands in the text with no letter or digit at either side, with its first start and stop.
 
     Places count from 0, the stop is behind the last character. Only pairs that share the phrase's
-    first word reach the pattern: texts give their words, phrases theirs, and those are joined.
+    first word reach the pattern: words of texts, by their keys, meet those of phrases, and each
+    text is joined once with what its words have met.
     """
     norm = F.lower(straight(text))
     words = lambda c: F.filter(F.split(c, "[^a-z0-9]+"), lambda w: w != "")
-    left = texts.withColumn("_text", norm).withColumn("_word", F.explode(F.array_distinct(words(norm))))
     p = F.lower(F.trim(straight(phrase)))
     right = phrases.withColumn("_phrase", p).withColumn("_first", F.try_element_at(words(p), F.lit(1))).where("_first is not null")
-    met = left.join(right, F.col("_word") == F.col("_first"))
+    said = texts.select(F.col(key).alias("_key"), F.explode(F.array_distinct(words(norm))).alias("_word")).distinct()
+    pairs = said.join(right, F.col("_word") == F.col("_first")).drop("_word", "_first")
     shape = F.concat(F.lit("(?<![a-z0-9])"), literal("_phrase"), F.lit("(?![a-z0-9])"))
-    at = F.regexp_instr("_text", shape)
-    return met.withColumn("start", at - 1).where("start >= 0").withColumn("stop", F.col("start") + F.length("_phrase")).drop("_text", "_word", "_first", "_phrase")
+    met = texts.join(pairs, F.col(key) == F.col("_key"))
+    at = F.regexp_instr(norm, shape)
+    return met.withColumn("start", at - 1).where("start >= 0").withColumn("stop", F.col("start") + F.length("_phrase")).drop("_key", "_phrase")
 
 
 def first_of_entity(matches: DataFrame, *keys: str, entity: str = "entity_id") -> DataFrame:
@@ -44,7 +46,7 @@ def non_overlapping(spans: Column) -> Column:
 
 def mentions(texts: DataFrame, names: DataFrame, *, key: str, text: str, entity: str = "entity_id", name: str = "name") -> DataFrame:
     """key, mentions: entities named in a text in order of place, overlaps decided for the earlier and then the longer."""
-    best = first_of_entity(phrase_matches(texts.select(key, text), names.select(entity, name), text=text, phrase=name), key, entity=entity)
+    best = first_of_entity(phrase_matches(texts.select(key, text), names.select(entity, name), key=key, text=text, phrase=name), key, entity=entity)
     ordered = F.array_sort(F.collect_list(F.struct("start", (F.col("start") - F.col("stop")).alias("minus_length"), entity, "stop")))
     return best.groupBy(key).agg(ordered.alias("spans")).select(key, F.transform(non_overlapping(F.col("spans")), lambda s: s[entity]).alias("mentions"))
 
@@ -60,7 +62,7 @@ def greedy_in_order(spans: Column) -> Column:
 
 def detected(questions: DataFrame, lexicon: DataFrame, *, key: str, text: str) -> DataFrame:
     """key, entity_id, phrase, start, stop, place: lexicon phrases in questions, the longest first, then by priority and phrase; each entity once."""
-    found = phrase_matches(questions.select(key, text), lexicon, text=text, phrase="phrase")
+    found = phrase_matches(questions.select(key, text), lexicon, key=key, text=text, phrase="phrase")
     order = F.struct((-F.length("phrase")).alias("minus_length"), (-F.col("priority")).alias("minus_priority"), "phrase", "entity_id", "start", "stop")
     kept = found.groupBy(key).agg(greedy_in_order(F.array_sort(F.collect_list(order))).alias("kept"))
     flat = kept.select(key, F.explode("kept").alias("m")).select(key, "m.entity_id", "m.phrase", "m.start", "m.stop")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotweave.functions.text import directed_pair, numbered_id, undirected_pair
+from plotweave.operators.numbering import by_number, with_numbers
 
 #: Allowed values (fixed values).
 DIRECTIONS = ("increase", "decrease", "shift", "emerge", "dissolve")
@@ -17,7 +18,7 @@ REQUIRED = ("rule_id", "subject_id", "object_id", "state_dimension", "direction"
 RULES = "rule_id string, subject_id string, object_id string, event_type_l1_any array<string>, event_type_l2_any array<string>, event_type_l2_not array<string>, min_event_confidence double, text_any array<string>, text_all array<string>, text_none array<string>, state_dimension string, direction string, magnitude string, claim_type string, confidence double, inference_method string, enabled boolean"
 
 
-def checked_rules(rules: list[dict], claims: tuple[str, ...] = CLAIMS, magnitudes: tuple[str, ...] = MAGNITUDES) -> list[dict]:
+def checked_rules(rules: list[dict], claims: tuple[str, ...] = CLAIMS, magnitudes: tuple[str, ...] = MAGNITUDES, directions: tuple[str, ...] = DIRECTIONS) -> list[dict]:
     """The enabled rules; one that lacks a field or has a value that is not allowed raises."""
     for k, rule in enumerate(rules):
         missing = [f for f in REQUIRED if rule.get(f) in (None, "")]
@@ -25,6 +26,8 @@ def checked_rules(rules: list[dict], claims: tuple[str, ...] = CLAIMS, magnitude
             raise ValueError(f"rule {k} lacks {', '.join(missing)}")
         if rule["claim_type"] not in claims or rule.get("magnitude") not in (None, *magnitudes):
             raise ValueError(f"rule {rule['rule_id']} has a claim type or magnitude that is not allowed")
+        if rule["direction"] not in directions:
+            raise ValueError(f"rule {rule['rule_id']} has a direction that is not allowed")
     return [r for r in rules if r.get("enabled", True)]
 
 
@@ -92,8 +95,8 @@ def state_changes(found: DataFrame) -> DataFrame:
 
 
 def numbered_changes(changes: DataFrame) -> DataFrame:
-    order = Window.orderBy("position", "scene_id", "subject_id", "object_id", "state_dimension", "direction", "claim_type")
-    return changes.withColumn("state_change_id", numbered_id("sc", F.row_number().over(order)))
+    placed = with_numbers(changes, by_number("position"), "position", "scene_id", "subject_id", "object_id", "state_dimension", "direction", "claim_type")
+    return placed.withColumn("state_change_id", numbered_id("sc", "number")).drop("number")
 
 
 def facets(changes: DataFrame) -> DataFrame:

@@ -426,13 +426,13 @@ def timeline_slice(spark, sf_dir):
     return search.timeline_slice(found, states.numbered_changes(changes(spark, sf_dir)), days, event_type="signup").select("scene_id", "matching_events", "events", "matching_state_changes")
 
 
-@query("SELECT 'event_type_l2' AS facet, event_type AS value FROM events UNION SELECT 'year', strftime(ts, '%Y') FROM events UNION SELECT 'user', user_id::VARCHAR FROM events WHERE user_id < 50")
+@query("SELECT 'event_type_l2' AS facet, event_type AS value FROM events UNION SELECT 'year', strftime(ts, '%Y') FROM events UNION SELECT 'user', user_id::VARCHAR FROM events")
 def facets_distinct(spark, sf_dir):
     e = D.day_events(spark, sf_dir)
     parts = F.array(
         F.struct(F.lit("event_type_l2").alias("facet"), F.col("label").alias("value")),
         F.struct(F.lit("year").alias("facet"), F.date_format("ts", "yyyy").alias("value")),
-        F.struct(F.lit("user").alias("facet"), F.when(F.col("user_id") < 50, F.col("user_id").cast("string")).alias("value")),
+        F.struct(F.lit("user").alias("facet"), F.col("user_id").cast("string").alias("value")),
     )
     return e.select(F.inline(parts)).where("value is not null").distinct()
 
@@ -502,23 +502,25 @@ def slug_ids(spark, sf_dir):
 
 
 @query(r"""
-WITH q AS (SELECT item_id, lower(trim(text)) AS whole, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\s'']', ' ', 'g'), '\s+'), lambda w: length(w) >= 2) AS w FROM benchmark WHERE item_id < 10),
+WITH q AS (SELECT item_id, lower(trim(text)) AS whole, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\s'']', ' ', 'g'), '\s+'), lambda w: length(w) >= 2) AS w FROM benchmark),
 qt AS (SELECT DISTINCT item_id, unnest(w) AS w FROM q),
 d AS (SELECT doc_id, lower(text) AS low, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\s'']', ' ', 'g'), '\s+'), lambda w: length(w) >= 2) AS w FROM documents),
 dt AS (SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest(w) AS w FROM d) GROUP BY 1, 2),
 s AS (SELECT item_id, doc_id, sum(k)::BIGINT AS shared FROM qt JOIN dt USING (w) GROUP BY 1, 2),
-b AS (SELECT s.item_id, s.doc_id, shared + CASE WHEN contains(low, whole) THEN 2 ELSE 0 END AS score FROM s JOIN q USING (item_id) JOIN d USING (doc_id))
+b AS (SELECT s.item_id, s.doc_id, shared + CASE WHEN whole <> '' AND contains(low, whole) THEN 2 ELSE 0 END AS score FROM s JOIN q USING (item_id) JOIN d USING (doc_id))
 SELECT item_id, doc_id, score FROM b QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 6
 """)
 def token_overlap_retrieval(spark, sf_dir):
-    """For ten questions, the six texts that share most words: words join words, texts are read once more for whole questions only."""
+    """For every question the six texts that share most words: words meet words, and only texts that have a question's inner words are looked at as a whole."""
     docs = D.table(spark, sf_dir, "documents").select("doc_id", "text")
-    asked = D.table(spark, sf_dir, "benchmark").where("item_id < 10").select("item_id", F.lower(F.trim("text")).alias("whole"), F.array_distinct(T.tokens("text")).alias("words"))
-    words = F.broadcast(asked.select("item_id", F.explode("words").alias("word")))
-    counts = docs.select("doc_id", F.explode(T.tokens("text")).alias("word")).join(words, "word").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
-    # The questions are a bounded list: one pass over the texts finds all that contain one whole.
-    whole = docs.join(F.broadcast(asked.select("item_id", "whole").where("whole <> ''")), F.contains(F.lower("text"), F.col("whole"))).select("item_id", "doc_id", F.lit(2).alias("bonus"))
-    scored = counts.join(whole, ["item_id", "doc_id"], "left").select("item_id", "doc_id", (F.col("shared") + F.coalesce("bonus", F.lit(0))).alias("score"))
+    asked = D.table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.trim("text")).alias("whole"), F.array_distinct(T.tokens("text")).alias("words"))
+    words = asked.select("item_id", F.explode("words").alias("word"))
+    counts = docs.select("doc_id", F.explode(T.tokens("text")).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("k"))
+    met = counts.join(words, "word").groupBy("item_id", "doc_id").agg(F.sum("k").alias("shared"), F.count("*").alias("kinds"))
+    # A text that contains a question has all of its words, but for the first and last, which may be parts of others.
+    may = met.join(asked.where("whole <> ''").select("item_id", "whole", F.size("words").alias("n")), "item_id").where("kinds >= n - 2").select("item_id", "doc_id", "whole")
+    whole = may.join(docs, "doc_id").where(F.contains(F.lower("text"), F.col("whole"))).select("item_id", "doc_id", F.lit(2).alias("bonus"))
+    scored = met.join(whole, ["item_id", "doc_id"], "left").select("item_id", "doc_id", (F.col("shared") + F.coalesce("bonus", F.lit(0))).alias("score"))
     best = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("place", F.row_number().over(best)).where("place <= 6").drop("place")
 

@@ -50,3 +50,23 @@ def turn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as scenes, turns as their blocks in order from 0."""
     t = table(spark, sf_dir, "conversations")
     return t.select(F.col("conv_id").alias("scene_id"), F.col("turn").alias("sequence_in_scene"), F.col("role").alias("speaker_entity_id"), "text", F.concat_ws(":", "conv_id", "turn").alias("event_id"), F.lit("utterance").alias("block_type"))
+
+
+def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: conversations written out as scripts, with scene headers, cues and action lines between the turns."""
+    t = table(spark, sf_dir, "conversations")
+    c, n = F.col("conv_id"), F.col("turn")
+    room = (c % 5).cast("string")
+    header = (
+        F.when((c + n) % 4 == 0, F.concat(F.lit("INT. ROOM "), room, F.lit(" - NIGHT")))
+        .when((c + n) % 4 == 1, F.concat(F.lit("EXT. ROAD "), room, F.lit(" - DAY - 1975")))
+        .when((c + n) % 4 == 2, F.concat(F.lit("INT./EXT. CAR "), room, F.lit(" - CONTINUED - LATER")))
+        .otherwise(F.lit("EXT. YARD 1962 - FLASHBACK"))
+    )
+    cue = F.concat(F.upper("role"), F.when((c + n) % 3 == 1, " V/O").when((c + n) % 3 == 2, " (CONT'D)").otherwise(""))
+    parts = F.array(
+        F.when(n % 4 == 1, header), F.when(n % 4 == 1, F.lit("")), cue, F.when((c + n) % 5 == 0, F.lit("(quietly)")), F.col("text"),
+        F.lit(""), F.when(n % 3 == 1, F.concat(F.lit("They wait at door "), n.cast("string"), F.lit("."))), F.when(n % 3 == 1, F.lit("")),
+    )
+    rows = F.array_sort(F.collect_list(F.struct("turn", F.array_join(F.array_compact(parts), "\n").alias("lines"))))
+    return t.groupBy(c.alias("doc_id")).agg(F.array_join(F.transform(rows, lambda x: x["lines"]), "\n").alias("text"))

@@ -121,3 +121,44 @@ def test_envelopes_and_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["label"], r["n"]) for r in spark.table("counted").collect()} == {("question", 1), ("agreement_acceptance", 1)}
+
+
+def test_envelopes_both_ways(spark, tmp_path):
+    from plotweave.sources import envelope
+
+    items = spark.createDataFrame([(1, "x"), (2, None)], "a int, b string")
+    envelope.write_envelope(items, str(tmp_path / "big"), "things", "1.0", parser="p")
+    assert sorted(r["a"] for r in envelope.read_written(spark, str(tmp_path / "big"), "a int, b string").collect()) == [1, 2]
+    items.limit(1).write.mode("overwrite").json(str(tmp_path / "big/items"))
+    with pytest.raises(Exception, match="as many items"):
+        envelope.read_written(spark, str(tmp_path / "big"), "a int, b string").collect()
+    at = str(tmp_path / "one")
+    envelope.write_file(items, at, "things", "1.0")
+    assert {(r["a"], r["b"]) for r in envelope.read_items(spark, at, "a int, b string").collect()} == {(1, "x"), (2, None)}
+    with pytest.raises(ValueError):
+        envelope.write_file(items, at, "things", "1.0", most=1)
+    kept = envelope.Cache(spark)
+    first = kept.items(at, "a int, b string")
+    assert kept.items(at, "a int, b string") is first and first.count() == 2
+    envelope.write_file(items.limit(1), at, "things", "1.0")
+    assert kept.items(at, "a int, b string").count() == 1
+    assert envelope.fingerprint_or(spark, str(tmp_path / "absent"), "x") != envelope.fingerprint_or(spark, str(tmp_path / "big/metadata"), "x")
+
+
+def test_gold_kinds_and_rules_are_checked(spark):
+    from plotweave.operators import states
+
+    with pytest.raises(ValueError, match="unknown kind"):
+        quality.gold_table(spark, [{"check_id": "c", "kind": "scene_field_close_to", "expected": 1}])
+    rule = {"rule_id": "r", "subject_id": "a", "object_id": "b", "state_dimension": "trust", "direction": "sideways", "claim_type": "explicit", "confidence": 0.5, "inference_method": "rule"}
+    with pytest.raises(ValueError, match="direction"):
+        states.checked_rules([rule])
+
+
+def test_numbers_by_buckets(spark):
+    from plotweave.operators import numbering
+
+    rows = spark.createDataFrame([(k * 37 % 101, f"n{k * 37 % 101:03d}") for k in range(101)] + [(None, None)], "k long, s string")
+    for bucket, order in ((numbering.by_number("k", 10), "k"), (numbering.by_prefix("s", 3), "s")):
+        got = numbering.with_numbers(rows, bucket, order).orderBy("number").collect()
+        assert [r["number"] for r in got] == list(range(1, 103)) and [r["k"] for r in got] == [None, *range(101)]

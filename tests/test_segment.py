@@ -68,6 +68,21 @@ def test_cleaning_end_to_end(spark):
     assert got[0] == "INT. FRANK'S HOUSE - DAY" and "A man walks in slow-motion today and sits." in got and "FRANK" in got and "(MORE)" not in got
 
 
+def unwrapped(spark, *lines):
+    rows = [("d", k, x) for k, x in enumerate(lines, 1)]
+    return [r["line"] for r in cleaning.unwrapped(spark.createDataFrame(rows, "doc_id string, line_no int, line string")).orderBy("line_no").collect()]
+
+
+def test_wrapped_lines(spark):
+    assert unwrapped(spark, "he goes on here -", "more text", "well-", "known words", "and-", "And so") == ["he goes on here - more text well-known words and- And so"]
+    assert unwrapped(spark, "He sits.", "FRANK", "I know", "him.", "EXT. ROAD - DAY", "CUT TO:") == ["He sits.", "", "FRANK", "I know him.", "", "EXT. ROAD - DAY", "", "CUT TO:"]
+    assert unwrapped(spark, "FRANK", "(low)", "I know", "him.") == ["FRANK", "(low)", "I know him."]
+    assert unwrapped(spark, "FRANK", "First words", "FRANK SHEERAN walks out", "JIM HOFFA stays here", "", "JIM HOFFA stays", "BOB SMITH goes") == [
+        "FRANK", "First words", "FRANK SHEERAN walks out JIM HOFFA stays here", "", "JIM HOFFA stays BOB SMITH goes",
+    ]
+    assert unwrapped(spark, "", "INT. BAR") == ["", "INT. BAR"]
+
+
 def test_faulty_pages_raise(spark):
     import pytest
 
