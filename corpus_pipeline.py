@@ -24,7 +24,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least id: shingles of five words, similarity 0.8 or more."""
+    """One document of each group of near copies, the one with the least id: shingles of five words, similarity 0.8 or more.
+
+    Candidates are documents whose SimHash fingerprints multi-index hashing links, and, since
+    fingerprints answer only for closer copies than these, documents that share a band of least hashes.
+    """
     return simhash.first_of_each(docs, shingle=5, similarity=0.8)
 
 
@@ -51,7 +55,7 @@ STAGES = [
     ("token packing", encode_tokens),
 ]
 
-#: Learnt weights, hashed fingerprints and tokenizers have no SQL form; tests hold the stages against plain versions.
+#: Learnt weights, hashed fingerprints and tokenizers have no SQL form; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
