@@ -138,21 +138,24 @@ def forest(f: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: every node of the links with the least node that it is connected to."""
-    edges, state = settle(edges.select("a", "b"), "links"), None
-    while True:  # every round but the last moves a link to a lesser node
+    edges = settle(edges.select("a", "b"), "links")
+    while not _stars(edges):  # every round moves a link to a lesser node
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: a node's larger neighbours link to its least neighbour or itself. The least are a
         # table, so that Spark can split the rows of a node with very many links.
         least = settle(both.groupBy(F.col("a").alias("_a")).agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
-        large = settle(both.where("b > a").join(least, F.col("a") == F.col("_a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        large = both.where("b > a").join(least, F.col("a") == F.col("_a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Small star: a node and its smaller neighbours link to the least of them.
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(lower.select("a", F.col("m").alias("b"))).distinct()
         edges = settle(small, "small")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one link to a lesser node, and that one has none."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.when(F.col("a") <= F.col("b"), 2).otherwise(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42, most_bits: int = 4) -> DataFrame:
@@ -460,11 +463,22 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     if not crowded.isEmpty():
         meetings = settle(open_meetings(meeting, crowded, roots, similarity), "meetings")
         more = settle(linked(meetings, meeting, sets, similarity), "more")
-        roots = roots if more.isEmpty() else components(edges.unionByName(more))
+        if not more.isEmpty():
+            roots = merged_roots(roots, more)
     named = nodes.join(roots, F.col("doc") == F.col("node"), "left").select(F.col("content").alias("_content"), F.coalesce("root", "doc").alias("component_id"))
     return all_docs.select(doc_id, "content").join(named, F.col("content") == F.col("_content")).select(doc_id, "component_id")
 
 
+def merged_roots(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """node, root after more links: classes are joined by their roots, of which few are concerned."""
+    held = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    one = more.join(held, F.col("a") == F.col("_node"), "left").select(F.coalesce("_root", "a").alias("a"), "b")
+    two = one.join(held, F.col("b") == F.col("_node"), "left").select("a", F.coalesce("_root", "b").alias("b")).where("a <> b").distinct()
+    above = settle(components(two).select(F.col("node").alias("_of"), F.col("root").alias("_above")), "above")
+    moved = roots.join(above, F.col("root") == F.col("_of"), "left").select("node", F.coalesce("_above", "root").alias("root"))
+    return moved.unionByName(above.select(F.col("_of").alias("node"), F.col("_above").alias("root")))
+
+
 def _contents(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
     """doc_id, content (the hash of the set of shingles), fingerprint, places, size, sketch."""
 

@@ -136,14 +136,16 @@ def fit(labelled: DataFrame, *, row_id: str, text: str, label: str, max_rows: in
         def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text", 1 << 18):
                 row, slot = present(batch.column("text"), shared.value)
-                cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
-                yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "at": [slot[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]})
+                label = np.asarray(batch.column("label").to_pylist(), np.int8)
+                yield pa.RecordBatch.from_pydict({"labels": [label.tobytes()], "sizes": [np.bincount(row, minlength=batch.num_rows).astype(np.int32).tobytes()], "places": [slot.astype(np.int32).tobytes()]})
 
         # At most max_rows rows, each with at most max_features places.
-        seen = sorted((r["label"], bytes(r["at"])) for r in sample.select("text", "label").mapInArrow(indexed, "label int, at binary").collect())
+        parts = sample.select("text", "label").mapInArrow(indexed, "labels binary, sizes binary, places binary").collect()
     finally:
         sample.unpersist()
-    weights, bias = _regress([np.frombuffer(a, np.int32) for _, a in seen], np.array([y for y, _ in seen], float), ratios, prior, ridge, rounds)
+    y, sizes, places = (np.concatenate([np.frombuffer(p[c], kind) for p in parts]) for c, kind in (("labels", np.int8), ("sizes", np.int32), ("places", np.int32)))
+    rows = sorted(zip(y.tolist(), (x.tobytes() for x in np.split(places, np.cumsum(sizes)[:-1])), strict=True))
+    weights, bias = _regress([np.frombuffer(x, np.int32) for _, x in rows], np.array([k for k, _ in rows], float), ratios, prior, ridge, rounds)
     return Model(slots, weights * ratios, bias)
 
 

@@ -67,6 +67,15 @@ def test_components_of_a_long_chain(spark):
     assert S.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_more_links_join_classes_by_their_roots(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    first = [(5, 6), (6, 7), (1, 2), (10, 11)]
+    more = [(7, 2), (20, 11), (30, 31), (2, 1)]
+    got = {r["node"]: r["root"] for r in S.merged_roots(S.components(frame(first)), frame(more)).collect()}
+    want = roots([1, 2, 5, 6, 7, 10, 11, 20, 30, 31], first + more)
+    assert {k: got.get(k, k) for k in want} == want
+
+
 def test_near_copies_by_similarity(documents):
     rng = random.Random(2)
     text = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
