@@ -354,17 +354,18 @@ def open_meetings(nodes: DataFrame, crowded: DataFrame, roots: DataFrame, simila
     return met_again.select("value", F.col("value").alias("place"), "doc", "group", "size", *SKETCH).mapInArrow(run, "value long, doc long, group long")
 
 
-def linked(meetings: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, at_once: int = 20_000) -> DataFrame:
+def linked(meetings: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, at_once: int = 4_000) -> DataFrame:
     """Links a, b that connect the groups of what meets (value, doc, group), verified on sets of shingles (doc, hashes).
 
     Nodes that meet at a value are compared in one task with their sets, and only a link that
     connects two groups anew is handed on. Where more than twice `at_once` meet, each of several
     parts of them meets each other part in a task of its own.
     """
-    parts = meetings.groupBy(F.col("value").alias("_value")).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / at_once)).cast("int").alias("parts"))
+    # Only values where many meet are parted: few, so that the meetings themselves need not move for it.
+    parts = meetings.groupBy(F.col("value").alias("_value")).agg(F.count("*").alias("n")).where(F.col("n") > at_once).select("_value", F.ceil(F.col("n") / at_once).cast("int").alias("_parts"))
     own = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
     places = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.xxhash64("value", F.least(own, other), F.greatest(own, other)))
-    dealt = meetings.join(parts, F.col("value") == F.col("_value")).select(F.explode(F.array_distinct(places)).alias("place"), "doc", "group")
+    dealt = meetings.join(parts, F.col("value") == F.col("_value"), "left").withColumn("parts", F.coalesce("_parts", F.lit(1))).select(F.explode(F.array_distinct(places)).alias("place"), "doc", "group")
     told = nodes.select(F.col("doc").alias("_doc"), "size", *SKETCH).join(sets.select(F.col("doc").alias("_of"), "hashes"), F.col("_doc") == F.col("_of"))
     rows = dealt.join(told, F.col("doc") == F.col("_doc")).select("place", "doc", "group", "size", *SKETCH, "hashes").repartition("place").sortWithinPartitions("place", "doc")
 
