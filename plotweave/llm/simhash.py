@@ -358,8 +358,8 @@ def linked(meetings: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: f
     """Links a, b that connect the groups of what meets (value, doc, group), verified on sets of shingles (doc, hashes).
 
     Nodes that meet at a value are compared in one task with their sets, and only a link that
-    connects two groups anew is handed on. Where more than twice `at_once` meet, each of several
-    parts of them meets each other part in a task of its own.
+    connects two groups anew is handed on. Where more than `at_once` meet, each of several parts
+    of them meets each other part in a task of its own.
     """
     # Only values where many meet are parted: few, so that the meetings themselves need not move for it.
     parts = meetings.groupBy(F.col("value").alias("_value")).agg(F.count("*").alias("n")).where(F.col("n") > at_once).select("_value", F.ceil(F.col("n") / at_once).cast("int").alias("_parts"))
