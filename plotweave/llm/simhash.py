@@ -193,6 +193,8 @@ PAIRS_OF_BITS = np.uint64(0x5555555555555555)
 SLACK = 0.2
 #: Trees are grown over at most so many nodes at a time, the first of which all blocks of a place share.
 BLOCK = 1024
+#: Nodes of one place that a task compares with each other; where more meet, several tasks share the work.
+AT_ONCE = 4_000
 
 
 def shingle_set(text: bytes, shingle: int, seed: int) -> np.ndarray:
@@ -241,8 +243,8 @@ def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
 
 
-def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """The other columns of every run of two rows or more with one value, of batches sorted by value."""
+def _runs(batches: Iterator[pa.RecordBatch], key: str, names: list[str]) -> Iterator[list[np.ndarray]]:
+    """The named columns of every run of two rows or more with one key, of batches sorted by the key."""
 
     def cut(columns: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
         v = columns[0]
@@ -251,9 +253,9 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[
         for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
             yield [x[start : start + size] for x in columns[1:]]
 
-    rest = [np.zeros(0, np.int64) for _ in ("value", *names)]
+    rest = [np.zeros(0, np.int64) for _ in (key, *names)]
     for batch in batches:
-        rest = [np.concatenate((x, batch.column(n).to_numpy())) for x, n in zip(rest, ("value", *names), strict=True)]
+        rest = [np.concatenate((x, batch.column(n).to_numpy())) for x, n in zip(rest, (key, *names), strict=True)]
         done = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
         yield from cut([x[:done] for x in rest])
         rest = [x[done:] for x in rest]
@@ -291,30 +293,58 @@ def tree(near: np.ndarray, differing: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2).T
 
 
-def met(nodes: DataFrame, *columns: str) -> DataFrame:
-    """value and the nodes' columns, nodes that meet at a value in a row."""
-    return nodes.select(F.explode("places").alias("value"), *columns).repartition("value").sortWithinPartitions("value", "doc")
-
-
 def that_meet(nodes: DataFrame) -> DataFrame:
     """The nodes that meet another one anywhere; only their numbers are shuffled for all nodes."""
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (d,) in _runs(batches, ["doc"]):
-            yield pa.RecordBatch.from_pydict({"_doc": d})
+        last: tuple[np.ndarray, np.ndarray] | None = None
+        for batch in batches:
+            v, d = batch.column("value").to_numpy(), batch.column("doc").to_numpy()
+            if not len(v):
+                continue
+            if last is not None:
+                v, d = np.concatenate((last[0], v)), np.concatenate((last[1], d))
+            same = v[1:] == v[:-1]
+            meets = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            yield pa.RecordBatch.from_pydict({"_doc": d[meets]})
+            last = v[-1:], d[-1:]
+
+    values = nodes.select(F.explode("places").alias("value"), "doc").repartition("value").sortWithinPartitions("value", "doc")
+    return nodes.join(values.mapInArrow(some, "_doc long").distinct(), F.col("doc") == F.col("_doc"), "left_semi")
+
+
+def crowds(nodes: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """_value, _first, _parts: the places where more than `at_once` nodes meet, their least node, and how many parts they are dealt into."""
+    values = nodes.select(F.explode("places").alias("_value"), "doc")
+    return values.groupBy("_value").agg(F.min("doc").alias("_first"), F.count("*").alias("n")).where(F.col("n") > at_once).select("_value", "_first", F.ceil(F.col("n") / at_once).cast("int").alias("_parts"))
+
+
+def in_parts(meetings: DataFrame, parts: DataFrame, *, pairs: bool) -> DataFrame:
+    """place, parts and the columns of meetings (value, doc, ...), rows of one place in a row.
 
-    return nodes.join(met(nodes, "doc").mapInArrow(some, "_doc long").distinct(), F.col("doc") == F.col("_doc"), "left_semi")
+    A value that is not among the parts is one place. The nodes of the others are dealt by hash. With `pairs`
+    each part meets each other part at a place; otherwise each part is a place, at which the first node is as well.
+    """
+    own = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    if pairs:
+        places = F.array_distinct(F.transform(every, lambda other: F.xxhash64("value", F.least(own, other), F.greatest(own, other))))
+    else:
+        places = F.transform(F.when(F.col("doc") == F.col("_first"), every).otherwise(F.array(own)), lambda k: F.xxhash64("value", k))
+    told = meetings.join(parts, F.col("value") == F.col("_value"), "left").withColumn("parts", F.coalesce("_parts", F.lit(1)))
+    return told.select(F.explode(places).alias("place"), "parts", *meetings.columns)
 
 
-def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+def candidates(nodes: DataFrame, crowded: DataFrame, similarity: float) -> DataFrame:
     """a < b: nodes (doc, places, sketch, size) that meet and may be similar, the shortest trees of them.
 
     The nodes of places with three or more come as rows of a = b as well: their other pairs are open.
+    Nodes of crowded places meet in parts.
     """
 
-    def pairs(d: np.ndarray, size: np.ndarray, *sketch: np.ndarray) -> Iterator[np.ndarray]:
+    def pairs(parts: np.ndarray, d: np.ndarray, size: np.ndarray, *sketch: np.ndarray) -> Iterator[np.ndarray]:
         k = np.stack(sketch, axis=1).view(np.uint64)
-        if len(d) == 2:
+        if len(d) == 2 and parts[0] == 1:
             near, _ = may_be_similar(k[0], k[1], size[0], size[1], similarity)
             yield d.reshape(2, 1)[:, : int(near)]
             return
@@ -325,36 +355,42 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
             yield d[part[tree(near, differing)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _in_batches(x for columns in _runs(batches, ["doc", "size", *SKETCH]) for x in pairs(*columns))
+        yield from _in_batches(x for columns in _runs(batches, "place", ["parts", "doc", "size", *SKETCH]) for x in pairs(*columns))
 
-    return met(nodes, "doc", "size", *SKETCH).mapInArrow(run, "a long, b long").distinct()
+    meetings = nodes.select(F.explode("places").alias("value"), "doc", "size", *SKETCH)
+    dealt = in_parts(meetings, crowded, pairs=False).drop("value").repartition("place").sortWithinPartitions("place", "doc")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def open_meetings(nodes: DataFrame, crowded: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """value, doc, group: crowded nodes that, at a value, meet one that may be similar and that links (node, root) do not connect to them."""
-    again = nodes.join(crowded.select(F.col("doc").alias("_doc")), F.col("doc") == F.col("_doc"), "left_semi").join(roots, F.col("doc") == F.col("node"), "left")
-
-    def open_ones(d: np.ndarray, group: np.ndarray, size: np.ndarray, *sketch: np.ndarray, block: int = 256) -> np.ndarray:
-        k, out = np.stack(sketch, axis=1).view(np.uint64), np.zeros(len(d), bool)
-        for start in range(0, len(d), block):
-            here = slice(start, start + block)
-            for other in range(start, len(d), 4096):
-                there = slice(other, other + 4096)
-                near = may_be_similar(k[here, None], k[there], size[here, None], size[there], similarity)[0] & (group[here, None] != group[there])
-                out[here] |= near.any(axis=1)
-                out[there] |= near.any(axis=0)
-        return out
+def open_meetings(nodes: DataFrame, crowded: DataFrame, several: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """value, doc, group: nodes among `several` that, at a value, meet one that may be similar and that links (node, root) do not connect to them."""
+    again = nodes.join(several.select(F.col("doc").alias("_doc")), F.col("doc") == F.col("_doc"), "left_semi").join(roots, F.col("doc") == F.col("node"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for value, d, group, size, *sketch in _runs(batches, ["place", "doc", "group", "size", *SKETCH]):
-            if (group != group[0]).any() and (open_here := open_ones(d, group, size, *sketch)).any():
+        for value, d, group, size, *sketch in _runs(batches, "place", ["value", "doc", "group", "size", *SKETCH]):
+            if (group != group[0]).any() and (open_here := open_ones(group, size, np.stack(sketch, axis=1).view(np.uint64), similarity)).any():
                 yield pa.RecordBatch.from_pydict({"value": value[open_here], "doc": d[open_here], "group": group[open_here]})
 
-    met_again = met(again.withColumn("group", F.coalesce("root", "doc")), "doc", "group", "size", *SKETCH)
-    return met_again.select("value", F.col("value").alias("place"), "doc", "group", "size", *SKETCH).mapInArrow(run, "value long, doc long, group long")
+    meetings = again.withColumn("group", F.coalesce("root", "doc")).select(F.explode("places").alias("value"), "doc", "group", "size", *SKETCH)
+    dealt = in_parts(meetings, crowded, pairs=True).drop("parts").repartition("place").sortWithinPartitions("place", "group")
+    return dealt.mapInArrow(run, "value long, doc long, group long").distinct()
+
+
+def open_ones(group: np.ndarray, size: np.ndarray, k: np.ndarray, similarity: float, block: int = 256) -> np.ndarray:
+    """Which nodes, in order of their groups, may be similar to one of another group; nodes of a group are not compared."""
+    out = np.zeros(len(group), bool)
+    for start in range(0, len(group), block):
+        here = slice(start, start + block)
+        after = int(np.searchsorted(group, group[start], side="right"))
+        for other in range(after if after >= start + block else start, len(group), 4096):
+            there = slice(other, other + 4096)
+            near = may_be_similar(k[here, None], k[there], size[here, None], size[there], similarity)[0] & (group[here, None] != group[there])
+            out[here] |= near.any(axis=1)
+            out[there] |= near.any(axis=0)
+    return out
 
 
-def linked(meetings: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, at_once: int = 4_000) -> DataFrame:
+def linked(meetings: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, at_once: int = AT_ONCE) -> DataFrame:
     """Links a, b that connect the groups of what meets (value, doc, group), verified on sets of shingles (doc, hashes).
 
     Nodes that meet at a value are compared in one task with their sets, and only a link that
@@ -362,10 +398,8 @@ def linked(meetings: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: f
     of them meets each other part in a task of its own.
     """
     # Only values where many meet are parted: few, so that the meetings themselves need not move for it.
-    parts = meetings.groupBy(F.col("value").alias("_value")).agg(F.count("*").alias("n")).where(F.col("n") > at_once).select("_value", F.ceil(F.col("n") / at_once).cast("int").alias("_parts"))
-    own = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
-    places = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.xxhash64("value", F.least(own, other), F.greatest(own, other)))
-    dealt = meetings.join(parts, F.col("value") == F.col("_value"), "left").withColumn("parts", F.coalesce("_parts", F.lit(1))).select(F.explode(F.array_distinct(places)).alias("place"), "doc", "group")
+    parts = settle(meetings.groupBy(F.col("value").alias("_value")).agg(F.count("*").alias("n")).where(F.col("n") > at_once).select("_value", F.ceil(F.col("n") / at_once).cast("int").alias("_parts")), "parts")
+    dealt = in_parts(meetings, parts, pairs=True).select("place", "doc", "group")
     told = nodes.select(F.col("doc").alias("_doc"), "size", *SKETCH).join(sets.select(F.col("doc").alias("_of"), "hashes"), F.col("_doc") == F.col("_of"))
     rows = dealt.join(told, F.col("doc") == F.col("_doc")).select("place", "doc", "group", "size", *SKETCH, "hashes").repartition("place").sortWithinPartitions("place", "doc")
 
@@ -446,8 +480,11 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(judged, "a long, b long")
 
 
-def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id: the least id that chains of near copies reach, of documents with equal contents or verified similarity."""
+def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, at_once: int = AT_ONCE) -> DataFrame:
+    """doc_id, component_id: the least id that chains of near copies reach, of documents with equal contents or verified similarity.
+
+    `at_once` is how many nodes of one place a task compares; it does not change the classes.
+    """
     all_docs = settle(_contents(docs, doc_id, text, shingle), "contents")
     columns = ("fingerprint", "places", "size", *SKETCH)
     nodes = settle(all_docs.groupBy("content").agg(F.min(doc_id).alias("doc"), *(F.first(c).alias(c) for c in columns)), "nodes")
@@ -456,14 +493,15 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     same = nodes.join(firsts.withColumnRenamed("fingerprint", "_print"), F.col("fingerprint") == F.col("_print")).where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
     by_prints = between_firsts(links(nodes), firsts).unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     meeting = settle(that_meet(nodes).select("doc", *columns), "meeting")
-    found = settle(candidates(meeting, similarity).unionByName(by_prints).distinct(), "candidates")
+    crowded = settle(crowds(meeting, at_once), "crowds")
+    found = settle(candidates(meeting, crowded, similarity).unionByName(by_prints).distinct(), "candidates")
     sets = settle(shingle_sets(docs, found.select("a").union(found.select("b")).distinct(), doc_id=doc_id, text=text, shingle=shingle), "sets")
     edges = settle(verified(found.where("a < b"), sets, similarity), "verified")
     roots = components(edges)
-    crowded = found.where("a = b").select(F.col("a").alias("doc"))
-    if not crowded.isEmpty():
-        meetings = settle(open_meetings(meeting, crowded, roots, similarity), "meetings")
-        more = settle(linked(meetings, meeting, sets, similarity), "more")
+    several = found.where("a = b").select(F.col("a").alias("doc"))
+    if not several.isEmpty():
+        meetings = settle(open_meetings(meeting, crowded, several, roots, similarity), "meetings")
+        more = settle(linked(meetings, meeting, sets, similarity, at_once), "more")
         if not more.isEmpty():
             roots = merged_roots(roots, more)
     named = nodes.join(roots, F.col("doc") == F.col("node"), "left").select(F.col("content").alias("_content"), F.coalesce("root", "doc").alias("component_id"))

@@ -141,8 +141,22 @@ def test_every_pair_that_meets_is_verified(documents):
             for k in rng.sample(range(160), rng.randint(0, 6)):
                 w[k] = f"u{rng.randrange(10**6)}"
             rows.append((len(rows), " ".join(w)))
-    got = {r["doc_id"]: r["component_id"] for r in S.near_copies(documents(rows)).collect()}
-    assert got == linked_by_brute_force(rows)
+    wanted = linked_by_brute_force(rows)
+    for at_once in (S.AT_ONCE, 4):
+        got = {r["doc_id"]: r["component_id"] for r in S.near_copies(documents(rows), at_once=at_once).collect()}
+        assert got == wanted, f"{at_once} at once"
+
+
+def test_open_nodes_are_those_of_a_plain_comparison():
+    rng = np.random.default_rng(8)
+    shared = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate((shared, rng.integers(0, 1 << 63, int(n)).astype(np.uint64)))) for n in rng.integers(20, 400, 90)]
+    size, k = np.array([len(x) for x in sets]), S.sketches(S.least_hashes(sets))
+    for groups in (1, 3, 90):
+        group = np.sort(rng.integers(0, groups, 90))
+        near = S.may_be_similar(k[:, None], k, size[:, None], size, 0.8)[0] & (group[:, None] != group)
+        for block in (4, 16, 256):
+            assert (S.open_ones(group, size, k, 0.8, block) == near.any(axis=1)).all()
 
 
 def test_places_in_parts_connect_the_same(spark):
