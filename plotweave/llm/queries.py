@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm import audio, decontaminate, extract, mixing, packing, preferences, repeats, simhash, toxicity, urls
+from plotweave.llm import audio, decontaminate, extract, mixing, packing, periodic, preferences, repeats, simhash, tokencount, toxicity, urls
 from plotweave.llm.common import table
 
 END_ID = 2
@@ -84,7 +86,41 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_packing, op3_html_extraction, op4_toxicity, op5_mixing, op6_repeated_windows, op7_audio_fingerprints, op8_simhash, op9_url_filters, op10_preferences)}
+def repeated_words(key: int | None, text: bytes) -> list[bytes]:
+    """The words of a text; for one id in ten, by its CRC-32, those from some word on are made to repeat. A null id changes nothing."""
+    words = text.split()
+    h = None if key is None else zlib.crc32(str(key).encode())
+    if h is None or h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    start = g % n
+    period = 1 + (n - start) // (3 + g % 8)
+    return words[:start] + [words[start + i % period] for i in range(n - start)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out, _, runs, collapsed = periodic.periodic_runs(docs, words=repeated_words)
+    longest = F.array_min(F.transform(runs, lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform(runs, lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    best = out.withColumn("best", longest)
+    return best.select(
+        "doc_id",
+        F.size(runs).cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.shorter")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("-best.shorter * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size(runs) > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2(F.col(collapsed), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), limit=512)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_packing, op3_html_extraction, op4_toxicity, op5_mixing, op6_repeated_windows, op7_audio_fingerprints, op8_simhash, op9_url_filters, op10_preferences, op12_periodic_runs, op13_token_counts)}
 ORACLE_OP1 = r"""
 WITH doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 item AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
