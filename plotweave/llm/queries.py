@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm import audio, decontaminate, extract, mixing, packing, periodic, preferences, repeats, simhash, tokencount, toxicity, urls
+from plotweave.llm import audio, collocations, decontaminate, extract, mixing, packing, periodic, preferences, repeats, simhash, tokencount, toxicity, urls
 from plotweave.llm.common import table
 
 END_ID = 2
@@ -86,6 +86,10 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), max_words=3, least=10, share=50, top=2000)
+
+
 def repeated_words(key: int | None, text: bytes) -> list[bytes]:
     """The words of a text; for one id in ten, by its CRC-32, those from some word on are made to repeat. A null id changes nothing."""
     words = text.split()
@@ -120,7 +124,7 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_packing, op3_html_extraction, op4_toxicity, op5_mixing, op6_repeated_windows, op7_audio_fingerprints, op8_simhash, op9_url_filters, op10_preferences, op12_periodic_runs, op13_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_packing, op3_html_extraction, op4_toxicity, op5_mixing, op6_repeated_windows, op7_audio_fingerprints, op8_simhash, op9_url_filters, op10_preferences, op11_collocations, op12_periodic_runs, op13_token_counts)}
 ORACLE_OP1 = r"""
 WITH doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 item AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -154,5 +158,24 @@ SELECT pair_id, count(*) FILTER (common) AS n_prompt_turns,
 FROM placed GROUP BY pair_id
 """
 
+ORACLE_OP11 = r"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+cut AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM cut GROUP BY lang),
+gram AS (SELECT lang, 1 AS k, unnest(w) AS phrase FROM cut
+  UNION ALL SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM cut
+  UNION ALL SELECT lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) FROM cut),
+f AS (SELECT lang, k, phrase, count(*)::BIGINT AS f FROM gram GROUP BY ALL HAVING count(*) >= 10),
+cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+longer AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, w[1] || ' ' || w[2] AS phrase, f FROM cand WHERE k = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], f FROM cand WHERE k = 3) GROUP BY lang, phrase),
+kept AS (SELECT c.* FROM cand c LEFT JOIN longer o ON c.lang = o.lang AND c.phrase = o.phrase WHERE o.f IS NULL OR 100 * o.f < 50 * c.f),
+ways AS (SELECT lang, phrase, f AS a, c, array_to_string(w[1 : c], ' ') AS one, array_to_string(w[c + 1 : k], ' ') AS two FROM (SELECT *, unnest(range(1, k)) AS c FROM kept)),
+scored AS (SELECT ways.lang, ways.phrase, a, c, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM ways JOIN f x ON x.lang = ways.lang AND x.phrase = one JOIN f y ON y.lang = ways.lang AND y.phrase = two),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM placed JOIN total USING (lang) WHERE rank <= 2000
+"""
+
 #: The other operators hash, learn or walk in ways SQL has no form for; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op1_decontaminate": ORACLE_OP1, "op10_preferences": ORACLE_OP10}
+ORACLES: dict[str, str] = {"op1_decontaminate": ORACLE_OP1, "op10_preferences": ORACLE_OP10, "op11_collocations": ORACLE_OP11}
