@@ -4,7 +4,8 @@ Only a byte-level BPE file without normaliser, prefix space, word affixes, dropo
 `plain`: there each pre-token goes through the merges on its own. Two kinds of text are left to the
 library even then: those that hold the content of an added token, which is found before the cut,
 and those with code points that Unicode 15.1 has not assigned, which the library's tables and
-those of `regex` may class differently (on all others they agree; tested).
+those of `regex` may class differently (on all others they agree; tested). None of those is white
+space, so what lies between blanks can be left to the library alone.
 """
 
 from __future__ import annotations
@@ -75,5 +76,12 @@ class Cutter:
         self.pre_tokens = regex.compile(PRE_TOKEN).findall
         self.unassigned = unassigned()
 
+    def holds_added(self, text: str) -> bool:
+        return any(x in text for x in self.added)
+
+    def classed(self, text: str) -> bool:
+        """Whether both tables of classes know all of a text's code points."""
+        return text.isascii() or self.unassigned(text) is None
+
     def whole(self, text: str) -> bool:
-        return any(x in text for x in self.added) or (not text.isascii() and self.unassigned(text) is not None)
+        return self.holds_added(text) or not self.classed(text)

@@ -1,7 +1,7 @@
 """How many tokens texts have: a map-side lookup in two tiers, without a shuffle of pre-tokens.
 
-The first tier is a table of the most frequent pre-tokens and their lengths in tokens, which is
-broadcast: at most `entries` of at most LONGEST_KEY characters each, so at most a few megabytes
+The first tier is a table of the most frequent pre-tokens (with their blank, and the mark that may
+follow) and their lengths in tokens, which is broadcast: at most `entries` of at most LONGEST_KEY characters each, so at most a few megabytes
 whatever the corpus. It is made from the first texts of a few partitions, spread over the input;
 what is in it changes how fast texts are counted, never the counts. The second tier is a bounded
 cache in each Python worker: a pre-token that neither tier has is encoded by the library's model
@@ -17,6 +17,7 @@ whole; other columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -53,39 +54,56 @@ def _library(path: str):
 
 
 class TokenCounter:
-    """Counts tokens of texts; keeps what it has encoded."""
+    """Counts tokens of texts; keeps what it has encoded.
+
+    No pre-token reaches over the start of a blank between two other characters, so a text without
+    two characters of white space in a row is looked up by what lies between its blanks: mostly a
+    pre-token with its blank, or that and a mark. Such a piece is cut further only if it is in neither tier.
+    """
 
     def __init__(self, path: str):
         self.tokenizer, self.encode = _library(path)
         self.cutter = Cutter(self.tokenizer) if is_plain(path) else None
         self.seen: dict[str, int] = {}
+        self.double = re.compile(r"\s\s").search
 
-    def length(self, pre_token: str) -> int:
-        """The tokens of one pre-token, by the library's merges."""
-        known = self.seen.get(pre_token)
+    def length(self, piece: str) -> int:
+        """The tokens of a piece that begins where a pre-token does, by the library's merges of its pre-tokens."""
+        known = self.seen.get(piece)
         if known is None:
-            known = len(self.tokenizer.model.tokenize(as_signs(pre_token)))
-            if len(pre_token) <= 2 * LONGEST_KEY:
+            known = self._learnt(piece)
+            if len(piece) <= 2 * LONGEST_KEY:
                 if len(self.seen) >= REMEMBERED:
                     self.seen.clear()
-                self.seen[pre_token] = known
+                self.seen[piece] = known
         return known
 
+    def _learnt(self, piece: str) -> int:
+        if not self.cutter.classed(piece):
+            return self._whole([piece])[0]
+        pre_tokens = self.cutter.pre_tokens(piece)
+        return sum(map(self.length, pre_tokens)) if len(pre_tokens) > 1 else len(self.tokenizer.model.tokenize(as_signs(piece)))
+
     def count(self, texts: list[str], frequent: dict[str, int]) -> list[int]:
-        """The tokens of each text; `frequent` is the first tier."""
+        """The tokens of each text; `frequent` is the first tier, by pieces without the blank before them."""
         if self.cutter is None:
             return self._whole(texts)
         out, late = [], []
         for k, text in enumerate(texts):
-            if self.cutter.whole(text):
+            double = self.double(text)
+            if self.cutter.holds_added(text) or double and not self.cutter.classed(text):
                 late.append(k)
                 out.append(0)
                 continue
-            pre_tokens = self.cutter.pre_tokens(text)
-            found = list(map(frequent.get, pre_tokens, repeat(0)))
-            n = sum(found)
+            if double:
+                out.append(sum(map(self.length, self.cutter.pre_tokens(text))))
+                continue
+            pieces = text.split(" ")
+            first = pieces.pop(0)
+            found = list(map(frequent.get, pieces, repeat(0)))
+            n = sum(found) + (self.length(first) if first else 0)
             if 0 in found:
-                n += sum(self.length(t) for t, x in zip(pre_tokens, found, strict=True) if not x)
+                n += sum(self.length(f" {t}") for t, x in zip(pieces, found, strict=True) if not x)
             out.append(n)
         for k, n in zip(late, self._whole([texts[k] for k in late]), strict=True):
             out[k] = n
@@ -115,7 +133,7 @@ def is_sampled(partition: int, per_octave: int = SAMPLED_PER_OCTAVE) -> bool:
 
 
 def frequent_lengths(docs: DataFrame, path: str, *, text: str = "text", entries: int = ENTRIES) -> dict[str, int]:
-    """The first tier: frequent pre-tokens of a bounded part of the texts, with their lengths in tokens."""
+    """The first tier: frequent pre-tokens of a bounded part of the texts, without their blank, with their lengths in tokens."""
     if not is_plain(path) or not entries:
         return {}
 
@@ -128,13 +146,13 @@ def frequent_lengths(docs: DataFrame, path: str, *, text: str = "text", entries:
         for batch in batches:
             for value in batch.column(0).slice(0, SAMPLED_ROWS - rows).to_pylist():
                 part = (value or "")[:SAMPLED_CHARS]
-                if not counter.cutter.whole(part):
-                    seen.update(t for t in counter.cutter.pre_tokens(part) if len(t) <= LONGEST_KEY)
+                if not counter.cutter.holds_added(part) and not counter.double(part):
+                    seen.update(t for t in part.split(" ")[1:] if len(t) <= LONGEST_KEY)
             rows += batch.num_rows
             if rows >= SAMPLED_ROWS:
                 break
         top = seen.most_common(HANDED_IN)
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64()), pa.array([counter.length(t) for t, _ in top], pa.int64())], names=["pre_token", "n", "length"])
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64()), pa.array([counter.length(f" {t}") for t, _ in top], pa.int64())], names=["pre_token", "n", "length"])
 
     total, lengths = Counter(), {}
     for batch in docs.select(text).mapInArrow(sample, "pre_token string, n long, length long").toArrow().to_batches():

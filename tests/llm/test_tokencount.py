@@ -59,4 +59,4 @@ def test_sampled_partitions_are_few_and_spread():
 def test_first_tier_is_bounded(spark, documents):
     docs = documents([(k, f"the cat {k} sat on the mat " + "y" * 50) for k in range(100)])
     first = tokencount.frequent_lengths(docs, tokenizer_path(), entries=5)
-    assert len(first) == 5 and first[" the"] == 1
+    assert len(first) == 5 and first["the"] == 1
