@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from plotweave.llm.common import as_bytes, settle
 
 #: Text of one shard; its automaton takes about ten times as much memory.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 8 << 20
+#: Text for each bucket of phrases; a bucket takes about ten times as much memory.
+BUCKET_BYTES = 4 << 20
 #: The sieve's bits for each frequent phrase, and its largest size: 64 MB.
 BITS_EACH, MOST_BITS = 32, 1 << 29
 #: A byte that no UTF-8 text has stands for what ends a piece.
@@ -46,6 +48,17 @@ def words_and_barriers(text: bytes) -> list[bytes]:
     return (text.translate(PIECE_BYTES) + BARRIER).replace(BARRIER, b" \xff ").split()
 
 
+def named(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal keys by one number each: a place that has it, the number at each place, and how many places have it."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(keys) else np.zeros(0, bool)
+    group = np.empty(len(keys), np.int32)
+    group[order] = np.cumsum(new, dtype=np.int32) - 1
+    starts = np.flatnonzero(new)
+    return order[starts], group, np.diff(np.append(starts, len(keys))).astype(np.int32)
+
+
 class ShardAutomaton:
     """The states of all phrases of at most `depth` words of a sequence of word numbers; 0 parts phrases.
 
@@ -57,34 +70,32 @@ class ShardAutomaton:
 
     def __init__(self, words: np.ndarray, depth: int, wanted=None):
         n, base = len(words), 0
-        node = np.where(words > 0, words.astype(np.int64), -1)  # of the phrase of k words that starts at a place
-        times, end, length, suffix, upper = [], [], [], [], []
+        node = np.full(n, -1, np.int32)  # of the phrase of k words that starts at a place
+        at, keys, below = np.flatnonzero(words > 0), words[words > 0], None
+        times, end, length, suffix = [], [], [], []
         for k in range(1, depth + 1):
-            at = np.flatnonzero(node >= 0)
-            _, first, group, counts = np.unique(node[at], return_index=True, return_inverse=True, return_counts=True)
+            first, group, counts = named(keys)
             node[at] = group
             ends = at[first] + k - 1
             times.append(counts)
-            end.append(ends)
+            end.append(ends.astype(np.int32))
             length.append(np.full(len(counts), k, np.int8))
             # The suffix one word shorter starts one place later; on the first level there is none.
-            suffix.append(below[at[first] + 1] + base if k > 1 else np.full(len(counts), -1))
-            upper.append(len(counts))
-            base += upper[-2] if k > 1 else 0
+            suffix.append(below[at[first] + 1] + base if k > 1 else np.full(len(counts), -1, np.int32))
+            base += len(times[-2]) if k > 1 else 0
             if k == depth:
                 break
-            if wanted is not None:
-                passed = np.append(wanted(k, ends), False)  # -1 finds the last one
-                node[~passed[node]] = -1
-            below = node
-            node = np.full(n, -1, np.int64)
-            both = np.flatnonzero((below[: n - 1] >= 0) & (below[1:] >= 0))
+            below, passed = node, np.ones(len(counts) + 1, bool) if wanted is None else np.append(wanted(k, ends), False)
+            passed[-1] = False  # -1 finds the last one
+            node = np.full(n, -1, np.int32)
+            may = passed[below]
             # Two phrases of k words that overlap in all but one word are one of k + 1 words.
-            node[both] = below[both] * (upper[-1] + 1) + below[both + 1]
+            at = np.flatnonzero(may[:-1] & may[1:])
+            keys = below[at].astype(np.int64) * (len(counts) + 1) + below[at + 1]
         self.times, self.end, self.length = (np.concatenate(x) for x in (times, end, length))
-        suffix = np.concatenate(suffix).astype(np.int64)
+        suffix = np.concatenate(suffix)
         # A phrase is in the state of the phrase one word longer that it is a suffix of, if both end equally often.
-        top = np.arange(len(suffix))
+        top = np.arange(len(suffix), dtype=np.int32)
         same = np.flatnonzero(suffix >= 0)
         same = same[self.times[suffix[same]] == self.times[same]]
         top[suffix[same]] = same
@@ -92,13 +103,13 @@ class ShardAutomaton:
             top = top[top]
         self.shortest = self.length.copy()
         np.minimum.at(self.shortest, top, self.length)
-        link = suffix.copy()
+        link = suffix
         for _ in range(depth - 1):
-            inside = link >= 0
-            inside[inside] = top[link[inside]] == top[inside]
+            inside = np.flatnonzero(link >= 0)
+            inside = inside[top[link[inside]] == top[inside]]
             link[inside] = suffix[link[inside]]
         states = np.flatnonzero(top == np.arange(len(top)))
-        number = np.full(len(top) + 1, -1, np.int64)
+        number = np.full(len(top) + 1, -1, np.int32)
         number[states] = np.arange(len(states))
         self.link = number[np.where(link[states] >= 0, top[link[states]], -1)]
         self.times, self.end, self.length, self.shortest = (x[states] for x in (self.times, self.end, self.length, self.shortest))
@@ -134,15 +145,32 @@ def sieve_of(frequent: DataFrame) -> tuple[np.ndarray, int]:
     return sieve, bits
 
 
-def shard_counts(docs: DataFrame, lengths: tuple[int, ...], sieve: tuple[np.ndarray, int] | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """lang, phrase, f: how often each phrase of those numbers of words is in a shard, a row for each shard that has it.
+#: A row is what a shard has for a bucket of phrases: their bytes laid end to end, their sizes, and how often each occurs.
+PACKED = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("phrases", pa.binary()), ("sizes", pa.binary()), ("times", pa.binary())])
+
+
+def word_codes(known) -> np.ndarray:
+    """A number for each word that does not depend on the shard."""
+    return np.fromiter(map(zlib.crc32, known), np.uint64, len(known))
+
+
+def phrase_codes(codes: np.ndarray, words: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+    out = np.full(len(ends), k, np.uint64)
+    for j in range(k - 1, -1, -1):
+        out = (out ^ codes[words[ends - j]]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def shard_counts(docs: DataFrame, lengths: tuple[int, ...], buckets: int, sieve: tuple[np.ndarray, int] | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """How often each phrase of those numbers of words is in a shard, packed by buckets of phrases.
 
     The number of all words of a language comes with the phrase ''.
     """
     shared = None if sieve is None else docs.sparkSession.sparkContext.broadcast(sieve)
 
     def counted(lang: bytes, known: defaultdict, words: np.ndarray) -> Iterator[pa.RecordBatch]:
-        vocabulary = pa.array(list(known), pa.large_binary())
+        vocabulary, codes = pa.array(list(known), pa.large_binary()), word_codes(known)
 
         def wanted(k: int, ends: np.ndarray) -> np.ndarray:
             bitmap, bits = shared.value
@@ -151,16 +179,23 @@ def shard_counts(docs: DataFrame, lengths: tuple[int, ...], sieve: tuple[np.ndar
 
         automaton = ShardAutomaton(words, max(lengths), None if shared is None else wanted)
         if shared is None:
-            yield rows(lang, pa.array([b""], pa.large_binary()), np.array([np.count_nonzero(words)]))
+            yield row(lang, [0], [b""], [np.zeros(1, np.int32)], [np.array([np.count_nonzero(words)], np.int64)])
         for k in lengths:
             ends, times = automaton.phrases(k)
-            for i in range(0, len(ends), 1 << 16):
-                part = slice(i, i + (1 << 16))
-                yield rows(lang, spelled(vocabulary, words, ends[part], k), times[part])
-
-    def rows(lang: bytes, phrases: pa.Array, times: np.ndarray) -> pa.RecordBatch:
-        langs = pa.array([lang.decode()], pa.string()).take(pa.array(np.zeros(len(phrases), np.int32)))
-        return pa.RecordBatch.from_arrays([langs, phrases.cast(pa.large_string()).cast(pa.string()), pa.array(times, pa.int64())], names=["lang", "phrase", "f"])
+            bucket = (phrase_codes(codes, words, ends, k) >> np.uint64(16)).astype(np.int64) % buckets
+            order = np.argsort(bucket)
+            ends, times, bucket = ends[order], times[order].astype(np.int64), bucket[order]
+            text = spelled(vocabulary, words, ends, k)
+            at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            data = memoryview(text.buffers()[2] or b"")
+            cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(bucket) else np.zeros(1, np.int64)
+            pairs = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+            for some in range(0, len(pairs), 64):
+                part = pairs[some : some + 64]
+                yield row(lang, [int(bucket[a]) for a, _ in part], [bytes(data[at[a] : at[b]]) for a, b in part], [np.diff(at[a : b + 1]).astype(np.int32) for a, b in part], [times[a:b] for a, b in part])
+
+    def row(lang: bytes, bucket: list[int], phrases: list[bytes], sizes: list[np.ndarray], times: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang.decode()] * len(bucket), pa.string()), pa.array(bucket, pa.int64()), pa.array(phrases, pa.binary()), pa.array([x.tobytes() for x in sizes], pa.binary()), pa.array([x.tobytes() for x in times], pa.binary())], schema=PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def empty() -> defaultdict:
@@ -182,15 +217,31 @@ def shard_counts(docs: DataFrame, lengths: tuple[int, ...], sieve: tuple[np.ndar
         for key in list(read):
             yield from counted(key, known.pop(key), np.concatenate(read.pop(key)))
 
-    return docs.mapInArrow(run, "lang string, phrase string, f long")
+    return docs.mapInArrow(run, "lang string, bucket long, phrases binary, sizes binary, times binary")
+
+
+def reduced(rows: DataFrame, least: int) -> DataFrame:
+    """lang, phrase, f: the sums over all shards that reach `least`, and those of the phrase ''."""
+
+    def run(key, table):
+        sizes, times = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("sizes", np.int32), ("times", np.int64)))
+        at = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        data = b"".join(table.column("phrases").to_pylist())
+        phrases = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data)])
+        sums = pa.table({"phrase": phrases, "f": times}).group_by("phrase", use_threads=False).aggregate([("f", "sum")])
+        kept = sums.filter(pc.or_(pc.greater_equal(sums.column("f_sum"), least), pc.equal(sums.column("phrase"), pa.scalar(b"", pa.large_binary()))))
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(kept), pa.string()), "phrase": kept.column("phrase").cast(pa.large_string()).cast(pa.string()), "f": kept.column("f_sum")})
+
+    return rows.groupBy("lang", "bucket").applyInArrow(run, "lang string, phrase string, f long")
 
 
 def frequent_phrases(docs: DataFrame, *, max_words: int = 3, least: int = 10, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """lang, phrase, f of all phrases that occur `least` times or more in their language; with phrase '' all words' number."""
-    reduced = lambda rows: rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("phrase") == ""))
-    found = settle(reduced(shard_counts(docs, tuple(range(1, min(2, max_words) + 1)), None, shard_bytes)), "phrases")
+    # Buckets follow the bytes of text, so that each fits a task's memory.
+    buckets = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES
+    found = settle(reduced(shard_counts(docs, tuple(range(1, min(2, max_words) + 1)), buckets, None, shard_bytes), least), "phrases")
     for k in range(3, max_words + 1):
-        longer = settle(reduced(shard_counts(docs, (k,), sieve_of(found.where("phrase <> ''")), shard_bytes)), "phrases")
+        longer = settle(reduced(shard_counts(docs, (k,), buckets, sieve_of(found.where("phrase <> ''")), shard_bytes), least), "phrases")
         found = found.unionByName(longer)
     return found
 
