@@ -16,19 +16,20 @@ joins, which Spark splits where they are uneven.
 
 Defined cases: null is an empty text; texts shorter than the depth lose nothing; a null id is not
 before or after any other, so its row loses nothing and removes nothing; rows that share an id do
-not remove from each other, each being judged against smaller ids; an empty table gives no rows.
+not remove from each other, each being judged against smaller ids: their different texts are numbered,
+up to MOST_TEXTS of one id; ids are integers, or strings that spell one; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plotweave.llm.common import as_bytes, flat, settle, slices
@@ -38,6 +39,9 @@ ANCHOR = 16
 MOST_DEPTH = 2000
 #: Bytes of text for each bucket of anchors.
 BUCKET_BYTES = 8 << 20
+#: A range is one number: the number of a text among those of its id, where it starts (texts have less than 2 GB), its length.
+MARK_BITS, PLACE_BITS, SIZE_BITS = 20, 31, 12
+MOST_TEXTS = 1 << MARK_BITS
 #: With more documents than this, anchors that HOT_SHARE of a sample of documents has take the way by rows.
 #: The sample routes rows only; either way gives the same result.
 HOT, HOT_SHARE, HOT_SAMPLE = 400_000, 0.01, 64
@@ -95,8 +99,7 @@ def _parts(batch: pa.RecordBatch, depth: int):
     column = as_bytes(batch.column("text"))
     data, at = flat(column)
     text, start, n, key = windows(data, at, depth)
-    marks = np.array([zlib.crc32(v.as_py()) & 0xFFFF for v in column], np.int64)
-    return batch.column("doc").to_numpy(), marks, data, at, text, start, n, key
+    return batch.column("doc").to_numpy(), batch.column("mark").to_numpy(), data, at, text, start, n, key
 
 
 def _hashes(data: np.ndarray, start: np.ndarray, n: np.ndarray, depth: int) -> np.ndarray:
@@ -114,7 +117,7 @@ def _rows(bucket: np.ndarray, buckets: int, doc: np.ndarray, marks: np.ndarray,
         first = np.flatnonzero(np.diff(text[mine], prepend=-1))
         owner = text[mine[first]]
         counts = np.diff(np.append(first, len(mine))).astype(np.int32)
-        rows.append({"bucket": b, "docs": doc[owner].tobytes(), "marks": marks[owner].astype(np.uint16).tobytes(), "counts": counts.tobytes()} | columns(mine))
+        rows.append({"bucket": b, "docs": doc[owner].tobytes(), "marks": marks[owner].astype(np.uint32).tobytes(), "counts": counts.tobytes()} | columns(mine))
     return pa.RecordBatch.from_pylist(rows, schema=ROWS) if rows else None
 
 
@@ -127,7 +130,7 @@ def _unpacked(table) -> tuple[np.ndarray, ...]:
     counts = [np.frombuffer(c.as_py(), np.int32) for c in table.column("counts")]
     each = lambda c, kind: np.concatenate([np.repeat(np.frombuffer(x.as_py(), kind), k) for x, k in zip(table.column(c), counts, strict=True)])
     planes = lambda c, size, kind: np.concatenate([_unplaned(x.as_py(), size, kind) for x in table.column(c)])
-    return each("docs", np.int64), each("marks", np.uint16), planes("keys", 6, np.uint64), planes("places", 5, np.int64), planes("sizes", 2, np.int64)
+    return each("docs", np.int64), each("marks", np.uint32), planes("keys", 6, np.uint64), planes("places", 5, np.int64), planes("sizes", 2, np.int64)
 
 
 def _anchors(depth: int, buckets: int, hot: np.ndarray):
@@ -140,7 +143,7 @@ def _anchors(depth: int, buckets: int, hot: np.ndarray):
                 use = ~np.isin(key & KEY_BITS, hot)
                 text, start, n, key = text[use], start[use], n[use], key[use]
             unit, place = _hashes(data, start, n, depth), (start - at[text]).astype(np.int64)
-            out = _rows((key >> np.uint64(48)).astype(np.int64) % buckets, buckets, doc, marks, text, lambda m: {"keys": _planes(key[m], 6), "units": unit[m].tobytes(), "places": _planes(place[m], 5), "sizes": _planes(n[m].astype(np.int64), 2), "texts": None})
+            out = _rows((_mixed(key, 0xA0761D6478BD642F) >> np.uint64(32)).astype(np.int64) % buckets, buckets, doc, marks, text, lambda m: {"keys": _planes(key[m], 6), "units": unit[m].tobytes(), "places": _planes(place[m], 5), "sizes": _planes(n[m].astype(np.int64), 2), "texts": None})
             if out is not None:
                 yield out
 
@@ -180,14 +183,15 @@ def _asked(batches: Iterator[pa.RecordBatch], depth: int):
     for batch in slices(batches, "text", 2 << 20):
         column = as_bytes(batch.column("text"))
         data, at = flat(column)
-        marks = np.array([zlib.crc32(v.as_py()) & 0xFFFF for v in column], np.int64)
+        marks = batch.column("mark").to_numpy().astype(np.int64)
         asked = batch.column("asked")
         row = np.repeat(np.arange(batch.num_rows), np.diff(np.append(0, np.cumsum([len(x) for x in asked]))))
         flat_asked = asked.flatten()
         value, key = (np.asarray(flat_asked.field(k)) for k in (0, 1))
-        own = (value >> 48 & 0xFFFF) == marks[row]
-        row, value, key = row[own], value[own], key[own]
-        yield batch, data, at, marks, row, at[row] + (value >> 12 & PLACE_BITS), (value & 0xFFF) - depth + 1, key.astype(np.int64).view(np.uint64)
+        mark, place, size = _unpacked_range(value)
+        own = mark == marks[row]
+        row, key = row[own], key[own]
+        yield batch, data, at, marks, row, at[row] + place[own], size[own] - depth + 1, key.astype(np.int64).view(np.uint64)
 
 
 def _texts(depth: int, buckets: int):
@@ -205,12 +209,13 @@ def _texts(depth: int, buckets: int):
     return run
 
 
-PLACE_BITS = (1 << 36) - 1
-
-
 def _packed(mark: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A removed range of a document in one number: the text's mark, where it starts, its length."""
-    return (mark.astype(np.int64) << 48) | (start.astype(np.int64) << 12) | size.astype(np.int64)
+    return (mark.astype(np.int64) << (PLACE_BITS + SIZE_BITS)) | (start.astype(np.int64) << SIZE_BITS) | size.astype(np.int64)
+
+
+def _unpacked_range(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return value >> (PLACE_BITS + SIZE_BITS), value >> SIZE_BITS & ((1 << PLACE_BITS) - 1), value & ((1 << SIZE_BITS) - 1)
 
 
 def radix_groups(texts: np.ndarray, places: np.ndarray, group: np.ndarray, doc: np.ndarray, depth: int) -> np.ndarray:
@@ -309,28 +314,44 @@ def _hot_windows(depth: int):
 def covered(values: list[int] | None, mark: int, size: int) -> np.ndarray:
     """Which bytes of a text of that size the ranges with its mark cover."""
     edges = np.zeros(size + 1, np.int64)
-    v = np.array(values or [], np.int64)
-    v = v[(v >> 48 & 0xFFFF) == mark]
-    start = v >> 12 & PLACE_BITS
+    marks, start, length = _unpacked_range(np.array(values or [], np.int64))
+    start, length = start[marks == mark], length[marks == mark]
     np.add.at(edges, start, 1)
-    np.add.at(edges, np.minimum(start + (v & 0xFFF), size), -1)
+    np.add.at(edges, np.minimum(start + length, size), -1)
     return np.cumsum(edges[:-1]) > 0
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """The documents (doc, text) with `mark`, the number of a text among the different ones of its id.
+
+    Ids have one text each as a rule, and then no text moves. Otherwise the texts are told apart by
+    two hashes of 64 bits, numbered, and met by their hashes; the table is written once.
+    """
+    repeated = docs.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc")
+    if repeated.isEmpty():
+        return docs.withColumn("mark", F.lit(0))
+    both = docs.withColumns({"one": F.xxhash64(F.coalesce("text", F.lit(""))), "two": F.xxhash64(F.octet_length(F.coalesce("text", F.lit(""))), F.reverse(F.coalesce("text", F.lit(""))))})
+    several = both.join(repeated, "doc", "left_semi").select("doc", "one", "two").distinct()
+    place = F.row_number().over(W.partitionBy("doc").orderBy("one", "two")) - 1
+    few = F.when(place < MOST_TEXTS, place).otherwise(F.raise_error(F.lit(f"an id has more than {MOST_TEXTS} different texts")).cast("int"))
+    numbers = several.select("doc", "one", "two", few.alias("mark"))
+    return settle(both.join(numbers, ["doc", "one", "two"], "left").select("doc", "text", F.coalesce("mark", F.lit(0)).alias("mark")), "marked")
+
+
 def repeated_ranges(docs: DataFrame, *, depth: int = 50, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """The documents (doc, text) that have an id, and (doc, value) rows of what they lose."""
+    """The documents (doc, text, mark) that have an id, and (doc, value) rows of what they lose."""
     if not ANCHOR < depth <= MOST_DEPTH:
         raise ValueError(f"depth is over {ANCHOR} and at most {MOST_DEPTH}")
-    known = docs.where(F.col("doc").isNotNull())
+    known = marked(docs.where(F.col("doc").isNotNull()))
     # Buckets follow the bytes of text, so that each fits a task's memory whatever the number of partitions.
-    buckets = min(1 << 16, 1 + (known.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
+    buckets = min((1 << 31) - 1, 1 + (known.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
     hot_keys = _hot_keys(known, depth, hot)
     rows = known.mapInArrow(_anchors(depth, buckets, hot_keys), ROWS_DDL)
     found = settle(rows.groupBy("bucket").applyInArrow(_sorted_out(depth), "doc long, value long, key long"), "anchors")
 
     def with_asked(units: DataFrame) -> DataFrame:
         asked = units.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("value", "key")).alias("asked"))
-        return known.join(asked, F.col("doc") == F.col("_doc")).select("doc", "text", "asked")
+        return known.join(asked, F.col("doc") == F.col("_doc")).select("doc", "text", "mark", "asked")
 
     parts = with_asked(found.where("key is not null")).mapInArrow(_texts(depth, buckets), ROWS_DDL)
     ranges = found.where("key is null").select("doc", "value").unionByName(parts.groupBy("bucket").applyInArrow(_ranges(depth), "doc long, value long"))
@@ -351,16 +372,16 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     plain = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     known, ranges = repeated_ranges(plain, depth=depth, hot=hot)
     lost = ranges.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("value").alias("values"))
-    both = known.join(lost, F.col("doc") == F.col("_doc"), "left").select("doc", "text", "values")
-    both = both.unionByName(plain.where(F.col("doc").isNull()).withColumn("values", F.lit(None).cast("array<long>")))
+    both = known.join(lost, F.col("doc") == F.col("_doc"), "left").select("doc", "text", "mark", "values")
+    both = both.unionByName(plain.where(F.col("doc").isNull()).withColumns({"mark": F.lit(0), "values": F.lit(None).cast("array<long>")}))
     schema = pa.schema([(doc_id, pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             out = []
-            for doc, raw, values in zip(batch.column("doc").to_pylist(), as_bytes(batch.column("text")), batch.column("values").to_pylist(), strict=True):
+            for doc, raw, mark, values in zip(batch.column("doc").to_pylist(), as_bytes(batch.column("text")), batch.column("mark").to_pylist(), batch.column("values").to_pylist(), strict=True):
                 raw = raw.as_py()
-                gone = covered(values, zlib.crc32(raw) & 0xFFFF, len(raw))
+                gone = covered(values, mark, len(raw))
                 edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if len(edge) else raw
                 out.append({doc_id: doc, "n_bytes": len(raw), "n_removed": int(gone.sum()), "removed": [{"start": a, "stop": b} for a, b in edge.reshape(-1, 2).tolist()], "kept": kept})

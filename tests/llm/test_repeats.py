@@ -67,3 +67,16 @@ def test_the_greatest_depth(documents):
     assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["removed"]), bytes(r["kept"])) for r in got) == plain(rows, R.MOST_DEPTH)
     with pytest.raises(ValueError):
         R.without_repeats(documents(rows), depth=R.MOST_DEPTH + 1)
+
+
+def test_texts_of_one_id_lose_their_own_bytes_only(documents):
+    """Two texts of id 2 with one CRC-32 in its low half: only the one that repeats document 1 loses bytes."""
+    import zlib
+
+    rng = random.Random(4)
+    text = lambda: "".join(rng.choice("abcdefgh ") for _ in range(100))
+    first = text()
+    other = next(t for t in iter(text, None) if zlib.crc32(t.encode()) & 0xFFFF == zlib.crc32(first.encode()) & 0xFFFF)
+    rows = [(1, first), (2, first), (2, other), (2, other), (2, "short"), (3, other + "!"), (2, None), (2, "")]
+    got = R.without_repeats(documents(rows)).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["removed"]), bytes(r["kept"])) for r in got) == plain(rows, 50)
