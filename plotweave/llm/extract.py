@@ -5,17 +5,20 @@ repeated node. A host's different trees are few; simple tree matching aligns the
 and then the merged ones, into the host's wrapper, whose nodes are the slots of its pages. Pages
 are then read through the wrapper, and Spark counts over all different pages of the host how many
 have a text in a slot, and how much text each slot has, a text counted once however many pages have
-it. A text that most pages of a host have in one slot is template. The content part is the deepest
-node of the wrapper below which most of the host's varying text lies; what is outside of it is no
-content, whatever its name. Within it, and on pages that have nothing there, words of tags and
-classes decide (menus, headers, footers, sidebars, notices, adverts, forms, reader comments).
+it. The content part is the deepest node of the wrapper below which most of the host's varying text
+lies; what is outside of it is no content, whatever its name. In it a text that most pages of a host
+have in one slot is template, unless such texts are half of the host's usual page or more: then the
+host has copies of one article, and all of them stay. Names of parts (menus, headers, footers, sidebars, notices, adverts,
+forms, reader comments) decide in the content part only where they leave no doubt, `share-links` but
+not `share-prices`; on pages that have nothing in a content part any such word does.
 
 Hot hosts cost no more per row than others: trees are counted with map-side sums before they meet,
 texts likewise, and a page meets its host's wrapper, one row, by a join.
 
 Defined cases: null or empty html has empty text; a page whose url has no host is read by itself,
-under the host ''; markup that is not closed is closed where its parent ends; elements nested
-deeper than MOST_DEPTH belong to the one at that depth; character references are decoded once;
+without a wrapper; markup that is not closed is closed where its parent ends; elements nested
+deeper than MOST_DEPTH are taken for children of the one at that depth, with their own names and
+those of what they lie in; numbers in names of classes (`post-12`, `id1234`) are one to a wrapper; character references are decoded once;
 pages that are repeated, also under one id, are read each, but show a host's template only once.
 """
 
@@ -43,6 +46,7 @@ CONTENT_SHARE = 0.7
 MOST_DEPTH = 100
 #: Comments and tags; nothing is tried twice, so text full of `<` costs no more than other text.
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
+NUMBER = re.compile(r"(?<![^\W_])\d+(?![^\W_])|\d{3,}")
 CLASS = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
@@ -54,19 +58,25 @@ OFF_TAGS = frozenset("nav footer aside form script style head button select dial
 OFF_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social comment comments commentlist respond disqus reply replies related recommended recommendations widget widgets toolbar pagination pager skip hidden".split()
 )
+#: Words that say nothing about what a part holds: beside these a word of OFF_WORDS names the part.
+SHAPE_WORDS = frozenset("area bar block body bottom box btn button buttons col column container content footer form global group header icon icons inner item items left link links list main middle module outer panel primary region right row secondary section side site slot small top unit wrap wrapper".split())
 ON_TAGS = frozenset(["article", "main"])
 ON_WORDS = frozenset(["article", "main", "post", "entry", "story"])
 
 
+#: What is known of a part: it may be content, a word of its names speaks against it, or its names leave no doubt that it is none.
+OPEN, DOUBTED, OFF = 0, 1, 2
+
+
 class Node:
     __slots__ = ("label", "children", "off", "on", "number")
 
-    def __init__(self, label: str, off: bool = False, on: bool = False):
+    def __init__(self, label: str, off: int = OPEN, on: bool = False):
         self.label, self.off, self.on, self.children, self.number = label, off, on, {}, 0
 
 
-def _marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Label of an element, and whether it marks a part as no content or as the content."""
+def _marks(tag: str, attributes: str) -> tuple[str, int, bool]:
+    """Label of an element, how far it marks a part as no content, and whether it marks it as the content."""
     words: list[str] = []
     shown = ""
     hidden = False
@@ -74,13 +84,14 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
         value = value.strip("\"'").lower()
         hidden |= name.lower() == "hidden"
         if name.lower() in ("class", "role"):
-            shown += f".{' '.join(sorted(value.split()))}"
+            # Numbers tell rows of a page, or pages, apart, but not parts.
+            shown += f".{' '.join(sorted({NUMBER.sub('#', x) for x in value.split()}))}"
         words += re.split(r"[\s_-]+", value)
     kinds = set(words)
     on = tag in ON_TAGS or bool(kinds & ON_WORDS) and tag in ("div", "section") and not kinds & OFF_WORDS
-    off = hidden or tag in OFF_TAGS or tag not in ("body", "html", "article", "main") and bool(kinds & OFF_WORDS)
-    # Siblings of which one is marked as no content are different nodes, whatever marks it.
-    return f"{tag}{shown}{'!' * off}", off, on
+    named = tag not in ("body", "html", "article", "main") and bool(kinds & OFF_WORDS)
+    sure = hidden or tag in OFF_TAGS or named and all(w in OFF_WORDS or w in SHAPE_WORDS or not w.isalpha() for w in kinds)
+    return f"{tag}{shown}", OFF if sure else DOUBTED if named else OPEN, on
 
 
 def parse(html: str) -> tuple[Node, list[tuple[int, str]]]:
@@ -145,10 +156,14 @@ def parse(html: str) -> tuple[Node, list[tuple[int, str]]]:
         if tag in VOID or m[3].endswith("/"):
             continue
         label, off, on = _marks(tag, m[3])
-        parent = path[-1][1]
-        node = parent.children.get(label) if len(path) <= MOST_DEPTH else parent
+        off = max(off, path[-1][1].off)
+        on = on or len(path) > MOST_DEPTH and path[-1][1].on
+        # Siblings that are marked differently are different nodes, whatever marks them.
+        label += "!" * off
+        parent = path[min(len(path) - 1, MOST_DEPTH)][1]
+        node = parent.children.get(label)
         if node is None:
-            node = parent.children[label] = Node(label, off or parent.off, on)
+            node = parent.children[label] = Node(label, off, on)
             node.number, nodes = nodes, nodes + 1
         path.append((tag, node))
         open_tags[tag] += 1
@@ -220,14 +235,14 @@ def slots_of(wrapper: list, tree: list) -> dict[int, str]:
     return found
 
 
-def shown(tree: list) -> set[int]:
-    """Numbers of the nodes whose text may be content."""
+def shown(tree: list, least: int) -> set[int]:
+    """Numbers of the nodes whose text may be content, if marks from `least` on speak against that."""
     nodes: list[tuple[list, bool]] = []
 
     def walk(t: list, on: bool) -> None:
         # A header within the content holds its title; any other is no content.
         on = on or bool(t[2])
-        off = t[1] or t[0].split(".")[0] == "header" and not on
+        off = t[1] >= least or t[0].split(".")[0].rstrip("!") == "header" and not on
         if not off:
             nodes.append((t, on))
             for c in t[4]:
@@ -275,19 +290,19 @@ class Reader:
     """Reads pages through their hosts' wrappers; a tree and wrapper that were met before are not aligned again."""
 
     def __init__(self):
-        self.known: dict[tuple, tuple[dict[int, str], set[int]]] = {}
+        self.known: dict[tuple, tuple[dict[int, str], set[int], set[int]]] = {}
 
-    def blocks(self, host: str, wrapper: str, html: str | None) -> list[tuple[str, bool, str]]:
-        """The slot of each block, whether words of tags and classes let it be content, and its text."""
+    def blocks(self, host: str, wrapper: str, html: str | None) -> list[tuple[str, bool, bool, str]]:
+        """The slot of each block, whether names leave it open, or let it be content beyond any doubt, and its text."""
         root, found = parse(html or "")
         own = as_lists(root)
         key = (host, _as_text(own))
         if key not in self.known:
             if len(self.known) > 2000:
                 self.known.clear()
-            self.known[key] = slots_of(json.loads(wrapper), own), shown(own)
-        slots, may = self.known[key]
-        return [(slots[n], n in may, line) for n, line in found]
+            self.known[key] = slots_of(json.loads(wrapper), own), shown(own, OFF), shown(own, DOUBTED)
+        slots, may, surely = self.known[key]
+        return [(slots[n], n in may, n in surely, line) for n, line in found]
 
 
 def _slot_key(slot: str, line: str) -> int:
@@ -300,7 +315,7 @@ def _texts_in_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
-            found = [sorted({(slot, _slot_key(slot, line), len(line)) for slot, _, line in reader.blocks(*row)}) for row in zip(*(part.column(c).to_pylist() for c in ("host", "wrapper", "html")), strict=True)]
+            found = [sorted({(slot, _slot_key(slot, line), len(line)) for slot, _, _, line in reader.blocks(*row)}) for row in zip(*(part.column(c).to_pylist() for c in ("host", "wrapper", "html")), strict=True)]
             rows = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in found]))
             slots, keys, sizes = (pa.array([x[k] for page in found for x in page], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64())))
             yield pa.RecordBatch.from_pydict({"host": part.column("host").take(rows), "body": part.column("body").take(rows), "slot": slots, "text_in_slot": keys, "chars": sizes})
@@ -336,10 +351,10 @@ def _content_slots(key, table):
     return pa.table({"_host": [key[0].as_py()], "content": [content_slot(chars)]})
 
 
-def chosen(blocks: list[tuple[str, bool, str]], content: str | None, template: set[int]) -> tuple[list[str], int]:
+def chosen(blocks: list[tuple[str, bool, bool, str]], content: str | None, template: set[int]) -> tuple[list[str], int]:
     """The content of a page's blocks, and how many blocks of the content part were template."""
-    inside = [b for b in blocks if content and (b[0] == content or b[0].startswith(f"{content}/"))]
-    part = [(slot, line) for slot, may, line in (inside if any(may for _, may, _ in inside) else blocks) if may]
+    part = [(slot, line) for slot, may, _, line in blocks if may and content and (slot == content or slot.startswith(f"{content}/"))]
+    part = part or [(slot, line) for slot, _, surely, line in blocks if surely]
     kept = [line for slot, line in part if _slot_key(slot, line) not in template]
     return kept, len(part) - len(kept)
 
@@ -367,15 +382,20 @@ def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", h
     """
     kind = pages.schema[page_id].dataType.simpleString()
     named = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-    wrapped = settle(wrappers(named).drop("pages"), "wrappers")
-    with_wrapper = named.join(wrapped, "host")
+    wrapped = settle(wrappers(named.where("host <> ''")).drop("pages"), "wrappers")
+    with_wrapper = named.join(wrapped, "host", "left").withColumn("wrapper", F.coalesce("wrapper", F.lit(_as_text(as_lists(Node(""))))))
     rows = with_wrapper.select("host", "wrapper", "html", F.xxhash64("html").alias("body")).mapInArrow(_texts_in_slots, "host string, body long, slot string, text_in_slot long, chars long")
     # Copies of a page are one body; a text that many pages have in a slot is one text.
     texts = settle(rows.distinct().groupBy("host", "slot", "text_in_slot").agg(F.count("*").alias("n"), F.first("chars").alias("chars")), "slot-texts")
     bodies = named.select("host", F.xxhash64("html").alias("body")).distinct().groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("bodies"))
-    common = texts.where((F.col("n") >= least) & (F.col("host") != "")).join(bodies, F.col("host") == F.col("_host")).where(F.col("n") >= share * F.col("bodies"))
-    # A slot has at most 1/share such texts, so a host's list is as short as its wrapper.
-    template = common.groupBy(F.col("host").alias("_of")).agg(F.collect_set("text_in_slot").alias("template"))
     parts = texts.where("host <> ''").groupBy("host", "slot").agg(F.sum("chars").alias("chars")).groupBy("host").applyInArrow(_content_slots, "_host string, content string")
+    inside = texts.join(parts, F.col("host") == F.col("_host")).where((F.col("content") != "") & ((F.col("slot") == F.col("content")) | F.startswith("slot", F.concat("content", F.lit("/")))))
+    judged = inside.drop("_host").join(bodies, F.col("host") == F.col("_host")).withColumn("common", (F.col("n") >= least) & (F.col("n") >= share * F.col("bodies")))
+    # A slot has at most 1/share such texts, so a host's list is as short as its wrapper.
+    template = judged.groupBy(F.col("host").alias("_of")).agg(
+        F.collect_set(F.when(F.col("common"), F.col("text_in_slot"))).alias("texts"),
+        F.sum(F.when(F.col("common"), F.col("chars")).otherwise(0)).alias("common_chars"),
+        (F.sum(F.col("n") * F.col("chars")) / F.first("bodies")).alias("usual_chars"),
+    ).select("_of", F.when(2 * F.col("common_chars") < F.col("usual_chars"), F.col("texts")).alias("template"))
     told = settle(parts.join(template, F.col("_host") == F.col("_of"), "left").select("_host", "content", "template"), "template")
     return with_wrapper.join(told, F.col("host") == F.col("_host"), "left").select("page_id", "url", "host", "wrapper", "html", "content", "template").mapInArrow(_contents, f"page_id {kind}, url string, text string, n_chars long, blocks int, template_blocks int")

@@ -49,6 +49,65 @@ def test_siblings_that_differ_in_id_or_hidden(spark):
     assert [r["text"] for r in got] == ["The words."] * 2
 
 
+def read(spark, rows):
+    return {r["page_id"]: r["text"] for r in X.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+ARTICLE = "".join(f"<p>Sentence {k} of the one article that this host has, in a few words.</p>" for k in range(8))
+ARTICLE_TEXT = "\n".join(f"Sentence {k} of the one article that this host has, in a few words." for k in range(8))
+
+
+def test_near_copies_of_one_article_stay(spark):
+    around = lambda k: f"<body><nav>Menu {k}</nav><article>{ARTICLE}{'<p>Late news.</p>' if k == 4 else ''}</article><footer>Foot {k}</footer></body>"
+    for n in (2, 3, 6):
+        got = read(spark, [(k, f"http://copies{n}.example/{k}", around(k)) for k in range(n)])
+        assert got == {k: ARTICLE_TEXT + ("\nLate news." if k == 4 else "") for k in range(n)}
+
+
+def test_class_words_within_the_article(spark):
+    body = lambda k: "".join(f"<p>Page {k} says something of its own in line {i}, at some length.</p>" for i in range(6))
+    inside = '<div class="social history">On social history.</div><section class="share-prices">Prices went up.</section><div class="share-buttons">Share</div><div class="ad">Buy</div><ul class="comment-list"><li>First!</li></ul>'
+    rows = [(k, f"http://words.example/{k}", f"<body><nav>Menu</nav><article>{body(k)}{inside.replace('.<', f' {k}.<')}</article></body>") for k in range(4)]
+    got = read(spark, rows)
+    assert all(got[k].split("\n")[6:] == [f"On social history {k}.", f"Prices went up {k}."] for k in range(4))
+
+
+def test_marks_below_the_greatest_depth(spark):
+    html = "<body><article>" + "<div>" * 120 + "<p>Told.</p><nav>Menu</nav><div class=comments><p>First!</p></div><p hidden>no</p><p>Told on.</p>" + "</div>" * 120 + "</article></body>"
+    assert read(spark, [(1, "http://deep.example/", html), (2, None, html)]) == {1: "Told.\nTold on.", 2: "Told.\nTold on."}
+
+
+def test_class_names_with_numbers_are_one_node(spark):
+    rows = [(k, f"http://ids.example/{k}", f"<body><div id=menu{k}>Menu {k}</div><div class='post post-{k} x{k + 1000}y'><p>Text number {k} of this host, long enough to be it.</p></div></body>") for k in range(40)]
+    assert read(spark, rows) == {k: f"Text number {k} of this host, long enough to be it." for k in range(40)}
+    trees = {X._as_text(X.as_lists(X.parse(h)[0])) for _, _, h in rows}
+    assert len(trees) == 1
+
+
+def plain_wrapper(pages):
+    """What the contract asks of made pages: the blocks of the article, in order."""
+    return {k: "\n".join(lines) for k, lines, _ in pages}
+
+
+def test_random_hosts_against_what_they_were_made_of(spark):
+    import random
+
+    rng = random.Random(11)
+    sentence = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randint(6, 25)))
+    pages = []
+    for host in range(8):
+        nested = rng.randint(0, 5)
+        box = rng.choice(["<div class=c{0}>", "<section class='k{0} wide'>", "<article>"]).format(host)
+        end = {"<d": "</div>", "<s": "</section>", "<a": "</article>"}[box[:2]]
+        for k in range(rng.randint(1, 9)):
+            lines = [sentence() for _ in range(rng.randint(5, 15))]
+            top, bottom = f"<ul class=nav-list><li>{sentence()}</li></ul>", f"<footer><p>{sentence()}</p></footer>"
+            ads = f"<div class='ad-box'><p>{sentence()}</p></div>"
+            html = f"<html><body>{top}<div>{'<div>' * nested}{box}{''.join(f'<p>{x}</p>' for x in lines[:3])}{ads}{''.join(f'<p>{x}</p>' for x in lines[3:])}{end}{'</div>' * nested}</div>{bottom}</body></html>"
+            pages.append((100 * host + k, lines, (f"http://h{host}.example/{k}", html)))
+    assert read(spark, [(k, *row) for k, _, row in pages]) == plain_wrapper(pages)
+
+
 def test_deep_and_broken_markup(spark):
     deep = "<div>" * 100_000 + "Deep down" + "</div>" * 100_000
     inline = "<i>" * 50_000 + "<p>One" * 50
