@@ -149,7 +149,7 @@ def _round_group(level: int, seed: int, last: bool):
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, total_share: float = 1.0, seed: int = 7, bucket_rows: int = BUCKET_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """doc_id, source, row_key, size, source_size, target, copies: how often the mix takes each row.
 
-    row_key and doc_id tell which row is meant; equal rows are interchangeable.
+    row_key, doc_id and source tell which row is meant; rows that are equal in these are interchangeable.
     """
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(doc_id), F.col(text)).alias("row_key"))
     return _copies(settle(sized, "sizes"), weights=weights, most=most, total_share=total_share, seed=seed, bucket_rows=bucket_rows, fan_in=fan_in)
@@ -187,19 +187,19 @@ def _copies(sized: DataFrame, *, weights, most, total_share, seed, bucket_rows,
     return out.select("doc_id", "source", F.col("key").alias("row_key"), "tie", "size", "source_size", "target", (F.col("whole") + F.col("fraction").cast("long")).alias("copies"))
 
 
-def repeat_rows(docs: DataFrame, copies: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeat_rows(docs: DataFrame, copies: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The documents with the columns they came with, each as often as `copies` says.
 
     Every document has its own number of copies, so documents and numbers meet by id: the one time
     that texts move here, alike for small and large inputs.
     """
-    key, mark, number, times, repeat = (fresh(docs.columns, x) for x in ("mix_id", "mix_key", "mix_tie", "mix_copies", "mix_repeat"))
-    told = copies.select(F.col("doc_id").alias(key), F.col("row_key").alias(mark), F.col("tie").alias(number), F.col("copies").alias(times)).where(F.col(times) > 0)
+    key, mark, origin, number, times, repeat = (fresh(docs.columns, x) for x in ("mix_id", "mix_key", "mix_source", "mix_tie", "mix_copies", "mix_repeat"))
+    told = copies.select(F.col("doc_id").alias(key), F.col("row_key").alias(mark), F.col("source").alias(origin), F.col("tie").alias(number), F.col("copies").alias(times)).where(F.col(times) > 0)
     own = F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(key)) & (own == F.col(mark))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(key)) & (own == F.col(mark)) & F.col(f"`{source}`").eqNullSafe(F.col(origin))
     if not copies.where("tie > 1").isEmpty():  # only rows that repeat an id and its text have to be numbered
         place = fresh([*docs.columns, number], "mix_place")
-        docs = docs.withColumn(place, F.row_number().over(W.partitionBy(F.col(f"`{doc_id}`"), own).orderBy(own)))
+        docs = docs.withColumn(place, F.row_number().over(W.partitionBy(F.col(f"`{doc_id}`"), own, F.col(f"`{source}`")).orderBy(own)))
         same = same & (F.col(place) == F.col(number))
         kept = docs.columns[:-1]
     else:

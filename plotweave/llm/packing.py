@@ -3,11 +3,11 @@
 File format. A token file is a Parquet table with one row per block; a block holds whole
 documents in order, `bits` bits for each id, the least vocabulary bits that fit, the first id in
 the lowest bits of the payload's first byte. `ends` are the ids of the block up to each document's
-end (little-endian int64), `keys` the document ids (int64), so any document is found by one
+end (little-endian int64), `keys` the document ids (int64; the first `n_null` of a block are null), so any document is found by one
 subtraction and any id by one multiplication; `shard` and `block` give the order, and `before` the
 ids of the shard in front of the block. Blocks unpack with numpy alone, without a loop over ids.
 
-Defined cases: a null or empty text gives the end id only; rows that repeat a document id follow
+Defined cases: ids are integers, of any width up to 64 bits, or strings that spell one; a null or empty text gives the end id only; rows that repeat a document id follow
 each other by their texts; a null document id comes first and is read back as null; a document longer than a block is a block of its own; an empty table gives no block.
 """
 
@@ -27,13 +27,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plotweave.llm.common import shared_dir
+from plotweave.llm.pretokens import Cutter, as_signs, is_plain
 
 BLOCK_IDS = 1 << 18
-#: How a file writes a null document id.
-NO_KEY = -(1 << 63)
 #: How many pieces of text, and pre-tokens, a worker remembers the ids of; beyond, it starts anew.
 REMEMBERED_PIECES, REMEMBERED_TOKENS = 500_000, 900_000
-BLOCK_SCHEMA = "shard int, block int, before long, n_docs int, n_ids long, bits int, keys binary, ends binary, payload binary"
+BLOCK_SCHEMA = "shard int, block int, before long, n_docs int, n_null int, n_ids long, bits int, keys binary, ends binary, payload binary"
 
 
 def bits_for(vocab_size: int) -> int:
@@ -64,11 +63,10 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
-
-
-#: The pre-tokens of the byte-level BPE (fixed value of the tokenizer's file).
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
 
 
 class PieceEncoder:
@@ -77,18 +75,16 @@ class PieceEncoder:
     No pre-token reaches over the start of a space between two other characters, so a text is cut
     before each such space. Pieces that are new are cut into pre-tokens, and only new pre-tokens
     are encoded. Texts with two white-space characters in a row are encoded as a whole, and so are
-    texts that hold the content of an added token, which the tokenizer finds before it cuts.
+    texts that hold the content of an added token, which the tokenizer finds before it cuts, and all
+    texts where the file is none whose pre-tokens are encoded on their own (pretokens.is_plain).
     """
 
     def __init__(self, path: str):
-        import regex
-
         self.tokenizer = _tokenizer(path)
         self.pieces: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}
         self.double = re.compile(r"\s\s").search
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cut = regex.compile(PRE_TOKEN).findall
+        self.cutter = Cutter(self.tokenizer) if is_plain(path) else None
         self.kind, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
 
     def _pre_tokens(self, piece: str) -> list[str]:
@@ -98,14 +94,21 @@ class PieceEncoder:
             return [piece]
         if word[:-1].isalpha() and piece[0] == " " and word[-1] in ".,;:!?":
             return [piece[:-1], word[-1]]
-        return self.cut(piece)
+        return self.cutter.pre_tokens(piece)
 
     def _learn(self, pieces: list[str]) -> list[bytes]:
+        # Code points without a class are left to the library, piece by piece.
+        odd = [p for p in pieces if not self.cutter.classed(p)]
+        whole = dict(zip(odd, (array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch(odd, add_special_tokens=False)), strict=True))
+        if odd:
+            rest = [p for p in pieces if p not in whole]
+            whole |= dict(zip(rest, self._learn(rest), strict=True))
+            return [whole[p] for p in pieces]
         cut = [self._pre_tokens(p) for p in pieces]
         model, code, tokens = self.tokenizer.model.tokenize, self.code, self.tokens
         for t in {t for c in cut for t in c if t not in tokens}:
             # A pre-token goes to the model as the tokenizer's byte-level step would hand it over.
-            tokens[t] = array(code, [x.id for x in model(t.encode().decode("latin-1").translate(BYTE_SIGNS))]).tobytes()
+            tokens[t] = array(code, [x.id for x in model(as_signs(t))]).tobytes()
         get = tokens.__getitem__
         return [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
 
@@ -115,7 +118,7 @@ class PieceEncoder:
             if len(known) > most:
                 known.clear()
         # A text's first piece has no space in front; a line feed, which no other piece starts with, tells it apart.
-        parts = [None if any(x in t for x in self.added) or self.double(t) else f"\n{t}".split(" ") for t in texts]
+        parts = [None if self.cutter is None or self.cutter.holds_added(t) or self.double(t) else f"\n{t}".split(" ") for t in texts]
         found = [None if p is None else list(map(self.pieces.get, p)) for p in parts]
         open_at = [[i for i, y in enumerate(f) if y is None] if f else () for f in found]
         new = list({p[i] for p, at in zip(parts, open_at, strict=True) for i in at})
@@ -132,16 +135,6 @@ class PieceEncoder:
         return out
 
 
-def _byte_signs() -> dict[int, str]:
-    """The character that stands for each byte: itself where it is printable, else the next one from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-
-
-BYTE_SIGNS = _byte_signs()
-
-
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> PieceEncoder:
     """The encoder of a Python worker, which serves many tasks: what it has encoded helps the next."""
@@ -168,7 +161,7 @@ def encode_blocks(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: s
         def row() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(parts), coder.kind)
             ends = np.cumsum([len(p) // width for p in parts])
-            return pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "before": before, "n_docs": len(keys), "n_ids": len(ids), "bits": bits, "keys": np.array([NO_KEY if k is None else k for k in keys], "<i8").tobytes(), "ends": ends.astype("<i8").tobytes(), "payload": pack(ids, bits)}], schema=BLOCKS)
+            return pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "before": before, "n_docs": len(keys), "n_null": keys.count(None), "n_ids": len(ids), "bits": bits, "keys": np.array([k or 0 for k in keys], "<i8").tobytes(), "ends": ends.astype("<i8").tobytes(), "payload": pack(ids, bits)}], schema=BLOCKS)
 
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
@@ -188,7 +181,7 @@ def encode_blocks(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: s
     return ordered.mapInArrow(blocks, BLOCK_SCHEMA)
 
 
-BLOCKS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("bits", pa.int32()), ("keys", pa.binary()), ("ends", pa.binary()), ("payload", pa.binary())])
+BLOCKS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int32()), ("n_null", pa.int32()), ("n_ids", pa.int64()), ("bits", pa.int32()), ("keys", pa.binary()), ("ends", pa.binary()), ("payload", pa.binary())])
 #: A block that holds a document, and which of its ids are the document's.
 HELD = pa.schema([("bits", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("payload", pa.binary())])
 
@@ -222,13 +215,13 @@ def read_documents(spark: SparkSession, at: str, *, doc_id: str = "doc_id", with
                 starts = np.concatenate(([0], ends[:-1]))
                 raw = memoryview(ids.tobytes())
                 sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                columns = [pa.array(keys, mask=keys == NO_KEY), pa.array(starts + first), pa.array(ends - starts), pa.array(sums, pa.int64())]
+                columns = [pa.array(keys, mask=np.arange(len(keys)) < batch.column("n_null")[r].as_py()), pa.array(starts + first), pa.array(ends - starts), pa.array(sums, pa.int64())]
                 if with_ids:
                     columns.append(pa.array([ids[a:b].astype(np.int64) for a, b in zip(starts, ends, strict=True)], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     ddl = f"`{doc_id}` long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return read_blocks(spark, at).select("keys", "ends", "payload", "bits", "first").mapInArrow(documents, ddl)
+    return read_blocks(spark, at).select("keys", "ends", "payload", "bits", "first", "n_null").mapInArrow(documents, ddl)
 
 
 def document_ids(spark: SparkSession, at: str, key: int) -> np.ndarray:
@@ -242,7 +235,7 @@ def _holding(key: int):
         for batch in batches:
             for r in range(batch.num_rows):
                 keys, ends = (np.frombuffer(batch.column(c)[r].as_py(), "<i8") for c in ("keys", "ends"))
-                for i in np.flatnonzero(keys == key)[:1].tolist():
+                for i in np.flatnonzero((keys == key) & (np.arange(len(keys)) >= batch.column("n_null")[r].as_py()))[:1].tolist():
                     yield pa.RecordBatch.from_pylist([{"bits": batch.column("bits")[r].as_py(), "start": int(ends[i - 1]) if i else 0, "stop": int(ends[i]), "payload": batch.column("payload")[r].as_py()}], schema=HELD)
 
     return run

@@ -49,3 +49,21 @@ def test_added_tokens_are_the_librarys(spark, documents):
     at = P.write_tokens(documents(list(enumerate(texts))), tokenizer_path())
     got = {r["doc_id"]: r["ids"] for r in P.read_documents(spark, at, with_ids=True).collect()}
     assert got == {k: fresh.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_other_tokenizers_and_unassigned_code_points(spark, documents, name):
+    from tokenizers import Tokenizer
+
+    texts = ["the quick brown fox", "The  Quick\nfox", "a\u0558b \U00010975x", "\u0558", "plain again"]
+    fresh = Tokenizer.from_file(tokenizer_path(name))
+    at = P.write_tokens(documents(list(enumerate(texts))), tokenizer_path(name))
+    got = {r["doc_id"]: r["ids"] for r in P.read_documents(spark, at, with_ids=True).collect()}
+    assert got == {k: fresh.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts)}
+
+
+def test_null_ids_and_the_least_one(spark, documents):
+    at = P.write_tokens(documents([(None, "a b"), (-(1 << 63), "c"), (0, "d"), (None, None)]), tokenizer_path(), end_id=2)
+    got = sorted(((r["start"], r["doc_id"]) for r in P.read_documents(spark, at).collect()))
+    assert [d for _, d in got] == [None, None, -(1 << 63), 0]
+    assert len(P.document_ids(spark, at, 0)) == len(P.document_ids(spark, at, -(1 << 63))) == 2

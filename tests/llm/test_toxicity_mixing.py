@@ -123,3 +123,16 @@ def test_texts_of_a_rare_language_are_not_taken_for_toxic():
     w, b = T._regress(rows, y, ratios, -2.0, 1e-3, T.ROUNDS)
     scores = np.array([1 / (1 + np.exp(-((w * ratios)[r].sum() + b))) for r in rows])
     assert ((scores >= 0.7) == (y == 1)).mean() > 0.995
+
+
+def test_one_text_and_id_in_two_sources(spark):
+    rows = [(1, "one two three", "a"), (1, "one two three", "b"), (1, "one two three", None), (1, "one two three", "b")] + [(k, "w " * k, s) for k in range(2, 30) for s in ("a", "b", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    copies = M.mix(docs)
+    asked = {}
+    for r in copies.collect():
+        asked[r["doc_id"], r["source"]] = asked.get((r["doc_id"], r["source"]), 0) + r["copies"]
+    got = {}
+    for r in M.repeat_rows(docs, copies).collect():
+        got[r["doc_id"], r["source"]] = got.get((r["doc_id"], r["source"]), 0) + 1
+    assert got == {k: n for k, n in asked.items() if n}
