@@ -120,7 +120,7 @@ def test_texts_of_a_rare_language_are_not_taken_for_toxic():
     y = np.array(y)
     seen = np.array([np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if t == k]), minlength=6008) for k in (0, 1)])
     ratios = np.log((seen[1] + 1) / (y.sum() + 2)) - np.log((seen[0] + 1) / ((1 - y).sum() + 2))
-    w, b = T._regress(rows, y, ratios, -2.0, 1e-3, T.ROUNDS)
+    w, b = T._regress(rows, [np.ones(len(r)) for r in rows], y, ratios, -2.0, 1e-3, T.ROUNDS)
     scores = np.array([1 / (1 + np.exp(-((w * ratios)[r].sum() + b))) for r in rows])
     assert ((scores >= 0.7) == (y == 1)).mean() > 0.995
 
