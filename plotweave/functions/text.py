@@ -38,6 +38,11 @@ def squeeze(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(c), r"\s+", " "))
 
 
+def strip(c: Column | str) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+
+
 def slug(c: Column | str) -> Column:
     bare = F.regexp_replace(F.regexp_replace(F.lower(col(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     return F.coalesce(F.nullif(bare, F.lit("")), F.lit("unknown"))
@@ -62,7 +67,7 @@ def overlap_score(query: Column | str, text: Column | str) -> Column:
     """Tokens of the text, repeats counted, that the query has; 2 more where the text contains the whole query."""
     asked = tokens(query)
     shared = F.size(F.filter(tokens(text), lambda w: F.array_contains(asked, w)))
-    whole = F.lower(F.trim(col(query)))
+    whole = F.lower(strip(query))
     return shared + F.when((whole != "") & F.contains(F.lower(col(text)), whole), 2).otherwise(0)
 
 

@@ -11,16 +11,19 @@ from plotweave.functions.text import literal, straight
 def phrase_matches(texts: DataFrame, phrases: DataFrame, *, key: str, text: str, phrase: str) -> DataFrame:
     """texts x phrases where the phrase stands in the text with no letter or digit at either side, with its first start and stop.
 
-    Places count from 0, the stop is behind the last character. Only pairs that share the phrase's
-    first word reach the pattern: words of texts, by their keys, meet those of phrases, and each
-    text is joined once with what its words have met.
+    Places count from 0, the stop is behind the last character. A text with a phrase has all of its
+    words, so a phrase only meets the texts that have its rarest word, and only those pairs reach
+    the pattern; a phrase with a word that no text has meets none.
     """
     norm = F.lower(straight(text))
     words = lambda c: F.filter(F.split(c, "[^a-z0-9]+"), lambda w: w != "")
     p = F.lower(F.trim(straight(phrase)))
-    right = phrases.withColumn("_phrase", p).withColumn("_first", F.try_element_at(words(p), F.lit(1))).where("_first is not null")
+    right = phrases.withColumn("_phrase", p)
     said = texts.select(F.col(key).alias("_key"), F.explode(F.array_distinct(words(norm))).alias("_word")).distinct()
-    pairs = said.join(right, F.col("_word") == F.col("_first")).drop("_word", "_first")
+    parts = right.select("_phrase", F.explode(F.array_distinct(words(F.col("_phrase")))).alias("_word")).distinct()
+    known = said.join(parts.select("_word").distinct(), "_word", "left_semi").groupBy("_word").agg(F.count("*").alias("_n"))
+    rarest = parts.join(known, "_word", "left").groupBy("_phrase").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_word")).alias("_best")).where("_best.n > 0").select("_phrase", F.col("_best._word").alias("_word"))
+    pairs = said.join(rarest, "_word").join(right, "_phrase").drop("_word")
     shape = F.concat(F.lit("(?<![a-z0-9])"), literal("_phrase"), F.lit("(?![a-z0-9])"))
     met = texts.join(pairs, F.col(key) == F.col("_key"))
     at = F.regexp_instr(norm, shape)
