@@ -66,6 +66,10 @@ def unassigned():
     return re.compile(f"[{''.join(ranges)}]").search
 
 
+#: Blocks without unassigned code points that most texts keep to: Latin, Cyrillic, dashes and quotes, kana, the older ideographs.
+FAMILIAR = re.compile("[^\x00-\u024f\u0400-\u052f\u2010-\u2027\u3041-\u3096\u4e00-\u9fff]")
+
+
 class Cutter:
     """Tells texts that may be cut from those the library has to see whole."""
 
@@ -81,7 +85,7 @@ class Cutter:
 
     def classed(self, text: str) -> bool:
         """Whether both tables of classes know all of a text's code points."""
-        return text.isascii() or self.unassigned(text) is None
+        return text.isascii() or FAMILIAR.search(text) is None or self.unassigned(text) is None
 
     def whole(self, text: str) -> bool:
         return self.holds_added(text) or not self.classed(text)
