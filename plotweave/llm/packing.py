@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plotweave.llm.common import shared_dir
-from plotweave.llm.pretokens import Cutter, as_signs, is_plain
+from plotweave.llm.pretokens import BYTE_SIGNS, Cutter, is_plain
 
 BLOCK_IDS = 1 << 18
 #: How many pieces of text, and pre-tokens, a worker remembers the ids of; beyond, it starts anew.
@@ -98,7 +98,7 @@ class PieceEncoder:
 
     def _learn(self, pieces: list[str]) -> list[bytes]:
         # Code points without a class are left to the library, piece by piece.
-        odd = [p for p in pieces if not self.cutter.classed(p)]
+        odd = [p for p in pieces if not p.isascii() and not self.cutter.classed(p)]
         whole = dict(zip(odd, (array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch(odd, add_special_tokens=False)), strict=True))
         if odd:
             rest = [p for p in pieces if p not in whole]
@@ -108,7 +108,7 @@ class PieceEncoder:
         model, code, tokens = self.tokenizer.model.tokenize, self.code, self.tokens
         for t in {t for c in cut for t in c if t not in tokens}:
             # A pre-token goes to the model as the tokenizer's byte-level step would hand it over.
-            tokens[t] = array(code, [x.id for x in model(as_signs(t))]).tobytes()
+            tokens[t] = array(code, [x.id for x in model(t.encode().decode("latin-1").translate(BYTE_SIGNS))]).tobytes()
         get = tokens.__getitem__
         return [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
 
