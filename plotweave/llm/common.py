@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +116,18 @@ def extended(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
 
 
+@contextmanager
+def without_collector():
+    """For loops that keep very many small objects and make no cycles: the collector would look through all of them again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def fresh(taken: list[str], name: str) -> str:
     """A column name that is not taken, compared as Spark does: without case."""
     have = {x.lower() for x in taken}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import shared_dir
+from plotweave.llm.common import shared_dir, without_collector
 from plotweave.llm.pretokens import BYTE_SIGNS, Cutter, is_plain
 
 BLOCK_IDS = 1 << 18
@@ -166,7 +166,8 @@ def encode_blocks(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: s
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                coded = coder.encode([x or "" for x in part.column(text).to_pylist()])
+                with without_collector():
+                    coded = coder.encode([x or "" for x in part.column(text).to_pylist()])
                 for key, ids in zip(part.column(doc_id).to_pylist(), coded, strict=True):
                     keys.append(key)
                     parts.append(ids + end)

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plotweave.llm.common import without_collector
 from plotweave.llm.pretokens import Cutter, as_signs, is_plain
 
 #: Entries of the broadcast table, the characters of a key, and the pre-tokens that a worker remembers; beyond, it starts anew.
@@ -170,7 +171,8 @@ def token_counts(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, frequent = _counter(path), shared.value
         for batch in batches:
-            counts = counter.count(batch.column("text").to_pylist(), frequent)
+            with without_collector():
+                counts = counter.count(batch.column("text").to_pylist(), frequent)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     sized = asked.withColumn("n_bytes", F.octet_length("text").cast("long"))
