@@ -43,10 +43,13 @@ def with_answers(blocks: DataFrame, *, scene: str = "scene_id", place: str = "se
 def classified(blocks: DataFrame) -> DataFrame:
     """Blocks (with location_raw, header_raw, flags of their scenes, and `answers`) with struct `class`."""
     text, place, header = F.col("text"), F.coalesce("location_raw", F.lit("")), F.coalesce("header_raw", F.lit(""))
+    # The lowered forms are columns of their own: some sixty conditions look at them.
+    once = blocks.where("block_type <> 'scene_header'").withColumns({"_low": rules.lowered(text), "_low_place": rules.lowered(place), "_low_head": rules.lowered(header)})
+    low = (F.col("_low"), F.col("_low_place"), F.col("_low_head"))
     modifiers = F.coalesce("delivery_modifiers", F.array().cast("array<string>"))
-    spoken = rules.first_match(rules.utterance_rules(text=text, cue=F.coalesce("speaker_cue_raw", F.lit("")), modifiers=modifiers, location=place, header=header, answers=F.col("answers")))
-    acted = rules.first_match(rules.action_rules(text=text, location=place, header=header, flags=F.col("flags")))
-    return blocks.where("block_type <> 'scene_header'").withColumn("class", F.when(F.col("block_type") == "utterance", spoken).otherwise(acted))
+    spoken = rules.first_match(rules.utterance_rules(text=text, cue=F.coalesce("speaker_cue_raw", F.lit("")), modifiers=modifiers, location=place, header=header, answers=F.col("answers"), low=low))
+    acted = rules.first_match(rules.action_rules(text=text, location=place, header=header, flags=F.col("flags"), low=low))
+    return once.withColumn("class", F.when(F.col("block_type") == "utterance", spoken).otherwise(acted)).drop("_low", "_low_place", "_low_head")
 
 
 def summary(label: Column, cue: Column, text: Column, location: Column, spoken: Column) -> Column:

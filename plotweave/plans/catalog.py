@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plotweave.functions import text as T
-from plotweave.operators import answers, cleaning, events, graph, quality, router, rules, search, spans, states
+from plotweave.operators import answers, cleaning, events, graph, quality, retrieval, router, rules, search, spans, states
 from plotweave.plans import tables as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,8 +232,8 @@ def classified_turns(spark, sf_dir):
     """Turns with the class of each; a user's turn stands for a question, as the texts have no question marks."""
     said = events.with_answers(D.turn_events(spark, sf_dir), question=F.col("speaker_entity_id") == "user")
     none = F.lit("")
-    found = rules.first_match(rules.utterance_rules(text=F.col("text"), cue=F.col("speaker_entity_id"), modifiers=F.array().cast("array<string>"), location=none, header=none, answers=F.col("answers")))
-    return said.withColumn("class", found)
+    found = rules.first_match(rules.utterance_rules(text=F.col("text"), cue=F.col("speaker_entity_id"), modifiers=F.array().cast("array<string>"), location=none, header=none, answers=F.col("answers"), low=(F.col("_low"), none, none)))
+    return said.withColumn("_low", rules.lowered("text")).withColumn("class", found).drop("_low")
 
 
 CLASSES = f"""
@@ -511,18 +511,10 @@ b AS (SELECT s.item_id, s.doc_id, shared + CASE WHEN whole <> '' AND contains(lo
 SELECT item_id, doc_id, score FROM b QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 6
 """)
 def token_overlap_retrieval(spark, sf_dir):
-    """For every question the six texts that share most words: words meet words, and only texts that have a question's inner words are looked at as a whole."""
+    """For every question the six texts that share most words, by the inverted index."""
     docs = D.table(spark, sf_dir, "documents").select("doc_id", "text")
-    asked = D.table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.trim("text")).alias("whole"), F.array_distinct(T.tokens("text")).alias("words"))
-    words = asked.select("item_id", F.explode("words").alias("word"))
-    counts = docs.select("doc_id", F.explode(T.tokens("text")).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("k"))
-    met = counts.join(words, "word").groupBy("item_id", "doc_id").agg(F.sum("k").alias("shared"), F.count("*").alias("kinds"))
-    # A text that contains a question has all of its words, but for the first and last, which may be parts of others.
-    may = met.join(asked.where("whole <> ''").select("item_id", "whole", F.size("words").alias("n")), "item_id").where("kinds >= n - 2").select("item_id", "doc_id", "whole")
-    whole = may.join(docs, "doc_id").where(F.contains(F.lower("text"), F.col("whole"))).select("item_id", "doc_id", F.lit(2).alias("bonus"))
-    scored = met.join(whole, ["item_id", "doc_id"], "left").select("item_id", "doc_id", (F.col("shared") + F.coalesce("bonus", F.lit(0))).alias("score"))
-    best = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("place", F.row_number().over(best)).where("place <= 6").drop("place")
+    asked = D.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    return retrieval.best_matches(asked, docs, question_key="item_id", question="question", key="doc_id", text="text").select("item_id", "doc_id", "score")
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\d{1,3}([A-Z(])', '\1'), '\s{2,}\d{1,3}$', '')) AS clean, length(text)::INT AS n FROM documents")

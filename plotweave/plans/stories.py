@@ -119,13 +119,14 @@ yr AS (SELECT *, list_filter(taken, lambda x: regexp_matches(x, '^\d{{4}}$')) AS
 fields AS (SELECT *, 'loc_' || {SLUG.format('location_raw')} AS location_canonical_id, times[1] AS time_of_day, try_cast(CASE WHEN len(years) > 0 THEN years[1] ELSE nullif(inline_year, '') END AS INT) AS year_explicit,
  list_filter([CASE WHEN list_contains(taken, 'CONTINUED') THEN 'continued' END, CASE WHEN len(years) > 0 THEN 'explicit_year' END, CASE WHEN len(years) = 0 AND inline_year <> '' THEN 'explicit_year_inline' END, CASE WHEN contains(upper(rest), 'FLASHBACK') THEN 'flashback' END, CASE WHEN header_prefix IN ('INT/EXT.', 'EXT/INT.', 'INT./EXT.', 'EXT./INT.') THEN 'mixed_interior_exterior' END], lambda x: x IS NOT NULL) AS flags FROM yr)
 """
-SCENES = BLOCKS + """,
+FIELDS_OF_SCENES = """,
 heads AS (SELECT doc_id, scene_id, scene_index, min(line_start)::INT AS line_start, max(CASE WHEN block_type = 'scene_header' THEN text END) AS header_line FROM blk GROUP BY 1, 2, 3), """ + FIELDS + """,
 sized AS (SELECT doc_id, max(line_no)::INT AS last_line FROM p GROUP BY 1),
 scene AS (SELECT doc_id, scene_id, scene_index, coalesce(header_line, 'IMPLICIT PRELUDE (NO SCENE HEADER)') AS header_raw, CASE WHEN header_line IS NULL THEN 'IMPLICIT' ELSE header_prefix END AS header_prefix, CASE WHEN header_line IS NULL THEN 'IMPLICIT PRELUDE' ELSE location_raw END AS location_raw,
  CASE WHEN header_line IS NULL THEN 'loc_implicit_prelude' ELSE location_canonical_id END AS location_canonical_id, CASE WHEN header_line IS NOT NULL THEN time_of_day END AS time_of_day, CASE WHEN header_line IS NOT NULL THEN year_explicit END AS year_explicit, CASE WHEN header_line IS NULL THEN ['synthetic_prelude_scene'] ELSE flags END AS flags,
  line_start, coalesce(lead(line_start) OVER (PARTITION BY doc_id ORDER BY scene_index) - 1, last_line)::INT AS line_end FROM fields JOIN sized USING (doc_id))
 """
+SCENES = BLOCKS + FIELDS_OF_SCENES
 
 
 def script_scenes_of(spark, sf_dir):
