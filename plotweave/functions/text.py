@@ -148,6 +148,13 @@ def lenient_double(c: Column | str, default: float = 0.0) -> Column:
     return F.coalesce(col(c).try_cast("double"), F.lit(default))
 
 
+def href(base: str, **parameters: Column | str) -> Column:
+    """A path with the parameters that have a value, encoded as forms are."""
+    parts = [F.when(F.trim(col(c)) != "", F.concat(F.lit(f"{name}="), F.url_encode(F.trim(col(c))))) for name, c in parameters.items()]
+    asked = F.concat_ws("&", *parts)
+    return F.when(asked == "", F.lit(base)).otherwise(F.concat(F.lit(f"{base}?"), asked))
+
+
 def literal(c: Column | str) -> Column:
     """A text as a pattern that matches only itself."""
     return F.concat(F.lit(r"\Q"), F.replace(col(c), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))

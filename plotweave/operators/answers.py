@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.functions.text import ci_contains, overlap_score, pair_key, squeeze
+from plotweave.functions.text import ci_contains, href, overlap_score, pair_key, squeeze
 from plotweave.operators import graph, router, search, spans
 
 #: The hints that name entities by other words (fixed values); ids that a graph lacks are passed over.
@@ -264,6 +264,18 @@ def evidence(n: Narrative, events_used: list[str], changes_used: list[str], refs
     return events.unionByName(changes).unionByName(others).orderBy("rank", "place").drop("rank")
 
 
+def with_links(found: DataFrame, n: Narrative) -> DataFrame:
+    """Evidence (kind, id, scene_id) with trace_href, timeline_href and tags: where a reader finds it, and what it is."""
+    e = n.events.select(F.col("event_id").alias("_event"), "event_type_l1", "event_type_l2")
+    c = n.changes.select(F.col("state_change_id").alias("_change"), pair_key("subject_id", "object_id").alias("_pair"), "claim_type", "state_dimension")
+    told = found.join(e, (F.col("kind") == "event") & (F.col("id") == F.col("_event")), "left").join(c, (F.col("kind") == "state_change") & (F.col("id") == F.col("_change")), "left")
+    focus, kind = F.lit("evidence"), F.col("kind")
+    trace = F.when(kind == "event", href("/trace", focus=focus, eventId="id", sceneId="scene_id")).when(kind == "state_change", href("/trace", focus=focus, stateChangeId="id", sceneId="scene_id", pair="_pair")).when(kind == "scene_ref", href("/trace", focus=focus, sceneId="scene_id")).otherwise(href("/trace", focus=focus, q="id"))
+    line = F.when(kind == "state_change", href("/timeline", pair="_pair", q="id")).when(kind == "scene_ref", href("/timeline", q="scene_id")).otherwise(href("/timeline", q="id"))
+    tags = F.when(kind == "event", F.array("kind", "event_type_l1", "event_type_l2")).when(kind == "state_change", F.array("kind", "claim_type", "state_dimension")).otherwise(F.array("kind"))
+    return told.select(*found.columns, trace.alias("trace_href"), line.alias("timeline_href"), tags.alias("tags"))
+
+
 def unresolved(found: DataFrame) -> DataFrame:
     """Refs that neither an event nor a scene explains."""
     return found.where("kind = 'raw_ref'").select("id")

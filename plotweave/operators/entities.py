@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave.functions.text import alias_normal, display_name, entity_slug, numbered_id
-from plotweave.operators.numbering import by_prefix, with_numbers
+from plotweave.operators.numbering import with_numbers
 
 #: Order of entity types (fixed values).
 TYPE_ORDER = ("character", "group", "organization", "location", "object")
@@ -97,7 +97,7 @@ def backfilled(entities: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def alias_ids(aliases: DataFrame) -> DataFrame:
     """Numbers after the sort by normal form, raw form and entity."""
-    placed = with_numbers(aliases, by_prefix("alias_normalized"), "alias_normalized", "alias_raw", "entity_id")
+    placed = with_numbers(aliases, "alias_normalized", "alias_raw", "entity_id")
     return placed.withColumn("alias_record_id", numbered_id("ealias", "number")).drop("number")
 
 

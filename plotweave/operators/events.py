@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plotweave.functions.text import alias_normal, numbered_id, truncate
 from plotweave.operators import rules, spans
+from plotweave.operators.numbering import with_numbers
 
 #: Kinds whose first mention has a role of its own (fixed values).
 TARGETED = ("question", "request", "instruction_order", "warning", "threat_verbal", "persuasion_attempt")
@@ -103,7 +104,7 @@ def numbered(events: DataFrame, *, scene: str = "scene_id", scene_order: str = "
     w = Window.partitionBy(scene).orderBy(order)
     placed = events.withColumn("sequence_in_scene", F.row_number().over(w))
     sizes = placed.groupBy(F.col(scene).alias("_scene"), F.col(scene_order).alias("_at")).agg(F.count("*").alias("_n"))
-    before = sizes.select("_scene", (F.sum("_n").over(Window.orderBy("_at", "_scene")) - F.col("_n")).alias("_before"))
+    before = with_numbers(sizes, "_at", "_scene", into="_before", value="_n").select("_scene", "_before")
     number = F.col("_before") + F.col("sequence_in_scene")
     return placed.join(before, F.col(scene) == F.col("_scene")).withColumns({"event_id": numbered_id("evt", number), "evidence_ref": numbered_id("evref", number)}).drop("_scene", "_before")
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave.functions.text import numbered_id, scene_ref
-from plotweave.operators.numbering import by_number, by_prefix, with_numbers
+from plotweave.operators.numbering import with_numbers
+from plotweave.sources.staging import staged
 
 LATE = 10**9
 MIN_SCENES, MAX_EDGES, MAX_SCENE_IDS = 3, 120, 8
@@ -32,10 +33,16 @@ def pair_counts(roster: DataFrame, *, scene: str, entity: str, with_scenes: bool
     """
     a = roster.select(F.col(scene).alias("scene"), F.col(entity).alias("subject_id"))
     b = roster.select(F.col(scene).alias("scene"), F.col(entity).alias("object_id"))
-    pairs = a.join(b, "scene").where("subject_id < object_id").groupBy("subject_id", "object_id")
-    if not with_scenes:
-        return pairs.agg(F.count("*").alias("n"))
-    return pairs.agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("scene")), 1, MAX_SCENE_IDS).alias("scene_ids"))
+    pairs = a.join(b, "scene").where("subject_id < object_id")
+    counts = pairs.groupBy("subject_id", "object_id").agg(F.count("*").alias("n"))
+    return counts.join(first_scenes(pairs), ["subject_id", "object_id"]) if with_scenes else counts
+
+
+def first_scenes(pairs: DataFrame, most: int = MAX_SCENE_IDS) -> DataFrame:
+    """subject_id, object_id, scene_ids: each pair's least scenes; the limit is kept in every task, so no list grows with a pair's scenes."""
+    place = F.row_number().over(Window.partitionBy("subject_id", "object_id").orderBy("scene"))
+    kept = pairs.withColumn("_place", place).where(F.col("_place") <= most)
+    return kept.groupBy("subject_id", "object_id").agg(F.sort_array(F.collect_list("scene")).alias("scene_ids"))
 
 
 def without_known_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -46,8 +53,12 @@ def without_known_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 def co_presence_edges(roster: DataFrame, known: DataFrame, *, scene: str = "scene_id", entity: str = "entity_id", least: int = MIN_SCENES, most: int = MAX_EDGES) -> DataFrame:
     """The strongest pairs that share enough scenes and are not known to be associated."""
-    pairs = without_known_pairs(pair_counts(roster, scene=scene, entity=entity, with_scenes=True).where(F.col("n") >= least), known.where("predicate = 'associated_with'"))
-    top = pairs.orderBy(F.desc("n"), "subject_id", "object_id").limit(most)
+    pairs = without_known_pairs(pair_counts(roster, scene=scene, entity=entity).where(F.col("n") >= least), known.where("predicate = 'associated_with'"))
+    top = staged(pairs.orderBy(F.desc("n"), "subject_id", "object_id").limit(most), "top-pairs")
+    # Scenes are looked up for the pairs that stay only, at most `most` of them.
+    side = lambda name: roster.select(F.col(scene).alias("scene"), F.col(entity).alias(name))
+    told = side("subject_id").join(F.broadcast(top.select("subject_id", "object_id")), "subject_id").join(side("object_id"), ["scene", "object_id"])
+    top = top.join(first_scenes(told), ["subject_id", "object_id"])
     return top.select("subject_id", F.lit("co_present_dialogue").alias("predicate"), "object_id", F.lit("semi_stable").alias("stability"), F.transform("scene_ids", scene_ref).alias("evidence_refs"), F.lit("scene_cooccurrence").alias("generation_method"), F.col("n").alias("cooccurrence_scene_count"), F.col("scene_ids").alias("evidence_scene_ids"))
 
 
@@ -60,7 +71,7 @@ def speaker_roster(utterances: DataFrame, raw: DataFrame, entities: DataFrame) -
 def numbered_edges(*parts: DataFrame) -> DataFrame:
     """All edges in order of subject, predicate, object and method, with ids."""
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    placed = with_numbers(whole, by_prefix("subject_id", 8), "subject_id", "predicate", "object_id", "generation_method")
+    placed = with_numbers(whole, "subject_id", "predicate", "object_id", "generation_method")
     return placed.withColumn("edge_id", numbered_id("kg", "number", 5)).drop("number")
 
 
@@ -105,8 +116,10 @@ def positions(events: DataFrame, scenes: DataFrame | None = None, *, scene: str
     placed = placed.withColumn(event, F.col("event")) if event in order else placed
     placed = placed.select("*", F.row_number().over(w).alias("place"), F.lead("event").over(w).alias("next_event"))
     sizes = placed.groupBy("scene", "scene_at").agg(F.max("place").alias("n"), F.max_by("event", "place").alias("last_event"), F.min_by("event", "place").alias("first_event"))
-    line = Window.orderBy("scene_at", "scene")
-    edges = sizes.select("scene", F.lead("first_event").over(line).alias("next_scene_first"), (F.sum("n").over(line) - F.col("n")).alias("before"), "last_event")
+    # Scenes are numbered, and their events summed up, by ranges: scenes may be as many as conversations.
+    summed = with_numbers(with_numbers(sizes, "scene_at", "scene", into="before", value="n"), "scene_at", "scene", into="scene_number")
+    following = summed.select((F.col("scene_number") - 1).alias("scene_number"), F.col("first_event").alias("next_scene_first"))
+    edges = summed.join(following, "scene_number", "left").select("scene", "next_scene_first", "before", "last_event")
     return placed.join(edges, "scene").withColumn("position", F.col("before") + F.col("place"))
 
 
@@ -128,5 +141,5 @@ def temporal_edges(at: DataFrame, *, enters: str = "flashback_enter", returns: s
 
 def numbered_temporal(edges: DataFrame) -> DataFrame:
     """Ids in order of position, relation and basis."""
-    placed = with_numbers(edges, by_number("from_position"), "from_position", "relation", "basis")
+    placed = with_numbers(edges, "from_position", "relation", "basis")
     return placed.withColumn("temporal_edge_id", numbered_id("te", "number")).drop("number")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotweave.functions.text import directed_pair, numbered_id, undirected_pair
-from plotweave.operators.numbering import by_number, with_numbers
+from plotweave.operators.numbering import with_numbers
 
 #: Allowed values (fixed values).
 DIRECTIONS = ("increase", "decrease", "shift", "emerge", "dissolve")
@@ -95,7 +95,7 @@ def state_changes(found: DataFrame) -> DataFrame:
 
 
 def numbered_changes(changes: DataFrame) -> DataFrame:
-    placed = with_numbers(changes, by_number("position"), "position", "scene_id", "subject_id", "object_id", "state_dimension", "direction", "claim_type")
+    placed = with_numbers(changes, "position", "scene_id", "subject_id", "object_id", "state_dimension", "direction", "claim_type")
     return placed.withColumn("state_change_id", numbered_id("sc", "number")).drop("number")
 
 

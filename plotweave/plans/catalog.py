@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plotweave.functions import text as T
-from plotweave.operators import answers, cleaning, events, graph, quality, retrieval, router, rules, search, spans, states
+from plotweave.operators import answers, batch_answers, cleaning, events, graph, quality, retrieval, router, rules, search, spans, states
 from plotweave.plans import tables as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -531,12 +531,12 @@ def fingerprint(spark, sf_dir):
 
 # Questions and answers.
 
-QUESTIONS = [
-    ("q01", "Who is Frank connected to?"), ("q02", "How does Frank's relationship with Peggy change over time?"), ("q03", "What events lead up to the meeting?"), ("q04", "Show supporting scenes for that conclusion"),
-    ("q05", "Why is this not just RAG?"), ("q06", "What happens first and what happens next?"), ("q07", "What evidence is there for the payoff?"), ("q08", "When does the trial begin?"),
-    ("q09", "Compare the graph with the baseline"), ("q10", "Why did the union split?"), ("q11", "What is the name of the firm?"), ("q12", "Is there courage in the end?"), ("q13", "An afternoon at the lake"),
-]
-QUESTIONS_SQL = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in QUESTIONS)
+#: Every turn of every conversation is asked as a question.
+TURNS_ASKED = "SELECT conv_id || ':' || turn AS query_id, text AS question FROM conversations"
+
+
+def turns_asked(spark, sf_dir):
+    return D.table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("text").alias("question"))
 
 
 def _any_sql(words):
@@ -544,7 +544,7 @@ def _any_sql(words):
 
 
 @query(f"""
-WITH a(query_id, question) AS (VALUES {QUESTIONS_SQL}), l AS (SELECT *, lower(trim(question)) AS q FROM a),
+WITH a AS ({TURNS_ASKED}), l AS (SELECT *, lower(trim(question)) AS q FROM a),
 t AS (SELECT *, CASE WHEN {_any_sql(router.COMPARISON)} THEN 'comparison' WHEN {_any_sql(router.EVIDENCE)} OR starts_with(q, 'show ') AND contains(q, 'scene') THEN 'evidence'
 WHEN contains(q, 'relationship with') OR contains(q, 'relationship between') OR contains(q, 'relationship change') OR contains(q, 'state change') OR contains(q, 'how does') AND contains(q, 'change over time')
  OR {_any_sql(router.STATE_CHANGE)} AND (contains(q, 'how does') OR contains(q, 'over time') OR contains(q, 'trajectory')) THEN 'state_change'
@@ -552,8 +552,7 @@ WHEN {_any_sql(router.CAUSAL)} THEN 'causal_chain' WHEN {_any_sql(router.TIMELIN
 SELECT query_id, query_type, CASE query_type WHEN 'fact' THEN 'kg' WHEN 'timeline' THEN 'ntg' WHEN 'state_change' THEN 'ntg' ELSE 'hybrid' END AS mode_used FROM t
 """)
 def route_questions(spark, sf_dir):
-    asked = spark.createDataFrame(QUESTIONS, "query_id string, question string")
-    return router.routed(asked).select("query_id", "query_type", "mode_used")
+    return router.routed(turns_asked(spark, sf_dir)).select("query_id", "query_type", "mode_used")
 
 
 @query("""
@@ -570,12 +569,18 @@ def detect_entities(spark, sf_dir):
     return spans.detected(asked, lexicon, key="qid", text="text").select("qid", "entity_id", "start", "stop", "place")
 
 
-@query("SELECT 'a,b,c,d' AS entities, 'e1,e2,e3' AS events, least(0.93, 0.97 * 0.8 + 0.03)::DOUBLE AS confidence")
+@query("""WITH t AS (SELECT o_orderkey AS k, list('part_' || l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS a, list('supp_' || l_suppkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b, max(l_discount) AS x, max(l_tax) AS y FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1),
+u AS (SELECT k, x, y, unnest(list_concat(a, b, a)) AS v, unnest(range(1, 2 * len(a) + len(b) + 1)) AS i FROM t), f AS (SELECT k, v, min(i) AS i, any_value(x) AS x, any_value(y) AS y FROM u GROUP BY k, v)
+SELECT k AS order_key, string_agg(v, ',' ORDER BY i) AS merged, round(least(0.93, 0.97 * greatest(any_value(x), any_value(y)) + 0.03), 6) AS confidence FROM f GROUP BY k""")
 def answer_merge(spark, sf_dir):
-    """Ordered union of two answers' lists, and the confidence of the whole."""
-    two = spark.createDataFrame([(["a", "b", " ", "c"], ["c", "d", "a"], ["e1", "e2"], ["e2", "e3"], 0.7, 0.8)], "e1 array<string>, e2 array<string>, v1 array<string>, v2 array<string>, c1 double, c2 double")
-    both = lambda a, b: F.array_join(T.ordered_distinct(F.concat(a, b)), ",")
-    return two.select(both("e1", "e2").alias("entities"), both("v1", "v2").alias("events"), F.least(F.lit(0.93), 0.97 * F.greatest("c1", "c2") + 0.03).alias("confidence"))
+    """Two answers' lists and confidences as one, for an order's parts and suppliers: what hybrid answers do."""
+    t = D.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_key")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("l"), F.max("l_discount").alias("x"), F.max("l_tax").alias("y"))
+    named = lambda p, c: F.transform("l", lambda r: F.concat(F.lit(p), r[c].cast("string")))
+    none, empty = F.array().cast("array<string>"), F.lit("")
+    side = lambda lists, sure: t.select(F.col("order_key").alias("question_id"), empty.alias("answer_text"), F.col(sure).alias("confidence"), lists.alias("entities_used"), none.alias("events_used"), none.alias("state_changes_used"), none.alias("evidence_refs"), empty.alias("reasoning_notes"))
+    asked = t.select(F.col("order_key").alias("question_id"), F.lit("fact").alias("query_type"), F.lit(True).alias("include_evidence"))
+    merged = batch_answers.hybrid_answers(asked, side(F.concat(named("part_", "l_partkey"), F.array(empty)), "x"), side(F.concat(named("supp_", "l_suppkey"), named("part_", "l_partkey")), "y"))
+    return merged.select(F.col("question_id").alias("order_key"), F.array_join(T.ordered_distinct("entities_used"), ",").alias("merged"), F.round("confidence", 6).alias("confidence"))
 
 
 @query("""

@@ -10,7 +10,7 @@ from plotweave.functions import lines as L
 from plotweave.functions import text as T
 from plotweave.operators import answers, cleaning, entities, events, graph, quality, router, search, segment, spans, states
 from plotweave.plans import tables as D
-from plotweave.plans.catalog import CHANGES, DAY, EDGES, ENTITIES, QUESTIONS, QUESTIONS_SQL, RELATIONS, SLUG, changes, day_positions, query, trace_tables
+from plotweave.plans.catalog import CHANGES, DAY, EDGES, ENTITIES, ORACLES, RELATIONS, SLUG, TURNS_ASKED, changes, day_positions, query, trace_tables, turns_asked
 from plotweave.sources import envelope
 
 # Scripts and their lines.
@@ -383,9 +383,9 @@ def events_for_review(spark, sf_dir):
     return search.for_review(e, below=0.1, labels=("error",)).select("event_id", "confidence", "filtered")
 
 
-@query(f"WITH a(query_id, question) AS (VALUES {QUESTIONS_SQL}) SELECT query_id FROM a WHERE contains(lower(question), 'the')")
+@query(f"WITH a AS ({TURNS_ASKED}) SELECT query_id FROM a WHERE contains(lower(question), 'the')")
 def fixtures_found(spark, sf_dir):
-    return search.fixture_search(spark.createDataFrame(QUESTIONS, "query_id string, question string"), "the", ("query_id", "question")).select("query_id")
+    return search.fixture_search(turns_asked(spark, sf_dir), "the", ("query_id", "question")).select("query_id")
 
 
 @query("SELECT vec_id::VARCHAR AS item_id, scene_id, scene_number FROM (SELECT vec_id, CASE WHEN label = 0 THEN 'none' ELSE 'scene_' || (vec_id % 97) END AS scene_id, CASE WHEN label = 0 THEN NULL ELSE (vec_id % 97)::INT END AS scene_number FROM embeddings) ORDER BY scene_number NULLS LAST, vec_id::VARCHAR LIMIT 12")
@@ -436,10 +436,10 @@ def lexicon_phrases(spark, sf_dir):
     return answers.lexicon(known, aliases, hints=(("reg_0", "cape"), ("reg_99", "nowhere"))).select("entity_id", "phrase", "priority")
 
 
-@query(f"""WITH a(query_id, question) AS (VALUES {QUESTIONS_SQL}), w AS (SELECT query_id, lower(trim(question)) AS q FROM a)
+@query(f"""WITH a AS ({TURNS_ASKED}), w AS (SELECT query_id, lower(trim(question)) AS q FROM a)
 SELECT query_id, regexp_matches(q, '\\bwho\\b') AS has_who, regexp_matches(q, '\\bwhen\\b') AS has_when, regexp_matches(q, '\\bwhy\\b') AS has_why, contains(q, 'rag') AS mentions_rag, contains(q, 'relationship') OR contains(q, 'connected to') OR contains(q, 'connected with') AS mentions_relationship, contains(q, 'sequence') OR contains(q, 'in order') OR contains(q, 'chronolog') OR contains(q, 'timeline') AS mentions_sequence FROM w""")
 def question_signals(spark, sf_dir):
-    told = spark.createDataFrame(QUESTIONS, "query_id string, question string").select("query_id", router.signals(F.col("question")).alias("s"))
+    told = turns_asked(spark, sf_dir).select("query_id", router.signals(F.col("question")).alias("s"))
     return told.select("query_id", *(f"s.{c}" for c in ("has_who", "has_when", "has_why", "mentions_rag", "mentions_relationship", "mentions_sequence")))
 
 
@@ -496,14 +496,28 @@ def artifacts_by_phase(spark, sf_dir):
     return quality.phases(spark, t, {"one": {"orders": ("o_orderkey", "o_nothing"), "region": ("r_name",)}, "two": {"absent": ("a", "b")}})
 
 
-EXPECTED = [("q01", "fact", "kg"), ("q02", "state_change", "ntg"), ("q03", "causal_chain", "hybrid"), ("q08", "fact", "ntg"), ("q99", "fact", "kg")]
+@query("""WITH e AS (SELECT conv_id || ':' || turn AS query_id, 'fact' AS t, CASE WHEN turn % 2 = 0 THEN 'kg' ELSE 'ntg' END AS m FROM conversations UNION ALL SELECT conv_id || ':none', 'fact', 'kg' FROM conversations GROUP BY conv_id), r AS (@ROUTED@)
+SELECT e.query_id, coalesce(t = query_type, false) AS type_ok, coalesce(m = mode_used, false) AS mode_ok, coalesce(t = query_type AND m = mode_used, false) AS passed FROM e LEFT JOIN r ON r.query_id = e.query_id""".replace("@ROUTED@", ORACLES["route_questions"]))
+def router_smoke(spark, sf_dir):
+    """Routed turns against what is expected of them: half of the modes wrong and one turn of each conversation absent on purpose."""
+    t = D.table(spark, sf_dir, "conversations")
+    own = t.select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.lit("fact").alias("query_type_expected"), F.when(F.col("turn") % 2 == 0, "kg").otherwise("ntg").alias("mode_expected"))
+    absent = t.select(F.concat_ws(":", "conv_id", F.lit("none")).alias("query_id"), F.lit("fact").alias("query_type_expected"), F.lit("kg").alias("mode_expected")).distinct()
+    return quality.smoke(own.unionByName(absent), router.routed(turns_asked(spark, sf_dir)))
 
 
-@query("SELECT * FROM (VALUES ('q01', true, true, true), ('q02', true, true, true), ('q03', true, true, true), ('q08', false, true, false), ('q99', false, false, false)) t(query_id, type_ok, mode_ok, passed)")
-def router_smoke(spark, sf_dir):
-    """Routed questions against what is expected of them, one expectation wrong and one question absent on purpose."""
-    routed = router.routed(spark.createDataFrame(QUESTIONS, "query_id string, question string"))
-    return quality.smoke(spark.createDataFrame(EXPECTED, "query_id string, query_type_expected string, mode_expected string"), routed)
+@query("""WITH e AS (SELECT event_id::VARCHAR AS id, strftime(ts, '%Y-%m-%d') AS scene_id, event_type FROM events)
+SELECT 'event' AS kind, id, scene_id, '/trace?focus=evidence&eventId=' || id || '&sceneId=' || scene_id AS trace_href, '/timeline?q=' || id AS timeline_href, 'event,event,' || event_type AS tags FROM e
+UNION ALL SELECT 'raw_ref', 'turn ' || conv_id || ':' || turn || ' & more', NULL, '/trace?focus=evidence&q=turn+' || conv_id || '%3A' || turn || '+%26+more', '/timeline?q=turn+' || conv_id || '%3A' || turn || '+%26+more', 'raw_ref' FROM conversations
+UNION ALL SELECT 'scene_ref', 'scene:' || scene_id, scene_id, '/trace?focus=evidence&sceneId=' || scene_id, '/timeline?q=' || scene_id, 'scene_ref' FROM (SELECT DISTINCT scene_id FROM e)""")
+def evidence_links(spark, sf_dir):
+    """Where a reader finds each event, day and turn, and what it is."""
+    found, days = placed_events(spark, sf_dir)
+    refs = D.table(spark, sf_dir, "conversations").select(F.lit("raw_ref").alias("kind"), F.concat(F.lit("turn "), F.concat_ws(":", "conv_id", "turn"), F.lit(" & more")).alias("id"), F.lit(None).cast("string").alias("scene_id"))
+    scenes = days.select(F.lit("scene_ref").alias("kind"), F.concat(F.lit("scene:"), "scene_id").alias("id"), "scene_id")
+    every = found.select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), "scene_id").unionByName(refs).unionByName(scenes)
+    n = answers.Narrative(people(spark), None, None, found, days, states.numbered_changes(changes(spark, sf_dir)), None, None)
+    return answers.with_links(every, n).withColumn("tags", F.array_join("tags", ","))
 
 
 # Artifacts on disk.
