@@ -68,3 +68,22 @@ def normalized_request(body: dict) -> dict:
         "include_evidence": flag(first("include_evidence", "includeEvidence"), True),
         "include_baseline_comparison": flag(first("include_baseline_comparison", "includeBaselineComparison"), False),
     }
+
+
+#: The keys of a request, in snake and camel case.
+REQUEST = "question string, preferred_mode string, preferredMode string, include_evidence boolean, includeEvidence boolean, include_baseline_comparison boolean, includeBaselineComparison boolean"
+
+
+def normalized_requests(bodies: DataFrame, *, body: str = "body") -> DataFrame:
+    """Requests as rows with their defaults, of JSON bodies; `refused` where the question is missing or the body is no JSON object."""
+    r = F.from_json(F.col(body), REQUEST, {"mode": "PERMISSIVE"})
+    told = bodies.withColumn("_r", r)
+    question = F.trim(F.coalesce("_r.question", F.lit("")))
+    return told.select(
+        *bodies.columns,
+        question.alias("question"),
+        preferred(F.coalesce("_r.preferred_mode", "_r.preferredMode", F.lit("auto"))).alias("preferred_mode"),
+        F.coalesce("_r.include_evidence", "_r.includeEvidence", F.lit(True)).alias("include_evidence"),
+        F.coalesce("_r.include_baseline_comparison", "_r.includeBaselineComparison", F.lit(False)).alias("include_baseline_comparison"),
+        (question == "").alias("refused"),
+    )
