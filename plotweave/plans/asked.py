@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.operators import batch_answers, retrieval, router, states, substrings
+from plotweave.operators import adjacency, batch_answers, retrieval, router, states, substrings
 from plotweave.operators.answers import Narrative
 from plotweave.plans import tables as D
 from plotweave.plans.catalog import CHANGES, EDGES, ENTITIES, changes, query, trace_tables
@@ -210,3 +210,19 @@ def substrings_of_parts(spark, sf_dir):
     short = D.table(spark, sf_dir, "nation").select((1_000_000 + F.col("n_nationkey")).cast("long").alias("needle_id"), F.left("n_name", F.lit(2)).alias("needle"))
     parts = D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.concat("p_name", F.lit(" "), "p_type", F.lit(" #"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("said"))
     return substrings.contained(named.unionByName(short), parts, needle_key="needle_id", needle="needle", key="part", text="said")
+
+
+@query(f"""WITH ed AS ({EDGES}), ends AS (SELECT subject_id AS entity_id, 'outgoing' AS direction FROM ed UNION ALL SELECT object_id, 'incoming' FROM ed WHERE subject_id <> object_id)
+SELECT entity_id, count(*) AS edges, count(*) FILTER (direction = 'outgoing') AS outgoing FROM ends GROUP BY entity_id""")
+def adjacency_degrees(spark, sf_dir):
+    """How many edges every entity has, from the table of edges by their ends."""
+    return adjacency.degrees(adjacency.adjacency(D.edges(spark, sf_dir)))
+
+
+@query(f"""WITH ed AS ({EDGES}), ends AS (SELECT subject_id AS entity_id, 'outgoing' AS direction, object_id AS neighbor_id, edge_id FROM ed UNION ALL SELECT object_id, 'incoming', subject_id, edge_id FROM ed WHERE subject_id <> object_id)
+SELECT entity_id, direction, neighbor_id, edge_id FROM ends WHERE entity_id IN (SELECT 'nat_' || s_nationkey FROM supplier WHERE s_acctbal < 0 UNION SELECT 'char_' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
+def adjacency_lookup(spark, sf_dir):
+    """The edges of all nations with a supplier in debt and of all customers of one segment, by the table of edges."""
+    t = lambda name: D.table(spark, sf_dir, name)
+    keys = t("supplier").where("s_acctbal < 0").select(F.concat(F.lit("nat_"), "s_nationkey").alias("entity_id")).unionByName(t("customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("char_"), "c_custkey").alias("entity_id")))
+    return adjacency.neighbors_of(adjacency.adjacency(D.edges(spark, sf_dir)), keys).select("entity_id", "direction", "neighbor_id", "edge_id")
