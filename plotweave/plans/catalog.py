@@ -556,16 +556,17 @@ def route_questions(spark, sf_dir):
 
 
 @query("""
-WITH q(qid, text) AS (VALUES (1, 'how is supplier#000000001 tied to supplier#000000002?'), (2, 'asia and the middle east trade with africa'), (3, 'no one is named here')),
-n AS (SELECT 'org_' || s_suppkey AS entity_id, lower(s_name) AS phrase FROM supplier UNION ALL SELECT 'reg_' || r_regionkey, lower(r_name) FROM region),
-f AS (SELECT qid, entity_id, phrase, strpos(text, phrase) - 1 AS start FROM q JOIN n ON contains(text, phrase) WHERE length(phrase) >= 3 AND regexp_matches(text, '(^|[^a-z0-9])' || regexp_escape(phrase) || '($|[^a-z0-9])'))
-SELECT qid, entity_id, start::INT AS start, (start + length(phrase))::INT AS stop, (row_number() OVER (PARTITION BY qid ORDER BY start))::INT AS place FROM f
+WITH q AS (SELECT s_suppkey AS qid, s_suppkey, s_nationkey, 'how is ' || lower(n_name) || ' tied to ' || lower(s_name) || ' and ' || lower(r_name) || '?' AS text, lower(s_name) AS s, lower(n_name) AS n, lower(r_name) AS r, n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey),
+f AS (SELECT qid, text, 'org_' || s_suppkey AS entity_id, s AS phrase FROM q UNION ALL SELECT qid, text, 'nat_' || s_nationkey, n FROM q UNION ALL SELECT qid, text, 'reg_' || n_regionkey, r FROM q),
+p AS (SELECT *, strpos(text, phrase) - 1 AS start FROM f)
+SELECT qid, entity_id, start::INT AS start, (start + length(phrase))::INT AS stop, (row_number() OVER (PARTITION BY qid ORDER BY start))::INT AS place FROM p
 """)
 def detect_entities(spark, sf_dir):
-    """Suppliers and regions named in questions."""
-    asked = spark.createDataFrame([(1, "how is supplier#000000001 tied to supplier#000000002?"), (2, "asia and the middle east trade with africa"), (3, "no one is named here")], "qid int, text string")
-    kinds = D.entities(spark, sf_dir).where(F.col("entity_id").startswith("org_") | F.col("entity_id").startswith("reg_"))
-    lexicon = answers.lexicon(kinds, spark.createDataFrame([], "entity_id string, alias_raw string, alias_normalized string, source string"))
+    """Entities of all kinds named in a question about every supplier."""
+    t = lambda n: D.table(spark, sf_dir, n)
+    asked = t("supplier").join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    asked = asked.select(F.col("s_suppkey").alias("qid"), F.lower(F.concat(F.lit("how is "), "n_name", F.lit(" tied to "), "s_name", F.lit(" and "), "r_name", F.lit("?"))).alias("text"))
+    lexicon = answers.lexicon(D.entities(spark, sf_dir), spark.createDataFrame([], "entity_id string, alias_raw string, alias_normalized string, source string"))
     return spans.detected(asked, lexicon, key="qid", text="text").select("qid", "entity_id", "start", "stop", "place")
 
 

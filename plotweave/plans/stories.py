@@ -423,13 +423,13 @@ def evidence_lookup(spark, sf_dir):
     return answers.evidence(n, ["5", "17", "nowhere"], [], ["evref_5", "evref_999999999", "evref_17"]).select("kind", "id", "scene_id", "snippet")
 
 
-@query(f"""WITH e AS ({ENTITIES}), c AS (SELECT * FROM e WHERE entity_type <> 'object'),
+@query(f"""WITH c AS ({ENTITIES}),
 n AS (SELECT entity_id, canonical_name AS phrase, 100 AS priority FROM c UNION ALL SELECT entity_id, 'the ' || alias, 80 FROM c WHERE entity_type = 'location' UNION ALL SELECT entity_id, 'the ' || alias, 75 FROM c WHERE entity_type = 'location'
 UNION ALL SELECT 'reg_0', 'cape', 90 UNION ALL SELECT any_value(entity_id), last, 70 FROM (SELECT entity_id, string_split(lower(trim(regexp_replace(canonical_name, '\\s+', ' ', 'g'))), ' ') AS w, w[-1] AS last FROM c WHERE entity_type = 'character') WHERE len(w) >= 2 AND length(last) >= 4 GROUP BY last HAVING count(*) = 1)
 SELECT DISTINCT entity_id, lower(trim(regexp_replace(phrase, '\\s+', ' ', 'g'))) AS phrase, priority FROM n WHERE length(trim(phrase)) >= 3""")
 def lexicon_phrases(spark, sf_dir):
     """What names an entity in a question: names, hand-made aliases, hints, last names that one person has."""
-    known = D.entities(spark, sf_dir).where("entity_type <> 'object'")
+    known = D.entities(spark, sf_dir)
     places = known.where("entity_type = 'location'")
     phrase = F.concat(F.lit("the "), F.element_at("aliases", 1))
     aliases = places.select("entity_id", phrase.alias("alias_raw"), phrase.alias("alias_normalized"), F.lit("manual_alias").alias("source"))
