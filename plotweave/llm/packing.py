@@ -32,6 +32,8 @@ from plotweave.llm.pretokens import BYTE_SIGNS, Cutter, is_plain
 BLOCK_IDS = 1 << 18
 #: How many pieces of text, and pre-tokens, a worker remembers the ids of; beyond, it starts anew.
 REMEMBERED_PIECES, REMEMBERED_TOKENS = 500_000, 900_000
+#: What stands for a blank; the other printable ASCII characters stand for themselves.
+BLANK_SIGN = BYTE_SIGNS[32]
 BLOCK_SCHEMA = "shard int, block int, before long, n_docs int, n_null int, n_ids long, bits int, keys binary, ends binary, payload binary"
 
 
@@ -97,18 +99,21 @@ class PieceEncoder:
         return self.cutter.pre_tokens(piece)
 
     def _learn(self, pieces: list[str]) -> list[bytes]:
+        if not pieces:
+            return []
         # Code points without a class are left to the library, piece by piece.
-        odd = [p for p in pieces if not p.isascii() and not self.cutter.classed(p)]
+        odd = [] if self.cutter.classed("".join(pieces)) else [p for p in pieces if not self.cutter.classed(p)]
         whole = dict(zip(odd, (array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch(odd, add_special_tokens=False)), strict=True))
         if odd:
             rest = [p for p in pieces if p not in whole]
             whole |= dict(zip(rest, self._learn(rest), strict=True))
             return [whole[p] for p in pieces]
-        cut = [self._pre_tokens(p) for p in pieces]
+        cut = [[p] if p[:1] == " " and p[1:].isalpha() else self._pre_tokens(p) for p in pieces]
         model, code, tokens = self.tokenizer.model.tokenize, self.code, self.tokens
         for t in {t for c in cut for t in c if t not in tokens}:
             # A pre-token goes to the model as the tokenizer's byte-level step would hand it over.
-            tokens[t] = array(code, [x.id for x in model(t.encode().decode("latin-1").translate(BYTE_SIGNS))]).tobytes()
+            signs = t.replace(" ", BLANK_SIGN) if t.isascii() and t.isprintable() else t.encode().decode("latin-1").translate(BYTE_SIGNS)
+            tokens[t] = array(code, [x.id for x in model(signs)]).tobytes()
         get = tokens.__getitem__
         return [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
 
