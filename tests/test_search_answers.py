@@ -155,10 +155,15 @@ def test_gold_kinds_and_rules_are_checked(spark):
         states.checked_rules([rule])
 
 
-def test_numbers_by_buckets(spark):
+def test_numbers_by_ranges(spark):
     from plotweave.operators import numbering
 
-    rows = spark.createDataFrame([(k * 37 % 101, f"n{k * 37 % 101:03d}") for k in range(101)] + [(None, None)], "k long, s string")
-    for bucket, order in ((numbering.by_number("k", 10), "k"), (numbering.by_prefix("s", 3), "s")):
-        got = numbering.with_numbers(rows, bucket, order).orderBy("number").collect()
+    rows = spark.createDataFrame([(k * 37 % 101, f"n{k * 37 % 101:03d}", k % 3) for k in range(101)] + [(None, None, 5)], "k long, s string, v int")
+    for order in ("k", "s"):
+        got = numbering.with_numbers(rows, order).orderBy("number").collect()
         assert [r["number"] for r in got] == list(range(1, 103)) and [r["k"] for r in got] == [None, *range(101)]
+    sums = numbering.with_numbers(rows, "k", into="before", value="v").orderBy("before", "k").collect()
+    total = 0
+    for r in sorted(sums, key=lambda r: (r["k"] is not None, r["k"] or 0)):
+        assert r["before"] == total
+        total += r["v"]
