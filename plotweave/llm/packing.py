@@ -30,7 +30,7 @@ from plotweave.llm.common import shared_dir, without_collector
 from plotweave.llm.pretokens import BYTE_SIGNS, Cutter, is_plain
 
 BLOCK_IDS = 1 << 18
-#: How many pieces of text, and pre-tokens, a worker remembers the ids of; beyond, it starts anew.
+#: How many pieces of text, and pre-tokens, a worker remembers the ids of: the first ones, which all frequent ones are among.
 REMEMBERED_PIECES, REMEMBERED_TOKENS = 500_000, 900_000
 #: What stands for a blank; the other printable ASCII characters stand for themselves.
 BLANK_SIGN = BYTE_SIGNS[32]
@@ -110,24 +110,24 @@ class PieceEncoder:
             return [whole[p] for p in pieces]
         cut = [[p] if p[:1] == " " and p[1:].isalpha() else self._pre_tokens(p) for p in pieces]
         model, code, tokens = self.tokenizer.model.tokenize, self.code, self.tokens
+        new = tokens if len(tokens) < REMEMBERED_TOKENS else {}
         for t in {t for c in cut for t in c if t not in tokens}:
             # A pre-token goes to the model as the tokenizer's byte-level step would hand it over.
             signs = t.replace(" ", BLANK_SIGN) if t.isascii() and t.isprintable() else t.encode().decode("latin-1").translate(BYTE_SIGNS)
-            tokens[t] = array(code, [x.id for x in model(signs)]).tobytes()
-        get = tokens.__getitem__
+            new[t] = array(code, [x.id for x in model(signs)]).tobytes()
+        get = tokens.__getitem__ if new is tokens else lambda t: new.get(t) or tokens[t]
         return [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of the smallest kind that holds the vocabulary."""
-        for known, most in ((self.pieces, REMEMBERED_PIECES), (self.tokens, REMEMBERED_TOKENS)):
-            if len(known) > most:
-                known.clear()
         # A text's first piece has no space in front; a line feed, which no other piece starts with, tells it apart.
         parts = [None if self.cutter is None or self.cutter.holds_added(t) or self.double(t) else f"\n{t}".split(" ") for t in texts]
         found = [None if p is None else list(map(self.pieces.get, p)) for p in parts]
         open_at = [[i for i, y in enumerate(f) if y is None] if f else () for f in found]
         new = list({p[i] for p, at in zip(parts, open_at, strict=True) for i in at})
-        self.pieces.update(zip(new, self._learn([x[1:] if x[:1] == "\n" else f" {x}" for x in new]), strict=True))
+        learnt = dict(zip(new, self._learn([x[1:] if x[:1] == "\n" else f" {x}" for x in new]), strict=True))
+        if len(self.pieces) < REMEMBERED_PIECES:
+            self.pieces.update(learnt)
         whole = iter(self.tokenizer.encode_batch([t for t, p in zip(texts, parts, strict=True) if p is None], add_special_tokens=False))
         out = []
         for p, f, at in zip(parts, found, open_at, strict=True):
@@ -135,7 +135,7 @@ class PieceEncoder:
                 out.append(array(self.code, next(whole).ids).tobytes())
             else:
                 for i in at:
-                    f[i] = self.pieces[p[i]]
+                    f[i] = learnt[p[i]]
                 out.append(b"".join(f))
         return out
 

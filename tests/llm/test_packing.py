@@ -67,3 +67,14 @@ def test_null_ids_and_the_least_one(spark, documents):
     got = sorted(((r["start"], r["doc_id"]) for r in P.read_documents(spark, at).collect()))
     assert [d for _, d in got] == [None, None, -(1 << 63), 0]
     assert len(P.document_ids(spark, at, 0)) == len(P.document_ids(spark, at, -(1 << 63))) == 2
+
+
+def test_a_full_memory_changes_nothing(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(P, "REMEMBERED_PIECES", 3)
+    monkeypatch.setattr(P, "REMEMBERED_TOKENS", 2)
+    fresh, coder = Tokenizer.from_file(tokenizer_path()), P.PieceEncoder(tokenizer_path())
+    for k in range(5):
+        texts = [f"the cat {k} sat, on{k} the mat", f"dog{k} it's é ա the", "the", ""]
+        assert [np.frombuffer(x, coder.kind).tolist() for x in coder.encode(texts)] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
