@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -40,12 +41,12 @@ def tables(spark, base):
 
 
 def plain_scores(model, rows):
-    """n-grams one by one: each slot that a text has counts once."""
+    """n-grams one by one: each slot counts by the logarithm of how often the text has it."""
     weight, out = dict(zip(model.slots.tolist(), model.weights.tolist(), strict=True)), {}
     for d, t in rows:
         raw = bytes(toxicity.FOLD[np.frombuffer((t or "").encode(), np.uint8)])
-        slots = {int(toxicity._hashed(np.frombuffer(raw[i : i + n], np.uint8), n)[0]) for n in toxicity.ORDERS for i in range(len(raw) - n + 1)}
-        out[d] = 1 / (1 + np.exp(-(model.bias + sum(weight.get(s, 0.0) for s in slots))))
+        slots = Counter(int(toxicity._hashed(np.frombuffer(raw[i : i + n], np.uint8), n)[0]) for n in toxicity.ORDERS for i in range(len(raw) - n + 1))
+        out[d] = 1 / (1 + np.exp(-(model.bias + sum(weight.get(s, 0.0) * np.log2(1 + k) for s, k in slots.items()))))
     return out
 
 
