@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plotweave.functions.text import slug
+from plotweave.functions.text import BEGINS, ENDS, slug
 
 #: Fixed values of the script format.
 HEADER = r"(?i)^(INT\.|EXT\.|INT/EXT\.|EXT/INT\.|INT\./EXT\.|EXT\./INT\.)\s+(.+)$"
@@ -82,7 +82,7 @@ def header_fields(c: Column) -> Column:
     place = F.array_join(F.slice(parts, 1, F.size(parts) - run), " - ")
     years = F.filter(taken, lambda x: x.rlike(r"^\d{4}$"))
     times = F.filter(taken, lambda x: x.isin(*TIMES_OF_DAY))
-    inline = F.regexp_extract(rest, r"\b(19\d{2}|20\d{2})\b", 1)
+    inline = F.regexp_extract(rest, rf"{BEGINS}(19\d{{2}}|20\d{{2}}){ENDS}", 1)
     year = F.when(F.size(years) > 0, F.try_element_at(years, F.lit(1))).otherwise(F.nullif(inline, F.lit("")))
     flags = F.array_compact(
         F.array(

@@ -7,15 +7,20 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Where a word of ASCII letters, digits and underscores begins and ends. Java's own \b takes letters of all alphabets for words
+#: in some versions and ASCII only in others.
+BEGINS, ENDS = r"(?<!\w)", r"(?!\w)"
+
+
 #: Marker names and their patterns (fixed values).
 MARKERS = {
-    "back_to": r"(?i)\bBACK\s+TO\b",
+    "back_to": rf"(?i){BEGINS}BACK\s+TO{ENDS}",
     "contd": r"(?i)\(CONT['’]?D\)",
-    "flashback": r"(?i)\bFLASHBACK\b",
+    "flashback": rf"(?i){BEGINS}FLASHBACK{ENDS}",
     "in_sync": r"(?i)\(IN\s+SYNC\)",
     "overlap": r"(?i)\(OVERLAP\)",
     "pre_lap": r"(?i)PRE-LAP",
-    "voice_over": r"(?i)\bV/O\b",
+    "voice_over": rf"(?i){BEGINS}V/O{ENDS}",
 }
 
 
@@ -86,7 +91,7 @@ def markers(c: Column | str) -> Column:
 
 def cue_base(c: Column | str) -> Column:
     """A speaker cue without its modifiers."""
-    return squeeze(F.regexp_replace(F.regexp_replace(col(c), r"(?i)\bV/O\b", ""), r"\([^)]*\)", ""))
+    return squeeze(F.regexp_replace(F.regexp_replace(col(c), rf"(?i){BEGINS}V/O{ENDS}", ""), r"\([^)]*\)", ""))
 
 
 def cue_modifiers(c: Column | str) -> Column:
@@ -98,8 +103,9 @@ def cue_modifiers(c: Column | str) -> Column:
 def alias_normal(c: Column | str) -> Column:
     """The form under which aliases and cues are looked up."""
     s = straight_both(c)
-    for p in (r"(?i)\bV/O\b", r"(?i)\bO/S\b", r"(?i)\bO\.S\.\b", r"(?i)\bO/C\b", r"(?i)\bO\.C\.\b", r"(?i)\bPRE-LAP\b", r"\([^)]*\)"):
-        s = F.regexp_replace(s, p, "")
+    for p in (r"V/O(?!\w)", r"O/S(?!\w)", r"O\.S\.(?=\w)", r"O/C(?!\w)", r"O\.C\.(?=\w)", r"PRE-LAP(?!\w)"):
+        s = F.regexp_replace(s, f"(?i){BEGINS}{p}", "")
+    s = F.regexp_replace(s, r"\([^)]*\)", "")
     return F.upper(squeeze(s))
 
 
@@ -170,4 +176,4 @@ def ci_contains(c: Column | str, q: str) -> Column:
 
 def year_in(c: Column | str) -> Column:
     """The first year from 1900 to 2099 in a text."""
-    return F.regexp_extract(col(c), r"\b(19\d{2}|20\d{2})\b", 1).try_cast("int")
+    return F.regexp_extract(col(c), rf"{BEGINS}(19\d{{2}}|20\d{{2}}){ENDS}", 1).try_cast("int")

@@ -103,7 +103,7 @@ def detect(question: str, n: Narrative, hints: tuple[tuple[str, str], ...] = HIN
 
 
 def year_of(question: str) -> int | None:
-    m = re.search(r"\b(19\d{2}|20\d{2})\b", question)
+    m = re.search(r"\b(19\d{2}|20\d{2})\b", question, re.ASCII)
     return int(m[1]) if m else None
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.functions.text import has_any
+from plotweave.functions.text import BEGINS, ENDS, has_any
 
 #: Keywords of the router (fixed values); they match anywhere, also within words.
 EVIDENCE = ("evidence", "supporting scene", "supporting scenes", "supporting evidence", "what supports", "show supporting", "show proof", "cite", "cites", "proof", "which scene", "which scenes")
@@ -22,14 +22,14 @@ def query_type(question: Column) -> Column:
     named = has_any(q, ("relationship with", "relationship between", "relationship change", "state change"))
     over_time = q.contains("how does") & q.contains("change over time")
     drifting = has_any(q, STATE_CHANGE) & has_any(q, ("how does", "over time", "trajectory"))
-    timed = has_any(q, TIMELINE) | q.rlike(r"\bwhen\b") | has_any(q, ("sequence", "in order", "chronolog", "timeline"))
+    timed = has_any(q, TIMELINE) | q.rlike(f"{BEGINS}when{ENDS}") | has_any(q, ("sequence", "in order", "chronolog", "timeline"))
     return F.when(has_any(q, COMPARISON), "comparison").when(evidence, "evidence").when(named | over_time | drifting, "state_change").when(has_any(q, CAUSAL), "causal_chain").when(timed, "timeline").otherwise("fact")
 
 
 def signals(question: Column) -> Column:
     """Struct of what was noticed in a question."""
     q = F.lower(F.trim(question))
-    words = [q.rlike(rf"\b{w}\b").alias(f"has_{w}") for w in ("who", "what", "when", "why", "how")]
+    words = [q.rlike(f"{BEGINS}{w}{ENDS}").alias(f"has_{w}") for w in ("who", "what", "when", "why", "how")]
     lists = [has_any(q, keys).alias(f"mentions_{name}") for name, keys in (("evidence", EVIDENCE), ("compare", COMPARISON), ("state_change", STATE_CHANGE), ("timeline", TIMELINE), ("cause", CAUSAL))]
     return F.struct(*words, *lists, q.contains("rag").alias("mentions_rag"), has_any(q, ("relationship", "connected to", "connected with")).alias("mentions_relationship"), has_any(q, ("sequence", "in order", "chronolog", "timeline")).alias("mentions_sequence"))
 

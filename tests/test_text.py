@@ -83,3 +83,13 @@ def test_page_lines(spark):
     assert one(spark, lambda c: L.page_lines(c, page), "He walks to the door slowly 9") == ["He walks to the door slowly 9"]
     assert one(spark, lambda c: L.page_lines(c, page), "I told him so. RUSSELL") == ["I told him so.", "RUSSELL"]
     assert one(spark, L.without_page_number, "No. 12") == "No. 12" and one(spark, L.without_page_number, "the end. 12") == "the end."
+
+
+def test_words_end_at_letters_beyond_ascii(spark):
+    from plotweave.operators import router, rules
+
+    assert [one(spark, lambda c: rules.Words(c).word("no|ok"), x) for x in ("noñrrezar", "éno", "nox", "x_no", "no")] == [True, True, False, False, True]
+    assert one(spark, lambda c: rules.Words(c).opens("hi"), "«hiß") is True
+    assert one(spark, T.markers, "ÄV/OÖ flashbacké") == ["flashback", "voice_over"]
+    assert one(spark, T.year_in, "ü1975ß") == 1975
+    assert one(spark, lambda c: router.signals(c)["has_who"], "whoé") is True
