@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plotweave.functions.text import BEGINS, ENDS, slug
+from plotweave.functions.text import BEGINS, ENDS, cue_base, slug
 
 #: Fixed values of the script format.
 HEADER = r"(?i)^(INT\.|EXT\.|INT/EXT\.|EXT/INT\.|INT\./EXT\.|EXT\./INT\.)\s+(.+)$"
@@ -124,12 +124,13 @@ def is_transition(c: Column) -> Column:
     return s.isin(*PAGE_TRANSITIONS) | (s.endswith(":") & (F.length(s) <= 40) & s.rlike(CAPITALS))
 
 
-def is_page_cue(c: Column) -> Column:
+def is_page_cue(c: Column, cast: tuple[str, ...] = ()) -> Column:
+    """A short line in capitals; where the cast is given, of one of its names, with or without marks such as V/O."""
     s = F.trim(c)
     words = F.size(F.split(s, r"\s+"))
     spaced_title = s.contains("  ") & F.replace(s, F.lit(" "), F.lit("")).rlike(r"^\p{L}+$") & (words > 4)
     marked = s.contains("(CONT'D)") | s.contains("V/O") | s.contains("O.S.")
-    return (s != "") & (F.length(s) <= 45) & s.rlike(CAPITALS) & s.rlike("[A-Z]") & ~is_page_heading(s) & ~is_transition(s) & ~spaced_title & ((words <= 6) | marked)
+    return (s != "") & (F.length(s) <= 45) & s.rlike(CAPITALS) & s.rlike("[A-Z]") & ~is_page_heading(s) & ~is_transition(s) & ~spaced_title & ((words <= 6) | marked) & (cue_base(s).isin(*cast) if cast else F.lit(True))
 
 
 def is_short_parenthetical(c: Column) -> Column:
@@ -142,7 +143,7 @@ def continues_heading(c: Column) -> Column:
     return (F.length(s) >= 8) & s.contains(" - ") & s.rlike(CAPITALS)
 
 
-def split_merged(c: Column) -> Column:
+def split_merged(c: Column, cast: tuple[str, ...] = ()) -> Column:
     """One or two lines of a line in which a page break has run a speaker's cue and other text together."""
     s = F.trim(c)
     shapes = (
@@ -153,11 +154,11 @@ def split_merged(c: Column) -> Column:
     out = F
     for shape, cue in shapes:
         sides = [F.trim(F.regexp_extract(s, shape, k)) for k in (1, 2)]
-        out = out.when(s.rlike(shape) & is_page_cue(sides[cue - 1]), F.array(*sides))
+        out = out.when(s.rlike(shape) & is_page_cue(sides[cue - 1], cast), F.array(*sides))
     return out.otherwise(F.array(s))
 
 
-def without_footer(c: Column, page: Column) -> Column:
+def without_footer(c: Column, page: Column, cast: tuple[str, ...] = ()) -> Column:
     """Without a page number at the end: any after two blanks, and the page's own or the one before."""
     s = F.trim(c)
     bare = F.regexp_replace(s, r"\s{2,}\d{1,3}$", "")
@@ -166,15 +167,15 @@ def without_footer(c: Column, page: Column) -> Column:
         bare = F.when(number.isNotNull(), ended).otherwise(bare)
     s = F.when(F.length(s) > 18, bare).otherwise(s)
     short = F.regexp_replace(s, r"\s+\d{1,3}$", "")
-    return F.when(is_page_cue(short), short).otherwise(s)
+    return F.when(is_page_cue(short, cast), short).otherwise(s)
 
 
-def page_lines(c: Column, page: Column) -> Column:
+def page_lines(c: Column, page: Column, cast: tuple[str, ...] = ()) -> Column:
     """The clean lines of a page's line: none, one, or several."""
     s = F.trim(c)
     bare = F.regexp_replace(F.regexp_replace(s, r"^\(MORE\)\s*", ""), r"^\d{1,3}(?=[A-Z(])", "")
-    once = F.transform(split_merged(bare), lambda x: without_footer(x, page))
-    twice = F.filter(F.flatten(F.transform(once, split_merged)), lambda x: x != "")
+    once = F.transform(split_merged(bare, cast), lambda x: without_footer(x, page, cast))
+    twice = F.filter(F.flatten(F.transform(once, lambda x: split_merged(x, cast))), lambda x: x != "")
     return F.when(s == "", F.array(F.lit(""))).when(s.rlike(r"^\(MORE\)\s*\d*$|^\d{1,3}$"), F.array().cast("array<string>")).otherwise(twice)
 
 

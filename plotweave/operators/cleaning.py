@@ -54,9 +54,9 @@ def renumbered(df: DataFrame, *order: str) -> DataFrame:
     return df.withColumn("line_no", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).select("doc_id", "line_no", "line")
 
 
-def repaired(pages: DataFrame) -> DataFrame:
+def repaired(pages: DataFrame, cast: tuple[str, ...] = ()) -> DataFrame:
     """Lines without page numbers and continuation marks, merged cues on lines of their own."""
-    parts = pages.select("doc_id", "line_no", F.posexplode(L.page_lines(F.col("line"), F.col("page"))).alias("part", "line"))
+    parts = pages.select("doc_id", "line_no", F.posexplode(L.page_lines(F.col("line"), F.col("page"), cast)).alias("part", "line"))
     return renumbered(parts, "line_no", "part")
 
 
@@ -70,7 +70,7 @@ def blank_runs_collapsed(df: DataFrame, blank: Column | None = None) -> DataFram
     return renumbered(kept, "line_no")
 
 
-def unwrapped(df: DataFrame) -> DataFrame:
+def unwrapped(df: DataFrame, cast: tuple[str, ...] = ()) -> DataFrame:
     """Lines of one paragraph joined; a hyphen within a word, before a lower-case letter, joins without a blank.
 
     A paragraph ends at a blank line, a heading, a transition, a cue and a parenthetical; a line
@@ -78,7 +78,7 @@ def unwrapped(df: DataFrame) -> DataFrame:
     on like an action beat. A blank line stands before every heading, transition and cue.
     """
     line = F.col("line")
-    kind = F.when(F.trim(line) == "", "blank").when(L.is_page_heading(line) | L.is_transition(line), "mark").when(L.is_short_parenthetical(line), "paren").when(L.is_page_cue(line), "cue").otherwise("text")
+    kind = F.when(F.trim(line) == "", "blank").when(L.is_page_heading(line) | L.is_transition(line), "mark").when(L.is_short_parenthetical(line), "paren").when(L.is_page_cue(line, cast), "cue").otherwise("text")
     kinds = df.withColumn("kind", kind)
     goes_on = (F.col("kind") == "text") & (F.lag("kind", 1, "blank").over(by_doc()) == "text")
     # Speech lasts from a cue to the next blank, heading or cue.
@@ -110,8 +110,11 @@ def headings_merged(df: DataFrame) -> DataFrame:
     return renumbered(merged.withColumn("line", F.when(F.col("next").isNotNull(), F.concat_ws(" ", F.trim("line"), F.col("next")["line"])).otherwise(F.col("line"))), "line_no")
 
 
-def cleaned(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The whole way from paged text to clean lines."""
-    pages = blank_runs_collapsed(repaired(paged_lines(docs, doc_id=doc_id, text=text)))
-    joined = headings_merged(blank_runs_collapsed(unwrapped(pages)))
+def cleaned(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", cast: tuple[str, ...] = ()) -> DataFrame:
+    """The whole way from paged text to clean lines.
+
+    cast: the names of all speakers, where they are known; no other line is a cue then, however short and in capitals.
+    """
+    pages = blank_runs_collapsed(repaired(paged_lines(docs, doc_id=doc_id, text=text), cast))
+    joined = headings_merged(blank_runs_collapsed(unwrapped(pages, cast)))
     return blank_runs_collapsed(joined.withColumn("line", L.without_page_number(F.col("line"))))

@@ -92,3 +92,11 @@ def test_faulty_pages_raise(spark):
 
 def test_empty_document(spark):
     assert segment.blocks(lines_of(spark, "")).count() == 0
+
+
+def test_only_names_of_a_known_cast_are_cues(spark):
+    rows = [("d", "# T\n\n## Page 1\n\n```text\n1USER\nFirst words.\nA.\nI am here. OK\n(MORE)\n1\nUSER V/O\nmore\n```\n")]
+    page = spark.createDataFrame(rows, "doc_id string, text string")
+    told = lambda **k: [r["line"] for r in cleaning.cleaned(page, **k).orderBy("line_no").collect()]
+    assert told(cast=("USER",)) == ["USER", "First words. A. I am here. OK", "", "USER V/O", "more"]
+    assert told() == ["USER", "First words.", "", "A.", "I am here.", "", "OK", "", "USER V/O", "more"]
