@@ -26,16 +26,35 @@ def manual_edges(edges: DataFrame, entities: DataFrame) -> tuple[DataFrame, Data
     return kept, skipped
 
 
-def pair_counts(roster: DataFrame, *, scene: str, entity: str, with_scenes: bool = False) -> DataFrame:
+#: Pairs of members that one task counts: what bounds its memory.
+TASK_PAIRS = 1_000_000
+
+
+def pair_counts(roster: DataFrame, *, scene: str, entity: str, with_scenes: bool = False, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """subject_id < object_id, n, and on demand the first scenes: pairs of entities by the number of scenes they share.
 
-    roster must have each (scene, entity) once; a scene's pairs are only as many as it has members squared.
+    roster must have each (scene, entity) once. Each entity meets the lists of its scenes' later
+    members, and its pairs are unfolded and counted in the task that has the entity: no pair is
+    shuffled, and partitions are as many as the number of pairs asks for. Entities with more pairs
+    than a task takes are dealt out over several, whose counts are added up.
     """
-    a = roster.select(F.col(scene).alias("scene"), F.col(entity).alias("subject_id"))
-    b = roster.select(F.col(scene).alias("scene"), F.col(entity).alias("object_id"))
-    pairs = a.join(b, "scene").where("subject_id < object_id")
-    counts = pairs.groupBy("subject_id", "object_id").agg(F.count("*").alias("n"))
-    return counts.join(first_scenes(pairs), ["subject_id", "object_id"]) if with_scenes else counts
+    members = F.sort_array(F.collect_list(F.col(entity))).alias("_members")
+    lists = staged(roster.where(F.col(scene).isNotNull()).groupBy(F.col(scene).alias("scene")).agg(members).where(F.size("_members") > 1), "scene-members")
+    own = lists.select("scene", "_members", F.posexplode("_members").alias("_at", "subject_id")).where(F.col("_at") + 1 < F.size("_members"))
+    met = own.select("scene", "subject_id", F.expr("slice(_members, _at + 2, size(_members))").alias("_others"))
+    weights = own.groupBy("subject_id").agg(F.sum((F.size("_members") - F.col("_at") - 1).cast("long")).alias("_pairs"))
+    whole = lists.agg(F.sum(F.size("_members").cast("long") * (F.size("_members") - 1) / 2)).first()[0] or 0
+    parts = max(1, min(100_000, -int(-whole // task_pairs)))
+    # At most as many as there are parts.
+    hot = staged(weights.where(F.col("_pairs") > task_pairs).select("subject_id", F.ceil(F.col("_pairs") / task_pairs).alias("_shares")), "hot-subjects")
+    once = met.join(F.broadcast(hot), "subject_id", "left_anti").repartition(parts, "subject_id").select("subject_id", F.explode("_others").alias("object_id"))
+    counts = once.groupBy("subject_id", "object_id").agg(F.count("*").alias("n"))
+    shared = met.join(F.broadcast(hot), "subject_id").withColumn("_share", F.pmod(F.xxhash64("scene"), F.col("_shares"))).repartition(parts, "subject_id", "_share")
+    dealt = shared.select("subject_id", "_share", F.explode("_others").alias("object_id")).groupBy("subject_id", "object_id", "_share").agg(F.count("*").alias("n"))
+    counts = counts.unionByName(dealt.groupBy("subject_id", "object_id").agg(F.sum("n").alias("n")))
+    if not with_scenes:
+        return counts
+    return counts.join(first_scenes(met.select("scene", "subject_id", F.explode("_others").alias("object_id"))), ["subject_id", "object_id"])
 
 
 def first_scenes(pairs: DataFrame, most: int = MAX_SCENE_IDS) -> DataFrame:
@@ -53,6 +72,7 @@ def without_known_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 def co_presence_edges(roster: DataFrame, known: DataFrame, *, scene: str = "scene_id", entity: str = "entity_id", least: int = MIN_SCENES, most: int = MAX_EDGES) -> DataFrame:
     """The strongest pairs that share enough scenes and are not known to be associated."""
+    roster = staged(roster.select(scene, entity), "roster")
     pairs = without_known_pairs(pair_counts(roster, scene=scene, entity=entity).where(F.col("n") >= least), known.where("predicate = 'associated_with'"))
     top = staged(pairs.orderBy(F.desc("n"), "subject_id", "object_id").limit(most), "top-pairs")
     # Scenes are looked up for the pairs that stay only, at most `most` of them.

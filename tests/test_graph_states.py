@@ -90,3 +90,18 @@ def test_changes_group_in_order(spark):
     assert facets["pair_directed", "a->b"] == 1 and facets["pair_undirected", "a<->b"] == 1
     core = states.core_pairs(states.state_changes(hits), spark.createDataFrame([("b", "a"), ("c", "d")], "subject_id string, object_id string")).collect()
     assert {(x["subject_id"], x["directed_count"], x["undirected_count"]) for x in core} == {("b", 0, 1), ("c", 0, 0)}
+
+
+def test_pair_counts_whatever_a_task_takes(spark):
+    rows = [(s, e) for s in range(12) for e in range(9) if (s * e) % 4 != 1 or e == 0] + [(None, 1), (None, 2), (50, 3)]
+    roster = spark.createDataFrame(rows, "s long, e long")
+    want = {}
+    for s, a in rows:
+        for t, b in rows:
+            if s is not None and s == t and a < b:
+                want.setdefault((a, b), []).append(s)
+    for size in (1, 20, 1000):
+        found = graph.pair_counts(roster, scene="s", entity="e", with_scenes=True, task_pairs=size).collect()
+        assert {(r["subject_id"], r["object_id"]): (r["n"], r["scene_ids"]) for r in found} == {k: (len(v), sorted(v)[:8]) for k, v in want.items()}
+    plan = graph.pair_counts(roster, scene="s", entity="e")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan and "REPARTITION_BY_NUM" in plan
