@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from plotweave.functions.text import literal, straight
 
+#: At most so many different phrases meet the texts where these are, without a shuffle of texts.
+FEW_PHRASES = 200
+
 
 def phrase_matches(texts: DataFrame, phrases: DataFrame, *, key: str, text: str, phrase: str) -> DataFrame:
     """texts x phrases where the phrase stands in the text with no letter or digit at either side, with its first start and stop.
@@ -19,15 +22,36 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, *, key: str, text: str,
     words = lambda c: F.filter(F.split(c, "[^a-z0-9]+"), lambda w: w != "")
     p = F.lower(F.trim(straight(phrase)))
     right = phrases.withColumn("_phrase", p)
-    said = texts.select(F.col(key).alias("_key"), F.explode(F.array_distinct(words(norm))).alias("_word")).distinct()
     parts = right.select("_phrase", F.explode(F.array_distinct(words(F.col("_phrase")))).alias("_word")).distinct()
-    known = said.join(parts.select("_word").distinct(), "_word", "left_semi").groupBy("_word").agg(F.count("*").alias("_n"))
-    rarest = parts.join(known, "_word", "left").groupBy("_phrase").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_word")).alias("_best")).where("_best.n > 0").select("_phrase", F.col("_best._word").alias("_word"))
+    if len(parts.select("_phrase").distinct().limit(FEW_PHRASES + 1).collect()) <= FEW_PHRASES:
+        return _matches_of_few(texts, right, parts, norm, words(norm))
+    # Words that no phrase has go before anything is shuffled.
+    said = texts.select(F.col(key).alias("_key"), F.explode(F.array_distinct(words(norm))).alias("_word")).join(parts.select("_word").distinct(), "_word", "left_semi").distinct()
+    known = said.groupBy("_word").agg(F.count("*").alias("_n"))
+    rarest = _rarest(parts, known)
     pairs = said.join(rarest, "_word").join(right, "_phrase").drop("_word")
+    return _placed(texts.join(pairs, F.col(key) == F.col("_key")), norm).drop("_key")
+
+
+def _rarest(parts: DataFrame, known: DataFrame) -> DataFrame:
+    """_phrase, _word: of each phrase whose words all occur the one in fewest texts."""
+    return parts.join(known, "_word", "left").groupBy("_phrase").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_word")).alias("_best")).where("_best.n > 0").select("_phrase", F.col("_best._word").alias("_word"))
+
+
+def _placed(met: DataFrame, norm: Column) -> DataFrame:
+    """Of texts beside phrases those that have them, with start and stop."""
     shape = F.concat(F.lit("(?<![a-z0-9])"), literal("_phrase"), F.lit("(?![a-z0-9])"))
-    met = texts.join(pairs, F.col(key) == F.col("_key"))
     at = F.regexp_instr(norm, shape)
-    return met.withColumn("start", at - 1).where("start >= 0").withColumn("stop", F.col("start") + F.length("_phrase")).drop("_key", "_phrase")
+    return met.withColumn("start", at - 1).where("start >= 0").withColumn("stop", F.col("start") + F.length("_phrase")).drop("_phrase")
+
+
+def _matches_of_few(texts: DataFrame, right: DataFrame, parts: DataFrame, norm: Column, words: Column) -> DataFrame:
+    """The matches of few phrases, by one pass over the texts for counts of words and one for matches."""
+    wanted = sorted(r["_word"] for r in parts.select("_word").distinct().collect())
+    own = F.array_intersect(words, F.array(*map(F.lit, wanted)).cast("array<string>"))
+    known = texts.select(F.explode(own).alias("_word")).groupBy("_word").agg(F.count("*").alias("_n"))
+    met = texts.withColumn("_word", F.explode(own)).join(F.broadcast(_rarest(parts, known)), "_word").drop("_word")
+    return _placed(met.join(right, "_phrase"), norm)
 
 
 def first_of_entity(matches: DataFrame, *keys: str, entity: str = "entity_id") -> DataFrame:

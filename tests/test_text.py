@@ -93,3 +93,17 @@ def test_words_end_at_letters_beyond_ascii(spark):
     assert one(spark, T.markers, "ÄV/OÖ flashbacké") == ["flashback", "voice_over"]
     assert one(spark, T.year_in, "ü1975ß") == 1975
     assert one(spark, lambda c: router.signals(c)["has_who"], "whoé") is True
+
+
+def test_few_phrases_meet_texts_where_they_are(spark, monkeypatch):
+    from plotweave.operators import spans
+
+    texts = spark.createDataFrame([(1, "Of the sea, of THE"), (2, None), (3, "owl"), (3, "the owl"), (4, "othe")], "id long, body string")
+    names = spark.createDataFrame([("a", "of the"), ("b", "the"), ("c", "the"), ("d", "zebra owl"), ("e", "..."), ("f", None)], "entity_id string, name string")
+    found = lambda: spans.phrase_matches(texts, names, key="id", text="body", phrase="name").select("id", "body", "entity_id", "start", "stop")
+    few = found()
+    assert "_key" not in few._jdf.queryExecution().toString()  # texts are not joined by their keys
+    got = sorted(map(tuple, few.collect()))
+    assert got == [(1, "Of the sea, of THE", "a", 0, 6), (1, "Of the sea, of THE", "b", 3, 6), (1, "Of the sea, of THE", "c", 3, 6), (3, "the owl", "b", 0, 3), (3, "the owl", "c", 0, 3)]
+    monkeypatch.setattr(spans, "FEW_PHRASES", 0)
+    assert sorted(map(tuple, found().collect())) == got
