@@ -1,8 +1,10 @@
-"""Which texts contain which needles, whatever the case: postings of three-character grams, then a check of what they give.
+"""Which texts contain which needles, whatever the case: postings of six-character grams, then a check of what they give.
 
 A text that contains a needle has all of its grams. The postings (gram, id) of the texts can be
 written once and searched again and again; a needle asks for its rarest gram only, so what meets
-grows with the rarest gram and not with the number of texts.
+grows with the rarest gram and not with the number of texts. A needle of up to six characters is
+its own gram, and meets no text in vain: with shorter grams needles of digits would each meet the
+same share of all texts, and pairs would grow with needles times texts.
 """
 
 from __future__ import annotations
@@ -10,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRAM = 3
+from plotweave.sources.staging import staged
+
+GRAM = 6
 
 
 def grams(c: Column, n: int = GRAM) -> Column:
@@ -44,7 +48,9 @@ def contained(needles: DataFrame, texts: DataFrame, *, needle_key: str, needle:
         index = postings(texts, key=key, text=text, sizes=short_sizes(asked, needle="_needle"))
     own = F.when(F.length("_needle") >= GRAM, grams(F.col("_needle"))).otherwise(F.array("_needle"))
     wanted = asked.select("_needle", F.explode(own).alias("gram")).distinct()
-    counted = index.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    # Only postings that a needle asks for are kept, for counting and for meeting.
+    index = staged(index.join(wanted.select("gram").distinct(), "gram", "left_semi"), "asked-postings")
+    counted = index.groupBy("gram").agg(F.count("*").alias("n"))
     # A gram that no text has rules its needle out; else the rarest one stands for the needle.
     rarest = wanted.join(counted, "gram", "left").groupBy("_needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best")).where("best.n > 0").select("_needle", F.col("best.gram").alias("gram"))
     met = rarest.join(index, "gram").select("_needle", "key")

@@ -49,3 +49,14 @@ def test_contained_needles(spark):
     want = sorted((n, k) for n, x in needles for k, t in texts if x and t and x.lower() in t.lower())
     assert sorted((r["n"], r["id"]) for r in got.collect()) == want
     assert substrings.contained(spark.createDataFrame([], "n long, needle string"), spark.createDataFrame(texts, "id long, body string"), needle_key="n", needle="needle", key="id", text="body").count() == 0
+
+
+def test_needles_of_digits_meet_only_texts_that_have_them(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(substrings, "staged", lambda df, name: kept.setdefault(name, df))
+    texts = spark.createDataFrame([(k, f"bolt #{k:09d}") for k in range(300)], "id long, body string")
+    needles = spark.createDataFrame([(k, f"{k:05d}") for k in range(200, 220)], "n long, needle string")
+    got = substrings.contained(needles, texts, needle_key="n", needle="needle", key="id", text="body")
+    want = sorted((n, k) for n in range(200, 220) for k in range(300) if f"{n:05d}" in f"bolt #{k:09d}")
+    assert sorted((r["n"], r["id"]) for r in got.collect()) == want
+    assert kept["asked-postings"].count() == len(want)
