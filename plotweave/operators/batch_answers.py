@@ -3,8 +3,9 @@
 A question is a row (question_id, question, preferred_mode, include_evidence, include_baseline); an
 answer is a row of typed columns. Questions that ask the same of the tables share the work: graph
 answers are made once for each entity asked for, state changes once for each pair or entity,
-timelines once for each filter of entity, pair and year. Lists are cut by limits within groups,
-texts are looked for by postings of grams, retrieval is an inverted index with early termination.
+timelines once for each filter of entity, pair and year. Kinds of answers that no question asks
+for are not planned at all. Lists are cut by limits within groups, on keys and places alone before
+texts meet them; retrieval is an inverted index with early termination.
 
 Texts that readers see, weights, limits and confidences are fixed values. A null or empty question
 is answered as the router answers an empty text: a fact without an entity.
@@ -82,7 +83,7 @@ def text(c: Column | str) -> Column:
 def contexts(questions: DataFrame, n: Narrative, hints: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """The questions with query_type, mode_used, ids and names of their entities in order of place, focus, pair, year, and keys of what they ask for."""
     asked = questions.withColumn("question", F.coalesce("question", F.lit("")))
-    routed = router.routed(asked, question="question", wanted="preferred_mode")
+    routed = staged(router.routed(asked, question="question", wanted="preferred_mode"), "routed")
     plain = routed.select("question_id", F.lower(squeeze("question")).alias("_text"))
     found = spans.detected(plain, lexicon(n.entities, n.aliases, hints), key="question_id", text="_text").join(n.entities.select("entity_id", "canonical_name"), "entity_id")
     named = found.groupBy("question_id").agg(listed("start", "canonical_name", "entity_id").alias("_found"))
@@ -134,6 +135,8 @@ def graph_answers(asked: DataFrame, n: Narrative) -> DataFrame:
     direct = core(asked.join(made, "focus"), F.col("_answer"), F.col("_sure"), F.lit(KG_NOTES), entities_used=F.col("_ids"), evidence_refs=F.col("_refs"))
     # Without an entity: entities whose name, id or an alias contains the whole question.
     lost = asked.where("focus is null")
+    if lost.isEmpty():
+        return direct
     said = n.entities.select("entity_id", F.array_join(F.concat(F.array("canonical_name", "entity_id"), F.coalesce("aliases", no_strings())), "\x00").alias("_said"))
     pairs = substrings.contained(lost.select("question_id", strip("question").alias("_q")), said, needle_key="question_id", needle="_q", key="entity_id", text="_said")
     # An empty question looks for nothing and so lists from all entities.
@@ -191,20 +194,25 @@ def meets(ids: Column, focus: str = "focus", pair: str = "pair") -> Column:
     return (F.col(focus).isNull() | F.array_contains(ids, F.col(focus))) & (F.col(pair).isNull() | ((a != b) & F.array_contains(ids, a) & F.array_contains(ids, b)))
 
 
-def matched_events(asked: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(trace_key, event_id) and (filter_id, event_id, scene_id): the events of each text with its filter, and of each filter of entity, pair and year that is not empty.
+#: The order of events in time.
+IN_TIME = ("_scene_at", "sequence_in_scene", "event_id")
 
-    placed: events with _people, _year and _said, what a text is looked for in.
-    """
+
+def filtered_events(asked: DataFrame, placed: DataFrame) -> DataFrame:
+    """filter_id, scene_id and an event's place: the events of each filter of entity, pair and year that is not empty. placed: events with _people and _year."""
     filters = asked.select("filter_id", "focus", "pair", "year").distinct()
-    roster = placed.select("event_id", "scene_id", "_year", "_people", F.explode(F.array_distinct("_people")).alias("_person"))
-    by_focus = filters.where("focus is not null").join(roster, F.col("focus") == F.col("_person")).where(meets(F.col("_people")) & (F.col("year").isNull() | (F.col("year") == F.col("_year")))).select("filter_id", "event_id", "scene_id")
-    by_year = filters.where("focus is null and year is not null").join(placed.select("event_id", "scene_id", "_year"), F.col("year") == F.col("_year")).select("filter_id", "event_id", "scene_id")
-    texts = asked.where("words is not null")
+    kept = ["filter_id", "scene_id", *IN_TIME]
+    roster = placed.select("scene_id", *IN_TIME, "_year", "_people", F.explode(F.array_distinct("_people")).alias("_person"))
+    by_focus = filters.where("focus is not null").join(roster, F.col("focus") == F.col("_person")).where(meets(F.col("_people")) & (F.col("year").isNull() | (F.col("year") == F.col("_year")))).select(kept)
+    by_year = filters.where("focus is null and year is not null").join(placed.select("scene_id", *IN_TIME, "_year"), F.col("year") == F.col("_year")).select(kept)
+    return by_focus.unionByName(by_year)
+
+
+def told_events(texts: DataFrame, placed: DataFrame) -> DataFrame:
+    """trace_key and an event's place: the events of each text with its filter. placed: events with _people, _year and _said, what a text is looked for in."""
     said = substrings.contained(texts.select("question_id", "words"), placed.select("event_id", "_said"), needle_key="question_id", needle="words", key="event_id", text="_said")
-    wanted = said.join(texts.select("question_id", "trace_key", "focus", "pair", "year"), "question_id").join(placed.select("event_id", "_people", "_year"), "event_id")
-    by_text = wanted.where(meets(F.col("_people")) & (F.col("year").isNull() | (F.col("year") == F.col("_year")))).select("trace_key", "event_id")
-    return by_text, by_focus.unionByName(by_year)
+    wanted = said.join(texts.select("question_id", "trace_key", "focus", "pair", "year"), "question_id").join(placed.select(*IN_TIME, "_people", "_year"), "event_id")
+    return wanted.where(meets(F.col("_people")) & (F.col("year").isNull() | (F.col("year") == F.col("_year")))).select("trace_key", *IN_TIME)
 
 
 def trace_answers(asked: DataFrame, n: Narrative) -> DataFrame:
@@ -213,15 +221,18 @@ def trace_answers(asked: DataFrame, n: Narrative) -> DataFrame:
     facts = (n.events if "scene_index" not in n.events.columns else n.events.drop("scene_index")).join(scenes.select("scene_id", F.col("scene_index").alias("_scene_at"), F.col("header_raw").alias("_header"), "_year"), "scene_id", "left")
     said = F.array_join(F.concat(F.array("event_id", "event_type_l1", "event_type_l2", "summary"), F.coalesce("snippets", no_strings())), "\x00")
     placed = staged(facts.select("event_id", "scene_id", F.coalesce("_scene_at", F.lit(LATE)).alias("_scene_at"), "_header", "_year", "sequence_in_scene", "event_type_l2", "summary", people().alias("_people"), F.coalesce(F.try_element_at("snippets", F.lit(1)), F.lit("")).alias("_snippet"), F.coalesce("evidence_refs", no_strings()).alias("_refs"), said.alias("_said")), "placed-events")
-    by_text, by_filter = matched_events(asked, placed)
-    by_filter = staged(by_filter, "filtered-events")
-    order = ["_scene_at", "sequence_in_scene", "event_id"]
-    keyed = by_text.unionByName(by_filter.select(F.concat(F.lit("f:"), "filter_id").alias("trace_key"), "event_id"))
+    by_filter = filtered_events(asked, placed)
+    keyed = by_filter.select(F.concat(F.lit("f:"), "filter_id").alias("trace_key"), *IN_TIME)
+    texts = asked.where("words is not null")
+    if not texts.isEmpty():
+        keyed = told_events(texts, placed).unionByName(keyed)
     limits = asked.select("trace_key", F.when(F.col("query_type") == "evidence", 14).otherwise(40).alias("most")).distinct()
-    ranked = keyed.join(limits, "trace_key").join(placed, "event_id").withColumn("at", F.row_number().over(Window.partitionBy("trace_key").orderBy(*order))).where("at <= 40").where("at <= most").drop("most")
+    # Places are enough to tell which events are listed; the rest of an event meets those that are.
+    ranked = keyed.join(limits, "trace_key").withColumn("at", F.row_number().over(Window.partitionBy("trace_key").orderBy(*IN_TIME))).where("at <= 40").where("at <= most").select("trace_key", "at", "event_id")
     # Questions without any filter get the first of all events: one list.
-    every = placed.orderBy(*order).limit(40).withColumns({"trace_key": F.lit("f:||"), "at": F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))})
-    listed_events = staged(ranked.unionByName(every.select(ranked.columns)), "listed-events")
+    every = placed.select(*IN_TIME).orderBy(*IN_TIME).limit(40).withColumns({"trace_key": F.lit("f:||"), "at": F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*IN_TIME))})
+    first = staged(ranked.unionByName(every.select(ranked.columns)), "first-events")
+    listed_events = staged(first.join(placed, "event_id"), "listed-events")
     triggered = n.changes.select("state_change_id", F.explode("trigger_event_ids").alias("event_id")).join(listed_events.select("event_id").distinct(), "event_id", "left_semi").groupBy("event_id").agg(F.sort_array(F.collect_set("state_change_id")).alias("_changes"))
     rows = listed_events.join(triggered, "event_id", "left").withColumn("_changes", F.coalesce("_changes", no_strings()))
     views = rows.groupBy("trace_key").agg(listed("at", "event_id", "event_type_l2", "scene_id", "_header", "summary", "_snippet", "_refs", "_people", "_changes").alias("rows"))
@@ -346,11 +357,15 @@ def answers(questions: DataFrame, n: Narrative, hints: tuple[tuple[str, str], ..
     """question_id, question, query_type, mode_used, the answer's columns, and `baseline`, a struct of the same for comparison where it is asked for."""
     asked = staged(contexts(questions, n, hints), "asked")
     mode = F.col("mode_used")
-    kg = staged(graph_answers(asked.where(mode.isin("kg", "hybrid")), n), "graph-answers")
-    traced = asked.where(mode.isin("ntg", "hybrid"))
-    trace = staged(change_answers(traced.where("query_type = 'state_change'"), n).unionByName(trace_answers(traced.where("query_type <> 'state_change'"), n)), "trace-answers")
+    traced = mode.isin("ntg", "hybrid")
     compared = (F.coalesce("include_baseline", F.lit(False)) | (F.col("query_type") == "comparison")) & (mode != "baseline_rag")
-    plain = staged(retrieval_answers(asked.where((mode == "baseline_rag") | compared), n), "retrieval-answers")
+    none = core(asked.where(F.lit(False)), F.lit(""), F.lit(0.0), F.lit(""))
+    # A kind of answers that no question asks for would still read and write its tables, so it is left out.
+    made = lambda wanted, answers_of, name: none if asked.where(wanted).isEmpty() else staged(answers_of(asked.where(wanted), n), name)
+    kg = made(mode.isin("kg", "hybrid"), graph_answers, "graph-answers")
+    changed = made(traced & (F.col("query_type") == "state_change"), change_answers, "change-answers")
+    trace = changed.unionByName(made(traced & (F.col("query_type") != "state_change"), trace_answers, "trace-answers"))
+    plain = made((mode == "baseline_rag") | compared, retrieval_answers, "retrieval-answers")
     of = lambda df, kind: df.join(asked.where(mode == kind).select("question_id"), "question_id", "left_semi")
     main = of(kg, "kg").unionByName(of(trace, "ntg")).unionByName(hybrid_answers(asked.where(mode == "hybrid"), kg, trace)).unionByName(of(plain, "baseline_rag"))
     beside = finished(plain.join(asked.where(compared).select("question_id"), "question_id", "left_semi"), asked, F.lit(BASELINE_ROUTE))

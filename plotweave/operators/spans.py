@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave.functions.text import literal, straight
+from plotweave.sources.staging import staged
 
 #: At most so many different phrases meet the texts where these are, without a shuffle of texts.
 FEW_PHRASES = 200
@@ -88,10 +89,15 @@ def greedy_in_order(spans: Column) -> Column:
 
 
 def detected(questions: DataFrame, lexicon: DataFrame, *, key: str, text: str) -> DataFrame:
-    """key, entity_id, phrase, start, stop, place: lexicon phrases in questions, the longest first, then by priority and phrase; each entity once."""
-    found = phrase_matches(questions.select(key, text), lexicon, key=key, text=text, phrase="phrase")
-    order = F.struct((-F.length("phrase")).alias("minus_length"), (-F.col("priority")).alias("minus_priority"), "phrase", "entity_id", "start", "stop")
-    kept = found.groupBy(key).agg(greedy_in_order(F.array_sort(F.collect_list(order))).alias("kept"))
+    """key, entity_id, phrase, start, stop, place: lexicon phrases in questions, the longest first, then by priority and phrase; each entity once.
+
+    Entities of one phrase would be found at the same place, where the first of them wins: so that one alone meets the questions.
+    """
+    order = ((-F.length("phrase")).alias("minus_length"), (-F.col("priority")).alias("minus_priority"), "phrase", "entity_id")
+    first_named = lexicon.groupBy(F.lower(F.trim(straight("phrase"))).alias("_same")).agg(F.min(F.struct(*order)).alias("m"))
+    named = staged(first_named.select("m.entity_id", "m.phrase", (-F.col("m.minus_priority")).alias("priority")), "lexicon")
+    found = phrase_matches(questions.select(key, text), named, key=key, text=text, phrase="phrase")
+    kept = found.groupBy(key).agg(greedy_in_order(F.array_sort(F.collect_list(F.struct(*order, "start", "stop")))).alias("kept"))
     flat = kept.select(key, F.explode("kept").alias("m")).select(key, "m.entity_id", "m.phrase", "m.start", "m.stop")
     first = flat.groupBy(key, "entity_id").agg(F.min_by(F.struct("phrase", "start", "stop"), "start").alias("m")).select(key, "entity_id", "m.*")
     return first.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("start")))

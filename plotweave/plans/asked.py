@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from plotweave.operators import adjacency, batch_answers, retrieval, router, sta
 from plotweave.operators.answers import Narrative
 from plotweave.plans import tables as D
 from plotweave.plans.catalog import CHANGES, EDGES, ENTITIES, changes, query, trace_tables
+from plotweave.sources.staging import staged
 
 # The story: users by the last digit of their numbers as people, days as scenes, turns as script blocks.
 
@@ -18,18 +21,31 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digits.select(F.concat(F.lit("u"), "d").alias("entity_id"), F.lit("character").alias("entity_type"), F.concat(F.lit("User "), "d").alias("canonical_name"), F.array().cast("array<string>").alias("aliases"))
 
 
+class Story(Narrative):
+    """A narrative whose tables are made, once, when they are first asked for."""
+
+    def __init__(self, **tables: Callable[[], DataFrame | None]):
+        self._tables = tables
+
+    def __getattr__(self, name: str) -> DataFrame | None:
+        if name.startswith("_") or name not in self._tables:
+            raise AttributeError(name)
+        setattr(self, name, self._tables[name]())
+        return getattr(self, name)
+
+
 def narrative(spark: SparkSession, sf_dir: str) -> Narrative:
-    entities = D.entities(spark, sf_dir).unionByName(persons(spark, sf_dir))
+    """Entities, days and state changes are written down, since answers ask for them again and again."""
     edges = D.edges(spark, sf_dir).withColumns({"stability": F.lit("stable"), "evidence_refs": F.array(F.concat(F.lit("edge:"), "edge_id"))})
     found, days = trace_tables(spark, sf_dir)
     digit = F.substring_index(F.col("participants")[0]["entity_id"], "_", -1).cast("long") % 10
     who = lambda d: F.struct(F.concat(F.lit("u"), d).alias("entity_id"), F.lit("actor").alias("role"))
     found = found.withColumns({"participants": F.array(who(digit), who((digit + 1) % 10)), "evidence_refs": F.array(F.concat(F.lit("evref_"), "event_id")), "confidence": F.lit(0.5)})
-    told = states.numbered_changes(changes(spark, sf_dir))
-    told = told.withColumn("trigger_event_ids", F.col("trigger_event_ids").cast("array<string>"))
+    told = lambda: states.numbered_changes(changes(spark, sf_dir)).withColumn("trigger_event_ids", F.col("trigger_event_ids").cast("array<string>"))
     turns = D.table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("block_id"), F.col("conv_id").cast("string").alias("scene_id"), F.lit("utterance").alias("block_type"), F.col("turn").cast("int").alias("sequence_in_scene"), F.upper("role").alias("speaker_cue_raw"), "text")
-    none = entities.limit(0).select("entity_id", F.col("entity_id").alias("alias_raw"), F.col("entity_id").alias("alias_normalized"), F.lit("").alias("source"))
-    return Narrative(entities, none, edges, found, days, told, None, turns)
+    none = spark.createDataFrame([], "entity_id string, alias_raw string, alias_normalized string, source string")
+    entities = lambda: staged(D.entities(spark, sf_dir).unionByName(persons(spark, sf_dir)), "entities")
+    return Story(entities=entities, aliases=lambda: none, edges=lambda: edges, events=lambda: found, scenes=lambda: staged(days, "days"), changes=lambda: staged(told(), "changes"), temporal=lambda: None, blocks=lambda: turns)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -247,3 +247,20 @@ def test_entities_of_questions(spark, narrative):
 def test_no_questions(spark, narrative):
     none = spark.createDataFrame([], "question_id string, question string, preferred_mode string, include_evidence boolean, include_baseline boolean")
     assert B.answers(none, narrative).count() == 0
+
+
+def test_kinds_that_no_question_asks_for_read_nothing(spark, narrative):
+    kinds = "question_id string, question string, preferred_mode string, include_evidence boolean, include_baseline boolean"
+    only = lambda *used: Narrative(*(getattr(narrative, t) if t in used else None for t in ("entities", "aliases", "edges", "events", "scenes", "changes", "temporal", "blocks")))
+    asked_of = lambda question, n: [r["mode_used"] for r in B.answers(spark.createDataFrame([("q", question, "auto", True, False)], kinds), n).collect()]
+    assert asked_of("Who is Ann Field connected to?", only("entities", "aliases", "edges")) == ["kg"]
+    assert asked_of("How does Ann Field's relationship with Bob Stone change over time?", only("entities", "aliases", "events", "scenes", "changes")) == ["ntg"]
+
+
+def test_places_alone_tell_which_events_are_listed(spark, narrative, monkeypatch):
+    """Before an event's text is met, at most 40 events of each filter are left."""
+    written = {}
+    monkeypatch.setattr(B, "staged", lambda df, name: written.setdefault(name, df.cache()))
+    questions = spark.createDataFrame([("q", "When does Ann Field leave?", "auto", True, False)], "question_id string, question string, preferred_mode string, include_evidence boolean, include_baseline boolean")
+    assert B.answers(questions, narrative).count() == 1
+    assert "filtered-events" not in written and written["first-events"].columns == ["trace_key", "at", "event_id"]

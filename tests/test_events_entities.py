@@ -90,3 +90,14 @@ def test_script_to_events(spark):
     assert events.bridge(df).where("participant_index = 1").count() == df.where(F.size("participants") > 0).count()
     rolled = {r["scene_id"]: r for r in events.scene_rollup(df).collect()}
     assert rolled["scene_0001"]["event_count"] == len([x for x in labels if x[0] == "scene_0001"]) and rolled["scene_0001"]["event_type_l2_counts"]["question"] == 1
+
+
+def test_entities_of_one_phrase_do_not_multiply(spark, monkeypatch):
+    """As many customers of one name as questions about it: one of them meets the questions, the one of highest priority and least id."""
+    rows = [(f"c{k:03d}", "Twin Name", 100 if k >= 5 else 70) for k in range(60)] + [("x", "twin", 70)]
+    met, matches = [], spans.phrase_matches
+    monkeypatch.setattr(spans, "phrase_matches", lambda texts, phrases, **kw: met.append(phrases.count()) or matches(texts, phrases, **kw))
+    questions = spark.createDataFrame([(k, "is twin name a twin?") for k in range(60)], "k int, text string")
+    got = spans.detected(questions, spark.createDataFrame(rows, "entity_id string, phrase string, priority int"), key="k", text="text").collect()
+    assert met == [2]
+    assert sorted((r["k"], r["entity_id"], r["start"]) for r in got) == [(k, "c005", 3) for k in range(60)]
