@@ -138,7 +138,7 @@ def graph_answers(asked: DataFrame, n: Narrative) -> DataFrame:
     if lost.isEmpty():
         return direct
     said = n.entities.select("entity_id", F.array_join(F.concat(F.array("canonical_name", "entity_id"), F.coalesce("aliases", no_strings())), "\x00").alias("_said"))
-    pairs = substrings.contained(lost.select("question_id", strip("question").alias("_q")), said, needle_key="question_id", needle="_q", key="entity_id", text="_said")
+    pairs = substrings.contained(lost.select("question_id", strip("question").alias("_q")), said, needle_key="question_id", needle="_q", key="entity_id", text="_said", few=substrings.FEW_NEEDLES)
     # An empty question looks for nothing and so lists from all entities.
     first = n.entities.orderBy("entity_type", "canonical_name", "entity_id").limit(5).select("entity_id")
     pairs = pairs.unionByName(lost.where(strip("question") == "").select("question_id").join(first))
@@ -210,7 +210,7 @@ def filtered_events(asked: DataFrame, placed: DataFrame) -> DataFrame:
 
 def told_events(texts: DataFrame, placed: DataFrame) -> DataFrame:
     """trace_key and an event's place: the events of each text with its filter. placed: events with _people, _year and _said, what a text is looked for in."""
-    said = substrings.contained(texts.select("question_id", "words"), placed.select("event_id", "_said"), needle_key="question_id", needle="words", key="event_id", text="_said")
+    said = substrings.contained(texts.select("question_id", "words"), placed.select("event_id", "_said"), needle_key="question_id", needle="words", key="event_id", text="_said", few=substrings.FEW_NEEDLES)
     wanted = said.join(texts.select("question_id", "trace_key", "focus", "pair", "year"), "question_id").join(placed.select(*IN_TIME, "_people", "_year"), "event_id")
     return wanted.where(meets(F.col("_people")) & (F.col("year").isNull() | (F.col("year") == F.col("_year")))).select("trace_key", *IN_TIME)
 

@@ -70,3 +70,13 @@ def test_only_words_of_questions_are_written(spark, monkeypatch):
     got = retrieval.best_matches(q, t, question_key="qid", question="question", key="id", text="body")
     assert [tuple(r) for r in got.collect()] == [(1, 1, 2, 1)]
     assert [tuple(r) for r in kept["postings"].select("word", "key", "times", "size").collect()] == [("owl", 1, 2, 4)]
+
+
+def test_few_needles_write_no_postings(spark, monkeypatch):
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate(["The Harbour bar", "HARBOUR", None, "", "a.b"])], "id long, body string")
+    needles = [(1, "harbour"), (2, "Bar"), (3, "harbour"), (4, ""), (5, None), (6, "gone"), (7, ".")]
+    find = lambda rows, few=5: {tuple(r) for r in substrings.contained(spark.createDataFrame(rows, "n long, needle string"), texts, needle_key="n", needle="needle", key="id", text="body", few=few).collect()}
+    by_postings = find(needles, few=3)
+    monkeypatch.setattr(substrings, "staged", lambda *_: pytest.fail("postings of few needles were written"))
+    assert find(needles) == by_postings == {(1, 0), (1, 1), (2, 0), (3, 0), (3, 1), (7, 4)}
+    assert find([(4, "")]) == set()
