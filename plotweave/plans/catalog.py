@@ -511,10 +511,10 @@ b AS (SELECT s.item_id, s.doc_id, shared + CASE WHEN whole <> '' AND contains(lo
 SELECT item_id, doc_id, score FROM b QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 6
 """)
 def token_overlap_retrieval(spark, sf_dir):
-    """For every question the six texts that share most words, by the inverted index."""
+    """For every question the six texts that share most words."""
     docs = D.table(spark, sf_dir, "documents").select("doc_id", "text")
     asked = D.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
-    return retrieval.best_matches(asked, docs, question_key="item_id", question="question", key="doc_id", text="text").select("item_id", "doc_id", "score")
+    return retrieval.best_matches(asked, docs, question_key="item_id", question="question", key="doc_id", text="text", pass_words=retrieval.PASS_WORDS).select("item_id", "doc_id", "score")
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\d{1,3}([A-Z(])', '\1'), '\s{2,}\d{1,3}$', '')) AS clean, length(text)::INT AS n FROM documents")

@@ -80,3 +80,33 @@ def test_few_needles_write_no_postings(spark, monkeypatch):
     monkeypatch.setattr(substrings, "staged", lambda *_: pytest.fail("postings of few needles were written"))
     assert find(needles) == by_postings == {(1, 0), (1, 1), (2, 0), (3, 0), (3, 1), (7, 4)}
     assert find([(4, "")]) == set()
+
+
+@pytest.mark.parametrize(("most", "pass_words", "at_once"), [(6, 10_000, 1 << 20), (1, 10_000, 1), (6, 30, 1 << 20), (500, 10_000, 200)])
+def test_passes_over_texts_give_the_lists_of_a_full_evaluation(spark, monkeypatch, most, pass_words, at_once):
+    rng = random.Random(most)
+    letters = ["the", "the", "of", "of", "a1", "ink", "Sea", "it's", "İx", "cab,", "é", "x-elm", "K"] + [f"w{k}" for k in range(30)]
+    texts = [(k, " ".join(rng.choice(letters) for _ in range(rng.randint(0, 40))), rng.choice(["s0", "s1", None])) for k in range(150)] + [(500, None, "s0"), (501, "", "s1"), (502, "the of " * 300, "s2"), (None, "the of", "s0")]
+    asked = [(k, " ".join(rng.choice(letters) for _ in range(rng.randint(0, 6)))) for k in range(40)] + [(100 + k, t[3:-2]) for k, t, _ in texts[:40]] + [(900, None), (901, "The of"), (902, "nowhere zebra"), (903, ".")]
+    t = spark.createDataFrame(texts, "id long, body string, scene string").repartition(3)
+    q = spark.createDataFrame(asked, "qid long, question string")
+    by_postings = retrieval.best_matches(q, t, question_key="qid", question="question", key="id", text="body", order=("scene",), most=most).collect()
+    kept, staged = [], retrieval.staged
+    monkeypatch.setattr(retrieval, "staged", lambda df, name: kept.append(name) or staged(df, name))
+    monkeypatch.setattr(retrieval, "AT_ONCE", at_once)
+    got = retrieval.best_matches(q, t, question_key="qid", question="question", key="id", text="body", order=("scene",), most=most, pass_words=pass_words)
+    plan = got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, by_postings)) and len(by_postings) >= 50
+    assert not {"postings", "near"} & {*kept} and (kept.count("matches") > 1) == (pass_words == 30)
+    assert pass_words == 30 or plan.split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 1  # each task's best, nothing else
+
+
+def test_passes_over_texts_look_at_allowed_pairs_only(spark):
+    from pyspark.sql import functions as F
+
+    t = spark.createDataFrame([(k, "owl owl" if k else "owl", k % 2, [f"p{k % 3}"] if k % 4 else None) for k in range(9)], "id long, body string, kind int, who array<string>")
+    q = spark.createDataFrame([(1, "owl", 0, []), (2, "owl", 1, ["p1"]), (3, "an owl", 1, ["p1"]), (4, "owl owl", None, None)], "qid long, question string, wanted int, ids array<string>")
+    allowed = (F.col("kind") == F.col("wanted")) & ((F.size("ids") == 0) | F.arrays_overlap("who", "ids"))
+    find = lambda allowed, **more: sorted(map(tuple, retrieval.best_matches(q, t, question_key="qid", question="question", key="id", text="body", allowed=allowed, most=3, **more).collect()))
+    assert find(allowed, pass_words=100) == find(allowed, pass_words=1) == find(allowed) == [(1, 2, 4, 1), (1, 4, 4, 2), (1, 6, 4, 3), (2, 1, 4, 1), (2, 7, 4, 2), (3, 1, 2, 1), (3, 7, 2, 2)]
+    assert find(F.col("kind") == 1, pass_words=100) == find(F.col("kind") == 1) != find(None, pass_words=100) == find(None)
