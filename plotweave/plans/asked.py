@@ -206,10 +206,10 @@ scored AS (SELECT met.*, k + CASE WHEN contains(lower(said), q) THEN 2 ELSE 0 EN
 best AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, scene_id, id, source) AS place FROM scored)
 SELECT question_id, source || ':' || id AS piece, score::INT AS score, place::INT AS place FROM best WHERE place <= 6""")
 def retrieval_of_benchmark(spark, sf_dir):
-    """For every test item the six events, changes and turns that share most words with it, by the inverted index."""
+    """For every test item the six events, changes and turns that share most words with it."""
     found = batch_answers.pieces(narrative(spark, sf_dir))
     asked = D.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b-"), "item_id").alias("question_id"), F.col("text").alias("question"))
-    return retrieval.best_matches(asked, found, question_key="question_id", question="question", key="piece", text="scored_text", order=("scene_order", "id"))
+    return retrieval.best_matches(asked, found, question_key="question_id", question="question", key="piece", text="scored_text", order=("scene_order", "id"), pass_words=retrieval.PASS_WORDS)
 
 
 @query(None)

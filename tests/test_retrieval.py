@@ -110,3 +110,15 @@ def test_passes_over_texts_look_at_allowed_pairs_only(spark):
     find = lambda allowed, **more: sorted(map(tuple, retrieval.best_matches(q, t, question_key="qid", question="question", key="id", text="body", allowed=allowed, most=3, **more).collect()))
     assert find(allowed, pass_words=100) == find(allowed, pass_words=1) == find(allowed) == [(1, 2, 4, 1), (1, 4, 4, 2), (1, 6, 4, 3), (2, 1, 4, 1), (2, 7, 4, 2), (3, 1, 2, 1), (3, 7, 2, 2)]
     assert find(F.col("kind") == 1, pass_words=100) == find(F.col("kind") == 1) != find(None, pass_words=100) == find(None)
+
+
+@pytest.mark.parametrize("name", ["token_overlap_retrieval", "retrieval_of_benchmark"])
+def test_queries_of_the_benchmark_shuffle_no_texts(spark, monkeypatch, name):
+    from plotweave.plans import asked, catalog  # noqa: F401
+
+    kept, staged = [], retrieval.staged
+    monkeypatch.setattr(retrieval, "staged", lambda df, name: kept.append(name) or staged(df, name))
+    found = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert kept == ["asked-words"], "neither postings nor pairs are written"
+    assert found._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Exchange ") == 1, "each task's best, and nothing else, is shuffled"
+    assert found.count() > 0
