@@ -305,11 +305,13 @@ def pieces(n: Narrative) -> DataFrame:
 
 def retrieval_answers(asked: DataFrame, n: Narrative, most: int = 6) -> DataFrame:
     """Answers by the words that a question shares with events, state changes and script blocks of its entities."""
-    found = staged(pieces(n), "pieces")
+    found = pieces(n)
     wanted = asked.select("question_id", "question", "ids", "names")
     named = F.exists("names", lambda x: F.contains(F.col("spoken"), F.lower(x)))
     allowed = (F.size("ids") == 0) | F.when(F.col("who").isNull(), named).otherwise(F.arrays_overlap("who", "ids"))
-    best = retrieval.best_matches(wanted, found, question_key="question_id", question="question", key="piece", text="scored_text", order=("scene_order", "id"), most=most, allowed=allowed)
+    best = retrieval.best_matches(wanted, found, question_key="question_id", question="question", key="piece", text="scored_text", order=("scene_order", "id"), most=most, allowed=allowed, pass_words=retrieval.PASS_WORDS)
+    # Written, the lists show how small they are, and pieces need neither be shuffled to meet them nor written themselves.
+    best = staged(best, "best-pieces")
     rows = best.join(found.select("piece", "source", "id", "scene_id", "said", "refs"), "piece").groupBy("question_id").agg(listed("place", "score", "source", "id", "scene_id", "said", "refs").alias("top"))
     told = asked.join(rows, "question_id", "left").withColumn("top", F.coalesce("top", F.array().cast(rows.schema["top"].dataType)))
     size = F.size("top")

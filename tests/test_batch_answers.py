@@ -264,3 +264,20 @@ def test_places_alone_tell_which_events_are_listed(spark, narrative, monkeypatch
     questions = spark.createDataFrame([("q", "When does Ann Field leave?", "auto", True, False)], "question_id string, question string, preferred_mode string, include_evidence boolean, include_baseline boolean")
     assert B.answers(questions, narrative).count() == 1
     assert "filtered-events" not in written and written["first-events"].columns == ["trace_key", "at", "event_id"]
+
+
+def test_retrieval_answers_write_and_shuffle_no_texts(spark, narrative, monkeypatch):
+    """Only each question's best pieces are written, and pieces meet them where they are."""
+    from plotweave.operators import retrieval
+
+    written = {}
+    for module in (B, retrieval):
+        monkeypatch.setattr(module, "staged", lambda df, name, staged=module.staged: written.setdefault(name, staged(df, name)))
+    questions = spark.createDataFrame([("q1", "the bar", "baseline", True, False), ("q2", "Compare Ann Field with Bob Stone at night", "auto", True, False)], "question_id string, question string, preferred_mode string, include_evidence boolean, include_baseline boolean")
+    contexts = B.contexts(questions, narrative)
+    written.clear()
+    got = B.retrieval_answers(contexts, narrative)
+    assert {*written} == {"kinds", "asked-words", "best-pieces"} and written["best-pieces"].count() == 12
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "scored_text" not in plan
+    assert {r["question_id"]: r["answer_text"][:36] for r in got.collect()} == dict.fromkeys(["q1", "q2"], "Baseline retrieval returned 6 top te")
