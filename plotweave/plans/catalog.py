@@ -119,13 +119,14 @@ def pair_cooccurrence(spark, sf_dir):
 
 
 @query(PAIRS + """, l AS (SELECT subject_id || '::' || object_id AS pair, n, a.s_name || ' <> ' || b.s_name AS label FROM p JOIN supplier a ON a.s_suppkey = subject_id JOIN supplier b ON b.s_suppkey = object_id)
-SELECT pair, n, label FROM l ORDER BY n DESC, label LIMIT 200""")
+SELECT pair, n, label FROM l ORDER BY n DESC, label""")
 def pair_options(spark, sf_dir):
+    """All pairs of suppliers that share three orders or more, by how many, with their names."""
     pairs = graph.pair_counts(order_suppliers(spark, sf_dir), scene="scene_id", entity="entity_id").where("n >= 3")
     names = D.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     a, b = names.toDF("subject_id", "a_name"), names.toDF("object_id", "b_name")
     labelled = pairs.join(a, "subject_id").join(b, "object_id").select(F.concat_ws("::", "subject_id", "object_id").alias("pair"), "n", F.concat("a_name", F.lit(" <> "), "b_name").alias("label"))
-    return labelled.orderBy(F.desc("n"), "label").limit(200)
+    return labelled.orderBy(F.desc("n"), "label")
 
 
 @query(PAIRS + """, known(a, b) AS (SELECT least(s_suppkey, s_suppkey + 1), greatest(s_suppkey, s_suppkey + 1) FROM supplier)

@@ -105,3 +105,14 @@ def test_pair_counts_whatever_a_task_takes(spark):
         assert {(r["subject_id"], r["object_id"]): (r["n"], r["scene_ids"]) for r in found} == {k: (len(v), sorted(v)[:8]) for k, v in want.items()}
     plan = graph.pair_counts(roster, scene="s", entity="e")._jdf.queryExecution().toString()
     assert "SortMergeJoin" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_pair_options_lists_every_pair(spark, tmp_path):
+    from plotweave.plans import catalog
+
+    spark.createDataFrame([(o, s) for o in range(3) for s in range(1, 31)], "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(s, f"Supplier {s:02d}") for s in range(1, 31)], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = catalog.QUERIES["pair_options"](spark, str(tmp_path)).collect()
+    want = [(f"{a}::{b}", 3, f"Supplier {a:02d} <> Supplier {b:02d}") for a in range(1, 31) for b in range(a + 1, 31)]
+    assert len(want) == 435 and list(map(tuple, got)) == want
+    assert "LIMIT" not in catalog.ORACLES["pair_options"]
